@@ -34,7 +34,7 @@ def quantity(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def name_key(name: Column) -> Column:
     """Instrument names are equal if they differ only in letter case, blanks, hyphens and underscores."""
-    return F.lower(F.regexp_replace(name, r"[\s \-_]+", ""))
+    return F.lower(F.regexp_replace(name, r"[\s\p{Z}\-_]+", ""))
 
 
 def unit_table(units: DataFrame, registry: Registry = ENERGY_IN_EV, max_rows: int = SMALL_ROWS) -> DataFrame:
