@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from peakloom.llm import terms, topn
+from peakloom.llm import sample, splits, terms, topn
 
 QUERIES = {
     "p1_terms": terms.p1_terms,
     "p1_grams": terms.p1_grams,
     "p1_found": terms.p1_found,
+    "p3_sample": sample.p3_sample,
+    "p4_splits": splits.p4_splits,
+    "p4_found": splits.p4_found,
     "p5_found": topn.p5_found,
 }
 
@@ -32,6 +35,24 @@ WITH records AS (SELECT DISTINCT spectrum_uid, candidate_neutral_formula, candid
 SELECT field_name, CAST(n AS INTEGER) AS n, array_to_string(r, ' ') AS run, count(*) AS occurrences, count(DISTINCT spectrum_uid) AS records
 FROM runs WHERE len(list_filter(r, lambda t: t IS NULL OR t = '')) = 0 GROUP BY field_name, n, r""",
     "p1_found": f"SELECT field_name, term, mark FROM ({_P1_TERMS}) WHERE mark IS NOT NULL",
+    "p3_sample": """
+WITH have AS (SELECT DISTINCT parent_spec, spectrum_uid FROM spectra_v2 WHERE parent_spec IS NOT NULL),
+     arrived AS (SELECT parent_spec, min(batch_no) AS batch_no FROM ingest_log GROUP BY 1),
+     known AS (SELECT DISTINCT parent_spec, batch_no FROM have JOIN arrived USING (parent_spec) WHERE batch_no IS NOT NULL),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY batch_no ORDER BY md5('peakloom-sample-1:' || parent_spec), parent_spec) AS r,
+                       count(*) OVER (PARTITION BY batch_no) AS size FROM known)
+SELECT parent_spec, spectrum_uid, batch_no FROM have JOIN ranked USING (parent_spec) WHERE r <= (size * 5 + 99) // 100""",
+    "p4_found": """
+WITH RECURSIVE held AS (
+         SELECT DISTINCT parent_spec AS p, upper(regexp_extract(inchikey, '[A-Za-z]{14}-[A-Za-z]{10}-[A-Za-z]')) AS k
+         FROM spectra_v2 WHERE regexp_matches(inchikey, '(^|[^A-Za-z])[A-Za-z]{14}-[A-Za-z]{10}-[A-Za-z]($|[^A-Za-z])')),
+     linked AS (SELECT DISTINCT a.p AS a, b.p AS b FROM held a JOIN held b USING (k)),
+     reach(a, b) AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a),
+     parents AS (SELECT DISTINCT parent_spec AS p FROM spectra_v2 WHERE parent_spec IS NOT NULL),
+     roots AS (SELECT p, coalesce(min(b), p) AS root FROM parents LEFT JOIN reach ON a = p GROUP BY p),
+     folds AS (SELECT parent_spec AS p, CASE lower(trim(fold)) WHEN 'val' THEN 'valid' WHEN '' THEN NULL ELSE lower(trim(fold)) END AS f FROM spectra_v2),
+     broken AS (SELECT root FROM roots JOIN folds USING (p) GROUP BY root HAVING count(DISTINCT f) > 1)
+SELECT p AS parent_spec, root AS group_key FROM roots JOIN broken USING (root)""",
     "p5_found": """
 WITH spectra AS (SELECT DISTINCT spectrum_uid, mzs, intensities FROM fragment_supervision_v2),
      peaks AS (SELECT spectrum_uid, unnest(range(least(len(mzs), len(intensities)))) AS i, mzs, intensities FROM spectra),
