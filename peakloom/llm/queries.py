@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from peakloom.llm import sample, splits, terms, topn
+from peakloom.llm import bpe, containers, lookalikes, sample, splits, terms, topn
 
 QUERIES = {
     "p1_terms": terms.p1_terms,
@@ -12,6 +12,11 @@ QUERIES = {
     "p4_splits": splits.p4_splits,
     "p4_found": splits.p4_found,
     "p5_found": topn.p5_found,
+    "p7_ids": bpe.p7_ids,
+    "p8_containers": containers.p8_containers,
+    "p8_usage": containers.p8_usage,
+    "p9_forms": lookalikes.p9_forms,
+    "p9_found": lookalikes.p9_found,
 }
 
 _P1_TERMS = """
