@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.session import table
+from peakloom.session import cut, table
 
 # Letters and symbols that look like the prototype before the colon.
 LOOK_ALIKES = """
@@ -197,7 +197,8 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     then are their rows attached, so that the work is that of the result. Classes of one text, null texts and
     texts of blanks make no pair. Repeated rows count once.
     """
-    marks = fingerprints(df, key, text).where("class IS NOT NULL").select(F.col(key).alias("id"), "class", "own")
+    # Read by several branches: texts are turned into skeletons once.
+    marks = cut(fingerprints(df, key, text).where("class IS NOT NULL").select(F.col(key).alias("id"), "class", "own"))
     mixed = marks.groupBy("class").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("class")
     members = marks.join(mixed, "class")
     texts = members.select("class", "own").distinct()
