@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def _symbols(values: object) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value evaluated once: higher-order functions take no part in common-subexpression elimination."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_formula(text: Column | str) -> Column:
     """Wholly element symbols with optional counts of at least 1; false for null."""
     text = _col(text)
@@ -35,10 +42,12 @@ def parse_formula(text: Column | str, strict: bool = False) -> Column:
     symbols = F.regexp_extract_all(text, F.lit("([A-Z][a-z]?)([0-9]*)"), F.lit(1))
     counts = F.regexp_extract_all(text, F.lit("([A-Z][a-z]?)([0-9]*)"), F.lit(2))
     numbers = F.transform(counts, lambda c: F.when(c == "", F.lit(1)).otherwise(c.cast("int")))
-    pairs = F.arrays_zip(symbols.alias("s"), numbers.alias("n"))
-    distinct = F.array_distinct(symbols)
-    summed = F.transform(distinct, lambda s: F.aggregate(pairs, F.lit(0), lambda acc, p: acc + F.when(p["s"] == s, p["n"]).otherwise(0)))
-    parsed = F.map_from_arrays(distinct, summed)
+
+    def add_up(pairs: Column) -> Column:
+        distinct = F.array_distinct(F.transform(pairs, lambda p: p["s"]))
+        return F.map_from_arrays(distinct, F.transform(distinct, lambda s: F.aggregate(pairs, F.lit(0), lambda acc, p: acc + F.when(p["s"] == s, p["n"]).otherwise(0))))
+
+    parsed = let(F.arrays_zip(symbols.alias("s"), numbers.alias("n")), add_up)
     bad = F.raise_error(F.concat(F.lit("not a formula: "), F.coalesce(text, F.lit("null")))) if strict else F.lit(None)
     return F.when(is_formula(text), parsed).otherwise(bad)
 
@@ -49,15 +58,17 @@ def count(counts: Column | str, symbol: str) -> Column:
 
 def hill(counts: Column | str) -> Column:
     """Carbon, hydrogen, then alphabetical; without carbon all alphabetical. Zeros and counts of 1 aren't written."""
-    kept = F.map_filter(_col(counts), lambda _, n: n > 0)
-    carbon = F.map_contains_key(kept, "C")
 
-    def place(symbol: Column) -> Column:
-        return F.when(carbon & (symbol == "C"), 0).when(carbon & (symbol == "H"), 1).otherwise(2)
+    def write(kept: Column) -> Column:
+        carbon = F.map_contains_key(kept, "C")
 
-    entries = F.transform(F.map_entries(kept), lambda e: F.struct(place(e["key"]).alias("place"), e["key"].alias("symbol"), e["value"].alias("n")))
-    parts = F.transform(F.array_sort(entries), lambda e: F.concat(e["symbol"], F.when(e["n"] == 1, "").otherwise(e["n"].cast("string"))))
-    return F.array_join(parts, "")
+        def place(symbol: Column) -> Column:
+            return F.when(carbon & (symbol == "C"), 0).when(carbon & (symbol == "H"), 1).otherwise(2)
+
+        entries = F.transform(F.map_entries(kept), lambda e: F.struct(place(e["key"]).alias("place"), e["key"].alias("symbol"), e["value"].alias("n")))
+        return F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(e["symbol"], F.when(e["n"] == 1, "").otherwise(e["n"].cast("string")))), "")
+
+    return let(F.map_filter(_col(counts), lambda _, n: n > 0), write)
 
 
 def element_mass(symbol: Column | str) -> Column:
@@ -120,9 +131,12 @@ def subtract(whole: Column | str, part: Column | str) -> Column:
 
 def neutral_loss(precursor: Column | str, fragment: Column | str) -> Column:
     """Hill string of precursor less fragment: null if the fragment holds more, [M] if nothing is left."""
-    rest = subtract(precursor, fragment)
-    text = hill(rest)
-    return F.when(~F.exists(F.map_values(rest), lambda n: n < 0), F.when(text == "", "[M]").otherwise(text))
+
+    def write(rest: Column) -> Column:
+        text = let(hill(rest), lambda t: F.when(t == "", "[M]").otherwise(t))
+        return F.when(~F.exists(F.map_values(rest), lambda n: n < 0), text)
+
+    return let(subtract(precursor, fragment), write)
 
 
 def distance(a: Column | str, b: Column | str) -> Column:

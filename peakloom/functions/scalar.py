@@ -113,12 +113,20 @@ def format_row(smiles: Column | str, formula: Column | str, adduct: Column | str
 
 
 def literal_list(text: Column | str) -> Column:
-    """ARRAY<STRING> of a list literal such as ``[10, 20.0]``; null where it is none."""
+    """ARRAY<STRING> of a list literal such as ``[10, 20.0, '30 eV']``; null where it is none.
+
+    Quoted items keep their text, with the escape of a no-break space resolved; a bare number with an exponent is
+    written out, as printing the parsed number would.
+    """
     body = F.regexp_extract(_col(text), r"^\s*\[(.*)\]\s*$", 1)
-    items = F.transform(F.split(body, ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
-    listed = F.filter(items, lambda x: x != "")
-    scientific = F.transform(listed, lambda x: F.when(x.rlike("^[0-9.]+[eE][+-]?[0-9]+$"), x.try_cast("double").cast("string")).otherwise(x))
-    return F.when(_col(text).rlike(r"^\s*\[.*\]\s*$"), scientific)
+    items = F.regexp_extract_all(body, F.lit(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,\s]+)"""), F.lit(1))
+
+    def value(x: Column) -> Column:
+        quoted = x.rlike("^['\"]")
+        inner = F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit(r"\xa0"), F.lit("\u00a0"))
+        return F.when(quoted, inner).when(x.rlike("^[0-9.]+[eE][+-]?[0-9]+$"), x.try_cast("double").cast("string")).otherwise(x)
+
+    return F.when(_col(text).rlike(r"^\s*\[.*\]\s*$"), F.transform(items, value))
 
 
 def edge_label(low: float, high: float) -> str:

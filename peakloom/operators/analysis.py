@@ -63,7 +63,7 @@ def spectrum_block() -> list[Column]:
 
 def strata_by_spectrum(df: DataFrame, dimensions: Sequence[str] = ("instrument", "adduct")) -> DataFrame:
     """spectrum_block overall and by each dimension: (dimension, label, ..), one aggregation over unpivoted labels."""
-    labels = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("label")), *[F.struct(F.lit(d), F.coalesce(F.col(d), F.lit("?"))) for d in dimensions])
+    labels = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("label")), *[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d), F.lit("?")).alias("label")) for d in dimensions])
     spread = spectrum_support(df).withColumn("s", F.explode(labels))
     return spread.groupBy(F.col("s.dimension").alias("dimension"), F.col("s.label").alias("label")).agg(*spectrum_block())
 
@@ -154,13 +154,17 @@ def classify_identities(predicted: DataFrame, candidates: DataFrame, uid: str =
     formula with a wrong ion state is a hit too. predicted: (uid, slot, formula, ion_state); candidates:
     (uid, candidate_index, formula, ion_state).
     """
-    c = candidates.select(uid, "candidate_index", F.col("formula").alias("c_formula"), F.col("ion_state").alias("c_ion"))
-    pairs = predicted.join(c, uid, "left").withColumn("p_counts", chem.parse_formula("formula")).withColumn("c_counts", chem.parse_formula("c_formula"))
-    diff = chem.subtract("p_counts", "c_counts")
-    l1 = chem.distance("p_counts", "c_counts")
-    hydrogen = F.abs(F.coalesce(F.element_at(diff, "H"), F.lit(0)))
+    # Parsed before the join: once per prediction and candidate, not per pair.
+    c = candidates.select(uid, "candidate_index", F.col("formula").alias("c_formula"), F.col("ion_state").alias("c_ion"), chem.parse_formula("formula").alias("c_counts"))
+    pairs = predicted.withColumn("p_counts", chem.parse_formula("formula")).join(c, uid, "left")
     exact = F.coalesce((F.col("formula") == F.col("c_formula")) & (F.col("ion_state") == F.col("c_ion")), F.lit(False))
-    near = F.when(l1.isNotNull(), F.struct(l1.alias("l1"), F.col("candidate_index").alias("i"), hydrogen.alias("h")))
+
+    def nearness(diff: Column) -> Column:
+        l1 = F.aggregate(F.map_values(diff), F.lit(0), lambda acc, n: acc + F.abs(n))
+        return F.struct(l1.alias("l1"), F.col("candidate_index").alias("i"), F.abs(F.coalesce(F.element_at(diff, "H"), F.lit(0))).alias("h"))
+
+    both = F.col("p_counts").isNotNull() & F.col("c_counts").isNotNull()
+    near = F.when(both, chem.let(chem.subtract("p_counts", "c_counts"), nearness))
     per = pairs.groupBy(uid, "slot", "formula", "ion_state").agg(F.bool_or(exact).alias("exact"), F.min(near).alias("near"))
     heavy, h = F.col("near.l1") - F.col("near.h"), F.col("near.h")
     category = (
@@ -175,9 +179,9 @@ def train_vocabulary(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     used = long.edges(df).select("spectrum_uid", "candidate_index").distinct()
     named = used.join(long.candidates(df).select("spectrum_uid", "candidate_index", F.col("formula").alias("fragment")), ["spectrum_uid", "candidate_index"])
     fragments = named.where("fragment IS NOT NULL").groupBy(F.col("fragment").alias("formula")).agg(F.count("*").alias("n"))
-    with_parent = named.join(df.select("spectrum_uid", "formula"), "spectrum_uid")
-    loss = chem.neutral_loss(chem.parse_formula("formula"), chem.parse_formula("fragment"))
-    losses = with_parent.withColumn("loss", loss).where("loss IS NOT NULL").groupBy("loss").agg(F.count("*").alias("n"))
+    pairs = named.join(df.select("spectrum_uid", "formula"), "spectrum_uid").groupBy("formula", "fragment").agg(F.count("*").alias("n"))
+    parsed = pairs.withColumn("p", chem.parse_formula("formula")).withColumn("f", chem.parse_formula("fragment"))
+    losses = parsed.withColumn("loss", chem.neutral_loss("p", "f")).where("loss IS NOT NULL").groupBy("loss").agg(F.sum("n").alias("n"))
     return fragments, losses
 
 

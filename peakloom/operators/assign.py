@@ -60,7 +60,8 @@ def assign(costs: DataFrame, uid: str = "uid", slots: int = 64) -> DataFrame:
         own_slots, own_targets = np.unique(rows["slot"]), np.unique(rows["target"])
         if len(own_targets) > slots:
             raise ValueError(f"{len(own_targets)} targets of {key[0]} exceed {slots} slots")
-        grid = np.full((len(own_slots), len(own_targets)), 1e12)
+        # Rows without a slot take the targets that are left over where slots are fewer.
+        grid = np.full((max(len(own_slots), len(own_targets)), len(own_targets)), 1e12)
         grid[np.searchsorted(own_slots, rows["slot"]), np.searchsorted(own_targets, rows["target"])] = rows["cost"]
         pairs = [(r, c) for r, c in min_cost_assignment(grid) if grid[r, c] < 1e11]
         return pd.DataFrame({

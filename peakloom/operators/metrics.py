@@ -142,12 +142,8 @@ def oracle_peaks(df: DataFrame) -> DataFrame:
     full = observed.join(named, ["spectrum_uid", "peak_index"], "left").join(rank, ["spectrum_uid", "peak_index"], "left")
     slot = F.col("rank").between(0, scalar.SLOTS - 1)
     has = F.col("rendered").isNotNull()
-    kinds = F.array(
-        F.struct(F.lit("peak_copy").alias("oracle"), F.col("mz").alias("mz")),
-        F.when(has, F.struct(F.lit("support_mask"), F.col("mz"))),
-        F.when(has, F.struct(F.lit("formula_rendered"), F.col("rendered"))),
-        F.when(has & slot, F.struct(F.lit("slot_capacity"), F.col("rendered"))),
-    )
+    made = {"peak_copy": (F.lit(True), "mz"), "support_mask": (has, "mz"), "formula_rendered": (has, "rendered"), "slot_capacity": (has & slot, "rendered")}
+    kinds = F.array(*[F.when(on, F.struct(F.lit(name).alias("oracle"), F.col(c).alias("mz"))) for name, (on, c) in made.items()])
     return full.select("spectrum_uid", "peak_index", F.col("mz").alias("observed_mz"), "weight", F.explode(F.array_compact(kinds)).alias("o")).select(
         "spectrum_uid", "o.oracle", "peak_index", "o.mz", "observed_mz", "weight"
     )
