@@ -29,11 +29,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def is_formula(text: Column | str) -> Column:
-    """Wholly element symbols with optional counts of at least 1; false for null."""
-    text = _col(text)
-    known = F.size(F.array_except(F.regexp_extract_all(text, F.lit("([A-Z][a-z]?)[0-9]*"), F.lit(1)), _symbols(ELEMENTS))) == 0
-    shape = text.rlike("^([A-Z][a-z]?(0*[1-9][0-9]*)?)+$")
-    return F.coalesce(shape & known, F.lit(False))
+    """Wholly element symbols with optional counts of at least 1; false for null.
+
+    One pattern: a lower-case letter can only belong to the capital before it, so that the alternatives can't split
+    a text in two ways.
+    """
+    return F.coalesce(_col(text).rlike(f"^(({'|'.join(ELEMENTS)})(0*[1-9][0-9]*)?)+$"), F.lit(False))
 
 
 def parse_formula(text: Column | str, strict: bool = False) -> Column:

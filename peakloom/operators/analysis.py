@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions import chem, scalar
 from peakloom.operators import spectra as long
-from peakloom.operators.metrics import percentiles
+from peakloom.operators.metrics import formula_masses, percentiles
 
 THRESHOLDS = (64, 128, 256, 512)
 SEEN = (1, 5, 20, 100)
@@ -142,8 +142,8 @@ def merge_identities(slots: DataFrame, uid: str = "uid") -> DataFrame:
 def render(slots: DataFrame, uid: str = "uid", threshold: float = scalar.PRESENCE) -> DataFrame:
     """Slots above the presence gate, merged by identity, in the order of (formula, ion state), with their m/z."""
     merged = merge_identities(slots.where(F.col("presence") >= threshold), uid)
-    mz = chem.mass(chem.parse_formula("formula")) + chem.channel_offset("ion_state")
-    return merged.withColumn("mz", mz).withColumn("place", F.row_number().over(Window.partitionBy(uid).orderBy("formula", "ion_state")) - 1)
+    merged = merged.join(formula_masses(merged), "formula", "left")
+    return merged.withColumn("mz", F.col("mass") + chem.channel_offset("ion_state")).withColumn("place", F.row_number().over(Window.partitionBy(uid).orderBy("formula", "ion_state")) - 1)
 
 
 def classify_identities(predicted: DataFrame, candidates: DataFrame, uid: str = "uid") -> DataFrame:
@@ -203,9 +203,10 @@ def counterfactuals(slots: DataFrame, oracle: DataFrame, uid: str = "uid", thres
     slots: (uid, slot, presence, contribution, formula, ion_state); oracle: (uid, slot, o_formula, o_ion, y, t), the matched
     slots' oracle identity with raw and transformed observed intensity. Active slots pass the gate.
     """
-    mass = lambda f: chem.mass(chem.parse_formula(f))
     d = slots.join(oracle, [uid, "slot"], "left").withColumn("active", F.col("presence") >= threshold).withColumn("matched", F.col("y").isNotNull())
-    d = d.withColumn("pm", mass("formula")).withColumn("om", mass("o_formula")).withColumn("pi", chem.channel_offset("ion_state")).withColumn("oi", chem.channel_offset("o_ion"))
+    named = slots.select("formula").union(oracle.select("o_formula"))
+    d = d.join(formula_masses(named, "formula", "pm"), "formula", "left")
+    d = d.join(formula_masses(named, "formula", "om").withColumnRenamed("formula", "o_formula"), "o_formula", "left").withColumn("pi", chem.channel_offset("ion_state")).withColumn("oi", chem.channel_offset("o_ion"))
     p_mz, o_mz = F.col("pm") + F.col("pi"), F.col("om") + F.col("oi")
     oracle_or_own = F.coalesce(o_mz, p_mz)
     same = (F.col("formula") == F.col("o_formula")) & (F.col("ion_state") == F.col("o_ion"))

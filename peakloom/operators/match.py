@@ -19,50 +19,56 @@ BUCKET = 0.05
 
 
 def heavy_subformulas(formulas: DataFrame, cap: int = HEAVY_CAP, column: str = "formula") -> DataFrame:
-    """(formula, max_h, heavy MAP, heavy_mass, heavy_rank) of every distinct formula that parses.
+    """(formula, max_h, elements, counts, heavy_mass, heavy_rank, top_h) of every distinct formula that parses.
 
-    heavy runs over all subformulas without hydrogen, the empty one included; heavy_rank is their order by
-    mass, ties by enumeration (elements in alphabetical order, the last one fastest). Hydrogen stays
-    analytic: a subformula is (heavy, h) with h from 0 to max_h. A formula with more than cap heavy
-    subformulas is an error, found before anything is enumerated.
+    counts (ARRAY<INT>, aligned with the heavy elements in alphabetical order) runs over all subformulas without
+    hydrogen, the empty one included; heavy_rank is their order by mass, ties by enumeration (the last element
+    fastest). Hydrogen stays analytic: a subformula is (counts, h) with h from 0 to max_h, and it is plausible by
+    valence if h is at most top_h. A formula with more than cap heavy subformulas is an error, found before
+    anything is enumerated; one with an element without a mass has none.
     """
-    parsed = formulas.select(F.col(column).alias("formula")).distinct().withColumn("counts", chem.parse_formula("formula")).where("counts IS NOT NULL")
-    size = chem.heavy_subformulas("counts")
+    parsed = formulas.select(F.col(column).alias("formula")).distinct().withColumn("parsed", chem.parse_formula("formula")).where("parsed IS NOT NULL")
+    size = chem.heavy_subformulas("parsed")
     guard = F.when(size > cap, F.raise_error(F.concat(F.lit("too many heavy subformulas: "), "formula"))).otherwise(size)
-    sized = parsed.withColumn("size", guard).where("size > 0").withColumn("max_h", chem.count("counts", "H"))
-    elements = F.array_sort(F.map_entries(F.map_filter("counts", lambda s, _: s != "H")))
-    empty = F.array(F.struct(F.lit(0.0).alias("mass"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("heavy")))
+    axis = F.transform(
+        F.array_sort(F.map_entries(F.map_filter("parsed", lambda s, _: s != "H"))),
+        lambda e: F.struct(e["key"].alias("symbol"), e["value"].alias("n"), chem.element_mass(e["key"]).alias("mass"), bonds(e["key"]).alias("bonds")),
+    )
+    sized = parsed.withColumn("size", guard).where("size > 0").select("formula", "size", chem.count("parsed", "H").alias("max_h"), axis.alias("axis"))
+    sized = sized.where(~F.exists("axis", lambda e: e["mass"].isNull()))
+    empty = F.array(F.struct(F.lit(0.0).alias("mass"), F.lit(2).alias("top_h"), F.array().cast("array<int>").alias("counts")))
 
     def grow(acc: Column, e: Column) -> Column:
         def widen(part: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(0), e["value"]),
-                lambda k: F.struct(
-                    (part["mass"] + k.cast("double") * chem.element_mass(e["key"])).alias("mass"),
-                    F.when(k > 0, F.map_concat(part["heavy"], F.map_from_arrays(F.array(e["key"]), F.array(k)))).otherwise(part["heavy"]).alias("heavy"),
-                ),
-            )
+            def step(k: Column) -> Column:
+                return F.struct((part["mass"] + k.cast("double") * e["mass"]).alias("mass"), (part["top_h"] + k * e["bonds"]).alias("top_h"), F.array_append(part["counts"], k).alias("counts"))
+
+            return F.transform(F.sequence(F.lit(0), e["n"]), step)
 
         return F.flatten(F.transform(acc, widen))
 
-    cols = ["formula", "max_h", F.posexplode(F.aggregate(elements, empty, grow)).alias("ordinal", "s")]
-    small = sized.where(F.col("size") <= ARRAY_LIMIT).select(*cols)
-    # Above the limit: enumerate without the last (alphabetically greatest) elements, then explode those.
-    n = F.size(elements)
-    head, last = F.slice(elements, 1, F.greatest(n - 2, F.lit(0))), F.slice(elements, F.greatest(n - 1, F.lit(1)), 2)
-    parts = sized.where(F.col("size") > ARRAY_LIMIT).select("formula", "max_h", last.alias("last"), F.posexplode(F.aggregate(head, empty, grow)).alias("o1", "p"))
-    steps = parts.select("formula", "max_h", "o1", F.posexplode(F.aggregate("last", F.array("p"), grow)).alias("o2", "s"))
-    large = steps.select("formula", "max_h", (F.col("o1").cast("bigint") * (1 << 24) + F.col("o2")).alias("ordinal"), "s")
-    both = small.select("formula", "max_h", F.col("ordinal").cast("bigint").alias("ordinal"), "s").unionByName(large)
-    order = Window.partitionBy("formula").orderBy("s.mass", "ordinal")
-    return both.select("formula", "max_h", F.col("s.heavy").alias("heavy"), F.col("s.mass").alias("heavy_mass"), (F.row_number().over(order) - 1).alias("heavy_rank"))
+    ranked = F.array_sort(F.transform(F.aggregate("axis", empty, grow), lambda s, i: F.struct(s["mass"].alias("mass"), i.alias("i"), s["top_h"].alias("top_h"), s["counts"].alias("counts"))))
+    kept = ["formula", "max_h", F.transform("axis", lambda e: e["symbol"]).alias("elements")]
+    out = ["formula", "max_h", "elements", "s.counts", F.col("s.mass").alias("heavy_mass"), "heavy_rank", "s.top_h"]
+    small = sized.where(F.col("size") <= ARRAY_LIMIT).select(*kept, F.posexplode(ranked).alias("heavy_rank", "s")).select(*out)
+    # Beyond the limit no array holds all of a formula: enumerate without the last two elements, explode those, rank by a window.
+    n = F.size("axis")
+    head, last = F.slice("axis", 1, F.greatest(n - 2, F.lit(0))), F.slice("axis", F.greatest(n - 1, F.lit(1)), 2)
+    parts = sized.where(F.col("size") > ARRAY_LIMIT).select(*kept, last.alias("last"), F.posexplode(F.aggregate(head, empty, grow)).alias("o1", "p"))
+    steps = parts.select("formula", "max_h", "elements", "o1", F.posexplode(F.aggregate("last", F.array("p"), grow)).alias("o2", "s"))
+    order = Window.partitionBy("formula").orderBy("s.mass", "o1", "o2")
+    return small.unionByName(steps.withColumn("heavy_rank", F.row_number().over(order) - 1).select(*out))
+
 
+def bonds(symbol: Column) -> Column:
+    """How many hydrogens an atom adds to what a molecule can hold."""
+    return F.when(symbol.isin(*chem.FOUR_BONDS), 2).when(symbol.isin(*chem.THREE_BONDS), 1).when(symbol.isin(*chem.ONE_BOND), -1).otherwise(0)
 
-def subformula(heavy: Column | str, h: Column | str) -> Column:
-    """The counts of (heavy, h)."""
-    h = F.col(h) if isinstance(h, str) else h
-    heavy = F.col(heavy) if isinstance(heavy, str) else heavy
-    return F.when(h > 0, F.map_concat(heavy, F.map_from_arrays(F.array(F.lit("H")), F.array(h)))).otherwise(heavy)
+
+def subformula(elements: Column | str, counts: Column | str, h: Column | str) -> Column:
+    """The map of a subformula, elements with a count of 0 left out."""
+    named = F.map_from_arrays(F.array_append(elements, F.lit("H")), F.array_append(counts, F.col(h) if isinstance(h, str) else h))
+    return F.map_filter(named, lambda _, n: n > 0)
 
 
 def interval_join(probe: DataFrame, build: DataFrame, low: str, high: str, value: str, on: tuple[str, ...] = (), width: float = BUCKET) -> DataFrame:
@@ -79,7 +85,7 @@ def interval_join(probe: DataFrame, build: DataFrame, low: str, high: str, value
 
 
 def match_edges(spectra: DataFrame, ppm: float = scalar.PPM, peak_cap: int = PEAK_CAP, heavy_cap: int = HEAVY_CAP, width: float = BUCKET, valence: bool = True) -> DataFrame:
-    """(spectrum_uid, peak_index, mz, channel, h, heavy_rank, heavy, theo_mz, error_ppm) of all peak-candidate pairs.
+    """(spectrum_uid, formula, peak_index, mz, channel, h, heavy_rank, theo_mz, error_ppm) of all peak-candidate pairs.
 
     spectra: one row per spectrum_uid with formula, adduct and the peak lists. A candidate is a subformula
     but the empty one under an ion channel of the adduct, within the tolerance of the peak. Rows whose
@@ -88,37 +94,39 @@ def match_edges(spectra: DataFrame, ppm: float = scalar.PPM, peak_cap: int = PEA
     """
     hydrogen = MASSES["H"]
     heavy = heavy_subformulas(spectra.select("formula"), heavy_cap)
-    known = spectra.withColumn("channel", F.explode(chem.ion_channels("adduct"))).withColumn("max_h", chem.count(chem.parse_formula("formula"), "H"))
+    parsed = chem.parse_formula("formula")
+    known = spectra.withColumn("channel", F.explode(chem.ion_channels("adduct"))).withColumn("parsed", parsed).where("parsed IS NOT NULL")
+    known = known.withColumn("max_h", chem.count("parsed", "H")).withColumn("heaviest", chem.mass(F.map_filter("parsed", lambda s, _: s != "H"))).where("heaviest IS NOT NULL")
     zipped = F.arrays_zip(F.col("mzs").alias("mz"), F.col("mz_decimal_places").alias("dp"))
+    room = F.col("mz") - F.col("offset")
     probe = (
-        known.select("spectrum_uid", "formula", "channel", "max_h", F.posexplode(zipped).alias("peak_index", "p"))
-        .select("spectrum_uid", "formula", "channel", "peak_index", "max_h", F.col("p.mz").alias("mz"), F.col("p.dp").alias("dp"))
+        known.select("spectrum_uid", "formula", "channel", "max_h", "heaviest", F.posexplode(zipped).alias("peak_index", "p"))
+        .select("spectrum_uid", "formula", "channel", "peak_index", "max_h", "heaviest", F.col("p.mz").alias("mz"), F.col("p.dp").alias("dp"))
         .where("mz IS NOT NULL")
         .withColumn("tolerance", scalar.mass_tolerance("mz", "dp", ppm) + F.lit(scalar.EPSILON))
         .withColumn("offset", chem.channel_offset("channel"))
-        # No more hydrogens than the peak's mass has room for.
-        .withColumn("top_h", F.least(F.col("max_h"), F.floor((F.col("mz") - F.col("offset") + F.col("tolerance")) / F.lit(hydrogen)).cast("int")))
-        .where("top_h >= 0")
-        .withColumn("h", F.explode(F.sequence(F.lit(0), F.col("top_h"))))
-        .withColumn("centre", F.col("mz") - F.col("offset") - F.col("h").cast("double") * F.lit(hydrogen))
+        # No more hydrogens than the peak's mass has room for, no fewer than the heavy atoms leave over.
+        .withColumn("most_h", F.least(F.col("max_h"), F.floor((room + F.col("tolerance")) / F.lit(hydrogen)).cast("int")))
+        .withColumn("least_h", F.greatest(F.lit(0), F.ceil((room - F.col("tolerance") - F.col("heaviest")) / F.lit(hydrogen) - 1e-6).cast("int")))
+        .where("most_h >= least_h")
+        .withColumn("h", F.explode(F.sequence("least_h", "most_h")))
+        .withColumn("centre", room - F.col("h").cast("double") * F.lit(hydrogen))
         .withColumn("low", F.col("centre") - F.col("tolerance") - F.lit(1e-7))
         .withColumn("high", F.col("centre") + F.col("tolerance") + F.lit(1e-7))
-        .drop("max_h", "top_h", "centre", "dp")
+        .select("spectrum_uid", "formula", "channel", "peak_index", "mz", "tolerance", "h", "offset", "low", "high")
     )
-    pairs = interval_join(probe, heavy.drop("max_h"), "low", "high", "heavy_mass", ("formula",), width)
-    theory = scalar.theoretical_mz("heavy_mass", "h", hydrogen, F.col("offset"))
+    # Only numbers pass through the join; the atoms come back for the hits.
+    pairs = interval_join(probe, heavy.select("formula", "heavy_mass", "heavy_rank", "top_h"), "low", "high", "heavy_mass", ("formula",), width)
     hits = (
-        pairs.withColumn("theo_mz", theory)
+        pairs.withColumn("theo_mz", scalar.theoretical_mz("heavy_mass", "h", hydrogen, F.col("offset")))
         .where(F.abs(F.col("mz") - F.col("theo_mz")) <= F.col("tolerance"))
-        .where((F.col("h") > 0) | (F.size("heavy") > 0))
+        .where((F.col("h") > 0) | (F.col("heavy_mass") > 0))
     )
     raw = F.count("*").over(Window.partitionBy("spectrum_uid", "peak_index"))
     hits = hits.withColumn("raw", raw).where(F.when(F.col("raw") > peak_cap, F.raise_error(F.lit("too many candidates of a peak"))).otherwise(F.lit(True)))
     if valence:
-        hits = hits.where(chem.is_plausible(subformula("heavy", "h")))
-    return hits.select(
-        "spectrum_uid", "peak_index", "mz", "channel", "h", "heavy_rank", "heavy", "theo_mz", scalar.ppm_error("mz", "theo_mz").cast("float").alias("error_ppm")
-    )
+        hits = hits.where("h <= top_h")
+    return hits.select("spectrum_uid", "formula", "peak_index", "mz", "channel", "h", "heavy_rank", "theo_mz", scalar.ppm_error("mz", "theo_mz").cast("float").alias("error_ppm"))
 
 
 def number_candidates(edges: DataFrame) -> DataFrame:
@@ -143,16 +151,16 @@ def build_supervision(spectra: DataFrame, ppm: float = scalar.PPM, peak_cap: int
     Spectra without any candidate keep empty lists. Formulas are rendered once per distinct candidate.
     """
     numbered = number_candidates(match_edges(spectra, ppm, peak_cap, heavy_cap))
+    atoms = heavy_subformulas(spectra.select("formula"), heavy_cap).select("formula", "heavy_rank", "elements", "counts")
+    named = numbered.join(atoms, ["formula", "heavy_rank"])
     per_edge = F.struct("edge_index", "peak_index", "candidate_index", "error_ppm")
-    per_candidate = F.struct("candidate_index", F.col("channel").alias("ion_state"), "theo_mz", chem.hill(subformula("heavy", "h")).alias("formula"))
-    lists = numbered.groupBy("spectrum_uid").agg(
-        F.array_sort(F.collect_list(per_edge)).alias("e"), F.array_sort(F.collect_set(per_candidate)).alias("c")
-    )
+    per_candidate = F.struct("candidate_index", F.col("channel").alias("ion_state"), "theo_mz", "elements", "counts", "h")
+    lists = named.groupBy("spectrum_uid").agg(F.array_sort(F.collect_list(per_edge)).alias("e"), F.array_sort(F.collect_set(per_candidate)).alias("c"))
     joined = spectra.join(lists, "spectrum_uid", "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     out = joined.select(
         *[F.col(f"`{c}`") for c in spectra.columns],
-        F.coalesce("c.formula", none("string")).alias("candidate_neutral_formula"),
+        F.coalesce(F.transform("c", lambda x: chem.hill(subformula(x["elements"], x["counts"], x["h"]))), none("string")).alias("candidate_neutral_formula"),
         F.coalesce("c.ion_state", none("string")).alias("candidate_ion_state"),
         F.coalesce("c.theo_mz", none("double")).alias("candidate_theoretical_mz"),
         F.coalesce("e.peak_index", none("int")).alias("edge_peak_index"),

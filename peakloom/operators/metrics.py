@@ -122,6 +122,11 @@ def transformed(peaks: DataFrame, key: str = "spectrum_uid", eps: float = 1e-12)
     return peaks.withColumn("t", F.sqrt(positive) / (norm + F.lit(eps)))
 
 
+def formula_masses(df: DataFrame, column: str = "formula", name: str = "mass") -> DataFrame:
+    """(column, name) of every distinct formula that has a mass: parsed once each, not once per row."""
+    return df.select(column).distinct().withColumn(name, chem.mass(chem.parse_formula(column))).where(F.col(name).isNotNull())
+
+
 def first_candidates(df: DataFrame) -> DataFrame:
     """(spectrum_uid, peak_index, candidate_index) of the first edge of each peak."""
     return long.edges(df).groupBy("spectrum_uid", "peak_index").agg(F.min_by("candidate_index", "edge_index").alias("candidate_index"))
@@ -137,8 +142,8 @@ def oracle_peaks(df: DataFrame) -> DataFrame:
     observed = long.peaks(df).withColumn("weight", root_intensity("y"))
     rank = long.explode_lists(df, "spectrum_uid", "peak_index", {"supervision_rank": "rank"})
     named = first_candidates(df).join(long.candidates(df).drop("theo_mz"), ["spectrum_uid", "candidate_index"])
-    mass = chem.mass(chem.parse_formula("formula")) + F.coalesce(chem.channel_offset("ion_state"), F.lit(0.0))
-    named = named.select("spectrum_uid", "peak_index", mass.alias("rendered")).where("rendered IS NOT NULL")
+    mass = F.col("mass") + F.coalesce(chem.channel_offset("ion_state"), F.lit(0.0))
+    named = named.join(formula_masses(named), "formula").select("spectrum_uid", "peak_index", mass.alias("rendered"))
     full = observed.join(named, ["spectrum_uid", "peak_index"], "left").join(rank, ["spectrum_uid", "peak_index"], "left")
     slot = F.col("rank").between(0, scalar.SLOTS - 1)
     has = F.col("rendered").isNotNull()

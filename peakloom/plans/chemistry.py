@@ -88,7 +88,7 @@ def subformula_enum_valence(spark: SparkSession, d: str) -> DataFrame:
     c, h, o = (F.col("p_size") % 6 + 1).cast("int"), (F.col("p_partkey") % 9 + 1).cast("int"), (F.col("p_size") % 3).cast("int")
     f = F.concat(F.lit("C"), c.cast("string"), F.lit("H"), h.cast("string"), F.when(o > 0, F.concat(F.lit("O"), o.cast("string"))).otherwise(""))
     heavy = match.heavy_subformulas(table(spark, d, "part").select(f.alias("formula")))
-    grid = heavy.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("max_h")))).withColumn("counts", match.subformula("heavy", "h")).where(F.size("counts") > 0)
+    grid = heavy.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("max_h")))).withColumn("counts", match.subformula("elements", "counts", "h")).where(F.size("counts") > 0)
     return grid.where(chem.is_plausible("counts")).select("formula", chem.count("counts", "C").alias("c"), "h", chem.count("counts", "O").alias("o"))
 
 
