@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from peakloom.functions import chem, scalar
 from peakloom.functions.elements import MASSES
 from peakloom.operators import spectra as long
+from peakloom.session import shuffle_width
 
 HEAVY_CAP, PEAK_CAP = 4_000_000, 100_000
 #: Formulas with more heavy subformulas than this are enumerated by chained explodes instead of one array.
@@ -35,7 +36,8 @@ def heavy_subformulas(formulas: DataFrame, cap: int = HEAVY_CAP, column: str = "
         lambda e: F.struct(e["key"].alias("symbol"), e["value"].alias("n"), chem.element_mass(e["key"]).alias("mass"), bonds(e["key"]).alias("bonds")),
     )
     sized = parsed.withColumn("size", guard).where("size > 0").select("formula", "size", chem.count("parsed", "H").alias("max_h"), axis.alias("axis"))
-    sized = sized.where(~F.exists("axis", lambda e: e["mass"].isNull()))
+    # Few rows that grow a thousandfold: spread them by number, which adaptive execution doesn't undo.
+    sized = sized.where(~F.exists("axis", lambda e: e["mass"].isNull())).repartition(4 * shuffle_width(formulas.sparkSession), "formula")
     empty = F.array(F.struct(F.lit(0.0).alias("mass"), F.lit(2).alias("top_h"), F.array().cast("array<int>").alias("counts")))
 
     def grow(acc: Column, e: Column) -> Column:
@@ -71,17 +73,20 @@ def subformula(elements: Column | str, counts: Column | str, h: Column | str) ->
     return F.map_filter(named, lambda _, n: n > 0)
 
 
-def interval_join(probe: DataFrame, build: DataFrame, low: str, high: str, value: str, on: tuple[str, ...] = (), width: float = BUCKET) -> DataFrame:
+def interval_join(probe: DataFrame, build: DataFrame, low: str, high: str, value: str, on: tuple[str, ...] = (), width: float = BUCKET, strategy: str = "merge") -> DataFrame:
     """Pairs with probe.low <= build.value <= probe.high, by an equi join on (on.., bucket of width) and a residual.
 
     A probe row goes to every bucket its interval meets, a build row to one, so that each pair comes out
     once. The result doesn't depend on width; it should be about the length of an interval.
+
+    strategy is a join hint. The planner sizes an exploded side by what it was before, and would broadcast it
+    where it looks small; so the default names a join that spills.
     """
     w = F.lit(float(width))
     first, last = F.floor(F.col(low) / w), F.floor(F.col(high) / w)
     left = probe.where(F.col(low) <= F.col(high)).withColumn("__bucket", F.explode(F.sequence(first, last)))
     right = build.withColumn("__bucket", F.floor(F.col(value) / w))
-    return left.join(right, [*on, "__bucket"]).where(F.col(value).between(F.col(low), F.col(high))).drop("__bucket")
+    return left.hint(strategy).join(right, [*on, "__bucket"]).where(F.col(value).between(F.col(low), F.col(high))).drop("__bucket")
 
 
 def match_edges(spectra: DataFrame, ppm: float = scalar.PPM, peak_cap: int = PEAK_CAP, heavy_cap: int = HEAVY_CAP, width: float = BUCKET, valence: bool = True) -> DataFrame:

@@ -39,7 +39,7 @@ _COS = [f"cos_at_{k}_{n}" for n in scalar.SPACES for k in scalar.TOP_K]
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     return metrics.score_predictions(predicted(df), long.peaks(df), df)
 
 
@@ -80,7 +80,7 @@ _SPACES = "(VALUES ('canonical_sqrt', 0.5::DOUBLE, 1.0::DOUBLE), ('legacy_raw',
                 FROM pp LEFT JOIN ob ON ob.spectrum_uid = pp.spectrum_uid AND ob.space = pp.space AND ob.bin = pp.bin LEFT JOIN nr ON nr.spectrum_uid = pp.spectrum_uid AND nr.space = pp.space GROUP BY ALL)
     SELECT oracle, space, count(*) AS spectra, round(avg(c100), 5) AS mean_cos_at_100 FROM cs GROUP BY oracle, space"""))
 def oracle_ceilings(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.oracle_ceilings(views.supervision(spark, d)).groupBy("oracle", "space").agg(F.count("*").alias("spectra"), F.round(F.avg("cos_at_100"), 5).alias("mean_cos_at_100"))
+    return metrics.oracle_ceilings(views.shared(spark, d)).groupBy("oracle", "space").agg(F.count("*").alias("spectra"), F.round(F.avg("cos_at_100"), 5).alias("mean_cos_at_100"))
 
 
 _SUPPORT = "WITH n AS (SELECT spectrum_uid, peak_index, count(*) AS n FROM ed GROUP BY ALL), sp AS (SELECT pk.*, coalesce(n, 0) AS n FROM pk LEFT JOIN n USING (spectrum_uid, peak_index))"
@@ -106,7 +106,7 @@ def peak_block(spark: SparkSession, d: str) -> DataFrame:
       round(quantile_cont(k, 0.5), 6) AS unique_p50, round(quantile_cont(k, 0.9), 6) AS unique_p90, round(quantile_cont(k, 0.99), 6) AS unique_p99, max(k)::INT AS unique_max,
       """ + ", ".join(f"round(avg((k <= {t})::DOUBLE), 6) AS unique_le_{t}" for t in analysis.THRESHOLDS) + " FROM g GROUP BY ALL"))
 def audit_strata(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.strata_by_spectrum(views.supervision(spark, d))
+    out = analysis.strata_by_spectrum(views.shared(spark, d))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -121,7 +121,7 @@ _DOUBLES = ("l1", "kept_l1", "energy", "kept_energy")
 
 @query(sql("s pk ed", _SLOT_DIAGNOSTICS + " SELECT * REPLACE (" + ", ".join(f"round(ln(1 + {c}), 7) AS {c}" for c in _DOUBLES) + ") FROM dg"))
 def slot_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.slot_diagnostics(views.supervision(spark, d))
+    out = analysis.slot_diagnostics(views.shared(spark, d))
     return out.select(*[F.round(F.log1p(c), 7).alias(c) if c in _DOUBLES else F.col(c) for c in out.columns])
 
 
@@ -131,7 +131,7 @@ def slot_diagnostics(spark: SparkSession, d: str) -> DataFrame:
       sum(candidates)::BIGINT AS candidates, sum(edges)::BIGINT AS edges, sum(reused)::BIGINT AS reused, round(sum(reused) / nullif(sum(candidates), 0), 6) AS reused_fraction, sum(unique_peaks)::BIGINT AS unique_peaks, sum(ambiguous_peaks)::BIGINT AS ambiguous_peaks,
       sum(unsupported_peaks)::BIGINT AS unsupported_peaks, sum(low_precision)::BIGINT AS low_precision, count(*) FILTER (energy = 0) AS zero_energy FROM x"""))
 def slot_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.summarise_slots(analysis.slot_diagnostics(views.supervision(spark, d)))
+    out = analysis.summarise_slots(analysis.slot_diagnostics(views.shared(spark, d)))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 

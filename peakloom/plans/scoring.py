@@ -41,7 +41,7 @@ def chunked_log_sum_exp(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(_SC, "SELECT uid, CAST(slot AS INTEGER) AS slot, target, round(ln(sum(exp(log_prob)) + 1e-30), 6) AS bag_log_prob FROM sc JOIN me USING (uid, candidate_index) GROUP BY ALL"))
 def bag_log_probability(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     return scores.bag_log_probability(views.scores(df), views.members(df)).select("uid", "slot", "target", F.round("bag_log_prob", 6).alias("bag_log_prob"))
 
 
@@ -50,14 +50,14 @@ def bag_log_probability(spark: SparkSession, d: str) -> DataFrame:
     SELECT uid, CAST(slot AS INTEGER) AS slot, target, round(-lp + 0.25 * CASE WHEN abs(x) <= 1 THEN x * x / 2 ELSE abs(x) - 0.5 END, 8) AS cost
     FROM (SELECT b.*, sl.presence * sl.intensity - tg.t AS x FROM b JOIN sl USING (uid, slot) JOIN tg USING (uid, target))"""))
 def matching_costs(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     costs = scores.matching_costs(views.scores(df), views.members(df), views.slots(df), views.targets(df))
     return costs.withColumn("cost", F.round("cost", 8))
 
 
 @query()
 def hungarian(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     return assign.assign(scores.matching_costs(views.scores(df), views.members(df), views.slots(df), views.targets(df)))
 
 
@@ -69,22 +69,22 @@ def diagnostics(df: DataFrame) -> DataFrame:
 
 @query()
 def max_matching(spark: SparkSession, d: str) -> DataFrame:
-    return diagnostics(views.supervision(spark, d))
+    return diagnostics(views.shared(spark, d))
 
 
 @query()
 def fragment_summary(spark: SparkSession, d: str) -> DataFrame:
-    return assign.summarise_fragments(diagnostics(views.supervision(spark, d)))
+    return assign.summarise_fragments(diagnostics(views.shared(spark, d)))
 
 
 @query(sql("s ca ed le", "SELECT DISTINCT le.spectrum_uid, target, formula, ion_state FROM le JOIN ca USING (spectrum_uid, candidate_index)"))
 def target_bags(spark: SparkSession, d: str) -> DataFrame:
-    return long.bags(views.supervision(spark, d))
+    return long.bags(views.shared(spark, d))
 
 
 @query(sql(_ASG, f"WITH {_MB} SELECT uid, CAST(slot AS INTEGER) AS slot, target, cardinality, round(bag_nll, 6) + 0.0 AS bag_nll, round(exp(-bag_nll), 6) AS bag_mass, round(best_in_bag, 6) + 0.0 AS best_in_bag, argmax_in_bag FROM mb"))
 def matched_bags(spark: SparkSession, d: str) -> DataFrame:
-    out = matched(views.supervision(spark, d))
+    out = matched(views.shared(spark, d))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -97,7 +97,7 @@ _STRATA += [f"'targets_{lo}_{hi:g}' FROM q WHERE targets >= {lo} AND targets < {
     g AS ({" UNION ALL ".join(f"SELECT bag_nll, bag_mass, {x}" for x in _STRATA)})
     SELECT stratum, count(*) AS pairs, round(avg(bag_nll), 6) AS nll_mean, round(exp(-avg(bag_nll)), 6) AS geometric_mass, round(avg(bag_mass), 6) AS arithmetic_mass, round(median(bag_mass), 6) AS median_mass FROM g GROUP BY stratum"""))
 def bag_strata(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     counted = views.targets(df).groupBy("uid").agg(F.count("*").alias("targets"))
     pairs = matched(df).join(df.select(F.col("spectrum_uid").alias("uid"), "precursor_mz"), "uid").join(counted, "uid")
     out = analysis.bag_strata(pairs)
@@ -106,7 +106,7 @@ def bag_strata(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(_ASG, f"WITH {_MB}, q AS (SELECT best_in_bag, log_prob AS free FROM mb JOIN sc ON sc.uid = mb.uid AND sc.slot = mb.slot AND sc.candidate_index = mb.slot) SELECT count(*) AS pairs, round(avg(best_in_bag - free), 6) AS mean_margin, round(avg((free > best_in_bag)::DOUBLE), 6) AS free_beats_bag FROM q"))
 def margins(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     free = views.scores(df).where("candidate_index = slot").select("uid", "slot", F.col("log_prob").alias("free_log_prob"))
     out = analysis.margins(matched(df).join(free, ["uid", "slot"]))
     return out.select("pairs", F.round("mean_margin", 6).alias("mean_margin"), F.round("free_beats_bag", 6).alias("free_beats_bag"))
@@ -116,7 +116,7 @@ def margins(spark: SparkSession, d: str) -> DataFrame:
     WITH l AS (SELECT presence * 6.0 - 3.0 AS x, asg.slot IS NOT NULL AS p FROM sl LEFT JOIN asg USING (uid, slot)), e AS (SELECT p, greatest(x, 0) + ln(1 + exp(-abs(x))) - CASE WHEN p THEN x ELSE 0 END AS v FROM l)
     SELECT round(avg(v) FILTER (p), 6) AS pos, round(avg(v) FILTER (NOT p), 6) AS neg, round((avg(v) FILTER (p) + avg(v) FILTER (NOT p)) / 2, 6) AS presence_loss, count(*) AS slots FROM e"""))
 def balanced_bce(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     on = views.assignment(df).select("uid", "slot", F.lit(True).alias("on"))
     out = scores.balanced_bce(views.slots(df).join(on, ["uid", "slot"], "left"), "presence_logit", F.coalesce(F.col("on"), F.lit(False)))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
@@ -135,7 +135,7 @@ def assigned(df: DataFrame) -> DataFrame:
       round(coalesce(sum(i * t) / nullif(sqrt(sum(i * i)) * sqrt(sum(t * t)), 0), 0), 6) AS forced, round(coalesce(sum(c * t) / nullif(sqrt(sum(c * c)) * sqrt(sum(t * t)), 0), 0), 6) AS gated FROM j GROUP BY uid"""))
 def spectrum_cosine_loss(spark: SparkSession, d: str) -> DataFrame:
     """The loss of every spectrum and what limits its cosine."""
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     rank = long.explode_lists(df, "spectrum_uid", "peak_index", {"supervision_rank": "rank"})
     p = metrics.transformed(long.peaks(df)).join(rank, ["spectrum_uid", "peak_index"], "left")
     p = p.select(F.col("spectrum_uid").alias("uid"), "peak_index", "t", F.coalesce(F.col("rank").between(0, 63), F.lit(False)).alias("selected"))
@@ -146,7 +146,7 @@ def spectrum_cosine_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("s ca sl", "SELECT uid, formula, ion_state, round(sum(presence * intensity), 6) AS weight, count(*) AS slots, CAST(arg_max(slot, (presence * intensity, -slot)) AS INTEGER) AS slot FROM sl WHERE formula <> '' GROUP BY ALL"))
 def identity_merge(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.merge_identities(views.slots(views.supervision(spark, d)))
+    out = analysis.merge_identities(views.slots(views.shared(spark, d)))
     return out.select("uid", "formula", "ion_state", F.round("weight", 6).alias("weight"), "slots", "slot")
 
 
@@ -154,7 +154,7 @@ def identity_merge(spark: SparkSession, d: str) -> DataFrame:
     WITH m AS (SELECT uid, formula, ion_state, sum(presence * intensity) AS weight FROM sl WHERE formula <> '' AND presence >= 0.5 GROUP BY ALL)
     SELECT uid, formula, ion_state, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY uid ORDER BY formula, ion_state) - 1 AS INTEGER) AS place FROM m"""))
 def render(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.render(views.slots(views.supervision(spark, d))).select("uid", "formula", "ion_state", F.round("weight", 6).alias("weight"), "place")
+    return analysis.render(views.slots(views.shared(spark, d))).select("uid", "formula", "ion_state", F.round("weight", 6).alias("weight"), "place")
 
 
 def classified(df: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ _COUNTS = """cnt AS (SELECT f AS formula, symbol, sum(CASE WHEN n = '' THEN 1 EL
 @query(sql("s ca sl", f"WITH {_COUNTS} SELECT category, CASE WHEN precursor_mz < 200 THEN '[0,200)' WHEN precursor_mz < 300 THEN '[200,300)' WHEN precursor_mz < 400 THEN '[300,400)' WHEN precursor_mz < 600 THEN '[400,600)' WHEN precursor_mz >= 600 THEN '>=600' END AS bucket, count(*) AS n FROM cls JOIN s ON spectrum_uid = uid GROUP BY ALL").replace("near[1]", "near[1]"))
 def identity_errors(spark: SparkSession, d: str) -> DataFrame:
     """Categories of predicted identities by precursor mass."""
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     joined = classified(df).join(df.select(F.col("spectrum_uid").alias("uid"), "precursor_mz"), "uid")
     return joined.groupBy("category", scalar.mass_bucket("precursor_mz").alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -184,14 +184,14 @@ def identity_errors(spark: SparkSession, d: str) -> DataFrame:
     WITH hit AS (SELECT DISTINCT uid, formula, ion_state FROM sl), cov AS (SELECT DISTINCT ed.spectrum_uid, peak_index FROM ed JOIN ca USING (spectrum_uid, candidate_index) JOIN hit ON hit.uid = ed.spectrum_uid AND hit.formula = ca.formula AND hit.ion_state = ca.ion_state)
     SELECT round(sum(y) FILTER (cov.peak_index IS NOT NULL) / sum(y), 9) AS share FROM pk LEFT JOIN cov ON cov.spectrum_uid = pk.spectrum_uid AND cov.peak_index = pk.peak_index"""))
 def covered_union(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     hits = views.slots(df).select(F.col("uid").alias("spectrum_uid"), "formula", "ion_state")
     return analysis.covered_intensity(df, hits).select(F.round("share", 9).alias("share"))
 
 
 @query(sql("s ca ed", "SELECT formula, count(*) AS n FROM (SELECT DISTINCT spectrum_uid, candidate_index FROM ed) JOIN ca USING (spectrum_uid, candidate_index) WHERE formula IS NOT NULL GROUP BY formula"))
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.train_vocabulary(views.supervision(spark, d))[0]
+    return analysis.train_vocabulary(views.shared(spark, d))[0]
 
 
 @query(sql("s ca ed sl", """
@@ -203,7 +203,7 @@ def vocab_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seen(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     fragments, losses = analysis.train_vocabulary(df)
     true = long.candidates(df).select(F.col("spectrum_uid").alias("uid"), "formula", "ion_state", F.lit("hit").alias("grp")).distinct()
     p = views.slots(df).join(true, ["uid", "formula", "ion_state"], "left").join(df.select(F.col("spectrum_uid").alias("uid"), F.col("formula").alias("precursor")), "uid")
@@ -220,7 +220,7 @@ def seen_rates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def valence_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often predictions and candidates break a valence rule."""
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     precursor = df.select(F.col("spectrum_uid").alias("uid"), chem.parse_formula("formula").alias("precursor"))
     named = classified(df).select("uid", "formula", F.when(F.col("category") == "hit", "hit").otherwise("miss").alias("grp"))
     named = named.unionByName(long.candidates(df).select(F.col("spectrum_uid").alias("uid"), "formula", F.lit("candidate").alias("grp")))
@@ -234,7 +234,7 @@ def miss_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Distance of missed predictions' m/z to the nearest observed peak."""
     from peakloom.operators import match
 
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     mz = chem.mass(chem.parse_formula("formula")) + chem.channel_offset("ion_state")
     missed = classified(df).where("NOT exact").withColumn("mz", mz).join(df.select(F.col("spectrum_uid").alias("uid"), "mzs"), "uid")
     return analysis.gap_summary(missed.withColumn("gap", match.nearest_value(F.col("mz"), F.col("mzs"))))
@@ -250,7 +250,7 @@ def conditions(df: DataFrame) -> DataFrame:
 @query()
 def counterfactuals(spark: SparkSession, d: str) -> DataFrame:
     """Cosines of the eight conditions in two spaces, wide: one row per spectrum."""
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     observed = long.peaks(df).withColumnRenamed("spectrum_uid", "uid")
     predicted = metrics.bin_prediction(conditions(df), ["uid", "condition"], y="weight")
     out = None
@@ -265,13 +265,13 @@ def counterfactuals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def counterfactual_peaks(spark: SparkSession, d: str) -> DataFrame:
-    made = conditions(views.supervision(spark, d))
+    made = conditions(views.shared(spark, d))
     return made.groupBy("condition").agg(F.count("*").alias("peaks"), F.round(F.sum("mz"), 3).alias("mz_sum"), F.round(F.avg("weight"), 6).alias("weight_mean"))
 
 
 @query()
 def element_agreement(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.shared(spark, d)
     true = long.candidates(df).select(F.col("spectrum_uid").alias("uid"), F.col("candidate_index").alias("slot"), F.col("formula").alias("o_formula"))
     pairs = views.slots(df).join(true, ["uid", "slot"]).join(df.select(F.col("spectrum_uid").alias("uid"), F.col("formula").alias("precursor")), "uid")
     return analysis.element_agreement(pairs)

@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 from peakloom.functions.elements import MASSES
 from peakloom.operators import metrics
 from peakloom.operators import spectra as long
-from peakloom.session import table
+from peakloom.session import cut, table
 
 
 def supervision(spark: SparkSession, d: str) -> DataFrame:
     return long.distinct_spectra(table(spark, d, "fragment_supervision_v2"))
 
 
+def shared(spark: SparkSession, d: str) -> DataFrame:
+    """supervision for queries that read it in several branches: deduplicated once, then read from the checkpoint folder."""
+    return cut(supervision(spark, d))
+
+
 def slots(df: DataFrame) -> DataFrame:
     """(uid, slot, presence, presence_logit, intensity, contribution, formula, ion_state, candidate_index)."""
     c = long.candidates(df).where("formula <> '' AND ion_state IS NOT NULL")
