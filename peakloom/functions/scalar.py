@@ -69,11 +69,12 @@ def ppm_error(mz: Column | str, theory: Column | str) -> Column:
 
 
 def bin_index(mz: Column | str, bins: int = BINS, span: float = BIN_RANGE) -> Column:
-    return (F.floor(_col(mz) * F.lit((bins - 1) / span)) + 1).cast("int")
+    """Bin number from 1; null where it exceeds the range of INT."""
+    return (F.floor(_col(mz) * F.lit((bins - 1) / span)) + 1).try_cast("int")
 
 
 def in_range(index: Column | str, bins: int = BINS) -> Column:
-    return _col(index).between(0, bins - 1)
+    return F.coalesce(_col(index).between(0, bins - 1), F.lit(False))
 
 
 def observation_in_space(y: Column | str, space: str) -> Column:
