@@ -199,3 +199,9 @@ def channel_index(name: Column | str) -> Column:
 
 def is_admissible(name: Column | str, adduct: Column | str) -> Column:
     return F.array_contains(ion_channels(adduct), _col(name))
+
+
+def is_decodable(counts: Column | str, precursor: Column | str) -> Column:
+    """Whether a decoded formula keeps the decoder's constraints: no count above the precursor's, and not empty."""
+    inside = ~F.exists(F.map_values(subtract(precursor, counts)), lambda n: n < 0)
+    return inside & F.exists(F.map_values(_col(counts)), lambda n: n > 0)
