@@ -26,8 +26,9 @@ from peakloom.session import table
 # Fixed value: the pattern that cuts text before the merges of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bits of a bitmap word.
-WORD = 256
+#: Bits of a bitmap word: 256.
+WORD_SHIFT = 8
+WORD_MASK = (1 << WORD_SHIFT) - 1
 #: Pre-tokens kept with their ids, and the longest of them; pairs kept with their rank.
 CACHE_TOKENS, CACHE_LENGTH, CACHE_PAIRS = 200_000, 64, 2_000_000
 
@@ -46,10 +47,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class RankQueue:
-    """Positions by merge rank, lowest rank first; ranks are below ``ranks``."""
+    """Positions by merge rank, lowest rank first. Words of the bitmap exist while they have a bit set."""
 
-    def __init__(self, ranks: int):
-        self.words = [0] * (ranks // WORD + 1)
+    __slots__ = ("buckets", "summary", "words")
+
+    def __init__(self) -> None:
+        self.words: dict[int, int] = {}
         self.summary = 0
         self.buckets: dict[int, list[int]] = {}
 
@@ -59,28 +62,35 @@ class RankQueue:
             bucket.append(position)
             return
         self.buckets[rank] = [position]
-        word = rank // WORD
-        self.words[word] |= 1 << (rank % WORD)
-        self.summary |= 1 << word
-
-    def lowest(self) -> int:
-        """The lowest rank in use, -1 if there is none: find-first-set in the summary, then in the word."""
-        s = self.summary
-        if not s:
-            return -1
-        word = (s & -s).bit_length() - 1
+        word, bit = rank >> WORD_SHIFT, 1 << (rank & WORD_MASK)
+        if word in self.words:
+            self.words[word] |= bit
+        else:
+            self.words[word] = bit
+            self.summary |= 1 << word
+
+    def pop(self) -> tuple[int, list[int]]:
+        """Remove the bucket of the lowest rank: (rank, its positions from left to right), (-1, []) if none is left.
+
+        Find-first-set in the summary gives the word, find-first-set in the word the rank.
+        """
+        summary = self.summary
+        if not summary:
+            return -1, []
+        low = summary & -summary
+        word = low.bit_length() - 1
         bits = self.words[word]
-        return word * WORD + (bits & -bits).bit_length() - 1
-
-    def take(self, rank: int) -> list[int]:
-        """Remove the bucket of a rank; its positions from left to right."""
-        word = rank // WORD
-        self.words[word] ^= 1 << (rank % WORD)
-        if not self.words[word]:
-            self.summary ^= 1 << word
+        bit = bits & -bits
+        rank = (word << WORD_SHIFT) + bit.bit_length() - 1
+        if bits == bit:
+            del self.words[word]
+            self.summary = summary ^ low
+        else:
+            self.words[word] = bits ^ bit
         bucket = self.buckets.pop(rank)
-        bucket.sort()
-        return bucket
+        if len(bucket) > 1:
+            bucket.sort()
+        return rank, bucket
 
 
 class Encoder:
@@ -112,42 +122,60 @@ class Encoder:
         """ids of one pre-token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        of_byte, pair = self.of_byte, self.pair
+        of_byte, pair, known = self.of_byte, self.pair, self.pairs.get
+        shift = self.shift
         ids = [of_byte[b] for b in piece]
         n = len(ids)
         # after[i], before[i]: the neighbours of position i in the list; n and -1 are its ends.
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = RankQueue(self.top)
+        queue = RankQueue()
+        push, pop = queue.push, queue.pop
+        left = ids[0]
         for i in range(n - 1):
-            rank = pair(ids[i], ids[i + 1])
+            right = ids[i + 1]
+            rank = known(left << shift | right)
+            if rank is None:
+                rank = pair(left, right)
             if rank >= 0:
-                queue.push(rank, i)
-        while (rank := queue.lowest()) >= 0:
-            positions = queue.take(rank)
+                push(rank, i)
+            left = right
+        while True:
+            rank, positions = pop()
+            if rank < 0:
+                return [t for t in ids if t >= 0]
+            low = rank
             for at, i in enumerate(positions):
-                if ids[i] < 0 or (j := after[i]) >= n or pair(ids[i], ids[j]) != rank:
-                    continue  # stale: a merge has taken one of the two
+                if (left := ids[i]) < 0 or (j := after[i]) >= n:
+                    continue  # stale: a merge has taken the left one, or all that was right of it
+                r = known(left << shift | ids[j])
+                if r is None:
+                    r = pair(left, ids[j])
+                if r != rank:
+                    continue  # stale: one of the two has grown
                 ids[i], ids[j] = rank, -1
-                k = after[j]
-                after[i] = k
-                low = rank
+                after[i] = k = after[j]
                 if k < n:
                     before[k] = i
-                    r = pair(rank, ids[k])
+                    r = known(rank << shift | ids[k])
+                    if r is None:
+                        r = pair(rank, ids[k])
                     if r >= 0:
-                        queue.push(r, i)
-                        low = min(low, r)
+                        push(r, i)
+                        if r < low:
+                            low = r
                 h = before[i]
                 if h >= 0:
-                    r = pair(ids[h], rank)
+                    r = known(ids[h] << shift | rank)
+                    if r is None:
+                        r = pair(ids[h], rank)
                     if r >= 0:
-                        queue.push(r, h)
-                        low = min(low, r)
+                        push(r, h)
+                        if r < low:
+                            low = r
                 if low < rank:  # a lower rank came up: it goes first
                     for p in positions[at + 1 :]:
-                        queue.push(rank, p)
+                        push(rank, p)
                     break
-        return [t for t in ids if t >= 0]
 
     def encode(self, text: str | None) -> list[int]:
         """ids without special tokens; [] for null and empty texts."""

@@ -86,9 +86,10 @@ def top_n(df: DataFrame, group: str, order: Sequence[Column], n: int, *, partiti
     Rows that ``order`` leaves tied come in the order of their other columns, so the result is the same
     on every run; columns of a type without an order (maps) take no part in that. Repeated rows count
     once. Rows with a null group are one group. n below 1 gives no row; a group with fewer rows gives all
-    of them. Sorting and streaming need memory for batches only, whatever the group's size.
+    of them. A column of that name is replaced. Sorting and streaming need memory for batches only, whatever the group's size.
     combine=False leaves out the pass before the shuffle.
     """
+    df = df.drop(PLACE)
     if n < 1:
         return df.withColumn(PLACE, F.lit(None).cast("int")).limit(0)
     width = partitions or shuffle_width(df.sparkSession)

@@ -39,18 +39,26 @@ def test_long_pretoken(own, other):
     assert own.encode(text) == other.encode_ordinary(text)
 
 
+def test_small_caches_change_nothing(other, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 3)
+    monkeypatch.setattr(bpe, "CACHE_TOKENS", 2)
+    fresh = bpe.Encoder(bpe.vocabulary_path())
+    text = "the fragmentation of protonated molecules, again and again: " + "abcabcaabb" * 50
+    assert fresh.encode(text) == other.encode_ordinary(text)
+
+
 def test_special_strings_are_text(own, other):
     assert own.encode("a<|endoftext|>b") == other.encode_ordinary("a<|endoftext|>b")
 
 
 def test_queue_order():
-    queue = bpe.RankQueue(50_000)
-    for rank, position in ((7, 3), (40_000, 1), (7, 1), (300, 2)):
+    queue = bpe.RankQueue()
+    for rank, position in ((7, 3), (40_000, 1), (7, 1), (300, 2), (301, 5)):
         queue.push(rank, position)
     out = []
-    while (rank := queue.lowest()) >= 0:
-        out.append((rank, queue.take(rank)))
-    assert out == [(7, [1, 3]), (300, [2]), (40_000, [1])]
+    while (got := queue.pop())[0] >= 0:
+        out.append(got)
+    assert out == [(7, [1, 3]), (300, [2]), (301, [5]), (40_000, [1])] and queue.pop() == (-1, [])
 
 
 def test_columns(spark, own):
