@@ -73,20 +73,25 @@ def subformula(elements: Column | str, counts: Column | str, h: Column | str) ->
     return F.map_filter(named, lambda _, n: n > 0)
 
 
-def interval_join(probe: DataFrame, build: DataFrame, low: str, high: str, value: str, on: tuple[str, ...] = (), width: float = BUCKET, strategy: str = "merge") -> DataFrame:
+def interval_join(probe: DataFrame, build: DataFrame, low: str, high: str, value: str, on: tuple[str, ...] = (), width: float = BUCKET, strategy: str = "merge", broadcast_rows: int = 0) -> DataFrame:
     """Pairs with probe.low <= build.value <= probe.high, by an equi join on (on.., bucket of width) and a residual.
 
     A probe row goes to every bucket its interval meets, a build row to one, so that each pair comes out
     once. The result doesn't depend on width; it should be about the length of an interval.
 
     strategy is a join hint. The planner sizes an exploded side by what it was before, and would broadcast it
-    where it looks small; so the default names a join that spills.
+    where it looks small; so the default names a join that spills. A build side of at most broadcast_rows rows,
+    which are counted, is broadcast instead.
     """
     w = F.lit(float(width))
     first, last = F.floor(F.col(low) / w), F.floor(F.col(high) / w)
     left = probe.where(F.col(low) <= F.col(high)).withColumn("__bucket", F.explode(F.sequence(first, last)))
     right = build.withColumn("__bucket", F.floor(F.col(value) / w))
-    return left.hint(strategy).join(right, [*on, "__bucket"]).where(F.col(value).between(F.col(low), F.col(high))).drop("__bucket")
+    if broadcast_rows and build.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        right = F.broadcast(right)
+    else:
+        left = left.hint(strategy)
+    return left.join(right, [*on, "__bucket"]).where(F.col(value).between(F.col(low), F.col(high))).drop("__bucket")
 
 
 def match_edges(spectra: DataFrame, ppm: float = scalar.PPM, peak_cap: int = PEAK_CAP, heavy_cap: int = HEAVY_CAP, width: float = BUCKET, valence: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from peakloom.operators import loading, units
+from peakloom.plans import energy_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +32,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 for _f in (units.p2_energy, units.p2_found, loading.p6_records, loading.p6_found):
-    query()(_f)
+    query(energy_sql.SQL.get(_f.__name__))(_f)
 
 from peakloom.plans import chemistry, evaluation, relational, scoring  # noqa: E402, F401

@@ -112,7 +112,7 @@ def build_supervision(spark: SparkSession, d: str) -> DataFrame:
 def tolerance_join(spark: SparkSession, d: str) -> DataFrame:
     p = views.lineitem_peaks(spark, d).withColumn("tol", scalar.mass_tolerance("mz", "dp")).withColumn("low", F.col("mz") - F.col("tol")).withColumn("high", F.col("mz") + F.col("tol"))
     build = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("mass"))
-    pairs = match.interval_join(p, build, "low", "high", "mass")
+    pairs = match.interval_join(p, build, "low", "high", "mass", broadcast_rows=100_000)
     return pairs.select("uid", "part", F.round("mz", 6).alias("mz"), F.round(scalar.ppm_error("mz", "mass"), 4).alias("ppm"))
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +66,3 @@ def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def persist(df: DataFrame) -> DataFrame:
-    """Keep df on executors for a second pass; two copies, so that a lost executor costs no recomputation."""
-    return df.persist(StorageLevel.DISK_ONLY_2 if os.environ.get("PEAKLOOM_TWO_COPIES") else StorageLevel.MEMORY_AND_DISK)
