@@ -29,7 +29,26 @@ SELECT field_name, term, occurrences, records,
        CASE WHEN records < 3 THEN 'rare' WHEN records * 100 > 5 * (SELECT count(DISTINCT spectrum_uid) FROM records) THEN 'common' END AS mark
 FROM counted"""
 
+
+
+def _look_alike_sql() -> str:
+    """The skeleton by SQL's own normalisation, translate and patterns, for the characters of the test tables."""
+    pairs = [(o, line.partition(": ")[0]) for line in lookalikes.LOOK_ALIKES.strip().splitlines() for o in line.partition(": ")[2] if o != " "]
+    pairs += [(chr(0xFEE0 + c), chr(c)) for c in range(0x21, 0x7F)] + [("\u00b5", "\u03bc"), *zip("ёїЁЇό", "ëïËÏó")]  # accented letters that are composed
+    quoted = ["".join(side).replace("'", "''") for side in zip(*pairs)]
+    text = r"regexp_replace(text, '\r\n|[\r\x{85}\x{2028}\x{2029}]', chr(10), 'g')"
+    for pattern, to in (
+        (r"[\x{AD}\x{61C}\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{2060}-\x{2064}\x{FEFF}]", "''"), (r"([^\x{1F000}-\x{1FAFF}\x{FE0F}\x{200D}])\x{200D}+", r"'\1'"),
+        (r"\x{200D}+([^\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{200D}]|$)", r"'\1'"), (r"^\x{200D}+", "''"), (r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", "' '"),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
+    return f"nfc_normalize(translate({text}, '{quoted[0]}', '{quoted[1]}'))"
+
+
 ORACLE_SQL = {
+    "p9_found": f"""
+WITH k AS (SELECT doc_id, text, {_look_alike_sql()} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b USING (form) WHERE a.doc_id < b.doc_id AND a.text <> b.text AND regexp_matches(form, '\\S')""",
     "p1_terms": _P1_TERMS,
     "p1_grams": """
 WITH records AS (SELECT DISTINCT spectrum_uid, candidate_neutral_formula, candidate_ion_state FROM fragment_supervision_v2),
