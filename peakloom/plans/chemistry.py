@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.functions import chem, scalar
+from peakloom.functions.elements import ELEMENTS, MASSES
 from peakloom.operators import match
 from peakloom.operators import spectra as long
 from peakloom.plans import views
@@ -92,11 +93,34 @@ def subformula_enum_valence(spark: SparkSession, d: str) -> DataFrame:
     return grid.where(chem.is_plausible("counts")).select("formula", chem.count("counts", "C").alias("c"), "h", chem.count("counts", "O").alias("o"))
 
 
-@query()
+_EDGES = f"""WITH RECURSIVE fo AS (SELECT DISTINCT formula FROM s WHERE regexp_full_match(formula, '(({'|'.join(ELEMENTS)})(0*[1-9][0-9]*)?)+')),
+     sym AS (SELECT formula, symbol, sum(CASE WHEN n = '' THEN 1 ELSE n::INT END)::INT AS n FROM (SELECT formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) AS symbol, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) AS n FROM fo) GROUP BY ALL),
+     hv AS (SELECT formula, n, mass, CASE WHEN symbol IN ('C', 'Si') THEN 2 WHEN symbol IN ('N', 'P') THEN 1 WHEN symbol IN ('F', 'Cl', 'Br', 'I', 'Na', 'K') THEN -1 ELSE 0 END AS bonds, row_number() OVER (PARTITION BY formula ORDER BY symbol) AS pos
+            FROM sym LEFT JOIN el USING (symbol) WHERE symbol <> 'H'),
+     fin AS (SELECT formula, count(pos) AS last, coalesce(max(h.n), 0) AS max_h FROM fo LEFT JOIN hv USING (formula) LEFT JOIN (SELECT formula, n FROM sym WHERE symbol = 'H') h USING (formula) GROUP BY formula HAVING count(pos) = count(mass)),
+     rec(formula, i, counts, mass, top_h) AS (SELECT formula, 0::BIGINT, []::INT[], 0.0::DOUBLE, 2::BIGINT FROM fin
+       UNION ALL SELECT r.formula, r.i + 1, list_append(r.counts, k.k::INT), r.mass + k.k * hv.mass, r.top_h + k.k * hv.bonds FROM rec r JOIN hv ON hv.formula = r.formula AND hv.pos = r.i + 1 JOIN range(0, 1000) k(k) ON k.k <= hv.n),
+     heavy AS (SELECT r.formula, r.mass, r.top_h, row_number() OVER (PARTITION BY r.formula ORDER BY r.mass, counts) - 1 AS heavy_rank, floor(r.mass / 0.05)::BIGINT AS bucket FROM rec r JOIN fin ON fin.formula = r.formula AND r.i = fin.last),
+     ad AS (SELECT DISTINCT adduct, trim(adduct) AS t FROM s), ap AS (SELECT adduct, right(t, 1) = '+' AS pos, regexp_extract_all(adduct, '[A-Z][a-z]?') AS tok FROM ad WHERE regexp_matches(t, '(^|[^+-])[+-]$') AND (regexp_extract(t, '([0-9]*)\\s*[+-]$', 1) = '' OR regexp_extract(t, '([0-9]*)\\s*[+-]$', 1)::INT = 1)),
+     ac AS (SELECT adduct, unnest(list_filter([CASE WHEN pos THEN 'protonated' ELSE 'deprotonated' END, CASE WHEN list_contains(tok, 'Na') THEN 'sodiated' END, CASE WHEN list_contains(tok, 'K') THEN 'potassiated' END, CASE WHEN NOT pos AND list_contains(tok, 'Cl') THEN 'chloride_retained' END], lambda x: x IS NOT NULL)) AS ion_state FROM ap),
+     pb AS (SELECT s.spectrum_uid, s.formula, ac.ion_state, delta, i AS peak_index, mzs[i + 1] AS mz, mz_decimal_places[i + 1] AS dp, max_h FROM (SELECT *, unnest(range(len(mzs))) AS i FROM s) s JOIN ac USING (adduct) JOIN ch USING (ion_state) JOIN fin USING (formula) WHERE mzs[i + 1] IS NOT NULL),
+     pt AS (SELECT *, CASE WHEN dp >= 2 THEN greatest(mz * 1e-5, 0.5 * pow(10, -dp)) ELSE mz * 1e-5 END + 1e-9 AS tol FROM pb),
+     ph AS (SELECT pt.*, k.k AS h, mz - delta - k.k * {MASSES["H"]!r}::DOUBLE AS centre FROM pt JOIN range(0, 1000) k(k) ON k.k <= max_h WHERE mz - delta - k.k * {MASSES["H"]!r}::DOUBLE + tol >= -0.001),
+     pk2 AS (SELECT *, unnest(range(floor((centre - tol - 1e-7) / 0.05)::BIGINT, floor((centre + tol + 1e-7) / 0.05)::BIGINT + 1)) AS bucket FROM ph),
+     hit AS (SELECT spectrum_uid, peak_index, mz, ion_state, h, heavy_rank, heavy.mass + h * {MASSES["H"]!r}::DOUBLE + delta AS theo FROM pk2 JOIN heavy ON heavy.formula = pk2.formula AND heavy.bucket = pk2.bucket
+             WHERE abs(mz - (heavy.mass + h * {MASSES["H"]!r}::DOUBLE + delta)) <= tol AND (h > 0 OR heavy.mass > 0) AND h <= top_h),
+     ix AS (SELECT hit.*, list_position(['protonated', 'deprotonated', 'sodiated', 'potassiated', 'chloride_retained'], ion_state) AS c FROM hit)
+SELECT spectrum_uid, CAST(row_number() OVER (PARTITION BY spectrum_uid ORDER BY c, peak_index, h, heavy_rank) - 1 AS INTEGER) AS edge_index, CAST(peak_index AS INTEGER) AS peak_index,
+       CAST(dense_rank() OVER (PARTITION BY spectrum_uid ORDER BY c, heavy_rank, h) - 1 AS INTEGER) AS candidate_index, ion_state AS channel, CAST(h AS INTEGER) AS h, round(theo, 6) AS theo_mz, round((mz - theo) / theo * 1e6, 3) AS error_ppm FROM ix"""
+
+
+@query(f"WITH {', '.join(f'{n} AS ({views.CTE[n]})' for n in ('s', 'el', 'ch'))} SELECT * FROM ({_EDGES})")
 def candidate_edges(spark: SparkSession, d: str) -> DataFrame:
     """The interval join on real spectra: every peak of every distinct spectrum against the subformulas of its formula."""
     spectra = views.supervision(spark, d).select("spectrum_uid", "formula", "adduct", "mzs", "mz_decimal_places")
-    return match.number_candidates(match.match_edges(spectra)).select("spectrum_uid", "edge_index", "peak_index", "candidate_index", "channel", "h", "theo_mz", "error_ppm")
+    return match.number_candidates(match.match_edges(spectra)).select(
+        "spectrum_uid", "edge_index", "peak_index", "candidate_index", "channel", "h", F.round("theo_mz", 6).alias("theo_mz"), F.round(scalar.ppm_error("mz", "theo_mz"), 3).alias("error_ppm")
+    )
 
 
 @query()

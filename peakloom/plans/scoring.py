@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.functions import chem, scalar
+from peakloom.functions.elements import ELEMENTS
 from peakloom.operators import analysis, assign, metrics, scores
 from peakloom.operators import spectra as long
 from peakloom.plans import views
@@ -162,6 +163,8 @@ def classified(df: DataFrame) -> DataFrame:
     return analysis.classify_identities(views.slots(df).select("uid", "slot", "formula", "ion_state"), c)
 
 
+#: Formulas that parse.
+_FORMULA = f"regexp_full_match(formula, '(({'|'.join(ELEMENTS)})(0*[1-9][0-9]*)?)+')"
 _COUNTS = """cnt AS (SELECT f AS formula, symbol, sum(CASE WHEN n = '' THEN 1 ELSE n::INT END)::INT AS n FROM (SELECT f, unnest(regexp_extract_all(f, '([A-Z][a-z]?)([0-9]*)', 1)) AS symbol, unnest(regexp_extract_all(f, '([A-Z][a-z]?)([0-9]*)', 2)) AS n
                FROM (SELECT formula AS f FROM sl UNION SELECT formula FROM ca WHERE formula <> '')) GROUP BY ALL),
              prs AS (SELECT DISTINCT sl.formula AS p, ca.formula AS c FROM sl JOIN ca ON ca.spectrum_uid = sl.uid WHERE ca.formula <> ''),
@@ -211,13 +214,33 @@ def seen(spark: SparkSession, d: str) -> DataFrame:
     return analysis.seen_rates(p.select(F.coalesce("grp", F.lit("miss")).alias("grp"), "formula", chem.neutral_loss("p_counts", "f_counts").alias("loss")), fragments, losses)
 
 
-@query()
+_LOSS = """CASE WHEN min(n) < 0 THEN NULL WHEN max(n) = 0 THEN '[M]' ELSE string_agg(symbol || CASE WHEN n = 1 THEN '' ELSE n::VARCHAR END, '' ORDER BY CASE WHEN c AND symbol = 'C' THEN 0 WHEN c AND symbol = 'H' THEN 1 ELSE 2 END, symbol) FILTER (n > 0) END"""
+
+
+@query(sql("s ca ed sl", f"""
+    WITH fml AS (SELECT DISTINCT formula FROM (SELECT formula FROM s UNION SELECT formula FROM sl UNION SELECT formula FROM ca) WHERE {_FORMULA}),
+    cnt AS (SELECT formula, symbol, sum(CASE WHEN n = '' THEN 1 ELSE n::INT END)::INT AS n FROM (SELECT formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) AS symbol, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) AS n FROM fml) GROUP BY ALL),
+    pr AS (SELECT s.formula AS p, sl.formula AS f FROM sl JOIN s ON spectrum_uid = uid UNION SELECT s.formula, ca.formula FROM ca JOIN s USING (spectrum_uid)),
+    ok AS (SELECT p, f FROM pr WHERE p IN (SELECT formula FROM fml) AND f IN (SELECT formula FROM fml)),
+    df AS (SELECT p, f, symbol, sum(n)::INT AS n FROM (SELECT p, f, symbol, n FROM ok JOIN cnt ON formula = p UNION ALL SELECT p, f, symbol, -n FROM ok JOIN cnt ON formula = f) GROUP BY ALL),
+    lo AS (SELECT p, f, {_LOSS} AS loss FROM (SELECT *, bool_or(symbol = 'C' AND n > 0) OVER (PARTITION BY p, f) AS c FROM df) GROUP BY p, f),
+    us AS (SELECT s.formula AS p, ca.formula AS f FROM (SELECT DISTINCT spectrum_uid, candidate_index FROM ed) JOIN ca USING (spectrum_uid, candidate_index) JOIN s USING (spectrum_uid) WHERE ca.formula IS NOT NULL),
+    vf AS (SELECT f AS formula, count(*) AS fn FROM us GROUP BY f), vl AS (SELECT loss, count(*) AS ln FROM us JOIN lo USING (p, f) WHERE loss IS NOT NULL GROUP BY loss),
+    q AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM ca WHERE ca.spectrum_uid = sl.uid AND ca.formula = sl.formula AND ca.ion_state = sl.ion_state) THEN 'hit' ELSE 'miss' END AS grp, sl.formula, s.formula AS p FROM sl JOIN s ON spectrum_uid = uid),
+    z AS (SELECT grp, coalesce(fn, 0) AS fn, coalesce(ln, 0) AS ln FROM q LEFT JOIN vf USING (formula) LEFT JOIN lo ON lo.p = q.p AND lo.f = q.formula LEFT JOIN vl USING (loss))
+    SELECT grp, threshold, count(*) AS predictions, round(avg((fn >= threshold)::INT), 9) AS fragment, round(avg((ln >= threshold)::INT), 9) AS loss, round(avg((fn >= threshold OR ln >= threshold)::INT), 9) AS either FROM z, (VALUES (1), (5), (20), (100)) AS t(threshold) GROUP BY ALL"""))
 def seen_rates(spark: SparkSession, d: str) -> DataFrame:
     """Fragments, losses and either, by threshold."""
-    return seen(spark, d)
+    return seen(spark, d).select("grp", "threshold", "predictions", *[F.round(c, 9).alias(c) for c in ("fragment", "loss", "either")])
 
 
-@query()
+@query(sql("s ca sl", f"""WITH {_COUNTS}, g AS (SELECT uid, formula, CASE WHEN category = 'hit' THEN 'hit' ELSE 'miss' END AS grp FROM cls UNION ALL SELECT spectrum_uid, formula, 'candidate' FROM ca WHERE formula <> ''),
+    pa AS (SELECT formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) AS symbol, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) AS n FROM (SELECT DISTINCT formula FROM s WHERE {_FORMULA})),
+    allc AS (SELECT formula, symbol, n FROM cnt UNION SELECT formula, symbol, sum(CASE WHEN n = '' THEN 1 ELSE n::INT END)::INT FROM pa GROUP BY ALL),
+    v AS (SELECT formula, coalesce(sum(n) FILTER (symbol IN ('C', 'Si')), 0) AS four, coalesce(sum(n) FILTER (symbol IN ('N', 'P')), 0) AS three, coalesce(sum(n) FILTER (symbol IN ('H', 'F', 'Cl', 'Br', 'I', 'Na', 'K')), 0) AS one FROM allc GROUP BY formula),
+    w AS (SELECT formula, four - one / 2.0 + three / 2.0 + 1 AS r, one - (2 * four + 2 + three) AS x FROM v),
+    q AS (SELECT grp, w.r < 0 AS a, w.x > 0 AS b, w.r > p.r + 1 AS c FROM g JOIN w USING (formula) JOIN s ON s.spectrum_uid = g.uid JOIN w p ON p.formula = s.formula)
+    SELECT grp, count(*) AS n, round(avg(a::INT), 9) AS negative_rdbe, round(avg(b::INT), 9) AS hydrogen_excess, round(avg(c::INT), 9) AS above_precursor, round(avg((a OR b)::INT), 9) AS hard, round(avg((a OR b OR c)::INT), 9) AS "any" FROM q GROUP BY grp"""))
 def valence_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often predictions and candidates break a valence rule."""
     df = views.shared(spark, d)
@@ -225,11 +248,16 @@ def valence_rates(spark: SparkSession, d: str) -> DataFrame:
     named = classified(df).select("uid", "formula", F.when(F.col("category") == "hit", "hit").otherwise("miss").alias("grp"))
     named = named.unionByName(long.candidates(df).select(F.col("spectrum_uid").alias("uid"), "formula", F.lit("candidate").alias("grp")))
     flags = named.join(precursor, "uid").withColumn("counts", chem.parse_formula("formula")).where("counts IS NOT NULL AND precursor IS NOT NULL").withColumn("f", chem.valence_flags("counts", "precursor"))
-    rates = [F.avg(F.col(f"f.{n}").cast("double")).alias(n) for n in ("negative_rdbe", "hydrogen_excess", "above_precursor", "hard", "any")]
-    return flags.groupBy("grp").agg(F.count("*").alias("n"), *rates)
+    rates = [F.avg(F.col(f"f.{n}").cast("double")) for n in ("negative_rdbe", "hydrogen_excess", "above_precursor", "hard", "any")]
+    return flags.groupBy("grp").agg(F.count("*").alias("n"), *[F.round(r, 9).alias(n) for r, n in zip(rates, ("negative_rdbe", "hydrogen_excess", "above_precursor", "hard", "any"))])
 
 
-@query()
+_GAPS = ", ".join(f"round(quantile_cont(gap, {p}), 6) AS gap_p{round(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9))
+
+
+@query(sql("s ca sl el ch", f"""WITH {_COUNTS}, ms AS (SELECT formula, sum(n * mass) AS mass FROM cnt LEFT JOIN el USING (symbol) GROUP BY formula HAVING count(*) = count(mass)),
+    q AS (SELECT list_min(list_transform(list_filter(mzs, lambda m: m IS NOT NULL), lambda m: abs(m - (mass + delta)))) AS gap FROM cls LEFT JOIN ms USING (formula) LEFT JOIN ch USING (ion_state) JOIN s ON s.spectrum_uid = cls.uid WHERE NOT exact)
+    SELECT count(gap) AS n, {_GAPS}, round(avg((gap <= 0.5)::INT), 6) AS within_0_5, round(avg((gap <= 2)::INT), 6) AS within_2_0, round(avg((gap <= 15)::INT), 6) AS within_15_0 FROM q"""))
 def miss_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Distance of missed predictions' m/z to the nearest observed peak."""
     from peakloom.operators import match
@@ -237,7 +265,8 @@ def miss_gaps(spark: SparkSession, d: str) -> DataFrame:
     df = views.shared(spark, d)
     mz = chem.mass(chem.parse_formula("formula")) + chem.channel_offset("ion_state")
     missed = classified(df).where("NOT exact").withColumn("mz", mz).join(df.select(F.col("spectrum_uid").alias("uid"), "mzs"), "uid")
-    return analysis.gap_summary(missed.withColumn("gap", match.nearest_value(F.col("mz"), F.col("mzs"))))
+    out = analysis.gap_summary(missed.withColumn("gap", match.nearest_value(F.col("mz"), F.col("mzs"))))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 def conditions(df: DataFrame) -> DataFrame:
@@ -263,13 +292,35 @@ def counterfactuals(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("uid", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
 
 
-@query()
+_MIXED_FORMULA = "CASE WHEN om IS NULL THEN pm + pi ELSE om + coalesce(CASE WHEN pm IS NOT NULL THEN pi END, oi) END"
+_CONDITIONS = {
+    "all_predicted": ("active", "pm + pi", "c"), "oracle_identity_predicted_weights": ("active", "coalesce(om + oi, pm + pi)", "c"), "predicted_identity_oracle_weights": ("active AND matched AND same", "pm + pi", "y"),
+    "oracle_formula_predicted_ion": ("active", _MIXED_FORMULA, "c"), "predicted_formula_oracle_ion": ("active", "CASE WHEN oi IS NULL THEN pm + pi ELSE pm + oi END", "c"),
+    "oracle_identity_oracle_weights": ("matched", "coalesce(om + oi, pm + pi)", "y"), "oracle_identity_sqrt_weights": ("matched", "coalesce(om + oi, pm + pi)", "t"), "presence_forced_on_matched": ("active OR matched", "pm + pi", "c"),
+}
+
+
+@query(sql("s pk tr tg ca sl ed le me asg el ch", f"""WITH {_COUNTS}, ms AS (SELECT formula, sum(n * mass) AS mass FROM cnt LEFT JOIN el USING (symbol) GROUP BY formula HAVING count(*) = count(mass)),
+    fc AS (SELECT uid, target, min(candidate_index) AS candidate_index FROM me GROUP BY ALL),
+    ol AS (SELECT asg.uid, asg.slot, ca.formula AS o_formula, ca.ion_state AS o_ion, tg.y, tg.t FROM asg JOIN tg ON tg.uid = asg.uid AND tg.target = asg.target LEFT JOIN fc ON fc.uid = asg.uid AND fc.target = asg.target
+           LEFT JOIN ca ON ca.spectrum_uid = asg.uid AND ca.candidate_index = fc.candidate_index),
+    dd AS (SELECT presence * intensity AS c, presence >= 0.5 AS active, y IS NOT NULL AS matched, y, t, a.mass AS pm, b.mass AS om, x.delta AS pi, z.delta AS oi, sl.formula = o_formula AND sl.ion_state = o_ion AS same
+           FROM sl LEFT JOIN ol ON ol.uid = sl.uid AND ol.slot = sl.slot LEFT JOIN ms a ON a.formula = sl.formula LEFT JOIN ms b ON b.formula = o_formula LEFT JOIN ch x ON x.ion_state = sl.ion_state LEFT JOIN ch z ON z.ion_state = o_ion),
+    cf AS ({" UNION ALL ".join(f"SELECT '{n}' AS condition, {mz} AS mz, {w} AS weight FROM dd WHERE {on}" for n, (on, mz, w) in _CONDITIONS.items())})
+    SELECT condition, count(*) AS peaks, round(sum(mz), 2) AS mz_sum, round(avg(ln(weight)), 6) AS log_weight FROM cf WHERE mz IS NOT NULL AND weight > 0 GROUP BY condition"""))
 def counterfactual_peaks(spark: SparkSession, d: str) -> DataFrame:
     made = conditions(views.shared(spark, d))
-    return made.groupBy("condition").agg(F.count("*").alias("peaks"), F.round(F.sum("mz"), 3).alias("mz_sum"), F.round(F.avg("weight"), 6).alias("weight_mean"))
+    return made.groupBy("condition").agg(F.count("*").alias("peaks"), F.round(F.sum("mz"), 2).alias("mz_sum"), F.round(F.avg(F.log("weight")), 6).alias("log_weight"))
 
 
-@query()
+_AXIS = ", ".join(f"('{symbol}', {z})" for symbol, z in ELEMENTS.items())
+
+
+@query(sql("s ca sl", f"""WITH {_COUNTS}, pa AS (SELECT formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) AS symbol FROM (SELECT DISTINCT formula FROM s WHERE {_FORMULA})),
+    ax AS (SELECT formula, symbol, row_number() OVER (PARTITION BY formula ORDER BY z) - 1 AS position FROM (SELECT DISTINCT formula, symbol FROM pa) JOIN (VALUES {_AXIS}) AS t(symbol, z) USING (symbol)),
+    q AS (SELECT position, coalesce(a.n, 0) AS p, coalesce(b.n, 0) AS o FROM sl JOIN ca ON ca.spectrum_uid = sl.uid AND ca.candidate_index = sl.slot AND ca.formula <> '' JOIN s ON s.spectrum_uid = sl.uid JOIN ax ON ax.formula = s.formula
+           LEFT JOIN cnt a ON a.formula = sl.formula AND a.symbol = ax.symbol LEFT JOIN cnt b ON b.formula = ca.formula AND b.symbol = ax.symbol)
+    SELECT position::INT AS position, count(*) FILTER (p = o) AS correct, count(*) AS total, sum(abs(p - o))::BIGINT AS abs_error FROM q GROUP BY position"""))
 def element_agreement(spark: SparkSession, d: str) -> DataFrame:
     df = views.shared(spark, d)
     true = long.candidates(df).select(F.col("spectrum_uid").alias("uid"), F.col("candidate_index").alias("slot"), F.col("formula").alias("o_formula"))
