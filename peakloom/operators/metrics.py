@@ -31,9 +31,13 @@ def sum_bins(peaks: DataFrame, keys: Sequence[str], mz: str = "mz", y: str = "y"
 
 
 def bin_prediction(peaks: DataFrame, keys: Sequence[str], mz: str = "mz", y: str = "y", dust: float = scalar.DUST, bins: int = scalar.BINS, span: float = scalar.BIN_RANGE) -> DataFrame:
-    """(keys, bin, v): sums scaled to a largest value of 1, without bins below dust."""
-    top = F.max("v").over(Window.partitionBy(*keys))
-    scaled = sum_bins(peaks, keys, mz, y, bins, span).withColumn("top", top).where("top > 0").withColumn("v", F.col("v") / F.col("top"))
+    """(keys, bin, v, place): sums scaled to a largest value of 1, without bins below dust; place from 1 by falling v, then bin.
+
+    One window gives both the largest value and the place: one sort.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.col("v").desc(), "bin")
+    placed = sum_bins(peaks, keys, mz, y, bins, span).withColumn("top", F.first("v").over(order)).withColumn("place", F.row_number().over(order))
+    scaled = placed.where("top > 0").withColumn("v", F.col("v") / F.col("top"))
     return scaled.where((F.col("v") >= dust) & (F.col("v") > 0)).drop("top")
 
 
@@ -51,8 +55,9 @@ def cosines(prediction: DataFrame, observation: DataFrame, keys: Sequence[str],
     prediction has no row here: its cosine is 0 (see score_predictions).
     """
     shared = list(observed_keys or keys)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("v").desc(), "bin"))
-    ranked = prediction.withColumn("place", place).where(F.col("place") <= max(ks))
+    if "place" not in prediction.columns:
+        prediction = prediction.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("v").desc(), "bin")))
+    ranked = prediction.where(F.col("place") <= max(ks))
     norms = observation.groupBy(*shared).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("o_norm"))
     joined = ranked.join(observation.withColumnRenamed("v", "o"), [*shared, "bin"], "left").join(norms, shared, "left")
     sums = []
