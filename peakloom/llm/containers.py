@@ -61,6 +61,13 @@ def best_fit(sizes: np.ndarray, capacity: tuple[float, float, float], weights: t
     return out
 
 
+def free_places(documents: np.ndarray, capacity: int, wanted: int) -> np.ndarray:
+    """Container numbers for items without tokens: free places of the containers there are, then of new ones."""
+    new = np.full(-(-wanted // capacity), 0)
+    free = capacity - np.concatenate([documents, new])
+    return np.repeat(np.arange(len(free)), free)[:wanted]
+
+
 def pack(
     items: DataFrame, key: str = "doc_id", *, capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, attention: float = 1.0,
     block_items: int = BLOCK_ITEMS, rule: str = "norm", count: int | None = None,
@@ -96,9 +103,12 @@ def pack(
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             sizes = whole.column("n_tokens").to_numpy().astype(float)
             alone = sizes * sizes > limits[2]  # too costly beside anything: full pieces, as a rule
+            empty = sizes == 0  # ask for a place among the documents only
+            some = ~alone & ~empty
             number = np.empty(len(sizes), np.int64)
             number[alone] = np.arange(int(alone.sum()))
-            number[~alone] = best_fit(sizes[~alone], limits, rule=rule) + int(alone.sum())
+            number[some] = best_fit(sizes[some], limits, rule=rule) + int(alone.sum())
+            number[empty] = free_places(np.bincount(number[~empty]), max_documents, int(empty.sum()))
             names = pa.array([f"{block}-{part}-{n}" for n in number.tolist()], pa.string())
             return pa.RecordBatch.from_arrays([names, *(whole.column(c) for c in ("doc_id", "piece", "start", "n_tokens"))], names=["container_id", key, "piece", "start", "n_tokens"])
 

@@ -59,5 +59,15 @@ def test_best_fit_takes_the_tightest():
         containers.best_fit(np.array([1.0]), (1.0, 1.0, 1.0), rule="other")
 
 
+def test_items_without_tokens(spark):
+    assert containers.free_places(np.array([2, 3, 1]), 3, 5).tolist() == [0, 2, 2, 3, 3]
+    assert containers.free_places(np.zeros(0, int), 2, 3).tolist() == [0, 0, 1]
+    df = spark.createDataFrame([(i, 0 if i % 2 else 100) for i in range(40)], "doc_id BIGINT, n_tokens INT")
+    load = defaultdict(list)
+    for r in containers.pack(df, capacity=100, max_documents=2).collect():
+        load[r.container_id].append(r.n_tokens)
+    assert sorted(map(sorted, load.values())) == [[0, 100]] * 20
+
+
 def test_empty(spark):
     assert containers.pack(spark.createDataFrame([], "doc_id BIGINT, n_tokens INT")).count() == 0
