@@ -21,6 +21,7 @@ MASSES = {
 ELECTRON_MASS = 0.000548579909065
 PROTON_MASS = MASSES["H"] - ELECTRON_MASS
 
+# Names and order of the ion channels.
 #: (name, index, charge, offset added to the neutral mass); the order is the channels' order.
 ION_CHANNELS = (
     ("protonated", 0, 1, PROTON_MASS),

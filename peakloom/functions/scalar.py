@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Defaults of matching and scoring.
 PPM, EPSILON, SLOTS, MIN_DECIMALS, SHARDS = 10.0, 1e-9, 64, 2, 64
 BINS, BIN_RANGE, DUST, TOP_K, PRESENCE = 15_000, 1500.0, 1e-5, (20, 100), 0.5
+# Names of the evaluation and comparison spaces.
 SPACES = ("canonical_sqrt", "legacy_raw")
 #: Comparison spaces: (name, observation exponent, prediction exponent), both over root intensities.
 FOUR_SPACES = (("canonical_sqrt", 0.5, 1.0), ("legacy_raw", 1.0, 1.0), ("raw_via_squared_prediction", 1.0, 2.0), ("double_sqrt", 0.5, 0.5))

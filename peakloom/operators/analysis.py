@@ -13,6 +13,7 @@ from peakloom.operators.metrics import formula_masses, percentiles
 
 THRESHOLDS = (64, 128, 256, 512)
 SEEN = (1, 5, 20, 100)
+# Names of the counterfactual conditions.
 CONDITIONS = (
     "all_predicted", "oracle_identity_predicted_weights", "predicted_identity_oracle_weights", "oracle_formula_predicted_ion",
     "predicted_formula_oracle_ion", "oracle_identity_oracle_weights", "oracle_identity_sqrt_weights", "presence_forced_on_matched",

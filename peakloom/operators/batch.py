@@ -63,6 +63,7 @@ def split_ranks(batches: DataFrame, world: int, accumulation: int = 1, seed: int
     distinct = batches.select("batch_id").distinct().withColumn("o", order)
     ranged = distinct.repartitionByRange("o", "batch_id").withColumn("p", F.spark_partition_id())
     local = ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("o", "batch_id")))
+    # One row per partition: bounded, so it may be broadcast and summed in one task.
     counts = local.groupBy("p").agg(F.count("*").alias("n"))
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = counts.agg(F.sum("n")).first()[0] or 0

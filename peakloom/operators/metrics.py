@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import chem, scalar
 from peakloom.operators import spectra as long
 
+# Names of the oracles.
 ORACLES = ("peak_copy", "support_mask", "formula_rendered", "slot_capacity")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions import scalar
-from peakloom.operators import analysis, batch, compare, verify
+from peakloom.operators import analysis, batch, compare, quantiles, verify
 from peakloom.operators import spectra as long
 from peakloom.plans import views
 from peakloom.plans.catalog import query
@@ -131,6 +131,15 @@ def percentile_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), *points, F.max("value").alias("greatest"))
 
 
+@query(sql("s pk", """
+    SELECT point::DOUBLE AS point, round(CASE point WHEN 0.1 THEN quantile_cont(y, 0.1) WHEN 0.5 THEN quantile_cont(y, 0.5) WHEN 0.9 THEN quantile_cont(y, 0.9) WHEN 0.99 THEN quantile_cont(y, 0.99) END, 6) AS value
+    FROM pk, (VALUES (0.1), (0.5), (0.9), (0.99)) AS t(point) GROUP BY point"""))
+def exact_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of all peaks' intensities without gathering them in one task."""
+    out = quantiles.exact_quantiles(long.peaks(views.supervision(spark, d)), "y", (0.1, 0.5, 0.9, 0.99))
+    return out.select("point", F.round("value", 6).alias("value"))
+
+
 @query("SELECT user_id, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) / nullif(sum(value), 0), 6) AS pooled FROM events GROUP BY 1")
 def pooled_ratio(spark: SparkSession, d: str) -> DataFrame:
     bought = F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0))
