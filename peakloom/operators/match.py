@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from peakloom.functions import chem, scalar
 from peakloom.functions.elements import MASSES
 from peakloom.operators import spectra as long
-from peakloom.session import shuffle_width
+from peakloom.session import spread
 
 HEAVY_CAP, PEAK_CAP = 4_000_000, 100_000
 #: Formulas with more heavy subformulas than this are enumerated by chained explodes instead of one array.
@@ -36,8 +36,8 @@ def heavy_subformulas(formulas: DataFrame, cap: int = HEAVY_CAP, column: str = "
         lambda e: F.struct(e["key"].alias("symbol"), e["value"].alias("n"), chem.element_mass(e["key"]).alias("mass"), bonds(e["key"]).alias("bonds")),
     )
     sized = parsed.withColumn("size", guard).where("size > 0").select("formula", "size", chem.count("parsed", "H").alias("max_h"), axis.alias("axis"))
-    # Few rows that grow a thousandfold: spread them by number, which adaptive execution doesn't undo.
-    sized = sized.where(~F.exists("axis", lambda e: e["mass"].isNull())).repartition(4 * shuffle_width(formulas.sparkSession), "formula")
+    # Few rows that grow a thousandfold.
+    sized = spread(sized.where(~F.exists("axis", lambda e: e["mass"].isNull())), "formula")
     empty = F.array(F.struct(F.lit(0.0).alias("mass"), F.lit(2).alias("top_h"), F.array().cast("array<int>").alias("counts")))
 
     def grow(acc: Column, e: Column) -> Column:

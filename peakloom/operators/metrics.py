@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions import chem, scalar
 from peakloom.operators import spectra as long
+from peakloom.session import spread
 
 # Names of the oracles.
 ORACLES = ("peak_copy", "support_mask", "formula_rendered", "slot_capacity")
@@ -130,7 +131,7 @@ def transformed(peaks: DataFrame, key: str = "spectrum_uid", eps: float = 1e-12)
 
 def formula_masses(df: DataFrame, column: str = "formula", name: str = "mass") -> DataFrame:
     """(column, name) of every distinct formula that has a mass: parsed once each, not once per row."""
-    return df.select(column).distinct().withColumn(name, chem.mass(chem.parse_formula(column))).where(F.col(name).isNotNull())
+    return spread(df.select(column).distinct(), column).withColumn(name, chem.mass(chem.parse_formula(column))).where(F.col(name).isNotNull())
 
 
 def first_candidates(df: DataFrame) -> DataFrame:

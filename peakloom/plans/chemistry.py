@@ -12,14 +12,14 @@ from peakloom.operators import spectra as long
 from peakloom.plans import views
 from peakloom.plans.catalog import query
 from peakloom.plans.views import sql
-from peakloom.session import table
+from peakloom.session import spread, table
 
 
 def formulas(spark: SparkSession, d: str) -> DataFrame:
     """Distinct formulas of spectra and candidates that parse and whose elements all have a mass."""
     own = table(spark, d, "spectra_v2").select("formula")
     fragments = table(spark, d, "fragment_supervision_v2").select(F.explode("candidate_neutral_formula").alias("formula"))
-    counts = own.union(fragments).distinct().withColumn("counts", chem.parse_formula("formula"))
+    counts = spread(own.union(fragments).distinct(), "formula").withColumn("counts", chem.parse_formula("formula"))
     return counts.where("counts IS NOT NULL").where(~F.exists(F.map_keys("counts"), lambda s: chem.element_mass(s).isNull()))
 
 

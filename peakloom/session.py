@@ -66,3 +66,8 @@ def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *columns: str, factor: int = 4) -> DataFrame:
+    """df over factor times the usual partitions, by number: adaptive execution would merge few small rows that are costly to work on."""
+    return df.repartition(factor * shuffle_width(df.sparkSession), *columns)
