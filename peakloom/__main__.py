@@ -90,7 +90,7 @@ def verify_dataset(spark: SparkSession, args: argparse.Namespace) -> int:
 def audit(spark: SparkSession, args: argparse.Namespace) -> int:
     df = sink.read_dataset(spark, args.data, accept=("fragment_supervision_v2",))
     analysis.strata_by_spectrum(df).coalesce(1).write.json(f"{args.out}/strata")
-    analysis.peak_support(df).groupBy("dp").agg(*analysis.peak_block()).coalesce(1).write.json(f"{args.out}/decimals")
+    analysis.peak_block(analysis.peak_support(df), ("dp",)).coalesce(1).write.json(f"{args.out}/decimals")
     analysis.summarise_slots(analysis.slot_diagnostics(df)).coalesce(1).write.json(f"{args.out}/slots")
     return 0
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,14 +13,24 @@ from peakloom.functions.elements import ELEMENTS, ION_CHANNELS, MASSES
 FOUR_BONDS, THREE_BONDS, ONE_BOND = ("C", "Si"), ("N", "P"), ("H", "F", "Cl", "Br", "I", "Na", "K")
 #: Bounds of the count vocabulary.
 MAX_COUNT, MAX_ELEMENTS = 512, 32
+#: Counts of an element above this aren't read, so that sums and differences of counts fit an INT.
+READABLE_COUNT = 1_000_000
+#: Products of counts stop growing above this.
+_MANY = 2**31
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _symbols(values: object) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _symbols(values: Iterable[str]) -> Column:
+    """ARRAY<STRING> of plain words, as one expression: a call to the JVM per word would dominate planning."""
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
+
+
+def _numbers(values: dict[str, float | int]) -> Column:
+    """MAP from plain words to numbers, as one expression."""
+    return F.expr("map(" + ", ".join(f"'{k}', {v!r}" + ("D" if isinstance(v, float) else "") for k, v in values.items()) + ")")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,29 +38,60 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_SYMBOL, _COUNT = "([A-Z][a-z]?)[0-9]*", "[A-Z][a-z]?([0-9]*)"
+
+
 def is_formula(text: Column | str) -> Column:
     """Wholly element symbols with optional counts of at least 1; false for null.
 
-    One pattern: a lower-case letter can only belong to the capital before it, so that the alternatives can't split
-    a text in two ways.
+    The pattern knows the shape only: a lower-case letter can only belong to the capital before it, so that a text is
+    cut in one way; the symbols are then looked up.
     """
-    return F.coalesce(_col(text).rlike(f"^(({'|'.join(ELEMENTS)})(0*[1-9][0-9]*)?)+$"), F.lit(False))
+    text = _col(text)
+    real = F.size(F.array_except(F.regexp_extract_all(text, F.lit(_SYMBOL), F.lit(1)), _symbols(ELEMENTS))) == 0
+    return F.coalesce(text.rlike(r"^([A-Z][a-z]?(0*[1-9][0-9]*)?)+\z") & real, F.lit(False))
+
+
+def _summed(text: Column) -> Column:
+    """MAP of BIGINT counts by symbol of a text that is a formula; a count beyond BIGINT is null."""
+    symbols = F.regexp_extract_all(text, F.lit(_SYMBOL), F.lit(1))
+    counts = F.regexp_extract_all(text, F.lit(_COUNT), F.lit(1))
+    numbers = F.transform(counts, lambda c: F.when(c == "", F.lit(1).cast("bigint")).otherwise(c.try_cast("bigint")))
+
+    def add_up(pairs: Column) -> Column:
+        names = pairs["s"]
+        distinct = F.array_distinct(names)
+
+        def total(s: Column) -> Column:
+            # A count beyond the readable ones stands for all such: sums can't overflow.
+            return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, p: acc + F.when(p["s"] == s, F.least(p["n"], F.lit(2**32))).otherwise(0))
+
+        once = F.size(distinct) == F.size(names)
+        return F.when(once, F.map_from_arrays(names, pairs["n"])).otherwise(F.map_from_arrays(distinct, F.transform(distinct, total)))
+
+    return let(F.arrays_zip(symbols.alias("s"), numbers.alias("n")), add_up)
+
+
+def _readable(counts: Column) -> Column:
+    return F.forall(F.map_values(counts), lambda n: F.coalesce(n <= READABLE_COUNT, F.lit(False)))
 
 
 def parse_formula(text: Column | str, strict: bool = False) -> Column:
-    """MAP of element counts; repeated symbols add up. Not a formula: null, or an error if strict."""
+    """MAP of element counts; repeated symbols add up. Not a formula, or an element counted more than
+    ``READABLE_COUNT`` times: null (``formula_problem`` tells which), or an error if strict.
+    """
     text = _col(text)
-    symbols = F.regexp_extract_all(text, F.lit("([A-Z][a-z]?)([0-9]*)"), F.lit(1))
-    counts = F.regexp_extract_all(text, F.lit("([A-Z][a-z]?)([0-9]*)"), F.lit(2))
-    numbers = F.transform(counts, lambda c: F.when(c == "", F.lit(1)).otherwise(c.cast("int")))
+    parsed = let(_summed(text), lambda m: F.when(_readable(m), m.cast("map<string,int>")))
+    found = F.when(is_formula(text), parsed)
+    if not strict:
+        return found
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("not a formula: "), F.coalesce(text, F.lit("null")))).cast("map<string,int>"))
 
-    def add_up(pairs: Column) -> Column:
-        distinct = F.array_distinct(F.transform(pairs, lambda p: p["s"]))
-        return F.map_from_arrays(distinct, F.transform(distinct, lambda s: F.aggregate(pairs, F.lit(0), lambda acc, p: acc + F.when(p["s"] == s, p["n"]).otherwise(0))))
 
-    parsed = let(F.arrays_zip(symbols.alias("s"), numbers.alias("n")), add_up)
-    bad = F.raise_error(F.concat(F.lit("not a formula: "), F.coalesce(text, F.lit("null")))) if strict else F.lit(None)
-    return F.when(is_formula(text), parsed).otherwise(bad)
+def formula_problem(text: Column | str) -> Column:
+    """Why parse_formula gives null: ``not_a_formula`` or ``count_out_of_range``; null where it doesn't."""
+    text = _col(text)
+    return F.when(~is_formula(text), "not_a_formula").when(~let(_summed(text), _readable), "count_out_of_range")
 
 
 def count(counts: Column | str, symbol: str) -> Column:
@@ -73,8 +114,13 @@ def hill(counts: Column | str) -> Column:
 
 
 def element_mass(symbol: Column | str) -> Column:
-    """Monoisotopic mass, null for an element outside the table."""
-    return F.element_at(F.create_map(*[x for s, m in MASSES.items() for x in (F.lit(s), F.lit(float(m)))]), _col(symbol))
+    """Mass of the most common isotope, null for what is no element.
+
+    A look-up in a map runs through its keys, so the elements of organic molecules come first.
+    """
+    usual = ("C", "H", *THREE_BONDS, "O", "S", *ONE_BOND[1:])
+    masses = {s: MASSES[s] for s in dict.fromkeys([*usual, *MASSES])}
+    return F.element_at(_numbers(masses), _col(symbol))
 
 
 def atomic_number(symbol: Column | str) -> Column:
@@ -146,8 +192,8 @@ def distance(a: Column | str, b: Column | str) -> Column:
 
 
 def subformulas(counts: Column | str) -> Column:
-    """How many subformulas a formula has, itself and the empty one included."""
-    return F.aggregate(F.map_values(_col(counts)), F.lit(1).cast("bigint"), lambda acc, n: acc * (n + 1))
+    """How many subformulas a formula has, itself and the empty one included; above 2**31 a lower bound."""
+    return F.aggregate(F.map_values(_col(counts)), F.lit(1).cast("bigint"), lambda acc, n: F.when(acc > _MANY, acc).otherwise(acc * (n + 1)))
 
 
 def heavy_subformulas(counts: Column | str) -> Column:
@@ -169,8 +215,8 @@ def by_atomic_number(counts: Column | str) -> Column:
 def charge_sign(adduct: Column | str) -> Column:
     """+1 or -1; null where the adduct isn't singly charged or can't be read."""
     text = F.trim(_col(adduct))
-    digits = F.regexp_extract(text, r"([0-9]*)\s*[+-]$", 1)
-    single = text.rlike(r"(^|[^+-])[+-]$") & ((digits == "") | (digits.try_cast("int") == 1))
+    digits = F.regexp_extract(text, r"([0-9]*)\s*[+-]\z", 1)
+    single = text.rlike(r"(^|[^+-])[+-]\z") & ((digits == "") | (digits.try_cast("int") == 1))
     return F.when(F.coalesce(single, F.lit(False)), F.when(text.endswith("+"), 1).otherwise(-1))
 
 
@@ -190,11 +236,11 @@ def ion_channels(adduct: Column | str, strict: bool = False) -> Column:
 
 
 def channel_offset(name: Column | str) -> Column:
-    return F.element_at(F.create_map(*[x for n, _, _, m in ION_CHANNELS for x in (F.lit(n), F.lit(float(m)))]), _col(name))
+    return F.element_at(_numbers({n: float(m) for n, _, _, m in ION_CHANNELS}), _col(name))
 
 
 def channel_index(name: Column | str) -> Column:
-    return F.element_at(F.create_map(*[x for n, i, _, _ in ION_CHANNELS for x in (F.lit(n), F.lit(i))]), _col(name))
+    return F.element_at(_numbers({n: i for n, i, _, _ in ION_CHANNELS}), _col(name))
 
 
 def is_admissible(name: Column | str, adduct: Column | str) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from peakloom.functions import chem, scalar
 from peakloom.operators import spectra as long
-from peakloom.operators.metrics import formula_masses, percentiles
+from peakloom.operators.metrics import formula_masses
+from peakloom.operators.quantiles import aggregate, percentiles
 
 THRESHOLDS = (64, 128, 256, 512)
 SEEN = (1, 5, 20, 100)
@@ -41,32 +42,33 @@ def spectrum_support(df: DataFrame) -> DataFrame:
     )
 
 
-def peak_block() -> list[Column]:
-    """Aggregates over peak_support rows."""
+def peak_block(support: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Aggregates over peak_support rows, overall or by columns of theirs."""
     n, linked = F.col("candidates"), F.col("candidates") > 0
-    return [
+    aggs = [
         F.count("*").alias("peaks"), F.count_if(linked).alias("supported_peaks"), F.avg(linked.cast("double")).alias("supported_fraction"),
         scalar.safe_ratio(F.sum(F.when(linked, F.col("y")).otherwise(0.0)), F.sum("y")).alias("intensity_coverage"),
         F.avg((n == 0).cast("double")).alias("zero_fraction"), F.avg((n == 1).cast("double")).alias("one_fraction"), F.avg((n >= 2).cast("double")).alias("many_fraction"),
-        F.avg(n).alias("candidates_mean"), *percentiles("candidates", (0.5, 0.9, 0.99), "candidates"), F.max(n).alias("candidates_max"),
+        F.avg(n).alias("candidates_mean"), F.max(n).alias("candidates_max"),
     ]
+    return aggregate(support, by, aggs, percentiles("candidates", (0.5, 0.9, 0.99), "candidates"))
 
 
-def spectrum_block() -> list[Column]:
-    """Aggregates over spectrum_support rows."""
+def spectrum_block(support: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Aggregates over spectrum_support rows, overall or by columns of theirs."""
     u = F.col("unique_candidates")
-    return [
-        F.count("*").alias("spectra"), F.avg("support_cosine").alias("cosine_mean"), *percentiles("support_cosine", (0.1, 0.5), "cosine"),
-        F.avg(F.col("fully_supported").cast("double")).alias("fully_supported_fraction"), *percentiles("unique_candidates", (0.5, 0.9, 0.99), "unique"),
+    aggs = [
+        F.count("*").alias("spectra"), F.avg("support_cosine").alias("cosine_mean"), F.avg(F.col("fully_supported").cast("double")).alias("fully_supported_fraction"),
         F.max(u).alias("unique_max"), *[F.avg((u <= t).cast("double")).alias(f"unique_le_{t}") for t in THRESHOLDS],
     ]
+    return aggregate(support, by, aggs, [*percentiles("support_cosine", (0.1, 0.5), "cosine"), *percentiles("unique_candidates", (0.5, 0.9, 0.99), "unique")])
 
 
 def strata_by_spectrum(df: DataFrame, dimensions: Sequence[str] = ("instrument", "adduct")) -> DataFrame:
     """spectrum_block overall and by each dimension: (dimension, label, ..), one aggregation over unpivoted labels."""
     labels = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("label")), *[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d), F.lit("?")).alias("label")) for d in dimensions])
-    spread = spectrum_support(df).withColumn("s", F.explode(labels))
-    return spread.groupBy(F.col("s.dimension").alias("dimension"), F.col("s.label").alias("label")).agg(*spectrum_block())
+    spread = spectrum_support(df).select("support_cosine", "fully_supported", "unique_candidates", F.explode(labels).alias("s"))
+    return spectrum_block(spread.select("support_cosine", "fully_supported", "unique_candidates", "s.*"), ("dimension", "label"))
 
 
 def slot_diagnostics(df: DataFrame, slots: int = scalar.SLOTS) -> DataFrame:
@@ -92,15 +94,16 @@ def summarise_slots(diagnostics: DataFrame, slots: int = scalar.SLOTS) -> DataFr
     l1 = F.coalesce(scalar.safe_ratio("kept_l1", "l1"), F.lit(0.0))
     oracle = F.coalesce(F.sqrt(scalar.safe_ratio("kept_energy", "energy")), F.lit(0.0))
     d = diagnostics.withColumn("l1_ratio", l1).withColumn("oracle", oracle)
-    return d.agg(
+    aggs = [
         F.count("*").alias("spectra"), F.sum("peaks").alias("peaks"), F.avg("supervised").alias("supervised_mean"), F.max("supervised").alias("supervised_max"),
-        F.avg((F.col("supervised") > slots).cast("double")).alias("over_slots_fraction"), F.avg("l1_ratio").alias("l1_mean"), *percentiles("l1_ratio", (0.1,), "l1"),
-        scalar.safe_ratio(F.sum("kept_l1"), F.sum("l1")).alias("l1_pooled"), F.avg("oracle").alias("oracle_mean"), *percentiles("oracle", (0.1, 0.5), "oracle"),
+        F.avg((F.col("supervised") > slots).cast("double")).alias("over_slots_fraction"), F.avg("l1_ratio").alias("l1_mean"),
+        scalar.safe_ratio(F.sum("kept_l1"), F.sum("l1")).alias("l1_pooled"), F.avg("oracle").alias("oracle_mean"),
         F.sqrt(scalar.safe_ratio(F.sum("kept_energy"), F.sum("energy"))).alias("oracle_pooled"), F.sum("candidates").alias("candidates"), F.sum("edges").alias("edges"),
         F.sum("reused").alias("reused"), scalar.safe_ratio(F.sum("reused"), F.sum("candidates")).alias("reused_fraction"),
         F.sum("unique_peaks").alias("unique_peaks"), F.sum("ambiguous_peaks").alias("ambiguous_peaks"), F.sum("unsupported_peaks").alias("unsupported_peaks"),
         F.sum("low_precision").alias("low_precision"), F.count_if(F.col("energy") == 0).alias("zero_energy"),
-    )
+    ]
+    return aggregate(d, (), aggs, [*percentiles("l1_ratio", (0.1,), "l1"), *percentiles("oracle", (0.1, 0.5), "oracle")])
 
 
 def cost_table(df: DataFrame, slots: int = scalar.SLOTS) -> DataFrame:
@@ -199,30 +202,33 @@ def seen_rates(predicted: DataFrame, fragments: DataFrame, losses: DataFrame, th
 
 
 def counterfactuals(slots: DataFrame, oracle: DataFrame, uid: str = "uid", threshold: float = scalar.PRESENCE) -> DataFrame:
-    """(uid, condition, slot, mz, weight): the peak lists of eight conditions.
+    """(uid, slot, mz, a weight for each of CONDITIONS): the peak lists of eight conditions.
 
     slots: (uid, slot, presence, contribution, formula, ion_state); oracle: (uid, slot, o_formula, o_ion, y, t), the matched
-    slots' oracle identity with raw and transformed observed intensity. Active slots pass the gate.
+    slots' oracle identity with raw and transformed observed intensity. Active slots pass the gate. Conditions that put a
+    slot at the same m/z share a row.
     """
     d = slots.join(oracle, [uid, "slot"], "left").withColumn("active", F.col("presence") >= threshold).withColumn("matched", F.col("y").isNotNull())
     named = slots.select("formula").union(oracle.select("o_formula"))
     d = d.join(formula_masses(named, "formula", "pm"), "formula", "left")
     d = d.join(formula_masses(named, "formula", "om").withColumnRenamed("formula", "o_formula"), "o_formula", "left").withColumn("pi", chem.channel_offset("ion_state")).withColumn("oi", chem.channel_offset("o_ion"))
     p_mz, o_mz = F.col("pm") + F.col("pi"), F.col("om") + F.col("oi")
-    oracle_or_own = F.coalesce(o_mz, p_mz)
     same = (F.col("formula") == F.col("o_formula")) & (F.col("ion_state") == F.col("o_ion"))
     # An oracle without a counterpart falls back as the identity sources do.
     mixed_formula = F.when(F.col("om").isNull(), p_mz).otherwise(F.col("om") + F.coalesce(F.when(F.col("pm").isNotNull(), F.col("pi")), F.col("oi")))
     mixed_ion = F.when(F.col("oi").isNull(), p_mz).otherwise(F.col("pm") + F.col("oi"))
     active, matched, c, y, t = F.col("active"), F.col("matched"), F.col("contribution"), F.col("y"), F.col("t")
-    rows = {
-        "all_predicted": (active, p_mz, c), "oracle_identity_predicted_weights": (active, oracle_or_own, c),
-        "predicted_identity_oracle_weights": (active & matched & same, p_mz, y), "oracle_formula_predicted_ion": (active, mixed_formula, c),
-        "predicted_formula_oracle_ion": (active, mixed_ion, c), "oracle_identity_oracle_weights": (matched, oracle_or_own, y),
-        "oracle_identity_sqrt_weights": (matched, oracle_or_own, t), "presence_forced_on_matched": (active | matched, p_mz, c),
+    places = {
+        "predicted": (p_mz, {"all_predicted": (active, c), "predicted_identity_oracle_weights": (active & matched & same, y), "presence_forced_on_matched": (active | matched, c)}),
+        "oracle": (F.coalesce(o_mz, p_mz), {"oracle_identity_predicted_weights": (active, c), "oracle_identity_oracle_weights": (matched, y), "oracle_identity_sqrt_weights": (matched, t)}),
+        "oracle_formula": (mixed_formula, {"oracle_formula_predicted_ion": (active, c)}),
+        "oracle_ion": (mixed_ion, {"predicted_formula_oracle_ion": (active, c)}),
     }
-    made = [F.when(keep & mz.isNotNull() & (w > 0), F.struct(F.lit(n).alias("condition"), mz.alias("mz"), w.alias("weight"))) for n, (keep, mz, w) in rows.items()]
-    return d.select(uid, "slot", F.explode(F.array_compact(F.array(*made))).alias("k")).select(uid, "k.condition", "slot", "k.mz", "k.weight")
+    none = F.lit(None).cast("double")
+    made = [
+        F.when(mz.isNotNull(), F.struct(mz.alias("mz"), *[F.when(own[n][0] & (own[n][1] > 0), own[n][1]).alias(n) if n in own else none.alias(n) for n in CONDITIONS])) for mz, own in places.values()
+    ]
+    return d.select(uid, "slot", F.explode(F.array_compact(F.array(*made))).alias("k")).select(uid, "slot", "k.*")
 
 
 def element_agreement(pairs: DataFrame, predicted: str = "formula", oracle: str = "o_formula", precursor: str = "precursor") -> DataFrame:
@@ -237,10 +243,8 @@ def element_agreement(pairs: DataFrame, predicted: str = "formula", oracle: str
 def stratify(df: DataFrame, dimensions: dict[str, Column], value: str) -> DataFrame:
     """(dimension, label, n, mean, median) of value, all dimensions in one aggregation; null labels don't count."""
     labels = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("label"))) for n, c in dimensions.items()]))
-    spread = df.select(F.explode(labels).alias("s"), F.col(value).alias("v"))
-    return spread.groupBy(F.col("s.dimension").alias("dimension"), F.col("s.label").alias("label")).agg(
-        F.count("*").alias("n"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median")
-    )
+    spread = df.select(F.explode(labels).alias("s"), F.col(value).alias("v")).select("s.*", "v")
+    return aggregate(spread, ("dimension", "label"), [F.count("*").alias("n"), F.avg("v").alias("mean")], [("v", 0.5, "median")])
 
 
 def bag_strata(pairs: DataFrame) -> DataFrame:
@@ -255,10 +259,8 @@ def bag_strata(pairs: DataFrame) -> DataFrame:
     for low, high in ((0, 8), (8, 32), (32, 64), (64, 10**6)):
         strata[f"targets_{low}_{high:g}"] = (t >= low) & (t < high)
     labels = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in strata.items()]))
-    return pairs.select("bag_nll", "bag_mass", F.explode(labels).alias("stratum")).groupBy("stratum").agg(
-        F.count("*").alias("pairs"), F.avg("bag_nll").alias("nll_mean"), F.exp(-F.avg("bag_nll")).alias("geometric_mass"), F.avg("bag_mass").alias("arithmetic_mass"),
-        F.percentile("bag_mass", F.lit(0.5)).alias("median_mass"),
-    )
+    aggs = [F.count("*").alias("pairs"), F.avg("bag_nll").alias("nll_mean"), F.exp(-F.avg("bag_nll")).alias("geometric_mass"), F.avg("bag_mass").alias("arithmetic_mass")]
+    return aggregate(pairs.select("bag_nll", "bag_mass", F.explode(labels).alias("stratum")), ("stratum",), aggs, [("bag_mass", 0.5, "median_mass")])
 
 
 def slot_diversity(vectors: DataFrame, uid: str = "uid") -> DataFrame:
@@ -292,4 +294,4 @@ def covered_intensity(df: DataFrame, hits: DataFrame) -> DataFrame:
 
 def gap_summary(gaps: DataFrame, column: str = "gap", within: Sequence[float] = (0.5, 2.0, 15.0)) -> DataFrame:
     shares = [F.avg((F.col(column) <= w).cast("double")).alias(f"within_{str(w).replace('.', '_')}") for w in within]
-    return gaps.agg(F.count(column).alias("n"), *percentiles(column, (0.1, 0.25, 0.5, 0.75, 0.9), column), *shares)
+    return aggregate(gaps.select(column), (), [F.count(column).alias("n"), *shares], percentiles(column, (0.1, 0.25, 0.5, 0.75, 0.9), column))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.operators.metrics import percentiles
+from peakloom.operators.quantiles import aggregate, percentiles
 
 BUCKET = 4096
 
@@ -84,7 +84,7 @@ def workload(batches: DataFrame, costs: DataFrame, key: str = "spectrum_uid") ->
     """(measure, mean, least, p50, p90, greatest) of the batches' totals."""
     per = batches.join(costs, key).groupBy("batch_id").agg(F.count("*").cast("double").alias("rows"), *[F.sum(c).cast("double").alias(c) for c in ("tokens", "candidates", "element_steps")])
     long = per.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in ("rows", "tokens", "candidates", "element_steps")])).alias("m")).select("m.*")
-    return long.groupBy("measure").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), *percentiles("v", (0.5, 0.9), "v"), F.max("v").alias("greatest"))
+    return aggregate(long, ("measure",), [F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest")], percentiles("v", (0.5, 0.9), "v"))
 
 
 def shares(df: DataFrame, step: str = "step", size: str = "n") -> DataFrame:

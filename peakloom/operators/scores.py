@@ -1,7 +1,9 @@
 """Losses and matching costs over score tables: the boundary to a model that runs elsewhere.
 
-slots: (uid, slot, presence_logit, intensity); scores: (uid, slot, candidate_index, log_prob); members: (uid,
-target, candidate_index); assignment: (uid, slot, target).
+slots: (uid, slot, presence_logit, intensity); scores: (uid, slot, log_probs ARRAY<DOUBLE> by candidate index); members:
+(uid, target, candidate_index); assignment: (uid, slot, target). A spectrum has at most 64 slots and 64 targets, its
+candidates have no bound: scores and bags stay nested, so that a spectrum costs rows for its slots and not for every
+pair of slot and candidate.
 """
 
 from __future__ import annotations
@@ -12,19 +14,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions import scalar
+from peakloom.functions.chem import let
 
 FLOOR, TINY = -1e9, 1e-30
 
 
+#: Values are summed by exponent in steps of this, which keeps every partial sum inside the range of doubles.
+_STEP = 512.0
+
+
 def log_sum_exp(df: DataFrame, keys: Sequence[str], value: str, name: str = "lse") -> DataFrame:
-    """(keys, name): maximum plus the logarithm of the summed exponentials, values floored at -1e9.
+    """(keys, name): the logarithm of the summed exponentials, values floored at -1e9.
 
-    Two aggregates, both with partial sums on the map side, joined by key.
+    One pass: sums by (keys, exponent step) combine on the map side, and the few steps of a key are then merged. No
+    key is collected or read twice, however many rows it has.
     """
     v = F.greatest(F.col(value), F.lit(FLOOR))
-    top = df.groupBy(*keys).agg(F.max(v).alias("__top"))
-    joined = df.join(top, list(keys))
-    return joined.groupBy(*keys).agg((F.max("__top") + F.log(F.sum(F.exp(v - F.col("__top"))) + F.lit(TINY))).alias(name))
+    step = F.floor(v / _STEP).cast("double")
+    parts = df.select(*keys, step.alias("__step"), F.exp(v - step * _STEP).alias("__e")).groupBy(*keys, "__step").agg(F.sum("__e").alias("__e"))
+    steps = F.collect_list(F.struct("__step", "__e"))  # bounded by the range of doubles over the step
+    merged = parts.where("__step IS NOT NULL").groupBy(*keys).agg(F.max("__step").alias("__top"), steps.alias("__parts"))
+    total = F.aggregate("__parts", F.lit(0.0), lambda acc, p: acc + p["__e"] * F.exp((p["__step"] - F.col("__top")) * _STEP))
+    return merged.select(*keys, (F.col("__top") * _STEP + F.log(total)).alias(name))
+
+
+def log_sum_exp_of(values: Column) -> Column:
+    """The same of an array inside its row; null for an empty one."""
+    floored = F.transform(values, lambda v: F.greatest(v, F.lit(FLOOR)))
+
+    def summed(v: Column) -> Column:
+        top = F.array_max(v)
+        return top + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)) + F.lit(TINY))
+
+    return F.when(F.size(values) > 0, let(floored, summed))
 
 
 def merge_log_sum_exp(parts: DataFrame, keys: Sequence[str], top: str = "m", total: str = "s", name: str = "lse") -> DataFrame:
@@ -34,20 +56,41 @@ def merge_log_sum_exp(parts: DataFrame, keys: Sequence[str], top: str = "m", tot
     return scaled.groupBy(*keys).agg((F.max("__m") + F.log(F.sum("__s") + F.lit(TINY))).alias(name))
 
 
+def bags_of(members: DataFrame, uid: str = "uid") -> DataFrame:
+    """(uid, target, bag ARRAY<INT>): the candidate indices that may explain a target, each once, in order."""
+    return members.groupBy(uid, "target").agg(F.array_sort(F.collect_set("candidate_index")).alias("bag"))
+
+
+def _picked(log_probs: str, bag: Column) -> Column:
+    """The scores of a bag's candidates; a candidate without a score is none."""
+    return F.array_compact(F.transform(bag, lambda i: F.get(F.col(log_probs), i)))
+
+
 def bag_log_probability(scores: DataFrame, members: DataFrame, uid: str = "uid") -> DataFrame:
-    """(uid, slot, target, bag_log_prob) of every slot and target."""
-    return log_sum_exp(scores.join(members, [uid, "candidate_index"]), [uid, "slot", "target"], "log_prob", "bag_log_prob")
+    """(uid, slot, target, bag_log_prob) of every slot and target.
+
+    A row per slot carries its scores and the spectrum's bags; the sums are made inside it.
+    """
+    nested = bags_of(members, uid).groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("target", "bag"))).alias("bags"))
+    each = F.transform("bags", lambda b: F.struct(b["target"].alias("target"), log_sum_exp_of(_picked("log_probs", b["bag"])).alias("bag_log_prob")))
+    made = scores.join(nested, uid).select(uid, "slot", F.explode(each).alias("b"))
+    return made.select(uid, "slot", "b.target", "b.bag_log_prob").where("bag_log_prob IS NOT NULL")
 
 
 def matching_costs(scores: DataFrame, members: DataFrame, slots: DataFrame, targets: DataFrame, uid: str = "uid", weight: float = 0.25, delta: float = 1.0) -> DataFrame:
     """(uid, slot, target, cost): bag NLL plus the weighted Huber distance of contribution and target intensity.
 
-    slots: (uid, slot, contribution); targets: (uid, target, t).
+    slots: (uid, slot, contribution); targets: (uid, target, t). Intensities ride along with the scores and bags.
     """
-    bags = bag_log_probability(scores, members, uid)
-    joined = bags.join(slots.select(uid, "slot", "contribution"), [uid, "slot"]).join(targets.select(uid, "target", "t"), [uid, "target"])
-    cost = -F.col("bag_log_prob") + F.lit(weight) * scalar.huber(F.col("contribution") - F.col("t"), delta)
-    return joined.select(uid, "slot", "target", cost.alias("cost"))
+    known = bags_of(members, uid).join(targets.select(uid, "target", "t"), [uid, "target"])
+    nested = known.groupBy(uid).agg(F.array_sort(F.collect_list(F.struct("target", "t", "bag"))).alias("bags"))
+
+    def cost(b: Column) -> Column:
+        return -log_sum_exp_of(_picked("log_probs", b["bag"])) + F.lit(weight) * scalar.huber(F.col("contribution") - b["t"], delta)
+
+    rows = scores.join(slots.select(uid, "slot", "contribution"), [uid, "slot"]).join(nested, uid)
+    made = rows.select(uid, "slot", F.explode(F.transform("bags", lambda b: F.struct(b["target"].alias("target"), cost(b).alias("cost")))).alias("b"))
+    return made.select(uid, "slot", "b.target", "b.cost").where("cost IS NOT NULL")
 
 
 def matched_bags(scores: DataFrame, members: DataFrame, assignment: DataFrame, predicted: DataFrame | None = None, uid: str = "uid") -> DataFrame:
@@ -56,16 +99,24 @@ def matched_bags(scores: DataFrame, members: DataFrame, assignment: DataFrame, p
     Only the matched slot is scored against its target's bag. predicted: (uid, slot, candidate_index) of the slot's
     own greatest candidate, if that is one.
     """
-    pairs = assignment.join(members, [uid, "target"]).join(scores, [uid, "slot", "candidate_index"])
-    keys = [uid, "slot", "target"]
-    nll = log_sum_exp(pairs, keys, "log_prob", "lse")
-    shape = pairs.groupBy(*keys).agg(F.count("*").alias("cardinality"), F.max("log_prob").alias("best_in_bag"))
-    out = shape.join(nll, keys).select(*keys, "cardinality", (-F.col("lse")).alias("bag_nll"), F.exp("lse").alias("bag_mass"), "best_in_bag")
-    if predicted is None:
-        return out
-    hits = pairs.join(predicted.withColumn("__hit", F.lit(True)), [uid, "slot", "candidate_index"], "left")
-    hit = hits.groupBy(*keys).agg(F.coalesce(F.bool_or("__hit"), F.lit(False)).alias("argmax_in_bag"))
-    return out.join(hit, keys)
+    pairs = assignment.join(bags_of(members, uid), [uid, "target"]).join(scores, [uid, "slot"]).withColumn("v", _picked("log_probs", F.col("bag"))).where(F.size("v") > 0)
+    if predicted is not None:
+        pairs = pairs.join(predicted.select(uid, "slot", F.col("candidate_index").alias("__own")), [uid, "slot"], "left")
+    out = pairs.withColumn("lse", log_sum_exp_of(F.col("v"))).select(
+        uid, "slot", "target", F.size("v").cast("bigint").alias("cardinality"), (-F.col("lse")).alias("bag_nll"), F.exp("lse").alias("bag_mass"), F.array_max("v").alias("best_in_bag"),
+        *([] if predicted is None else [F.coalesce(F.array_contains("bag", F.col("__own")), F.lit(False)).alias("argmax_in_bag")]),
+    )
+    return out
+
+
+def identity_metrics(pairs: DataFrame) -> DataFrame:
+    """(grp, pairs, argmax_in_bag, bag_mass, best_in_bag) of matched_bags rows: all, unique and ambiguous bags in one pass."""
+    n = F.col("cardinality")
+    groups = F.array_compact(F.array(F.lit("all"), F.when(n == 1, "unique"), F.when(n >= 2, "ambiguous")))
+    share = F.avg(F.col("argmax_in_bag").cast("double"))
+    return pairs.select("argmax_in_bag", "bag_mass", "best_in_bag", F.explode(groups).alias("grp")).groupBy("grp").agg(
+        F.count("*").alias("pairs"), share.alias("argmax_in_bag"), F.avg("bag_mass").alias("bag_mass"), F.avg("best_in_bag").alias("best_in_bag")
+    )
 
 
 def balanced_bce(df: DataFrame, logit: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -51,6 +51,18 @@ def supervision_mask(edge_count: Column, decimals: Column, least: int = 2) -> Co
     return (edge_count > 0) & (decimals >= least)
 
 
+def linked_mask(edge_peaks: Column, decimals: Column, least: int = 2) -> Column:
+    """ARRAY<BOOLEAN>, aligned with decimals: whether a peak has an edge and enough decimals.
+
+    Positions are marked by hashed set operations and one sort, not by a search of the list for every peak.
+    """
+    linked = F.coalesce(edge_peaks, F.array().cast("array<int>"))
+    places = F.transform(decimals, lambda _, i: i)
+    marked = lambda at, on: F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(on).alias("on")))
+    flags = F.array_sort(F.concat(marked(F.array_intersect(places, linked), True), marked(F.array_except(places, linked), False)))
+    return F.transform(F.arrays_zip(flags.alias("f"), decimals.alias("dp")), lambda p: p["f"]["on"] & (p["dp"] >= least))
+
+
 def supervision_rank(mzs: Column, intensities: Column, mask: Column) -> Column:
     """ARRAY<INT>: place of each masked peak by intensity descending, m/z ascending, position; -1 elsewhere.
 

@@ -56,8 +56,7 @@ def supervision_checks(df: DataFrame, ppm: float = scalar.PPM, slack: float = 1e
     """Index ranges, distinct candidates, masks, ranks and tolerances of a supervision table."""
     n, c = F.size("mzs"), F.size("candidate_neutral_formula")
     pair = F.arrays_zip(F.col("candidate_neutral_formula").alias("f"), F.col("candidate_ion_state").alias("i"))
-    linked = F.array_distinct("edge_peak_index")
-    mask = F.transform("mz_decimal_places", lambda dp, i: F.array_contains(linked, i) & (dp >= scalar.MIN_DECIMALS))
+    mask = long.linked_mask(F.col("edge_peak_index"), F.col("mz_decimal_places"), scalar.MIN_DECIMALS)
     edge = F.arrays_zip(F.col("edge_peak_index").alias("p"), F.col("edge_candidate_index").alias("c"))
 
     def outside(e: Column) -> Column:

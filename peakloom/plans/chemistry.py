@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.functions import chem, scalar
-from peakloom.functions.elements import ELEMENTS, MASSES
+from peakloom.functions.elements import ELEMENTS
 from peakloom.operators import match
 from peakloom.operators import spectra as long
 from peakloom.plans import views
@@ -60,7 +60,7 @@ def valence(spark: SparkSession, d: str) -> DataFrame:
       CASE WHEN c AND symbol = 'C' THEN 0 WHEN c AND symbol = 'H' THEN 1 ELSE 2 END, symbol) FILTER (n > 0) END AS loss, sum(abs(n))::INT AS l1
     FROM (SELECT *, bool_or(symbol = 'C' AND n > 0) OVER (PARTITION BY precursor, fragment) AS c FROM diff) GROUP BY precursor, fragment""".replace("symbol, coalesce(a.n", "k.symbol, coalesce(a.n")))
 def neutral_loss(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.supervision(spark, d, "formula", *views.CANDIDATES)
     pairs = df.select("spectrum_uid", F.col("formula").alias("precursor")).join(long.candidates(df), "spectrum_uid").select("precursor", F.col("formula").alias("fragment")).distinct()
     known = formulas(spark, d)
     p = known.select(F.col("formula").alias("precursor"), F.col("counts").alias("p"))
@@ -89,7 +89,7 @@ def subformula_enum_valence(spark: SparkSession, d: str) -> DataFrame:
     c, h, o = (F.col("p_size") % 6 + 1).cast("int"), (F.col("p_partkey") % 9 + 1).cast("int"), (F.col("p_size") % 3).cast("int")
     f = F.concat(F.lit("C"), c.cast("string"), F.lit("H"), h.cast("string"), F.when(o > 0, F.concat(F.lit("O"), o.cast("string"))).otherwise(""))
     heavy = match.heavy_subformulas(table(spark, d, "part").select(f.alias("formula")))
-    grid = heavy.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("max_h")))).withColumn("counts", match.subformula("elements", "counts", "h")).where(F.size("counts") > 0)
+    grid = heavy.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("max_h")))).withColumn("counts", match.subformula("axis", "code", "h")).where(F.size("counts") > 0)
     return grid.where(chem.is_plausible("counts")).select("formula", chem.count("counts", "C").alias("c"), "h", chem.count("counts", "O").alias("o"))
 
 
@@ -105,10 +105,10 @@ _EDGES = f"""WITH RECURSIVE fo AS (SELECT DISTINCT formula FROM s WHERE regexp_f
      ac AS (SELECT adduct, unnest(list_filter([CASE WHEN pos THEN 'protonated' ELSE 'deprotonated' END, CASE WHEN list_contains(tok, 'Na') THEN 'sodiated' END, CASE WHEN list_contains(tok, 'K') THEN 'potassiated' END, CASE WHEN NOT pos AND list_contains(tok, 'Cl') THEN 'chloride_retained' END], lambda x: x IS NOT NULL)) AS ion_state FROM ap),
      pb AS (SELECT s.spectrum_uid, s.formula, ac.ion_state, delta, i AS peak_index, mzs[i + 1] AS mz, mz_decimal_places[i + 1] AS dp, max_h FROM (SELECT *, unnest(range(len(mzs))) AS i FROM s) s JOIN ac USING (adduct) JOIN ch USING (ion_state) JOIN fin USING (formula) WHERE mzs[i + 1] IS NOT NULL),
      pt AS (SELECT *, CASE WHEN dp >= 2 THEN greatest(mz * 1e-5, 0.5 * pow(10, -dp)) ELSE mz * 1e-5 END + 1e-9 AS tol FROM pb),
-     ph AS (SELECT pt.*, k.k AS h, mz - delta - k.k * {MASSES["H"]!r}::DOUBLE AS centre FROM pt JOIN range(0, 1000) k(k) ON k.k <= max_h WHERE mz - delta - k.k * {MASSES["H"]!r}::DOUBLE + tol >= -0.001),
+     ph AS (SELECT pt.*, k.k AS h, mz - delta - k.k * {views.OWN_MASS["H"]!r}::DOUBLE AS centre FROM pt JOIN range(0, 1000) k(k) ON k.k <= max_h WHERE mz - delta - k.k * {views.OWN_MASS["H"]!r}::DOUBLE + tol >= -0.001),
      pk2 AS (SELECT *, unnest(range(floor((centre - tol - 1e-7) / 0.05)::BIGINT, floor((centre + tol + 1e-7) / 0.05)::BIGINT + 1)) AS bucket FROM ph),
-     hit AS (SELECT spectrum_uid, peak_index, mz, ion_state, h, heavy_rank, heavy.mass + h * {MASSES["H"]!r}::DOUBLE + delta AS theo FROM pk2 JOIN heavy ON heavy.formula = pk2.formula AND heavy.bucket = pk2.bucket
-             WHERE abs(mz - (heavy.mass + h * {MASSES["H"]!r}::DOUBLE + delta)) <= tol AND (h > 0 OR heavy.mass > 0) AND h <= top_h),
+     hit AS (SELECT spectrum_uid, peak_index, mz, ion_state, h, heavy_rank, heavy.mass + h * {views.OWN_MASS["H"]!r}::DOUBLE + delta AS theo FROM pk2 JOIN heavy ON heavy.formula = pk2.formula AND heavy.bucket = pk2.bucket
+             WHERE abs(mz - (heavy.mass + h * {views.OWN_MASS["H"]!r}::DOUBLE + delta)) <= tol AND (h > 0 OR heavy.mass > 0) AND h <= top_h),
      ix AS (SELECT hit.*, list_position(['protonated', 'deprotonated', 'sodiated', 'potassiated', 'chloride_retained'], ion_state) AS c FROM hit)
 SELECT spectrum_uid, CAST(row_number() OVER (PARTITION BY spectrum_uid ORDER BY c, peak_index, h, heavy_rank) - 1 AS INTEGER) AS edge_index, CAST(peak_index AS INTEGER) AS peak_index,
        CAST(dense_rank() OVER (PARTITION BY spectrum_uid ORDER BY c, heavy_rank, h) - 1 AS INTEGER) AS candidate_index, ion_state AS channel, CAST(h AS INTEGER) AS h, round(theo, 6) AS theo_mz, round((mz - theo) / theo * 1e6, 3) AS error_ppm FROM ix"""
@@ -117,16 +117,27 @@ SELECT spectrum_uid, CAST(row_number() OVER (PARTITION BY spectrum_uid ORDER BY
 @query(f"WITH {', '.join(f'{n} AS ({views.CTE[n]})' for n in ('s', 'el', 'ch'))} SELECT * FROM ({_EDGES})")
 def candidate_edges(spark: SparkSession, d: str) -> DataFrame:
     """The interval join on real spectra: every peak of every distinct spectrum against the subformulas of its formula."""
-    spectra = views.supervision(spark, d).select("spectrum_uid", "formula", "adduct", "mzs", "mz_decimal_places")
+    spectra = views.shared(spark, d, "formula", "adduct", "mzs", "mz_decimal_places")
     return match.number_candidates(match.match_edges(spectra)).select(
         "spectrum_uid", "edge_index", "peak_index", "candidate_index", "channel", "h", F.round("theo_mz", 6).alias("theo_mz"), F.round(scalar.ppm_error("mz", "theo_mz"), 3).alias("error_ppm")
     )
 
 
+@query(sql("s", f"""
+    WITH d AS (SELECT formula, adduct, count(*) AS n FROM s GROUP BY ALL),
+         p AS (SELECT formula, CASE WHEN formula IS NULL OR NOT regexp_full_match(formula, '(({'|'.join(ELEMENTS)})(0*[1-9][0-9]*)?)+') THEN 'not_a_formula' END AS bad FROM (SELECT DISTINCT formula FROM s)),
+         a AS (SELECT adduct, regexp_matches(trim(adduct), '(^|[^+-])[+-]$') AND coalesce(try_cast(nullif(regexp_extract(trim(adduct), '([0-9]*)\\s*[+-]$', 1), '') AS INT), 1) = 1 AS good FROM (SELECT DISTINCT adduct FROM s)),
+         r AS (SELECT d.formula, n, coalesce(bad, CASE WHEN NOT coalesce(good, false) THEN 'unsupported_adduct' END) AS reason
+               FROM d JOIN p ON d.formula IS NOT DISTINCT FROM p.formula JOIN a ON d.adduct IS NOT DISTINCT FROM a.adduct)
+    SELECT reason, sum(n)::BIGINT AS spectra, count(DISTINCT coalesce(formula, '')) AS formulas FROM r WHERE reason IS NOT NULL GROUP BY reason"""))
+def match_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Spectra without candidates by reason: nothing is left out in silence."""
+    return match.problems(views.supervision(spark, d, "formula", "adduct"))
+
+
 @query()
 def build_supervision(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["spectrum_uid", "parent_spec", "fold", "formula", "adduct", "mzs", "intensities", "mz_decimal_places"]
-    return match.build_supervision(views.supervision(spark, d).select(*columns))
+    return match.build_supervision(views.shared(spark, d, "parent_spec", "fold", "formula", "adduct", *views.PEAKS))
 
 
 @query("""
@@ -145,7 +156,7 @@ def tolerance_join(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT spectrum_uid, i, coalesce(supervision_mask[i + 1], false) AS m, mzs[i + 1] AS mz, intensities[i + 1] AS y
           FROM (SELECT *, unnest(range(greatest(len(mzs), len(intensities), len(supervision_mask)))) AS i FROM s))"""))
 def supervision_rank(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d)
+    df = views.supervision(spark, d, "mzs", "intensities", "supervision_mask")
     return df.select("spectrum_uid", F.posexplode(long.supervision_rank(F.col("mzs"), F.col("intensities"), F.col("supervision_mask"))).alias("peak_index", "rank"))
 
 
@@ -153,7 +164,7 @@ def supervision_rank(spark: SparkSession, d: str) -> DataFrame:
     SELECT spectrum_uid, CAST(t.i AS INTEGER) AS peak_index, CAST(r AS INTEGER) AS target
     FROM (SELECT spectrum_uid, unnest(list_zip(supervision_rank, range(len(supervision_rank)))) AS z FROM s) , LATERAL (SELECT z[1] AS r, z[2] AS i) t WHERE r BETWEEN 0 AND 63"""))
 def top_slots(spark: SparkSession, d: str) -> DataFrame:
-    ordered = views.supervision(spark, d).select("spectrum_uid", F.posexplode(long.targets(F.col("supervision_rank"))).alias("target", "peak_index"))
+    ordered = views.supervision(spark, d, *views.RANK).select("spectrum_uid", F.posexplode(long.targets(F.col("supervision_rank"))).alias("target", "peak_index"))
     return ordered.select("spectrum_uid", "peak_index", "target")
 
 
@@ -163,4 +174,4 @@ def top_slots(spark: SparkSession, d: str) -> DataFrame:
 def cost_table(spark: SparkSession, d: str) -> DataFrame:
     from peakloom.operators import analysis
 
-    return analysis.cost_table(views.supervision(spark, d)).select("spectrum_uid", "targets", "peaks", "linked", "ambiguous_targets")
+    return analysis.cost_table(views.supervision(spark, d, "formula", "mzs", "edge_peak_index", *views.RANK)).select("spectrum_uid", "targets", "peaks", "linked", "ambiguous_targets")

@@ -39,7 +39,7 @@ _COS = [f"cos_at_{k}_{n}" for n in scalar.SPACES for k in scalar.TOP_K]
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, *views.PEAKS, *views.CANDIDATES)
     return metrics.score_predictions(predicted(df), long.peaks(df), df)
 
 
@@ -80,7 +80,9 @@ _SPACES = "(VALUES ('canonical_sqrt', 0.5::DOUBLE, 1.0::DOUBLE), ('legacy_raw',
                 FROM pp LEFT JOIN ob ON ob.spectrum_uid = pp.spectrum_uid AND ob.space = pp.space AND ob.bin = pp.bin LEFT JOIN nr ON nr.spectrum_uid = pp.spectrum_uid AND nr.space = pp.space GROUP BY ALL)
     SELECT oracle, space, count(*) AS spectra, round(avg(c100), 5) AS mean_cos_at_100 FROM cs GROUP BY oracle, space"""))
 def oracle_ceilings(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.oracle_ceilings(views.shared(spark, d)).groupBy("oracle", "space").agg(F.count("*").alias("spectra"), F.round(F.avg("cos_at_100"), 5).alias("mean_cos_at_100"))
+    scored = metrics.oracle_ceilings(views.shared(spark, d, *views.SCORES), (100,))
+    means = [F.struct(F.lit(n).alias("space"), F.count("*").alias("spectra"), F.round(F.avg(f"cos_at_100_{n}"), 5).alias("mean_cos_at_100")) for n, _, _ in scalar.FOUR_SPACES]
+    return scored.groupBy("oracle").agg(F.array(*means).alias("m")).select("oracle", F.explode("m").alias("m")).select("oracle", "m.*")
 
 
 _SUPPORT = "WITH n AS (SELECT spectrum_uid, peak_index, count(*) AS n FROM ed GROUP BY ALL), sp AS (SELECT pk.*, coalesce(n, 0) AS n FROM pk LEFT JOIN n USING (spectrum_uid, peak_index))"
@@ -88,14 +90,14 @@ _SUPPORT = "WITH n AS (SELECT spectrum_uid, peak_index, count(*) AS n FROM ed GR
 
 @query(sql("s pk ed", _SUPPORT + " SELECT spectrum_uid, round(coalesce(sqrt(sum(y * y) FILTER (n > 0) / nullif(sum(y * y), 0)), 0), 6) AS support_cosine FROM sp GROUP BY 1"))
 def support_oracle_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.support_oracle(views.supervision(spark, d)).select("spectrum_uid", F.round("support_cosine", 6).alias("support_cosine"))
+    return metrics.support_oracle(views.supervision(spark, d, *views.PEAKS, *views.EDGES)).select("spectrum_uid", F.round("support_cosine", 6).alias("support_cosine"))
 
 
 @query(sql("s pk ed", _SUPPORT + """ SELECT dp, count(*) AS peaks, count(*) FILTER (n > 0) AS supported_peaks, round(avg((n > 0)::DOUBLE), 6) AS supported_fraction, round(sum(CASE WHEN n > 0 THEN y ELSE 0 END) / nullif(sum(y), 0), 6) AS intensity_coverage,
     round(avg((n = 0)::DOUBLE), 6) AS zero_fraction, round(avg((n = 1)::DOUBLE), 6) AS one_fraction, round(avg((n >= 2)::DOUBLE), 6) AS many_fraction, round(avg(n), 6) AS candidates_mean, quantile_cont(n, 0.5)::DOUBLE AS candidates_p50,
     round(quantile_cont(n, 0.9), 6) AS candidates_p90, round(quantile_cont(n, 0.99), 6) AS candidates_p99, max(n) AS candidates_max FROM sp GROUP BY dp"""))
 def peak_block(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.peak_support(views.supervision(spark, d)).groupBy(F.col("dp").cast("int").alias("dp")).agg(*analysis.peak_block())
+    out = analysis.peak_block(analysis.peak_support(views.supervision(spark, d, *views.PEAKS, *views.EDGES)).withColumn("dp", F.col("dp").cast("int")), ("dp",))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -106,7 +108,7 @@ def peak_block(spark: SparkSession, d: str) -> DataFrame:
       round(quantile_cont(k, 0.5), 6) AS unique_p50, round(quantile_cont(k, 0.9), 6) AS unique_p90, round(quantile_cont(k, 0.99), 6) AS unique_p99, max(k)::INT AS unique_max,
       """ + ", ".join(f"round(avg((k <= {t})::DOUBLE), 6) AS unique_le_{t}" for t in analysis.THRESHOLDS) + " FROM g GROUP BY ALL"))
 def audit_strata(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.strata_by_spectrum(views.shared(spark, d))
+    out = analysis.strata_by_spectrum(views.shared(spark, d, "instrument", "adduct", "fold", "candidate_neutral_formula", *views.PEAKS, *views.EDGES))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -121,7 +123,7 @@ _DOUBLES = ("l1", "kept_l1", "energy", "kept_energy")
 
 @query(sql("s pk ed", _SLOT_DIAGNOSTICS + " SELECT * REPLACE (" + ", ".join(f"round(ln(1 + {c}), 7) AS {c}" for c in _DOUBLES) + ") FROM dg"))
 def slot_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.slot_diagnostics(views.shared(spark, d))
+    out = analysis.slot_diagnostics(views.shared(spark, d, "candidate_neutral_formula", "supervision_mask", *views.RANK, *views.PEAKS, *views.EDGES))
     return out.select(*[F.round(F.log1p(c), 7).alias(c) if c in _DOUBLES else F.col(c) for c in out.columns])
 
 
@@ -131,7 +133,7 @@ def slot_diagnostics(spark: SparkSession, d: str) -> DataFrame:
       sum(candidates)::BIGINT AS candidates, sum(edges)::BIGINT AS edges, sum(reused)::BIGINT AS reused, round(sum(reused) / nullif(sum(candidates), 0), 6) AS reused_fraction, sum(unique_peaks)::BIGINT AS unique_peaks, sum(ambiguous_peaks)::BIGINT AS ambiguous_peaks,
       sum(unsupported_peaks)::BIGINT AS unsupported_peaks, sum(low_precision)::BIGINT AS low_precision, count(*) FILTER (energy = 0) AS zero_energy FROM x"""))
 def slot_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.summarise_slots(analysis.slot_diagnostics(views.shared(spark, d)))
+    out = analysis.summarise_slots(analysis.slot_diagnostics(views.shared(spark, d, "candidate_neutral_formula", "supervision_mask", *views.RANK, *views.PEAKS, *views.EDGES)))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -140,25 +142,25 @@ def slot_summary(spark: SparkSession, d: str) -> DataFrame:
       coalesce(sum(n) FILTER (z), 0)::BIGINT AS zero_target_peaks, count(*) FILTER (NOT z) AS rows_left
     FROM (SELECT len(list_filter(supervision_rank, lambda r: r BETWEEN 0 AND 63)) = 0 AS z, len(mzs) AS n, coalesce(list_sum(list_filter(intensities::DOUBLE[], lambda y: y IS NOT NULL AND NOT isnan(y))), 0) AS y FROM s)"""))
 def zero_targets(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.zero_targets(views.supervision(spark, d))
+    out = analysis.zero_targets(views.supervision(spark, d, "mzs", "intensities", *views.RANK))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @query(sql("s pk tr", "SELECT spectrum_uid, CAST(peak_index AS INTEGER) AS peak_index, round(t, 6) AS t FROM tr"))
 def intensity_transform(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.transformed(long.peaks(views.supervision(spark, d))).select("spectrum_uid", "peak_index", F.round("t", 6).alias("t"))
+    return metrics.transformed(long.peaks(views.supervision(spark, d, *views.PEAKS))).select("spectrum_uid", "peak_index", F.round("t", 6).alias("t"))
 
 
 @query(sql("s pk", f"SELECT space, count(*) AS n, round(sum(pow(greatest(y, 0), o_pow)), 2) AS total FROM pk, {_SPACES} GROUP BY space"))
 def intensity_spaces(spark: SparkSession, d: str) -> DataFrame:
-    spread = metrics.in_four_spaces(long.peaks(views.supervision(spark, d)), "y", "observation")
+    spread = metrics.in_four_spaces(long.peaks(views.supervision(spark, d, *views.PEAKS)), "y", "observation")
     return spread.groupBy("space").agg(F.count("*").alias("n"), F.round(F.sum("y"), 2).alias("total"))
 
 
 @query(sql("s pk", f"SELECT spectrum_uid, bin, round(sum(y), 4) AS total, max(y) AS greatest FROM (SELECT *, {_BIN.format('mz')} AS bin FROM pk) WHERE bin BETWEEN 0 AND 14999 GROUP BY ALL HAVING max(y) > 0"))
 def peak_bins(spark: SparkSession, d: str) -> DataFrame:
     """Sum-pooled and max-pooled bins of every spectrum."""
-    p = long.peaks(views.supervision(spark, d))
+    p = long.peaks(views.supervision(spark, d, *views.PEAKS))
     sums = metrics.sum_bins(p, ["spectrum_uid"]).withColumnRenamed("v", "total")
     return metrics.bin_observation(p, ["spectrum_uid"]).withColumnRenamed("v", "greatest").join(sums, ["spectrum_uid", "bin"]).select("spectrum_uid", "bin", F.round("total", 4).alias("total"), "greatest")
 

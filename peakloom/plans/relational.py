@@ -102,7 +102,7 @@ def limit_parents(spark: SparkSession, d: str) -> DataFrame:
     SELECT spectrum_uid, fold FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY (concat('0x', substr(sha256(parent_spec), 1, 16))::UBIGINT % 64)::INT, parent_spec, collision_index) AS r FROM s)
     WHERE r <= CASE fold WHEN 'train' THEN 250 WHEN 'valid' THEN 251 ELSE 0 END"""))
 def fold_budget(spark: SparkSession, d: str) -> DataFrame:
-    df = views.supervision(spark, d).withColumn("shard", scalar.shard_of("parent_spec"))
+    df = views.supervision(spark, d, "fold", "parent_spec", "collision_index").withColumn("shard", scalar.shard_of("parent_spec"))
     return tables.fold_budget(df, 501).select("spectrum_uid", "fold")
 
 
@@ -127,8 +127,9 @@ def strata_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS value_p50, round(quantile_cont(value, 0.9), 6) AS value_p90, round(quantile_cont(value, 0.99), 6) AS value_p99, max(value) AS greatest FROM events GROUP BY 1")
 def percentile_stats(spark: SparkSession, d: str) -> DataFrame:
-    points = [F.round(F.percentile("value", F.lit(p)), 6).alias(f"value_p{round(p * 100)}") for p in (0.5, 0.9, 0.99)]
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), *points, F.max("value").alias("greatest"))
+    wanted = quantiles.percentiles("value", (0.5, 0.9, 0.99), "value")
+    out = quantiles.aggregate(table(spark, d, "events"), ("event_type",), [F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("greatest")], wanted, reread=True)
+    return out.select("event_type", "n", "greatest", *[F.round(c, 6).alias(c) for c in ("mean", "value_p50", "value_p90", "value_p99")])
 
 
 @query(sql("s pk", """
@@ -136,7 +137,7 @@ def percentile_stats(spark: SparkSession, d: str) -> DataFrame:
     FROM pk, (VALUES (0.1), (0.5), (0.9), (0.99)) AS t(point) GROUP BY point"""))
 def exact_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Quantiles of all peaks' intensities without gathering them in one task."""
-    out = quantiles.exact_quantiles(long.peaks(views.supervision(spark, d)), "y", (0.1, 0.5, 0.9, 0.99))
+    out = quantiles.exact_quantiles(long.peaks(views.supervision(spark, d, *views.PEAKS)), "y", (0.1, 0.5, 0.9, 0.99))
     return out.select("point", F.round("value", 6).alias("value"))
 
 
@@ -169,7 +170,7 @@ def nearest_peak(spark: SparkSession, d: str) -> DataFrame:
     """Distance of the precursor m/z to the nearest observed peak."""
     from peakloom.operators import match
 
-    return views.supervision(spark, d).select("spectrum_uid", "precursor_mz", F.round(match.nearest_value(F.col("precursor_mz"), F.col("mzs")), 6).alias("gap"))
+    return views.supervision(spark, d, "precursor_mz", "mzs").select("spectrum_uid", "precursor_mz", F.round(match.nearest_value(F.col("precursor_mz"), F.col("mzs")), 6).alias("gap"))
 
 
 @query("""SELECT 'union_all' AS op, count(*) AS n FROM (SELECT o_custkey FROM orders UNION ALL SELECT c_custkey FROM customer) UNION ALL SELECT 'union', count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)
@@ -218,7 +219,7 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("s", "SELECT count(*) AS shared, count(*) FILTER (candidate_neutral_formula IS NOT DISTINCT FROM candidate_neutral_formula) AS identical, 0.0::DOUBLE AS max_difference FROM s"))
 def reproducibility(spark: SparkSession, d: str) -> DataFrame:
     """Two computations of one prediction set: equal identities, no intensity difference."""
-    one = views.supervision(spark, d).select("spectrum_uid", F.col("candidate_neutral_formula").alias("predicted_formulas"), F.col("candidate_ion_state").alias("predicted_ion_states"), F.col("candidate_theoretical_mz").alias("predicted_intensities"))
+    one = views.supervision(spark, d, *views.CANDIDATES).select("spectrum_uid", F.col("candidate_neutral_formula").alias("predicted_formulas"), F.col("candidate_ion_state").alias("predicted_ion_states"), F.col("candidate_theoretical_mz").alias("predicted_intensities"))
     two = one.repartition(7, "spectrum_uid")
     return compare.compare_predictions(one, two)
 
@@ -270,7 +271,7 @@ def batch_shares(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'longest_smiles', arg_min(spectrum_uid, (-coalesce(chars, -1), spectrum_uid)) FROM c"""))
 def stress_picks(spark: SparkSession, d: str) -> DataFrame:
     """The most extreme spectrum by each criterion, one aggregation."""
-    df = views.supervision(spark, d)
+    df = views.supervision(spark, d, "mzs", "smiles", "candidate_neutral_formula")
     scores = {"most_peaks": F.greatest(F.size("mzs"), F.lit(0)), "most_candidates": F.greatest(F.size("candidate_neutral_formula"), F.lit(0)), "longest_smiles": F.coalesce(F.length("smiles"), F.lit(-1))}
     wide = df.agg(*[F.min_by("spectrum_uid", F.struct((-v).alias("v"), "spectrum_uid")).alias(n) for n, v in scores.items()])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("pick"), F.col(n).alias("spectrum_uid")) for n in scores])).alias("p")).select("p.*")
@@ -279,7 +280,7 @@ def stress_picks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def batch_pack(spark: SparkSession, d: str) -> DataFrame:
     """Budgeted batches of all spectra; tokens are taken as a quarter of the conditioning text's characters."""
-    costs = analysis.cost_table(views.supervision(spark, d)).select("spectrum_uid", (F.col("peaks") * 4 + 32).alias("tokens"), F.col("linked").alias("candidates"), "element_steps")
+    costs = analysis.cost_table(views.supervision(spark, d, "formula", "mzs", "edge_peak_index", *views.RANK)).select("spectrum_uid", (F.col("peaks") * 4 + 32).alias("tokens"), F.col("linked").alias("candidates"), "element_steps")
     return batch.plan_batches(costs, max_tokens=8192, max_candidates=1024)
 
 
@@ -290,13 +291,13 @@ def batch_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def batch_workload(spark: SparkSession, d: str) -> DataFrame:
-    costs = analysis.cost_table(views.supervision(spark, d)).select("spectrum_uid", (F.col("peaks") * 4 + 32).alias("tokens"), F.col("linked").alias("candidates"), "element_steps")
+    costs = analysis.cost_table(views.supervision(spark, d, "formula", "mzs", "edge_peak_index", *views.RANK)).select("spectrum_uid", (F.col("peaks") * 4 + 32).alias("tokens"), F.col("linked").alias("candidates"), "element_steps")
     return batch.workload(batch.plan_batches(costs, max_tokens=8192, max_candidates=1024), costs)
 
 
 @query(sql("s pk", "SELECT spectrum_uid, CAST(arg_max(peak_index, (y, -mz, -peak_index)) AS INTEGER) AS peak_index, max(y) AS y FROM pk GROUP BY 1"))
 def base_peak(spark: SparkSession, d: str) -> DataFrame:
-    p = long.peaks(views.supervision(spark, d))
+    p = long.peaks(views.supervision(spark, d, *views.PEAKS))
     return p.groupBy("spectrum_uid").agg(F.max_by("peak_index", F.struct("y", -F.col("mz"), -F.col("peak_index"))).alias("peak_index"), F.max("y").alias("y"))
 
 

@@ -42,7 +42,7 @@ def chunked_log_sum_exp(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(_SC, "SELECT uid, CAST(slot AS INTEGER) AS slot, target, round(ln(sum(exp(log_prob)) + 1e-30), 6) AS bag_log_prob FROM sc JOIN me USING (uid, candidate_index) GROUP BY ALL"))
 def bag_log_probability(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, *views.CANDIDATES, *views.EDGES, *views.RANK)
     return scores.bag_log_probability(views.scores(df), views.members(df)).select("uid", "slot", "target", F.round("bag_log_prob", 6).alias("bag_log_prob"))
 
 
@@ -51,14 +51,14 @@ def bag_log_probability(spark: SparkSession, d: str) -> DataFrame:
     SELECT uid, CAST(slot AS INTEGER) AS slot, target, round(-lp + 0.25 * CASE WHEN abs(x) <= 1 THEN x * x / 2 ELSE abs(x) - 0.5 END, 8) AS cost
     FROM (SELECT b.*, sl.presence * sl.intensity - tg.t AS x FROM b JOIN sl USING (uid, slot) JOIN tg USING (uid, target))"""))
 def matching_costs(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, *views.SCORES)
     costs = scores.matching_costs(views.scores(df), views.members(df), views.slots(df), views.targets(df))
     return costs.withColumn("cost", F.round("cost", 8))
 
 
 @query()
 def hungarian(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, *views.SCORES)
     return assign.assign(scores.matching_costs(views.scores(df), views.members(df), views.slots(df), views.targets(df)))
 
 
@@ -70,22 +70,30 @@ def diagnostics(df: DataFrame) -> DataFrame:
 
 @query()
 def max_matching(spark: SparkSession, d: str) -> DataFrame:
-    return diagnostics(views.shared(spark, d))
+    return diagnostics(views.shared(spark, d, *views.SCORES))
 
 
 @query()
 def fragment_summary(spark: SparkSession, d: str) -> DataFrame:
-    return assign.summarise_fragments(diagnostics(views.shared(spark, d)))
+    return assign.summarise_fragments(diagnostics(views.shared(spark, d, *views.SCORES)))
 
 
 @query(sql("s ca ed le", "SELECT DISTINCT le.spectrum_uid, target, formula, ion_state FROM le JOIN ca USING (spectrum_uid, candidate_index)"))
 def target_bags(spark: SparkSession, d: str) -> DataFrame:
-    return long.bags(views.shared(spark, d))
+    return long.bags(views.shared(spark, d, *views.CANDIDATES, *views.EDGES, *views.RANK))
 
 
 @query(sql(_ASG, f"WITH {_MB} SELECT uid, CAST(slot AS INTEGER) AS slot, target, cardinality, round(bag_nll, 6) + 0.0 AS bag_nll, round(exp(-bag_nll), 6) AS bag_mass, round(best_in_bag, 6) + 0.0 AS best_in_bag, argmax_in_bag FROM mb"))
 def matched_bags(spark: SparkSession, d: str) -> DataFrame:
-    out = matched(views.shared(spark, d))
+    out = matched(views.shared(spark, d, *views.SCORES))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query(sql(_ASG, f"""WITH {_MB}, q AS (SELECT unnest(list_filter(['all', CASE WHEN cardinality = 1 THEN 'unique' END, CASE WHEN cardinality >= 2 THEN 'ambiguous' END], lambda x: x IS NOT NULL)) AS grp, * FROM mb)
+    SELECT grp, count(*) AS pairs, round(avg(argmax_in_bag::DOUBLE), 6) AS argmax_in_bag, round(avg(exp(-bag_nll)), 6) AS bag_mass, round(avg(best_in_bag), 6) AS best_in_bag FROM q GROUP BY grp"""))
+def identity_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy identities of all, unique and ambiguous bags."""
+    out = scores.identity_metrics(matched(views.shared(spark, d, *views.SCORES)))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -98,7 +106,7 @@ _STRATA += [f"'targets_{lo}_{hi:g}' FROM q WHERE targets >= {lo} AND targets < {
     g AS ({" UNION ALL ".join(f"SELECT bag_nll, bag_mass, {x}" for x in _STRATA)})
     SELECT stratum, count(*) AS pairs, round(avg(bag_nll), 6) AS nll_mean, round(exp(-avg(bag_nll)), 6) AS geometric_mass, round(avg(bag_mass), 6) AS arithmetic_mass, round(median(bag_mass), 6) AS median_mass FROM g GROUP BY stratum"""))
 def bag_strata(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, "precursor_mz", *views.SCORES)
     counted = views.targets(df).groupBy("uid").agg(F.count("*").alias("targets"))
     pairs = matched(df).join(df.select(F.col("spectrum_uid").alias("uid"), "precursor_mz"), "uid").join(counted, "uid")
     out = analysis.bag_strata(pairs)
@@ -107,8 +115,8 @@ def bag_strata(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(_ASG, f"WITH {_MB}, q AS (SELECT best_in_bag, log_prob AS free FROM mb JOIN sc ON sc.uid = mb.uid AND sc.slot = mb.slot AND sc.candidate_index = mb.slot) SELECT count(*) AS pairs, round(avg(best_in_bag - free), 6) AS mean_margin, round(avg((free > best_in_bag)::DOUBLE), 6) AS free_beats_bag FROM q"))
 def margins(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
-    free = views.scores(df).where("candidate_index = slot").select("uid", "slot", F.col("log_prob").alias("free_log_prob"))
+    df = views.shared(spark, d, *views.SCORES)
+    free = views.scores(df).select("uid", "slot", F.get(F.col("log_probs"), F.col("slot")).alias("free_log_prob"))
     out = analysis.margins(matched(df).join(free, ["uid", "slot"]))
     return out.select("pairs", F.round("mean_margin", 6).alias("mean_margin"), F.round("free_beats_bag", 6).alias("free_beats_bag"))
 
@@ -117,7 +125,7 @@ def margins(spark: SparkSession, d: str) -> DataFrame:
     WITH l AS (SELECT presence * 6.0 - 3.0 AS x, asg.slot IS NOT NULL AS p FROM sl LEFT JOIN asg USING (uid, slot)), e AS (SELECT p, greatest(x, 0) + ln(1 + exp(-abs(x))) - CASE WHEN p THEN x ELSE 0 END AS v FROM l)
     SELECT round(avg(v) FILTER (p), 6) AS pos, round(avg(v) FILTER (NOT p), 6) AS neg, round((avg(v) FILTER (p) + avg(v) FILTER (NOT p)) / 2, 6) AS presence_loss, count(*) AS slots FROM e"""))
 def balanced_bce(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, *views.PEAKS, *views.CANDIDATES, *views.RANK)
     on = views.assignment(df).select("uid", "slot", F.lit(True).alias("on"))
     out = scores.balanced_bce(views.slots(df).join(on, ["uid", "slot"], "left"), "presence_logit", F.coalesce(F.col("on"), F.lit(False)))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
@@ -136,7 +144,7 @@ def assigned(df: DataFrame) -> DataFrame:
       round(coalesce(sum(i * t) / nullif(sqrt(sum(i * i)) * sqrt(sum(t * t)), 0), 0), 6) AS forced, round(coalesce(sum(c * t) / nullif(sqrt(sum(c * c)) * sqrt(sum(t * t)), 0), 0), 6) AS gated FROM j GROUP BY uid"""))
 def spectrum_cosine_loss(spark: SparkSession, d: str) -> DataFrame:
     """The loss of every spectrum and what limits its cosine."""
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, *views.PEAKS, *views.CANDIDATES, *views.RANK)
     rank = long.explode_lists(df, "spectrum_uid", "peak_index", {"supervision_rank": "rank"})
     p = metrics.transformed(long.peaks(df)).join(rank, ["spectrum_uid", "peak_index"], "left")
     p = p.select(F.col("spectrum_uid").alias("uid"), "peak_index", "t", F.coalesce(F.col("rank").between(0, 63), F.lit(False)).alias("selected"))
@@ -147,7 +155,7 @@ def spectrum_cosine_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("s ca sl", "SELECT uid, formula, ion_state, round(sum(presence * intensity), 6) AS weight, count(*) AS slots, CAST(arg_max(slot, (presence * intensity, -slot)) AS INTEGER) AS slot FROM sl WHERE formula <> '' GROUP BY ALL"))
 def identity_merge(spark: SparkSession, d: str) -> DataFrame:
-    out = analysis.merge_identities(views.slots(views.shared(spark, d)))
+    out = analysis.merge_identities(views.slots(views.shared(spark, d, *views.CANDIDATES)))
     return out.select("uid", "formula", "ion_state", F.round("weight", 6).alias("weight"), "slots", "slot")
 
 
@@ -155,7 +163,7 @@ def identity_merge(spark: SparkSession, d: str) -> DataFrame:
     WITH m AS (SELECT uid, formula, ion_state, sum(presence * intensity) AS weight FROM sl WHERE formula <> '' AND presence >= 0.5 GROUP BY ALL)
     SELECT uid, formula, ion_state, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY uid ORDER BY formula, ion_state) - 1 AS INTEGER) AS place FROM m"""))
 def render(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.render(views.slots(views.shared(spark, d))).select("uid", "formula", "ion_state", F.round("weight", 6).alias("weight"), "place")
+    return analysis.render(views.slots(views.shared(spark, d, *views.CANDIDATES))).select("uid", "formula", "ion_state", F.round("weight", 6).alias("weight"), "place")
 
 
 def classified(df: DataFrame) -> DataFrame:
@@ -178,7 +186,7 @@ _COUNTS = """cnt AS (SELECT f AS formula, symbol, sum(CASE WHEN n = '' THEN 1 EL
 @query(sql("s ca sl", f"WITH {_COUNTS} SELECT category, CASE WHEN precursor_mz < 200 THEN '[0,200)' WHEN precursor_mz < 300 THEN '[200,300)' WHEN precursor_mz < 400 THEN '[300,400)' WHEN precursor_mz < 600 THEN '[400,600)' WHEN precursor_mz >= 600 THEN '>=600' END AS bucket, count(*) AS n FROM cls JOIN s ON spectrum_uid = uid GROUP BY ALL").replace("near[1]", "near[1]"))
 def identity_errors(spark: SparkSession, d: str) -> DataFrame:
     """Categories of predicted identities by precursor mass."""
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, "precursor_mz", *views.CANDIDATES)
     joined = classified(df).join(df.select(F.col("spectrum_uid").alias("uid"), "precursor_mz"), "uid")
     return joined.groupBy("category", scalar.mass_bucket("precursor_mz").alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -187,14 +195,14 @@ def identity_errors(spark: SparkSession, d: str) -> DataFrame:
     WITH hit AS (SELECT DISTINCT uid, formula, ion_state FROM sl), cov AS (SELECT DISTINCT ed.spectrum_uid, peak_index FROM ed JOIN ca USING (spectrum_uid, candidate_index) JOIN hit ON hit.uid = ed.spectrum_uid AND hit.formula = ca.formula AND hit.ion_state = ca.ion_state)
     SELECT round(sum(y) FILTER (cov.peak_index IS NOT NULL) / sum(y), 9) AS share FROM pk LEFT JOIN cov ON cov.spectrum_uid = pk.spectrum_uid AND cov.peak_index = pk.peak_index"""))
 def covered_union(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, *views.PEAKS, *views.CANDIDATES, *views.EDGES)
     hits = views.slots(df).select(F.col("uid").alias("spectrum_uid"), "formula", "ion_state")
     return analysis.covered_intensity(df, hits).select(F.round("share", 9).alias("share"))
 
 
 @query(sql("s ca ed", "SELECT formula, count(*) AS n FROM (SELECT DISTINCT spectrum_uid, candidate_index FROM ed) JOIN ca USING (spectrum_uid, candidate_index) WHERE formula IS NOT NULL GROUP BY formula"))
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.train_vocabulary(views.shared(spark, d))[0]
+    return analysis.train_vocabulary(views.shared(spark, d, "formula", *views.CANDIDATES, *views.EDGES))[0]
 
 
 @query(sql("s ca ed sl", """
@@ -206,7 +214,7 @@ def vocab_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seen(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, "formula", *views.CANDIDATES, *views.EDGES)
     fragments, losses = analysis.train_vocabulary(df)
     true = long.candidates(df).select(F.col("spectrum_uid").alias("uid"), "formula", "ion_state", F.lit("hit").alias("grp")).distinct()
     p = views.slots(df).join(true, ["uid", "formula", "ion_state"], "left").join(df.select(F.col("spectrum_uid").alias("uid"), F.col("formula").alias("precursor")), "uid")
@@ -243,7 +251,7 @@ def seen_rates(spark: SparkSession, d: str) -> DataFrame:
     SELECT grp, count(*) AS n, round(avg(a::INT), 9) AS negative_rdbe, round(avg(b::INT), 9) AS hydrogen_excess, round(avg(c::INT), 9) AS above_precursor, round(avg((a OR b)::INT), 9) AS hard, round(avg((a OR b OR c)::INT), 9) AS "any" FROM q GROUP BY grp"""))
 def valence_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often predictions and candidates break a valence rule."""
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, "formula", *views.CANDIDATES)
     precursor = df.select(F.col("spectrum_uid").alias("uid"), chem.parse_formula("formula").alias("precursor"))
     named = classified(df).select("uid", "formula", F.when(F.col("category") == "hit", "hit").otherwise("miss").alias("grp"))
     named = named.unionByName(long.candidates(df).select(F.col("spectrum_uid").alias("uid"), "formula", F.lit("candidate").alias("grp")))
@@ -262,7 +270,7 @@ def miss_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Distance of missed predictions' m/z to the nearest observed peak."""
     from peakloom.operators import match
 
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, "mzs", *views.CANDIDATES)
     mz = chem.mass(chem.parse_formula("formula")) + chem.channel_offset("ion_state")
     missed = classified(df).where("NOT exact").withColumn("mz", mz).join(df.select(F.col("spectrum_uid").alias("uid"), "mzs"), "uid")
     out = analysis.gap_summary(missed.withColumn("gap", match.nearest_value(F.col("mz"), F.col("mzs"))))
@@ -276,22 +284,6 @@ def conditions(df: DataFrame) -> DataFrame:
     return analysis.counterfactuals(views.slots(df), oracle.select("uid", "slot", "o_formula", "o_ion", "y", "t"))
 
 
-@query()
-def counterfactuals(spark: SparkSession, d: str) -> DataFrame:
-    """Cosines of the eight conditions in two spaces, wide: one row per spectrum."""
-    df = views.shared(spark, d)
-    observed = long.peaks(df).withColumnRenamed("spectrum_uid", "uid")
-    predicted = metrics.bin_prediction(conditions(df), ["uid", "condition"], y="weight")
-    out = None
-    for space in scalar.SPACES:
-        bins = metrics.bin_observation(observed.withColumn("w", scalar.observation_in_space("y", space)), ["uid"], y="w")
-        one = metrics.cosines(predicted, bins, ["uid", "condition"], (100,), ["uid"]).select("uid", F.concat(F.lit("cos100_"), "condition", F.lit(f"_{space}")).alias("name"), "cos_at_100")
-        out = one if out is None else out.unionByName(one)
-    names = [f"cos100_{c}_{s}" for c in analysis.CONDITIONS for s in scalar.SPACES]
-    wide = out.groupBy("uid").pivot("name", names).agg(F.first("cos_at_100"))
-    return wide.select("uid", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
-
-
 _MIXED_FORMULA = "CASE WHEN om IS NULL THEN pm + pi ELSE om + coalesce(CASE WHEN pm IS NOT NULL THEN pi END, oi) END"
 _CONDITIONS = {
     "all_predicted": ("active", "pm + pi", "c"), "oracle_identity_predicted_weights": ("active", "coalesce(om + oi, pm + pi)", "c"), "predicted_identity_oracle_weights": ("active AND matched AND same", "pm + pi", "y"),
@@ -309,8 +301,42 @@ _CONDITIONS = {
     cf AS ({" UNION ALL ".join(f"SELECT '{n}' AS condition, {mz} AS mz, {w} AS weight FROM dd WHERE {on}" for n, (on, mz, w) in _CONDITIONS.items())})
     SELECT condition, count(*) AS peaks, round(sum(mz), 2) AS mz_sum, round(avg(ln(weight)), 6) AS log_weight FROM cf WHERE mz IS NOT NULL AND weight > 0 GROUP BY condition"""))
 def counterfactual_peaks(spark: SparkSession, d: str) -> DataFrame:
-    made = conditions(views.shared(spark, d))
-    return made.groupBy("condition").agg(F.count("*").alias("peaks"), F.round(F.sum("mz"), 2).alias("mz_sum"), F.round(F.avg(F.log("weight")), 6).alias("log_weight"))
+    made = conditions(views.shared(spark, d, *views.SCORES))
+    entries = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("condition"), F.col(c).alias("weight"))) for c in analysis.CONDITIONS]
+    each = made.select("mz", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("mz", "e.*")
+    return each.groupBy("condition").agg(F.count("*").alias("peaks"), F.round(F.sum("mz"), 2).alias("mz_sum"), F.round(F.avg(F.log("weight")), 6).alias("log_weight"))
+
+
+_COND = """dd AS (SELECT sl.uid, presence * intensity AS c, presence >= 0.5 AS active, y IS NOT NULL AS matched, y, t, a.mass AS pm, b.mass AS om, x.delta AS pi, z.delta AS oi, sl.formula = o_formula AND sl.ion_state = o_ion AS same
+           FROM sl LEFT JOIN ol ON ol.uid = sl.uid AND ol.slot = sl.slot LEFT JOIN ms a ON a.formula = sl.formula LEFT JOIN ms b ON b.formula = o_formula LEFT JOIN ch x ON x.ion_state = sl.ion_state LEFT JOIN ch z ON z.ion_state = o_ion)"""
+_BIN = "CAST(floor(mz * (14999 / 1500.0::DOUBLE)) + 1 AS INTEGER)"
+_FOUR = ", ".join(f"('{n}', {o}::DOUBLE, {p}::DOUBLE)" for n, o, p in scalar.FOUR_SPACES)
+_COUNTERFACTUALS = f"""WITH {_COUNTS}, ms AS (SELECT formula, sum(n * mass) AS mass FROM cnt LEFT JOIN el USING (symbol) GROUP BY formula HAVING count(*) = count(mass)),
+    fc AS (SELECT uid, target, min(candidate_index) AS candidate_index FROM me GROUP BY ALL),
+    ol AS (SELECT asg.uid, asg.slot, ca.formula AS o_formula, ca.ion_state AS o_ion, tg.y, tg.t FROM asg JOIN tg ON tg.uid = asg.uid AND tg.target = asg.target LEFT JOIN fc ON fc.uid = asg.uid AND fc.target = asg.target
+           LEFT JOIN ca ON ca.spectrum_uid = asg.uid AND ca.candidate_index = fc.candidate_index),
+    {_COND},
+    cf AS ({" UNION ALL ".join(f"SELECT uid, '{n}' AS condition, {mz} AS mz, {w} AS w FROM dd WHERE {on}" for n, (on, mz, w) in _CONDITIONS.items())}),
+    sp AS (SELECT * FROM (VALUES {_FOUR}) AS v(space, o_pow, p_pow)),
+    pb AS (SELECT uid, condition, space, {_BIN} AS bin, sum(pow(w, p_pow)) AS v FROM cf, sp WHERE mz IS NOT NULL AND w > 0 AND {_BIN} BETWEEN 0 AND 14999 GROUP BY ALL),
+    pn AS (SELECT * REPLACE (v / top AS v) FROM (SELECT *, max(v) OVER (PARTITION BY uid, condition, space) AS top FROM pb) WHERE v / top >= 1e-5),
+    pp AS (SELECT *, row_number() OVER (PARTITION BY uid, condition, space ORDER BY round(v, 12) DESC, bin) AS place FROM pn),
+    ob AS (SELECT spectrum_uid AS uid, space, bin, max(o) AS o FROM (SELECT spectrum_uid, space, pow(greatest(y, 0), o_pow) AS o, {_BIN} AS bin FROM pk, sp) WHERE bin BETWEEN 0 AND 14999 GROUP BY ALL),
+    nr AS (SELECT uid, space, sqrt(sum(o * o)) AS n FROM ob GROUP BY ALL),
+    cs AS (SELECT pp.uid, condition, pp.space, {", ".join(f"coalesce(sum(v * coalesce(o, 0)) FILTER (place <= {k}) / nullif(sqrt(sum(v * v) FILTER (place <= {k})) * max(n), 0), 0) AS c{k}" for k in (20, 100))}
+           FROM pp LEFT JOIN ob ON ob.uid = pp.uid AND ob.space = pp.space AND ob.bin = pp.bin LEFT JOIN nr ON nr.uid = pp.uid AND nr.space = pp.space GROUP BY ALL)
+    SELECT uid, {", ".join(f"round(coalesce(max(c{k}) FILTER (condition = '{c}' AND space = '{n}'), 0), 5) AS {c}_cos_at_{k}_{n}" for c in analysis.CONDITIONS for n, _, _ in scalar.FOUR_SPACES for k in (20, 100))} FROM cs GROUP BY uid"""
+
+
+@query(sql("s pk tr tg ca sl ed le me asg el ch", _COUNTERFACTUALS))
+def counterfactuals(spark: SparkSession, d: str) -> DataFrame:
+    """Cosines at 20 and 100 of the eight conditions in four spaces, wide: one row per spectrum with a prediction."""
+    df = views.shared(spark, d, *views.SCORES)
+    observed = long.peaks(df).withColumnRenamed("spectrum_uid", "uid")
+    scored = metrics.grid_cosines(observed, conditions(df), "uid", analysis.CONDITIONS, scalar.TOP_K, scalar.FOUR_SPACES)
+    measures = [f"cos_at_{k}_{n}" for n, _, _ in scalar.FOUR_SPACES for k in scalar.TOP_K]
+    wide = [F.round(F.coalesce(F.max(F.when(F.col("list") == c, F.col(m))), F.lit(0.0)), 5).alias(f"{c}_{m}") for c in analysis.CONDITIONS for m in measures]
+    return scored.groupBy("uid").agg(*wide)
 
 
 _AXIS = ", ".join(f"('{symbol}', {z})" for symbol, z in ELEMENTS.items())
@@ -322,7 +348,7 @@ _AXIS = ", ".join(f"('{symbol}', {z})" for symbol, z in ELEMENTS.items())
            LEFT JOIN cnt a ON a.formula = sl.formula AND a.symbol = ax.symbol LEFT JOIN cnt b ON b.formula = ca.formula AND b.symbol = ax.symbol)
     SELECT position::INT AS position, count(*) FILTER (p = o) AS correct, count(*) AS total, sum(abs(p - o))::BIGINT AS abs_error FROM q GROUP BY position"""))
 def element_agreement(spark: SparkSession, d: str) -> DataFrame:
-    df = views.shared(spark, d)
+    df = views.shared(spark, d, "formula", *views.CANDIDATES)
     true = long.candidates(df).select(F.col("spectrum_uid").alias("uid"), F.col("candidate_index").alias("slot"), F.col("formula").alias("o_formula"))
     pairs = views.slots(df).join(true, ["uid", "slot"]).join(df.select(F.col("spectrum_uid").alias("uid"), F.col("formula").alias("precursor")), "uid")
     return analysis.element_agreement(pairs)

@@ -6,34 +6,53 @@ arithmetic; the operators see the same relations as they would get from a model.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.functions.elements import MASSES
+from peakloom.functions import scalar
 from peakloom.operators import metrics
 from peakloom.operators import spectra as long
 from peakloom.session import cut, table
 
 
-def supervision(spark: SparkSession, d: str) -> DataFrame:
-    return long.distinct_spectra(table(spark, d, "fragment_supervision_v2"))
+#: Columns of the nested lists.
+PEAKS = ("mzs", "intensities", "mz_decimal_places")
+CANDIDATES = ("candidate_neutral_formula", "candidate_ion_state", "candidate_theoretical_mz")
+EDGES = ("edge_peak_index", "edge_candidate_index", "edge_error_ppm")
+RANK = ("supervision_rank",)
+SCORES = (*PEAKS, *CANDIDATES, *EDGES, *RANK)
 
 
-def shared(spark: SparkSession, d: str) -> DataFrame:
+def supervision(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The supervision table without its repeated rows; columns: those that the query needs, so that no other is read."""
+    df = table(spark, d, "fragment_supervision_v2")
+    return long.distinct_spectra(df.select("spectrum_uid", *columns) if columns else df)
+
+
+def shared(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """supervision for queries that read it in several branches: deduplicated once, then read from the checkpoint folder."""
-    return cut(supervision(spark, d))
+    return cut(supervision(spark, d, *columns))
+
+
+def slots(df: DataFrame, limit: int = scalar.SLOTS) -> DataFrame:
+    """(uid, slot, presence, presence_logit, intensity, contribution, formula, ion_state) of at most ``limit`` slots a spectrum.
 
+    A model has so many slots: the candidates of greatest presence fill them, ties go to the lower index. In the row: no shuffle.
+    """
+    zipped = F.arrays_zip(F.col("candidate_neutral_formula").alias("formula"), F.col("candidate_ion_state").alias("ion_state"))
 
-def slots(df: DataFrame) -> DataFrame:
-    """(uid, slot, presence, presence_logit, intensity, contribution, formula, ion_state, candidate_index)."""
-    c = long.candidates(df).where("formula <> '' AND ion_state IS NOT NULL")
-    i, n = F.col("candidate_index"), F.length("formula")
-    presence = ((i * 37 + n * 11) % 100) / F.lit(100.0)
+    def slot(c: Column, i: Column) -> Column:
+        presence = ((i * 37 + F.length(c["formula"]) * 11) % 100) / F.lit(100.0)
+        return F.struct((-presence).alias("order"), i.alias("slot"), c["formula"].alias("formula"), c["ion_state"].alias("ion_state"))
+
+    usable = F.filter(F.transform(zipped, slot), lambda s: (s["formula"] != "") & s["ion_state"].isNotNull())
+    c = df.select("spectrum_uid", F.explode(F.slice(F.array_sort(usable), 1, limit)).alias("s"))
+    i, presence = F.col("s.slot"), -F.col("s.order")
     intensity = ((i * 53 + 17) % 97) / F.lit(97.0)
-    formula = F.when(i % 4 == 3, F.concat("formula", F.lit("H"))).when(i % 7 == 5, F.concat("formula", F.lit("C"))).otherwise(F.col("formula"))
+    formula = F.when(i % 4 == 3, F.concat("s.formula", F.lit("H"))).when(i % 7 == 5, F.concat("s.formula", F.lit("C"))).otherwise(F.col("s.formula"))
     return c.select(
         F.col("spectrum_uid").alias("uid"), i.alias("slot"), presence.alias("presence"), (presence * 6.0 - 3.0).alias("presence_logit"), intensity.alias("intensity"),
-        (presence * intensity).alias("contribution"), formula.alias("formula"), "ion_state",
+        (presence * intensity).alias("contribution"), formula.alias("formula"), F.col("s.ion_state").alias("ion_state"),
     )
 
 
@@ -49,11 +68,13 @@ def members(df: DataFrame) -> DataFrame:
 
 
 def scores(df: DataFrame) -> DataFrame:
-    """(uid, slot, candidate_index, log_prob) of every slot and linked candidate."""
-    linked = members(df).select("uid", "candidate_index").distinct()
-    s, c = F.col("slot"), F.col("candidate_index")
-    log_prob = -((s * 7 + c * 3) % 11) / F.lit(4.0) - F.abs(s - c) / F.lit(8.0)
-    return slots(df).select("uid", "slot").join(linked, "uid").withColumn("log_prob", log_prob)
+    """(uid, slot, log_probs ARRAY<DOUBLE>) of every slot: one score per candidate index, as a model gives them."""
+    n = df.select(F.col("spectrum_uid").alias("uid"), F.greatest(F.size("candidate_neutral_formula"), F.lit(0)).alias("n"))
+
+    def log_prob(c: Column) -> Column:
+        return -((F.col("slot") * 7 + c * 3) % 11) / F.lit(4.0) - F.abs(F.col("slot") - c) / F.lit(8.0)
+
+    return slots(df).select("uid", "slot").join(n, "uid").select("uid", "slot", F.transform(F.sequence(F.lit(0), F.col("n") - 1), log_prob).alias("log_probs"))
 
 
 def assignment(df: DataFrame) -> DataFrame:
@@ -68,7 +89,31 @@ def lineitem_peaks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_MASSES = ", ".join(f"('{s}', {m!r}::DOUBLE)" for s, m in MASSES.items())
+# The isotopes of the SQL's own mass table, apart from the library's: symbol, mass number, millionths
+# of a mass unit beyond it.
+_ISOTOPES = """
+H 1 7825.03223; He 4 2603.25413; Li 7 16003.4366; Be 9 12183.065; B 11 9305.36; C 12 0; N 14 3074.00443;
+O 16 -5085.38043; F 19 -1596.83727; Ne 20 -7559.8238; Na 23 -10230.718; Mg 24 -14958.303; Al 27 -18461.47;
+Si 28 -23073.46535; P 31 -26238.00158; S 32 -27928.8256; Cl 35 -31147.318; Ar 40 -37616.8763; K 39 -36293.5136;
+Ca 40 -37409.137; Sc 45 -44091.72; Ti 48 -52058.02; V 51 -56042.96; Cr 52 -59493.77; Mn 55 -61956.09; Fe 56 -65063.67;
+Co 59 -66805.71; Ni 58 -64657.59; Cu 63 -70402.28; Zn 64 -70857.99; Ga 69 -74426.5; Ge 74 -78822.239; As 75 -78405.43;
+Se 80 -83478.2; Br 79 -81662.4; Kr 84 -88502.2718; Rb 85 -88210.2621; Sr 88 -94387.5; Y 89 -94159.7; Zr 90 -95302.3;
+Nb 93 -93627; Mo 98 -94595.18; Tc 98 -92787.6; Ru 102 -95655.9; Rh 103 -94502; Pd 106 -96519.6; Ag 107 -94908.4;
+Cd 114 -96634.91; In 115 -96121.224; Sn 120 -97798.37; Sb 121 -96188; Te 130 -93777.252; I 127 -95528.1;
+Xe 132 -95844.9144; Cs 133 -94548.039; Ba 138 -94753; La 139 -93643.7; Ce 140 -94556.9; Pr 141 -92342.4;
+Nd 142 -92271; Pm 145 -87244.1; Sm 152 -80260.3; Eu 153 -78762; Gd 158 -75887.7; Tb 159 -74645.3; Dy 164 -70818.1;
+Ho 165 -69671.2; Er 166 -69700.5; Tm 169 -65782.1; Yb 174 -61133.6; Lu 175 -59224.8; Hf 180 -53443; Ta 181 -52004.2;
+W 184 -49069.08; Re 187 -44249.9; Os 192 -38523; Ir 193 -37078.4; Pt 195 -35208.3; Au 197 -33431.21; Hg 202 -29356.6;
+Tl 205 -25572.2; Pb 208 -23347.5; Bi 209 -19600.9; Po 209 -17569.2; At 210 -12852.1; Rn 222 17578.2; Fr 223 19736;
+Ra 226 25410.3; Ac 227 27752.3; Th 232 38055.8; Pa 231 35884.2; U 238 50788.4; Np 237 48173.6; Pu 244 64205.3;
+Am 243 61381.3; Cm 247 70354.1; Bk 247 70307.3; Cf 251 79588.6; Es 252 82980; Fm 257 95106.1; Md 258 98431.5;
+No 259 101030; Lr 262 109610; Rf 267 121790; Db 268 125670; Sg 271 133930; Bh 272 138260; Hs 270 134290;
+Mt 276 151590; Ds 281 164510; Rg 280 165140; Cn 285 177120; Nh 284 178730; Fl 289 190420; Mc 288 192740;
+Lv 293 204490; Ts 292 207460; Og 294 213920
+"""
+_MASSES = ", ".join("('{}', {} + {} / 1e6::DOUBLE)".format(*row.split()) for row in _ISOTOPES.split(";"))
+#: Mass of an element in the SQL.
+OWN_MASS = {row.split()[0]: int(row.split()[1]) + float(row.split()[2]) / 1e6 for row in _ISOTOPES.split(";")}
 
 #: SQL of the views; ``sql`` puts the wanted ones before a query in this order.
 CTE = {
@@ -84,24 +129,26 @@ CTE = {
     "sl": """SELECT spectrum_uid AS uid, candidate_index AS slot, ((candidate_index * 37 + length(formula) * 11) % 100) / 100.0::DOUBLE AS presence,
                ((candidate_index * 53 + 17) % 97) / 97.0::DOUBLE AS intensity, ion_state,
                CASE WHEN candidate_index % 4 = 3 THEN formula || 'H' WHEN candidate_index % 7 = 5 THEN formula || 'C' ELSE formula END AS formula
-               FROM ca WHERE formula <> '' AND ion_state IS NOT NULL""",
+               FROM ca WHERE formula <> '' AND ion_state IS NOT NULL
+               QUALIFY row_number() OVER (PARTITION BY spectrum_uid ORDER BY (candidate_index * 37 + length(ca.formula) * 11) % 100 DESC, candidate_index) <= 64""",
     "tr": """SELECT *, sqrt(greatest(y, 0)) / (sqrt(sum(greatest(y, 0)) OVER (PARTITION BY spectrum_uid)) + 1e-12) AS t FROM pk""",
     "tg": "SELECT spectrum_uid AS uid, rank AS target, peak_index, y, t FROM tr WHERE rank BETWEEN 0 AND 63",
     "me": "SELECT DISTINCT spectrum_uid AS uid, target, candidate_index FROM le",
     "sc": """SELECT uid, slot, candidate_index, -((slot * 7 + candidate_index * 3) % 11) / 4.0::DOUBLE - abs(slot - candidate_index) / 8.0::DOUBLE AS log_prob
-               FROM sl JOIN (SELECT DISTINCT uid, candidate_index FROM me) USING (uid)""",
+               FROM sl JOIN (SELECT spectrum_uid AS uid, candidate_index FROM ca) USING (uid)""",
     "asg": "SELECT tg.uid, sl.slot, tg.target FROM tg JOIN sl ON tg.uid = sl.uid AND tg.target = sl.slot",
     "el": f"SELECT * FROM (VALUES {_MASSES}) AS v(symbol, mass)",
     "fo": """SELECT formula FROM (SELECT formula FROM spectra_v2 UNION SELECT unnest(candidate_neutral_formula) FROM fragment_supervision_v2)
                WHERE regexp_full_match(formula, '([A-Z][a-z]?(0*[1-9][0-9]*)?)+')""",
-    "ats": """SELECT formula, symbol, sum(CASE WHEN n = '' THEN 1 ELSE n::INT END)::INT AS n FROM
-               (SELECT formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) AS symbol, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) AS n FROM fo) GROUP BY ALL""",
-    "ok": "SELECT formula FROM ats LEFT JOIN el USING (symbol) GROUP BY formula HAVING count(*) = count(mass)",
-    "atoms": "SELECT ats.* FROM ats JOIN ok USING (formula)",
+    "ats": """SELECT formula, symbol, sum(CASE WHEN n = '' THEN 1 ELSE coalesce(try_cast(n AS BIGINT), 1e12) END)::BIGINT AS n FROM
+               (SELECT formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) AS symbol,
+                unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) AS n FROM fo) GROUP BY ALL""",
+    "ok": "SELECT formula FROM ats LEFT JOIN el USING (symbol) GROUP BY formula HAVING count(*) = count(mass) AND max(n) <= 1000000",
+    "atoms": "SELECT formula, symbol, n::INT AS n FROM ats JOIN ok USING (formula)",
     "fm": "SELECT formula, sum(n * mass) AS mass FROM atoms JOIN el USING (symbol) GROUP BY formula",
-    "ch": f"""SELECT * FROM (VALUES ('protonated', {1.00782503223 - 0.000548579909065!r}::DOUBLE), ('deprotonated', {-(1.00782503223 - 0.000548579909065)!r}::DOUBLE),
-               ('sodiated', {MASSES["Na"] - 0.000548579909065!r}::DOUBLE), ('potassiated', {MASSES["K"] - 0.000548579909065!r}::DOUBLE),
-               ('chloride_retained', {MASSES["Cl"] + 0.000548579909065!r}::DOUBLE)) AS v(ion_state, delta)""",
+    "ch": f"""SELECT * FROM (VALUES ('protonated', {OWN_MASS["H"] - 0.000548579909065!r}::DOUBLE), ('deprotonated', {0.000548579909065 - OWN_MASS["H"]!r}::DOUBLE),
+               ('sodiated', {OWN_MASS["Na"] - 0.000548579909065!r}::DOUBLE), ('potassiated', {OWN_MASS["K"] - 0.000548579909065!r}::DOUBLE),
+               ('chloride_retained', {OWN_MASS["Cl"] + 0.000548579909065!r}::DOUBLE)) AS v(ion_state, delta)""",
 }
 
 _NEEDS = {

@@ -1,21 +1,23 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.functions.elements import PROTON_MASS
+from peakloom.functions import scalar
+from peakloom.functions.elements import MASSES, PROTON_MASS
 from peakloom.operators import analysis, metrics
 
 FULL = """spectrum_uid STRING, fold STRING, formula STRING, adduct STRING, instrument STRING, mzs ARRAY<DOUBLE>, intensities ARRAY<FLOAT>, mz_decimal_places ARRAY<TINYINT>, supervision_mask ARRAY<BOOLEAN>,
 supervision_rank ARRAY<INT>, candidate_neutral_formula ARRAY<STRING>, candidate_ion_state ARRAY<STRING>, candidate_theoretical_mz ARRAY<DOUBLE>, edge_peak_index ARRAY<INT>, edge_candidate_index ARRAY<INT>, edge_error_ppm ARRAY<FLOAT>"""
-MZ, Y = [81.0699, 105.0699, 133.0648, 161.0597, 179.0703], [100.0, 9.0, 9.0, 9.0, 9.0]
+MZ, Y = [41.0141, 57.0335, 74.0237, 99.0441, 130.0499], [64.0, 25.0, 4.0, 9.0, 1.0]
+FORMULAS = ["C2HO", "C3H5O", "C3H6S", "C5H7O2"]
 
 
 @pytest.fixture(scope="module")
 def oracle_row(spark):
-    formulas = ["C3H4O", "C4H6O2", "C6H6O", "C7H6O2"]
-    row = ("u", "valid", "C9H10O3", "[M+H]+", "q", MZ, Y, [4] * 5, [True] * 3 + [False] * 2, [0, 1, 2, -1, -1], formulas, ["protonated"] * 4, [0.0] * 4, [0, 1, 2, 3], [0, 1, 2, 3], [0.0] * 4)
+    row = ("u", "valid", "C6H10O3S", "[M+H]+", "q", MZ, Y, [4] * 5, [True] * 3 + [False] * 2, [0, 1, 2, -1, -1], FORMULAS, ["protonated"] * 4, [0.0] * 4, [0, 1, 2, 3], [0, 1, 2, 3], [0.0] * 4)
     empty = ("none", "train", "C1", "[M+H]+", None, [], [], [], [], [], [], [], [], [], [], [])
     return spark.createDataFrame([row, empty], FULL)
 
@@ -68,28 +70,45 @@ def test_bins(spark):
     assert {r.bin for r in metrics.top_bins(tied, ["k"], 2).collect()} == {3, 4}
 
 
+def oracle_cosine(peaks, of_observation, of_weight):
+    """peaks: (observed m/z, intensity) and (m/z, weight) of the oracle, whose bins all differ."""
+    observed, predicted = peaks
+    o = {math.floor(m * (14999 / 1500)): y**of_observation for m, y in observed}
+    p = {math.floor(m * (14999 / 1500)): w**of_weight for m, w in predicted}
+    dot = sum(w * o.get(b, 0.0) for b, w in p.items())
+    return dot / math.sqrt(sum(x * x for x in o.values()) * sum(x * x for x in p.values()))
+
+
 def test_spaces_and_oracles(spark, oracle_row):
-    got = {(r.oracle, r.space): r.cos_at_100 for r in metrics.oracle_ceilings(oracle_row).collect()}
-    assert got[("peak_copy", "canonical_sqrt")] == pytest.approx(1.0) and got[("peak_copy", "raw_via_squared_prediction")] == pytest.approx(1.0)
-    assert got[("peak_copy", "legacy_raw")] == pytest.approx(0.935074704) and got[("peak_copy", "double_sqrt")] == pytest.approx(0.958101910)
-    assert got[("support_mask", "canonical_sqrt")] == pytest.approx(0.966345450)
-    rendered = {r.peak_index: r.mz for r in metrics.oracle_peaks(oracle_row).where("oracle = 'formula_rendered'").collect()}
-    assert len(rendered) == 4 and rendered[0] == pytest.approx(56.0262147 + PROTON_MASS, abs=1e-5)
-    assert metrics.oracle_peaks(oracle_row).where("oracle = 'slot_capacity'").count() == 3
-    assert [r.support_cosine for r in metrics.support_oracle(oracle_row).collect()] == [pytest.approx(math.sqrt(1 - 81 / (10000 + 4 * 81)))]
+    rendered = [sum(int(n or 1) * MASSES[s] for s, n in re.findall("([A-Z])([0-9]*)", f)) + PROTON_MASS for f in FORMULAS]
+    roots = [math.sqrt(y) for y in Y]
+    lists = {
+        "peak_copy": list(zip(MZ, roots)), "support_mask": list(zip(MZ[:4], roots)), "formula_rendered": list(zip(rendered, roots)), "slot_capacity": list(zip(rendered[:3], roots)),
+    }
+    got = {r.oracle: r for r in metrics.oracle_ceilings(oracle_row).collect()}
+    assert set(got) == set(lists)
+    for name, own in lists.items():
+        for space, of_observation, of_weight in scalar.FOUR_SPACES:
+            assert got[name][f"cos_at_100_{space}"] == pytest.approx(oracle_cosine((list(zip(MZ, Y)), own), of_observation, of_weight)), (name, space)
+    assert got["peak_copy"].cos_at_100_canonical_sqrt == pytest.approx(1.0) and got["peak_copy"].cos_at_100_raw_via_squared_prediction == pytest.approx(1.0)
+    one = metrics.oracle_ceilings(oracle_row, (1,)).where("oracle = 'peak_copy'").first()
+    assert one.cos_at_1_legacy_raw == pytest.approx(max(Y) / math.sqrt(sum(y * y for y in Y)))
+    assert {r.peak_index: r.rendered for r in metrics.rendered_peaks(oracle_row).collect()} == pytest.approx(dict(enumerate([*rendered, None])))
+    energy = sum(y * y for y in Y)
+    assert [r.support_cosine for r in metrics.support_oracle(oracle_row).collect()] == [pytest.approx(math.sqrt(1 - Y[4] ** 2 / energy))]
 
 
 def test_audits(spark, oracle_row):
-    block = analysis.peak_support(oracle_row).agg(*analysis.peak_block()).first()
-    assert (block.peaks, block.supported_peaks, block.zero_fraction) == (5, 4, 0.2) and block.intensity_coverage == pytest.approx(127 / 136)
+    block = analysis.peak_block(analysis.peak_support(oracle_row)).first()
+    assert (block.peaks, block.supported_peaks, block.zero_fraction) == (5, 4, 0.2) and block.intensity_coverage == pytest.approx(sum(Y[:4]) / sum(Y))
     strata = {(r.dimension, r.label): r for r in analysis.strata_by_spectrum(oracle_row).collect()}
     assert strata[("all", "all")].spectra == 2 and strata[("instrument", "?")].spectra == 1 and strata[("adduct", "[M+H]+")].spectra == 2
     d = {r.spectrum_uid: r for r in analysis.slot_diagnostics(oracle_row).collect()}
-    assert (d["u"].supervised, d["u"].edges, d["u"].reused, d["u"].kept_l1, d["none"].peaks) == (3, 4, 0, 118.0, 0)
+    assert (d["u"].supervised, d["u"].edges, d["u"].reused, d["u"].kept_l1, d["none"].peaks) == (3, 4, 0, sum(Y[:3]), 0)
     s = analysis.summarise_slots(analysis.slot_diagnostics(oracle_row)).first()
-    assert (s.spectra, s.zero_energy) == (2, 1) and s.l1_pooled == pytest.approx(118 / 136) and s.l1_mean == pytest.approx(118 / 136 / 2)
+    assert (s.spectra, s.zero_energy) == (2, 1) and s.l1_pooled == pytest.approx(sum(Y[:3]) / sum(Y)) and s.l1_mean == pytest.approx(sum(Y[:3]) / sum(Y) / 2)
     z = analysis.zero_targets(oracle_row).first()
     assert (z.rows, z.zero_target_rows, z.zero_target_peaks, z.rows_left) == (2, 1, 0, 1)
     c = {r.spectrum_uid: r for r in analysis.cost_table(oracle_row).collect()}
-    assert (c["u"].targets, c["u"].linked, c["u"].elements, c["u"].element_steps) == (3, 3, 3, 9) and c["none"].targets == 0
-    assert analysis.covered_intensity(oracle_row, spark.createDataFrame([("u", "C3H4O", "protonated")], "spectrum_uid STRING, formula STRING, ion_state STRING")).first().covered == 100.0
+    assert (c["u"].targets, c["u"].linked, c["u"].elements, c["u"].element_steps) == (3, 3, 4, 12) and c["none"].targets == 0
+    assert analysis.covered_intensity(oracle_row, spark.createDataFrame([("u", FORMULAS[0], "protonated")], "spectrum_uid STRING, formula STRING, ion_state STRING")).first().covered == Y[0]

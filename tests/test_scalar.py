@@ -1,4 +1,6 @@
+import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,29 +14,45 @@ def values(spark, rows, kind, make):
 
 
 def test_keys(spark):
-    assert values(spark, ["nist_1035492", "nist_1035166", "nist_1035697"], "STRING", scalar.shard_of) == [12, 41, 60]
-    assert values(spark, [0, 7, 10, 123], "INT", lambda c: scalar.spectrum_uid(F.lit("p"), c)) == ["p:00", "p:07", "p:10", "p:123"]
-    assert values(spark, [3], "INT", scalar.shard_file) == ["part-00003.parquet"]
-    assert values(spark, ["/a/part-00012.parquet", "x"], "STRING", scalar.shard_of_file) == [12, None]
+    ids = [f"parent {i}" for i in range(40)] + ["", "Ω"]
+    want = [int.from_bytes(hashlib.sha256(i.encode()).digest()[:8], "big") for i in ids]
+    assert values(spark, ids, "STRING", scalar.shard_of) == [n % 64 for n in want]
+    assert values(spark, ids, "STRING", lambda c: scalar.shard_of(c, 7)) == [n % 7 for n in want]
+    numbers = [0, 3, 42, 99, 100, 2024]
+    assert values(spark, numbers, "INT", lambda c: scalar.spectrum_uid(F.lit("x"), c)) == [f"x:{n:02d}" for n in numbers]
+    shards = [0, 9, 63, 12345]
+    assert values(spark, shards, "INT", scalar.shard_file) == [f"part-{n:05d}.parquet" for n in shards]
+    assert values(spark, [f"/data/fold=train/part-{n:05d}.parquet" for n in shards] + ["part"], "STRING", scalar.shard_of_file) == [*shards, None]
 
 
 def test_decimals(spark):
-    tokens = {"100": 0, "100.1": 1, "100.10": 2, "100.1000": 4, "1.5e2": 0, "1.5e-2": 3, "1e-3": 3, ".25": 2, "abc": None, "": None, None: None}
-    assert values(spark, list(tokens), "STRING", scalar.decimal_places) == list(tokens.values())
+    rng = random.Random(6)
+    tokens = {}
+    for _ in range(60):
+        whole, places, power = str(rng.randint(0, 999)), rng.randint(0, 6), rng.choice([None, -2, 0, 1, 3])
+        text = whole + ("." + "".join(rng.choice("0123456789") for _ in range(places)) if places else "") + ("" if power is None else f"e{power}")
+        tokens[text] = max(places - (power or 0), 0)
+    odd = ["x1", "", "1,5", None]
+    assert values(spark, [*tokens, *odd], "STRING", scalar.decimal_places) == [*tokens.values(), None, None, None, None]
 
 
 def test_tolerance_and_bins(spark):
-    df = spark.createDataFrame([(300.0, 4), (100.0, 2), (100.0, 1), (100.0, 0)], "mz DOUBLE, dp INT")
-    assert [r[0] for r in df.select(scalar.mass_tolerance("mz", "dp")).collect()] == pytest.approx([0.003, 0.005, 0.001, 0.001])
-    mzs = [0.0, 1.0, 55.5, 180.0634, 999.9, 1499.0, -0.05, -5.0]
-    assert values(spark, mzs, "DOUBLE", scalar.bin_index) == [math.floor(m * (14999 / 1500)) + 1 for m in mzs]
-    assert values(spark, [100.0, 1e9, -5.0, -0.05], "DOUBLE", lambda c: scalar.in_range(scalar.bin_index(c))) == [True, False, False, True]
+    rng = random.Random(9)
+    cases = [(rng.uniform(20, 1200), rng.randint(0, 6)) for _ in range(50)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i INT, mz DOUBLE, dp INT")
+    got = [r[1] for r in df.select("i", scalar.mass_tolerance("mz", "dp")).orderBy("i").collect()]
+    assert got == pytest.approx([mz * 1e-5 if dp < 2 else max(mz * 1e-5, 0.5 * 10.0**-dp) for mz, dp in cases])
+    mzs = [rng.uniform(-3, 1600) for _ in range(200)] + [0.0, 1500.0]
+    bins = [math.floor(m * (14999 / 1500)) + 1 for m in mzs]
+    assert values(spark, mzs, "DOUBLE", scalar.bin_index) == bins
+    assert values(spark, mzs, "DOUBLE", lambda c: scalar.in_range(scalar.bin_index(c))) == [0 <= b < 15000 for b in bins]
 
 
 def test_text(spark):
-    df = spark.createDataFrame([("CCO", "C2H6O", "[M+H]+", 20.0, "Orbitrap", 47.04914)], "s STRING, f STRING, a STRING, e DOUBLE, i STRING, p DOUBLE")
+    df = spark.createDataFrame([("N#N", "N2", "[M]+", 7.5, "QTOF", 28.00615)], "s STRING, f STRING, a STRING, e DOUBLE, i STRING, p DOUBLE")
     line = df.select(scalar.format_row("s", "f", "a", "e", "i", "p")).first()[0]
-    assert line == "SMILES=CCO | formula=C2H6O | adduct=[M+H]+ | collision_energy=20.00 | instrument=Orbitrap | precursor_mz=47.0491"
+    names = ("SMILES", "formula", "adduct", "collision_energy", "instrument", "precursor_mz")
+    assert line == " | ".join(f"{n}={v}" for n, v in zip(names, ("N#N", "N2", "[M]+", "7.50", "QTOF", f"{28.00615:.4f}")))
     assert values(spark, [None, "", "  ", "NaN", " x "], "STRING", scalar.text_or_na) == ["NA"] * 4 + ["x"]
     numbers = {"0.125": "0.12", "2.675": "2.67", "0.375": "0.38", "1e3": "1000.00", "inf": "NA", "nan": "NA", "abc": "NA", None: "NA"}
     assert values(spark, list(numbers), "STRING", lambda c: scalar.number_or_na(c, 2)) == list(numbers.values())

@@ -10,10 +10,11 @@ from peakloom.operators import analysis, assign, scores
 
 
 def test_log_sum_exp(spark):
-    rows = [("a", -1.0), ("a", -2.0), ("a", -3.0), ("b", -2000.0), ("b", -2000.5), ("c", float("-inf"))]
+    rows = [("a", -1.0), ("a", -2.0), ("a", -3.0), ("b", -2000.0), ("b", -2000.5), ("c", float("-inf")), ("d", 511.9999), ("d", 512.0001), ("d", -5.0)]
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
     got = {r.k: r.lse for r in scores.log_sum_exp(df, ["k"], "v").collect()}
     assert got["a"] == pytest.approx(math.log(sum(math.exp(v) for k, v in rows if k == "a"))) and got["b"] == pytest.approx(-2000 + math.log(1 + math.exp(-0.5))) and got["c"] == pytest.approx(-1e9)
+    assert got["d"] == pytest.approx(512 + math.log(2 * math.cosh(1e-4)))
     for size in (1, 2, 5):
         chunks = []
         for k in "ab":
@@ -25,19 +26,36 @@ def test_log_sum_exp(spark):
         assert {r.k: r.lse for r in merged.collect()} == pytest.approx({k: got[k] for k in "ab"})
 
 
-def test_bags_and_costs(spark):
-    s = spark.createDataFrame([("u", 0, 0, -1.0), ("u", 0, 1, -2.0), ("u", 0, 2, -3.0), ("u", 1, 0, -0.5), ("u", 1, 1, -4.0), ("u", 1, 2, -0.25)], "uid STRING, slot INT, candidate_index INT, log_prob DOUBLE")
-    m = spark.createDataFrame([("u", 0, 0), ("u", 0, 1), ("u", 1, 2)], "uid STRING, target INT, candidate_index INT")
-    bags = {(r.slot, r.target): r.bag_log_prob for r in scores.bag_log_probability(s, m).collect()}
-    assert bags == pytest.approx({(0, 0): math.log(math.exp(-1) + math.exp(-2)), (0, 1): -3.0, (1, 0): math.log(math.exp(-0.5) + math.exp(-4)), (1, 1): -0.25})
-    slots = spark.createDataFrame([("u", 0, 0.5), ("u", 1, 3.0)], "uid STRING, slot INT, contribution DOUBLE")
-    targets = spark.createDataFrame([("u", 0, 1.0), ("u", 1, 0.0)], "uid STRING, target INT, t DOUBLE")
-    costs = {(r.slot, r.target): r.cost for r in scores.matching_costs(s, m, slots, targets).collect()}
-    assert costs[(0, 0)] == pytest.approx(-bags[(0, 0)] + 0.25 * 0.125) and costs[(1, 1)] == pytest.approx(0.25 + 0.25 * 2.5)
-    pairs = spark.createDataFrame([("u", 0, 0), ("u", 1, 1)], "uid STRING, slot INT, target INT")
-    own = spark.createDataFrame([("u", 0, 1), ("u", 1, 0)], "uid STRING, slot INT, candidate_index INT")
-    got = {r.target: r for r in scores.matched_bags(s, m, pairs, own).collect()}
-    assert (got[0].cardinality, got[0].argmax_in_bag, got[1].argmax_in_bag) == (2, True, False) and got[0].bag_mass == pytest.approx(math.exp(bags[(0, 0)]))
+def test_bags_and_costs_against_brute_force(spark):
+    rng = random.Random(21)
+    slot_rows, member_rows, target_rows, scored = [], [], [], {}
+    for u in ("u", "v"):
+        n = 9
+        for s in range(4):
+            scored[u, s] = [rng.uniform(-8, 0) for _ in range(n)]
+            slot_rows.append((u, s, rng.uniform(0, 3)))
+        for t in range(3):
+            target_rows.append((u, t, rng.random()))
+            member_rows += [(u, t, c) for c in rng.sample(range(n), rng.randint(1, 4))]
+    member_rows += [member_rows[0], ("w", 0, 1), ("u", 0, 99)]  # a repeated row, a spectrum without scores, a candidate without a score
+    table = spark.createDataFrame([(*k, v) for k, v in scored.items()], "uid STRING, slot INT, log_probs ARRAY<DOUBLE>")
+    m = spark.createDataFrame(member_rows, "uid STRING, target INT, candidate_index INT")
+    bag = lambda u, t: sorted({c for a, b, c in member_rows if (a, b) == (u, t) and c < 9})
+    want = {(u, s, t): math.log(sum(math.exp(v[c]) for c in bag(u, t))) for (u, s), v in scored.items() for t in range(3)}
+    assert {(r.uid, r.slot, r.target): r.bag_log_prob for r in scores.bag_log_probability(table, m).collect()} == pytest.approx(want)
+    slots = spark.createDataFrame(slot_rows, "uid STRING, slot INT, contribution DOUBLE")
+    targets = spark.createDataFrame(target_rows, "uid STRING, target INT, t DOUBLE")
+    huber = lambda x: x * x / 2 if abs(x) <= 1 else abs(x) - 0.5
+    costs = {(u, s, t): -want[u, s, t] + 0.25 * huber(c - y) for u, s, c in slot_rows for v, t, y in target_rows if u == v}
+    assert {(r.uid, r.slot, r.target): r.cost for r in scores.matching_costs(table, m, slots, targets).collect()} == pytest.approx(costs)
+    pairs = [("u", 0, 0), ("u", 2, 1), ("v", 3, 2)]
+    best = {k: max(range(9), key=lambda c: v[c]) for k, v in scored.items()}
+    own = spark.createDataFrame([(*k, c) for k, c in best.items()], "uid STRING, slot INT, candidate_index INT")
+    found = scores.matched_bags(table, m, spark.createDataFrame(pairs, "uid STRING, slot INT, target INT"), own)
+    for r in found.collect():
+        assert r.cardinality == len(bag(r.uid, r.target)) and -r.bag_nll == pytest.approx(want[r.uid, r.slot, r.target]) and r.bag_mass == pytest.approx(math.exp(-r.bag_nll))
+        assert r.argmax_in_bag == (best[r.uid, r.slot] in bag(r.uid, r.target)) and r.best_in_bag == max(scored[r.uid, r.slot][c] for c in bag(r.uid, r.target))
+    assert found.count() == 3 and {r.grp: r.pairs for r in scores.identity_metrics(found).collect()}["all"] == 3
 
 
 def test_presence_and_softmax(spark):
@@ -118,7 +136,9 @@ def test_counterfactuals(spark):
     oracle = spark.createDataFrame([("u", 0, "CH4", "protonated", 100.0, 0.8), ("u", 1, "C2H2", "sodiated", 9.0, 0.2)], "uid STRING, slot INT, o_formula STRING, o_ion STRING, y DOUBLE, t DOUBLE")
     got = {}
     for r in analysis.counterfactuals(slots, oracle).collect():
-        got.setdefault(r.condition, {})[r.slot] = (r.mz, r.weight)
+        for condition in analysis.CONDITIONS:
+            if r[condition] is not None:
+                got.setdefault(condition, {})[r.slot] = (r.mz, r[condition])
     assert set(got["all_predicted"]) == {0, 2} and set(got["presence_forced_on_matched"]) == {0, 1, 2} and set(got["predicted_identity_oracle_weights"]) == {0}
     assert got["predicted_identity_oracle_weights"][0][1] == 100.0 and got["oracle_identity_sqrt_weights"][1][1] == 0.2
     assert got["oracle_identity_oracle_weights"][1][0] == pytest.approx(26.01565 + 22.98922, abs=1e-4) and got["oracle_formula_predicted_ion"][2] == got["all_predicted"][2]
