@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +34,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; choose one only where none is set."""
+    """Use the shared folder that the cluster names; a local session without one gets a temporary folder, a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="peakloom-checkpoint-"))
 
 
+#: The setting below is the session's: one checkpoint is planned at a time.
+_planning = threading.Lock()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there: cuts lineage, survives lost executors.
 
@@ -50,12 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    with _planning:
+        before = spark.conf.get(name, "true")
+        spark.conf.set(name, "false")
+        try:
+            return df.select("*").checkpoint(eager=True)
+        finally:
+            spark.conf.set(name, before)
 
 
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
