@@ -11,8 +11,9 @@ with constant queue steps each, so that very long pre-tokens cost no more per by
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +32,7 @@ WORD_SHIFT = 8
 WORD_MASK = (1 << WORD_SHIFT) - 1
 #: Pre-tokens kept with their ids, and the longest of them; pairs kept with their rank.
 CACHE_TOKENS, CACHE_LENGTH, CACHE_PAIRS = 200_000, 64, 2_000_000
+MAX_VOCABULARY = 64 * 2**20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -96,9 +98,12 @@ class RankQueue:
 class Encoder:
     """ids of a text by a file of base64 tokens and their ranks, which are the ids too."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
+    def __init__(self, vocabulary: str | bytes, pattern: str = PATTERN):
+        """vocabulary: a file's path or its bytes."""
+        if isinstance(vocabulary, str):
+            with open(vocabulary, "rb") as file:
+                vocabulary = file.read()
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
         self.cut = regex.compile(pattern).findall
@@ -200,22 +205,46 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str = PATTERN) -> Encoder:
-    """One encoder per worker process and file."""
+    """One encoder per process and file."""
     return Encoder(path, pattern)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def shipped(spark: SparkSession, path: str, pattern: str = PATTERN) -> Callable[[], Encoder]:
+    """A function for workers that gives the encoder of a file which only the driver need have.
+
+    The file's bytes are broadcast: a vocabulary has a fixed size (at most ``MAX_VOCABULARY`` bytes, else an error), whatever the data.
+    A worker process builds one encoder per file.
+    """
+    with open(path, "rb") as file:
+        content = file.read(MAX_VOCABULARY + 1)
+    if len(content) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} bytes")
+    name = hashlib.sha256(content + pattern.encode()).hexdigest()
+    sent = spark.sparkContext.broadcast(content)
+
+    def get() -> Encoder:
+        if name not in _encoders:
+            _encoders[name] = Encoder(sent.value, pattern)
+        return _encoders[name]
+
+    return get
+
+
 def encode_column(df: DataFrame, key: str, text: str, path: str | None = None, *, counts_only: bool = False) -> DataFrame:
     """(key, ids ARRAY<INT>), or (key, n_tokens INT) with counts_only, of every row.
 
     Null and empty texts give an empty list and 0. Strings of special tokens are ordinary text. Rows
     stay one to one, repeated ones too; whole texts are encoded; other columns are dropped. path is the
-    vocabulary file, which every worker must be able to read.
+    vocabulary file on the driver.
     """
-    path = path or vocabulary_path()
+    get = shipped(df.sparkSession, path or vocabulary_path())
     out = "n_tokens INT" if counts_only else "ids ARRAY<INT>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = get()
         for batch in batches:
             texts = batch.column("__text")
             for start in range(0, max(batch.num_rows, 1), 256):  # bounds what a batch of long texts holds at once
@@ -235,3 +264,22 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None, *
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def decode_column(df: DataFrame, key: str, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """(key, text STRING) of every row of ids; a null list gives null, an empty one an empty text."""
+    get = shipped(df.sparkSession, path or vocabulary_path())
+    kind = df.schema[key].dataType.simpleString()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = get()
+        for batch in batches:
+            texts = [None if x is None else own.decode(x).decode("utf-8", "replace") for x in batch.column("__ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{ids}`").alias("__ids")).mapInArrow(decode, f"`{key}` {kind}, text STRING")
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids turned back into its text."""
+    return decode_column(p7_ids(spark, sf_dir), "doc_id")

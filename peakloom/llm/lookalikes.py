@@ -5,8 +5,9 @@ characters that look like it, decompose again. Texts look the same if their skel
 
 Prototypes come from two sources. Rules over the Unicode character database replace wide, narrow and font
 forms, kinds of blank, and compatibility characters that keep their shape; they leave raised, lowered,
-circled and fractional forms alone, since those look different. A small table adds the letters and
-symbols that share a shape across scripts. Letter case, digits, accents and punctuation are kept.
+circled and fractional forms alone, since those look different. A table of the capitals and signs that share a
+shape across scripts, with rules for their small letters, adds the rest. Letter case, digits, accents and punctuation are kept,
+as are Greek small letters that differ visibly in running text (α, σ, ω).
 Characters without a shape of their own are dropped, except where they make one: a joiner between two
 pictographs, and a variation selector after a symbol.
 """
@@ -25,71 +26,77 @@ from pyspark.sql import functions as F
 
 from peakloom.session import cut, table
 
-# Letters and symbols that look like the prototype before the colon.
-LOOK_ALIKES = """
-A: АΑᎪꓮ
-B: ВΒᏴꓐ
-C: СϹᏟꓚ
-D: Ꭰꓓ
-E: ЕΕᎬꓰ
-F: Ϝꓝ
-G: Ԍ Ꮐꓖ
-H: НΗᎻꓧ
-I: ІΙӀꓲ
-J: ЈͿᎫꓙ
-K: КΚᏦꓗ
-L: Ꮮꓡ
-M: МΜᎷꓟ
-N: ΝꓠꞐ
-O: ОΟՕꓳ
-P: РΡᏢꓑ
-Q: Ԛ
-S: ЅՏᏚꓢ
-T: ТΤᎢꓔ
-U: Սꓴ
-V: ᏙꓦѴ
-W: ԜᎳꓪ
-X: ХΧꓫ
-Y: ҮΥꓬУ
-Z: ΖᏃꓜ
-a: аɑ
-b: Ьᖯ
-c: сϲᴄ
-d: ԁᏧ
-e: еҽ
-f: ꬵ
-g: ɡցᶃ
-h: һհᏂ
-i: і
-j: јϳ
-l: ӏ
-n: ո
-o: оοօഠᴏ
-p: рρ⍴
-q: ԛզ
-s: ѕꜱ
-u: սᴜ
-v: ѵνᴠ
-w: ԝᴡ
-x: х
-y: уүʏ
-z: ᴢ
+# Capitals, and signs of their shape, that look like the Latin capital before the colon. Their small letters and
+# Lisu's letters follow by rule.
+CAPITALS = """
+A: А Α Ꭺ ᗅ 𐊠 𖽀
+B: В Β Ᏼ ᗷ Ꞵ 𐊂 𐊡 𐌁
+C: С Ϲ Ꮯ Ⲥ 𐊢 𐌂 𐐕 𐔜
+D: Ꭰ ᗞ ᗪ
+E: Е Ε Ꭼ ⋿ ⴹ 𐊆
+F: Ϝ ᖴ Ꞙ 𐊇 𐊥 𐔥
+G: Ԍ Ꮐ Ᏻ
+H: Н Η Ꮋ ᕼ Ⲏ 𐋏
+I: І Ι Ӏ Ⲓ ⵏ 𐌉
+J: Ј Ϳ Ꭻ ᒍ Ʝ
+K: К Κ Ꮶ ᛕ Ⲕ 𐔘
+L: Ꮮ ᒪ Ⳑ 𐐛 𐔦
+M: М Μ Ꮇ Ϻ ᗰ ᛖ Ⲙ 𐊰 𐌑
+N: Ν Ⲛ 𐔓
+O: О Ο Օ Ⲟ ⵔ 𐊒 𐊫 𐐄 𐓂 𐔖
+P: Р Ρ Ꮲ ᑭ Ⲣ 𐊕
+Q: Ԛ ⵕ
+R: Ʀ Ꭱ Ꮢ ᖇ 𐒴
+S: Ѕ Տ Ꮪ Ꮥ 𐊖 𐐠
+T: Т Τ Ꭲ ⊤ ⟙ Ⲧ 𐊗 𐊱 𐌕
+U: Ս ᑌ ∪ ⋃ 𐓎
+V: Ꮩ Ѵ ᐯ ⴸ 𐔝
+W: Ԝ Ꮃ Ꮤ
+X: Х Χ ᙭ ᚷ ╳ Ⲭ ⵝ Ꭓ 𐊐 𐊴 𐌗 𐌢 𐔧
+Y: Ү У Υ Ꭹ Ꮍ Ⲩ 𐊲
+Z: Ζ Ꮓ 𐋵
+"""
+# Small letters that no rule gives, Greek capitals and signs, and Han that look like Katakana.
+OTHERS = """
+a: а ɑ
+b: Ь Ꮟ ᑲ ᖯ Ƅ
+c: ϲ
+d: ԁ Ꮷ ᑯ
+e: е ҽ ℮ ꬲ
+f: ſ ք ꬵ ꞙ
+g: ɡ ց ᶃ ƍ
+h: һ հ Ꮒ
+i: і ı ɩ ι Ꭵ ꙇ
+j: ј ϳ
+l: ӏ Ɩ ו ן ا ᛁ
+n: ո ռ
+o: ο օ ഠ ჿ ס ᴑ ꬽ
+p: р ρ ⍴ ⲣ
+q: ԛ զ գ
+r: г ᴦ ⲅ ꭇ ꭈ
+s: ƽ
+u: ս υ ʋ ꞟ ꭎ ꭒ
+v: ν ∨ ⋁
+w: ɯ ѡ ա
+y: у ү γ ɣ ყ ỿ ꭚ
+ᴋ: κ
+ᴛ: τ
 æ: ӕ
 ə: ә
 ɛ: ε
 Δ: ∆
 Σ: ∑
-Π: ∏П
+Π: ∏ П
 Γ: Г
 Φ: Ф
 Λ: Л
-·: ∙⋅•‧・
--: ‐−⁃
-/: ⁄∕
-:: ∶꞉ː
+·: ∙ ⋅ • ‧ ・
+-: ‐ − ⁃
+/: ⁄ ∕
+:: ∶ ꞉ ː
 *: ∗
 ~: ∼
-|: ∣ǀ
+|: ∣ ǀ
 エ: 工
 カ: 力
 ト: 卜
@@ -98,6 +105,77 @@ z: ᴢ
 ロ: 口
 夕: タ
 """
+#: Latin letters whose small form is the capital reduced.
+_SAME_IN_BOTH_CASES = frozenset("COSUVWXZ")
+#: Scripts whose small letters are the capitals reduced; of Cyrillic's only those of these capitals.
+_REDUCED, _REDUCED_CYRILLIC = ("CHEROKEE", "COPTIC", "DESERET", "OSAGE"), frozenset("BHKMT")
+# Lisu's letters are Latin capitals, named by their sound; these names don't begin with the letter they show.
+_LISU_SOUNDS = {"TSA": "F", "HA": "V", "XA": "H", "SHA": "X", "ZHA": "R", "PHA": "d", "DZA": "Z"}
+
+
+def listed(text: str) -> Iterator[tuple[str, str]]:
+    """(character, prototype) of a table of lines."""
+    for line in text.strip().splitlines():
+        prototype, _, others = line.partition(": ")
+        for other in others.split():
+            yield other, prototype
+
+
+def small_capital(letter: str) -> str:
+    """What a capital looks like in the size of a small letter: the small letter itself where both cases share a shape."""
+    if letter in _SAME_IN_BOTH_CASES:
+        return letter.lower()
+    name = f"LATIN LETTER SMALL CAPITAL {letter}"
+    try:
+        return letter.lower() if letter in "IY" else unicodedata.lookup(name)
+    except KeyError:
+        return letter.lower()
+
+
+def look_alikes() -> dict[str, str]:
+    """Prototype of every character that looks like another: the listed ones, and by rule
+
+    - the small letter of a listed capital, where its script's small letters are reduced capitals, and of Cyrillic ones whose
+      Latin counterpart has one shape in both cases;
+    - Latin's own small capitals of such letters, found by their names;
+    - Lisu's letters, found by their names.
+    """
+    table = dict(listed(OTHERS))
+    for capital, letter in listed(CAPITALS):
+        table[capital] = letter
+        small, script = capital.lower(), unicodedata.name(capital, "").split(" ")[0]
+        if small != capital and small not in table and (script in _REDUCED or script == "CYRILLIC" and letter in _SAME_IN_BOTH_CASES | _REDUCED_CYRILLIC):
+            table[small] = small_capital(letter)
+    for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        try:
+            own = unicodedata.lookup(f"LATIN LETTER SMALL CAPITAL {letter}")
+        except KeyError:
+            continue
+        if small_capital(letter) != own:
+            table[own] = small_capital(letter)
+    for code in range(0xA4D0, 0xA4F8):
+        sound = unicodedata.name(chr(code), "").rpartition(" ")[2]
+        if sound in _LISU_SOUNDS:
+            table[chr(code)] = _LISU_SOUNDS[sound]
+        elif len(sound) == 1 or (len(sound) == 2 and sound[1] == "A" and sound != "AE"):
+            table[chr(code)] = sound[0]
+    return table
+
+
+def read_confusables(path: str) -> dict[str, str]:
+    """Prototypes from a file in the form of the Unicode consortium's confusables.txt, for those who have one.
+
+    Only single characters count; prototypes of ASCII characters are left out, so that digits and letters stay apart.
+    """
+    out = {}
+    with open(path, encoding="utf-8-sig") as file:
+        for line in file:
+            fields = [f.strip() for f in line.partition("#")[0].split(";")]
+            if len(fields) >= 2 and fields[0] and " " not in fields[0] and int(fields[0], 16) > 127:
+                out[chr(int(fields[0], 16))] = "".join(chr(int(p, 16)) for p in fields[1].split())
+    return out
+
+
 #: Compatibility tags of the character database whose decomposition looks the same.
 SAME_SHAPE = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>")
 #: A pictograph's joiner and selector while the rest of the invisible characters is dropped.
@@ -111,14 +189,12 @@ _LINE = regex.compile(r"\r\n|[\r\u0085\u2028\u2029]")
 
 
 class Prototypes(dict):
-    """Prototype by code point, found on first use."""
+    """Prototype by code point, found on first use. confusables: a file that adds to the library's own table."""
 
-    def __init__(self) -> None:
+    def __init__(self, confusables: str | None = None) -> None:
         super().__init__()
-        for line in LOOK_ALIKES.strip().splitlines():
-            prototype, _, others = line.partition(": ")
-            for other in others.replace(" ", ""):
-                self[ord(other)] = prototype
+        known = (read_confusables(confusables) if confusables else {}) | look_alikes()
+        self.update({ord(c): p for c, p in known.items() if not c.isascii()})
 
     def __missing__(self, code: int) -> str:
         self[code] = out = self.prototype(chr(code))
@@ -140,12 +216,12 @@ class Prototypes(dict):
         return char
 
 
-@lru_cache(maxsize=1)
-def prototypes() -> Prototypes:
-    return Prototypes()
+@lru_cache(maxsize=4)
+def prototypes(confusables: str | None = None) -> Prototypes:
+    return Prototypes(confusables)
 
 
-def skeleton(text: str | None) -> str | None:
+def skeleton(text: str | None, confusables: str | None = None) -> str | None:
     """The skeleton of a text; null for null. Equal skeletons mean equal looks."""
     if text is None:
         return None
@@ -156,18 +232,19 @@ def skeleton(text: str | None) -> str | None:
         text = _KEPT_JOINER.sub(_JOINER, _INVISIBLE.sub("", text))
         text = _KEPT_SELECTOR.sub(_SELECTOR, text)
     decompose = unicodedata.normalize
-    return decompose("NFD", decompose("NFD", text).translate(prototypes()))
+    return decompose("NFD", decompose("NFD", text).translate(prototypes(confusables)))
 
 
 def digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", *, with_form: bool = False) -> DataFrame:
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", *, with_form: bool = False, confusables: str | None = None) -> DataFrame:
     """(key, class BINARY, own BINARY[, form STRING]): 128-bit digests of the skeleton and of the text itself.
 
     Null texts have null digests and form. Texts without a visible character have a null class, as they
-    belong to no class. Rows stay one to one; whole texts are read; other columns are dropped.
+    belong to no class. Rows stay one to one; whole texts are read; other columns are dropped. confusables: see
+    read_confusables; every worker must be able to read the file.
     """
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, class BINARY, own BINARY" + (", form STRING" if with_form else "")
@@ -175,7 +252,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", *, with
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("__text").to_pylist()
-            forms = [skeleton(t) for t in texts]
+            forms = [skeleton(t, confusables) for t in texts]
             columns = [
                 batch.column("__key"),
                 pa.array([digest(f) if f is not None and f.strip() else None for f in forms], pa.binary()),
@@ -190,19 +267,39 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", *, with
     return df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).mapInArrow(make, schema)
 
 
+#: Distinct texts of a class that one task pairs with another class member's block at most.
+PAIR_BLOCK = 512
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, texts, members) of every row: its class with how many different texts and rows it has.
+
+    The form for scale: one row per row, copies and guises aren't expanded into pairs. Rows without a class have null counts.
+    """
+    marks = fingerprints(df, key, text)
+    per_text = marks.where("class IS NOT NULL").groupBy("class", "own").agg(F.count("*").alias("n"))
+    sizes = per_text.groupBy("class").agg(F.count("*").alias("texts"), F.sum("n").alias("members"))
+    return marks.join(sizes, "class", "left").select(key, F.lower(F.hex("class")).alias("class_id"), "texts", "members")
+
+
 def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key_a, key_b), key_a < key_b: pairs of rows with equal skeletons and different texts, each once.
 
     Exact copies of a text never meet one another: the distinct texts of a class are paired first, and only
-    then are their rows attached, so that the work is that of the result. Classes of one text, null texts and
-    texts of blanks make no pair. Repeated rows count once.
+    then are their rows attached, so that the work is that of the result. A class of many texts is one hot key: its texts
+    are dealt by hash into blocks of about PAIR_BLOCK, and pairs are made per pair of blocks, which are keys of their own;
+    rows are attached by text. Classes of one text, null texts and texts of blanks make no pair. Repeated rows count once.
     """
     # Read by several branches: texts are turned into skeletons once.
     marks = cut(fingerprints(df, key, text).where("class IS NOT NULL").select(F.col(key).alias("id"), "class", "own"))
-    mixed = marks.groupBy("class").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("class")
-    members = marks.join(mixed, "class")
-    texts = members.select("class", "own").distinct()
-    both = texts.join(texts.select("class", F.col("own").alias("other")), "class").where("own < other")
+    sizes = marks.groupBy("class", "own").agg(F.lit(1).alias("one")).groupBy("class").agg(F.count("*").alias("texts")).where("texts > 1")
+    members = marks.join(sizes, "class")
+    blocks = F.ceil(F.col("texts") / PAIR_BLOCK).cast("int")
+    texts = members.select("class", "own", blocks.alias("blocks")).distinct().withColumn("block", F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int"))
+    # Each block meets itself and all others once: the text's block is one side, the other side is every block.
+    left = texts.select("class", "own", F.col("block").alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    right = texts.select("class", F.col("own").alias("other"), F.col("block").alias("with"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+    both = left.join(right, ["class", "at", "with"]).where("own < other").select("own", "other", "class")
     a = members.select("class", "own", F.col("id").alias("x"))
     b = members.select("class", F.col("own").alias("other"), F.col("id").alias("y"))
     pairs = both.join(a, ["class", "own"]).join(b, ["class", "other"])
@@ -215,5 +312,11 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", "form", F.lower(F.hex("class")).alias("class_id"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the classes that hold more than one text: (texts, members, classes)."""
+    own = classes(table(spark, sf_dir, "documents")).where("texts > 1")
+    return own.select("class_id", "texts", "members").distinct().groupBy("texts", "members").agg(F.count("*").alias("classes"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "documents"))

@@ -5,10 +5,11 @@ are balanced by largest differencing: repeatedly the two partial partitions whos
 differ most are combined, the heavy bins of one with the light bins of the other, until many nearly
 equal bins are left, and whole bins are allocated to the splits by their target shares.
 
-At scale the components are dealt by hash into blocks of a bounded number, each block is differenced in
-one task and allocates its bins itself; the shares hold in every block and so in the whole. Components
-heavier than a bin of the whole (at most as many as there are bins) are placed first, by the
-largest remaining deficit, and the blocks' shares make up for them.
+At scale the components are dealt by hash into blocks of a bounded number, and each block is differenced in one task into as
+many bins. The blocks' bins are partial partitions themselves, so differencing goes on with them, heavy bins of one
+with light bins of the other, ``FAN_IN`` blocks to a task and level by level, until one partition of the whole is left;
+only its bins are allocated. A component of any weight is an item like the others: one that outweighs a bin makes its bin as
+much heavier, and allocation, which takes the heaviest bins first, makes up for it.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm.components import SALTS, components
-from peakloom.session import cut, shuffle_width, table
+from peakloom.session import cut, shuffle_width, small, table
 
 SHARES = (("train", 0.8), ("valid", 0.1), ("test", 0.1))
 BINS = 100
 BLOCK_ITEMS = 20_000
+#: Partial partitions that one task combines.
+FAN_IN = 2_000
 #: Sorts after every real parent: nodes of rows that have no parent.
 _NO_PARENT = "\U0010ffff"
 
@@ -43,23 +46,26 @@ def fold_name(fold: Column) -> Column:
     return F.when(name == "val", "valid").when(name != "", name)
 
 
-def difference(weights: np.ndarray, bins: int) -> np.ndarray:
-    """Bin number of each weight by largest differencing into ``bins`` bins.
+def combine(parts: np.ndarray) -> np.ndarray:
+    """Largest differencing of partial partitions: parts[i, j] is the weight of bin j of part i; the result, of the same shape,
+    tells which bin of the whole it falls into (-1 where the weight is 0).
 
-    A partial partition is a vector of bin sums with the items that lie in each bin. The heap holds them
-    by spread (largest less smallest sum); the two of largest spread are combined, the heaviest bin of
-    one with the lightest of the other, and so on. Ties go to the one that came first.
+    The heap holds partitions by spread (largest less smallest sum); the two of largest spread are combined, the heaviest bin
+    of one with the lightest of the other, and so on. Ties go to the one that came first. The bins of the whole are in
+    order of weight.
     """
-    count = len(weights)
+    count, bins = parts.shape
+    out = np.full(count * bins, -1, np.int64)
     if not count:
-        return np.zeros(0, np.int64)
-    # Items of a bin form a linked chain: head and tail per bin, next per item.
-    follows = np.full(count, -1, np.int64)
+        return out.reshape(parts.shape)
+    # Bins of parts that fall together form a linked chain: head and tail per bin, next per bin of a part.
+    follows = np.full(count * bins, -1, np.int64)
     heap: list = []
-    for i in np.argsort(-weights, kind="stable"):
-        sums, head, tail = np.zeros(bins), np.full(bins, -1, np.int64), np.full(bins, -1, np.int64)
-        sums[-1], head[-1], tail[-1] = weights[i], i, i
-        heap.append((-float(weights[i]), len(heap), sums, head, tail))
+    for i in range(count):
+        order = np.argsort(parts[i], kind="stable")
+        sums = parts[i][order]
+        head = np.where(sums > 0, i * bins + order, -1)
+        heap.append((-float(sums[-1] - sums[0]), i, sums, head, head))
     heapq.heapify(heap)
     serial = count
     while len(heap) > 1:
@@ -75,12 +81,20 @@ def difference(weights: np.ndarray, bins: int) -> np.ndarray:
         sums, head, tail = sums[order], head[order], tail[order]
         heapq.heappush(heap, (-float(sums[-1] - sums[0]), serial, sums, head, tail))
         serial += 1
-    _, _, _, head, _ = heap[0]
-    out = np.zeros(count, np.int64)
-    for b, i in enumerate(head):
+    for b, i in enumerate(heap[0][3]):
         while i >= 0:
             out[i] = b
             i = follows[i]
+    return out.reshape(parts.shape)
+
+
+def difference(weights: np.ndarray, bins: int) -> np.ndarray:
+    """Bin number of each weight (above 0) by largest differencing into ``bins`` bins: every item is a partition of its own."""
+    order = np.argsort(-weights, kind="stable")
+    parts = np.zeros((len(weights), bins))
+    parts[:, -1] = weights[order]
+    out = np.empty(len(weights), np.int64)
+    out[order] = combine(parts)[:, -1]
     return out
 
 
@@ -94,7 +108,7 @@ def allocate(sums: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return out
 
 
-def grouped_splits(weights: DataFrame, shares: tuple = SHARES, *, bins: int = BINS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def grouped_splits(weights: DataFrame, shares: tuple = SHARES, *, bins: int = BINS, block_items: int = BLOCK_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
     """(root, split) of every row of weights: (root STRING, distinct and not null; weight BIGINT, at least 1).
 
     The result depends on the rows only, not on their order or partitioning. An empty table gives an
@@ -102,45 +116,71 @@ def grouped_splits(weights: DataFrame, shares: tuple = SHARES, *, bins: int = BI
     """
     names = [n for n, _ in shares]
     want = np.array([s for _, s in shares], float) / sum(s for _, s in shares)
-    items, total = weights.agg(F.count("*"), F.sum("weight")).first()
-    total = int(total or 0)
     spark = weights.sparkSession
-    # Heavier than a bin of the whole: fewer than bins of them can exist.
-    heavy = sorted(weights.where(F.col("weight") * bins > total).collect(), key=lambda r: (-r["weight"], r["root"])) if items else []
-    have, placed = np.zeros(len(names)), []
-    for r in heavy:
-        s = int(np.argmax(want * total - have))
-        have[s] += r["weight"]
-        placed.append((r["root"], names[s]))
-    left = np.maximum(want * total - have, 0.0)
-    left = left / left.sum() if left.sum() > 0 else want
+    items = weights.count()
     blocks = max(1, -(-items // block_items))
 
-    def split_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(roots: list[str], sizes: list[int]) -> pa.RecordBatch:
-            w = np.array(sizes, float)
+    def split_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, whole in by_block(batches, "block"):
+            w = whole.column("weight").to_numpy().astype(float)
             bin_of = difference(w, bins)
-            of_bin = allocate(np.bincount(bin_of, w, bins), left)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(roots, pa.string()), pa.array([names[of_bin[b]] for b in bin_of], pa.string())], names=["root", "split"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(w), block), pa.int64()), pa.array(bin_of, pa.int32()), whole.column("root"), whole.column("weight")], names=["block", "bin", "root", "weight"]
             )
 
-        current, roots, sizes = None, [], []
-        for batch in batches:
-            for block, root, size in zip(*(batch.column(c).to_pylist() for c in ("block", "root", "weight"))):
-                if roots and (block != current or len(roots) >= 2 * block_items):
-                    yield flush(roots, sizes)
-                    roots, sizes = [], []
-                current = block
-                roots.append(root)
-                sizes.append(size)
-        if roots:
-            yield flush(roots, sizes)
+    dealt = weights.select("root", "weight", F.pmod(F.xxhash64("root"), F.lit(blocks)).alias("block"))
+    dealt = dealt.repartition(min(blocks, shuffle_width(spark)), "block").sortWithinPartitions("block", F.col("weight").desc(), "root")
+    placed = cut(dealt.mapInArrow(split_block, "block BIGINT, bin INT, root STRING, weight BIGINT"))
+    sums = placed.groupBy("block", "bin").agg(F.sum("weight").alias("weight"))
+    while blocks > 1:
+        blocks = -(-blocks // fan_in)
+        merged = cut(combine_blocks(sums, bins, fan_in, min(blocks, shuffle_width(spark))))
+        moved = merged.select("block", "bin", "to_block", "to_bin")
+        placed = placed.join(small(moved), ["block", "bin"]).select(F.col("to_block").alias("block"), F.col("to_bin").alias("bin"), "root", "weight")
+        sums = merged.groupBy(F.col("to_block").alias("block"), F.col("to_bin").alias("bin")).agg(F.sum("weight").alias("weight"))
+    # One partition is left: as many rows as there are bins.
+    final = sorted((r["bin"], r["weight"]) for r in sums.collect())
+    of_bin = allocate(np.array([w for _, w in final], float), want)
+    table_of = spark.createDataFrame([(b, names[s]) for (b, _), s in zip(final, of_bin)], "bin INT, split STRING")
+    return placed.join(F.broadcast(table_of), "bin").select("root", "split")
+
+
+def by_block(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(number, rows) of each run of equal numbers in rows that lie sorted by it."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        codes = batch.column(name).to_numpy()
+        at = 0
+        while at < len(codes):
+            if codes[at] != current:
+                if held:
+                    yield current, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, current = [], int(codes[at])
+            end = int(np.searchsorted(codes[at:], current, side="right")) + at
+            held.append(batch.slice(at, end - at))
+            at = end
+    if held:
+        yield current, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def combine_blocks(sums: DataFrame, bins: int, fan_in: int, partitions: int) -> DataFrame:
+    """(block, bin, weight, to_block, to_bin): the bins of fan_in neighbouring blocks combined by one task."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to_block, whole in by_block(batches, "to_block"):
+            block, own, weight = (whole.column(c).to_numpy() for c in ("block", "bin", "weight"))
+            _, part = np.unique(block, return_inverse=True)
+            parts = np.zeros((int(part.max()) + 1, bins))
+            parts[part, own] = weight
+            to_bin = combine(parts)[part, own]
+            yield pa.RecordBatch.from_arrays(
+                [whole.column("block"), whole.column("bin"), whole.column("weight"), pa.array(np.full(len(own), to_block), pa.int64()), pa.array(to_bin, pa.int32())],
+                names=["block", "bin", "weight", "to_block", "to_bin"],
+            )
 
-    light = weights.where(F.col("weight") * bins <= total).select("root", "weight", F.pmod(F.xxhash64("root"), F.lit(blocks)).alias("block"))
-    dealt = light.repartition(min(blocks, shuffle_width(spark)), "block").sortWithinPartitions("block", F.col("weight").desc(), "root")
-    out = dealt.mapInArrow(split_blocks, "root STRING, split STRING")
-    return out.unionByName(spark.createDataFrame(placed, "root STRING, split STRING")) if placed else out
+    grouped = sums.withColumn("to_block", F.floor(F.col("block") / fan_in)).repartition(partitions, "to_block").sortWithinPartitions("to_block", "block", "bin")
+    return grouped.select("block", "bin", "weight", "to_block").mapInArrow(merge, "block BIGINT, bin INT, weight BIGINT, to_block BIGINT, to_bin INT")
 
 
 def related(df: DataFrame, *, parent: str = "parent_spec", key: str = "inchikey", fold: str = "fold", row: str = "spectrum_uid", salts: int = SALTS) -> DataFrame:
@@ -189,6 +229,20 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_rows(df).select("spectrum_uid", "parent_spec", "fold", "split", "broken")
 
 
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(check_name, n): rows, parents and InChIKeys in more than one split, splits off their share, rows of groups with contradicting folds."""
+    df = table(spark, sf_dir, "spectra_v2").select("spectrum_uid", "parent_spec", "inchikey", "fold")
+    out = cut(split_rows(df).select("parent_spec", inchikey(F.col("inchikey")).alias("key"), "split", "broken"))
+    row = lambda df, name, n: df.agg(F.lit(name).alias("check_name"), n.cast("bigint").alias("n"))
+    apart = lambda c: out.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")
+    per = out.groupBy("split").agg(F.count("*").alias("rows"))
+    targets = spark.createDataFrame(SHARES, "split STRING, share DOUBLE")
+    whole = out.agg(F.count("*").alias("whole"))
+    off = targets.join(per, "split", "left").crossJoin(F.broadcast(whole)).where(F.abs(F.coalesce("rows", F.lit(0)) / F.col("whole") - F.col("share")) > 0.02)
+    checks = row(out, "rows", F.count("*")).unionByName(row(apart("parent_spec"), "parents_apart", F.count("*"))).unionByName(row(apart("key"), "keys_apart", F.count("*")))
+    return checks.unionByName(row(off, "shares_off", F.count("*"))).unionByName(row(out, "rows_of_broken_groups", F.count_if("broken")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents whose group's recorded folds contradict one another."""
     return conflicts(related(table(spark, sf_dir, "spectra_v2")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.session import table
+from peakloom.session import cut, table
 
 #: Terms in a block: bounds the memory of a worker (about 80 bytes a term).
 BLOCK_TERMS = 400_000
@@ -57,6 +57,13 @@ class SuffixArray:
                 break
         self.order = self.order[self.left[self.order] > 0]
         self.common = self.prefix(self.order[:-1], self.order[1:])
+        # Suffixes of one record, in the order of the array: what each has in common with the one before it, for all lengths at once.
+        by_record = np.argsort(self.records[self.order], kind="stable")
+        p, q = by_record[:-1], by_record[1:]
+        same = self.records[self.order[p]] == self.records[self.order[q]]
+        p, q = p[same], q[same]
+        self.within = np.zeros(len(self.order), np.int64)
+        self.within[q] = self.prefix(self.order[p], self.order[q])
 
     @staticmethod
     def _left(codes: np.ndarray, records: np.ndarray) -> np.ndarray:
@@ -80,21 +87,18 @@ class SuffixArray:
         return length
 
     def intervals(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first suffix, occurrences, records) of every distinct n-gram."""
+        """(first suffix, occurrences, records) of every distinct n-gram: the intervals in which neighbours share n terms.
+
+        Suffixes of one record are adjacent inside an interval if one follows the other there; each such adjacency is a repeat.
+        """
         order = self.order
         if not len(order):
             return order, order, order
         starts = np.flatnonzero(np.r_[True, self.common < n])
         occurrences = np.diff(np.r_[starts, len(order)])
-        # Neighbours of the same record, in the order of the suffix array.
-        by_record = np.argsort(self.records[order], kind="stable")
-        p, q = by_record[:-1], by_record[1:]
-        same = self.records[order[p]] == self.records[order[q]]
-        p, q = p[same], q[same]
-        again = np.zeros(len(order), np.int64)
-        again[q] = self.prefix(order[p], order[q]) >= n
+        repeats = np.add.reduceat((self.within >= n).astype(np.int64), starts)
         kept = self.left[order[starts]] >= n
-        return order[starts][kept], occurrences[kept], (occurrences - np.add.reduceat(again, starts))[kept]
+        return order[starts][kept], occurrences[kept], (occurrences - repeats)[kept]
 
 
 def block_counts(lists: pa.Array, lengths: Sequence[int], depth: int | None = None) -> Iterator[tuple[list[list[str]], np.ndarray, np.ndarray]]:
@@ -129,6 +133,13 @@ def term_frequencies(
     Terms are compared exactly. depth bounds the suffix array's sorting, None sorts it fully; it must
     reach the longest wanted n-gram. Extra columns don't matter. An empty table gives an empty result.
     """
+    return counts_and_total(df, key, fields, lengths, block_terms=block_terms, depth=depth).where("field_name IS NOT NULL")
+
+
+def counts_and_total(
+    df: DataFrame, key: str, fields: Sequence[str], lengths: Sequence[int] = (1,), *, block_terms: int = BLOCK_TERMS, depth: int | None = None
+) -> DataFrame:
+    """term_frequencies and, in the same pass, a row with a null field_name whose records are those of the table."""
     if any(n < 1 or (depth is not None and n > depth) for n in lengths):
         raise ValueError("lengths must be from 1 to depth")
     schema = "field_name STRING, gram ARRAY<STRING>, occurrences BIGINT, records BIGINT"
@@ -137,6 +148,8 @@ def term_frequencies(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(block: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(block)
+            seen = pa.array([whole.num_rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.string())), seen, seen], names=["field_name", "gram", "occurrences", "records"])
             for f in fields:
                 for grams, occurrences, records in block_counts(whole.column(f), lengths, depth):
                     for at in range(0, len(grams), 20_000):
@@ -177,9 +190,9 @@ P1_FIELDS = ("candidate_neutral_formula", "candidate_ion_state")
 def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct term of both candidate lists with its counts and mark."""
     df = table(spark, sf_dir, "fragment_supervision_v2").select("spectrum_uid", *P1_FIELDS)
-    total = df.select("spectrum_uid").distinct().count()
-    terms = term_frequencies(df, "spectrum_uid", P1_FIELDS, (1,))
-    return mark_terms(terms, total).select("field_name", F.col("gram")[0].alias("term"), "occurrences", "records", "mark")
+    counted = cut(counts_and_total(df, "spectrum_uid", P1_FIELDS, (1,)))
+    own = counted.where("field_name IS NULL").first()
+    return mark_terms(counted.where("field_name IS NOT NULL"), own["records"] if own else 0).select("field_name", F.col("gram")[0].alias("term"), "occurrences", "records", "mark")
 
 
 def p1_grams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from peakloom.llm import sample
 
@@ -43,3 +44,49 @@ def test_rows_of_sampled_items(spark):
     log = spark.createDataFrame([("p1", 3), ("p1", 2), ("p1", 2), ("only in the log", 2)], "parent_spec STRING, batch_no INT")
     got = {tuple(r) for r in sample.sample_rows(rows, log, rate=(1, 2)).collect()}
     assert got == {("p1", "u1", 2), ("p1", "u2", 2)}
+
+
+def test_ledger_loses_nothing(spark, tmp_path):
+    """Late items, items that vanish and corrected batch numbers: what was chosen stays, sizes are exact, reruns change nothing."""
+    ledger = sample.Ledger(spark, str(tmp_path / "ledger"))
+    df = lambda rows: spark.createDataFrame(rows, ITEMS).repartition(3)
+    step = lambda rows: {tuple(r) for r in sample.frozen_bottom_k(df(rows), "item", "batch", (5, 100), ledger=ledger).collect()}
+    rows = [(f"a{n}", 1) for n in range(101)]
+    first = step(rows)
+    assert first == brute(rows, (5, 100)) and len(first) == 6
+    assert step(rows) == first and step(rows[::-1]) == first
+    # Nineteen more for the closed batch: nothing is open yet, so they wait.
+    late = [(f"late{n}", 1) for n in range(19)]
+    assert step(rows + late) == first
+    # A new batch opens; one chosen item's batch is corrected to it, another item vanishes from the input.
+    moved, gone = (i for i, _ in sorted(first)[:2])
+    second_rows = [(i, 2 if i == moved else b) for i, b in rows + late if i != gone] + [(f"b{n}", 2) for n in range(240)]
+    second = step(second_rows)
+    assert first <= second and {b for _, b in second - first} == {2}
+    # The late ones with a hash below the threshold of their batch take part in the open batch, no others.
+    text = lambda i: (hashlib.md5((sample.SALT + i).encode()).hexdigest(), i)
+    last = max(text(i) for i, _ in first)
+    joined = [(i, 2) for i, _ in late if text(i) <= last] + [(f"b{n}", 2) for n in range(240)]
+    assert second - first == brute(joined, (5, 100))
+    assert step(second_rows + rows) == second and ledger.epochs() == 2
+
+
+def test_growth_without_order(spark, tmp_path):
+    """Whatever arrives next, the sample before is a subset of the sample after, and the rate holds."""
+    rng = random.Random(77)
+    ledger = sample.Ledger(spark, str(tmp_path / "ledger"))
+    seen, before = [], set()
+    for b in range(1, 5):
+        seen += [(f"i{len(seen) + n}", b if rng.random() < 0.9 else rng.randint(1, b)) for n in range(300)]
+        after = {tuple(r) for r in sample.frozen_bottom_k(spark.createDataFrame(seen, ITEMS), "item", "batch", (10, 100), ledger=ledger).collect()}
+        assert before <= after
+        before = after
+    assert len({i for i, _ in before}) == len(before) and 100 <= len(before) <= 140
+
+
+def test_crash_between_the_two_parts_is_repaired(spark, tmp_path):
+    ledger = sample.Ledger(spark, str(tmp_path / "ledger"))
+    rows = spark.createDataFrame([(f"i{n}", 1) for n in range(50)], ITEMS)
+    rows.select("item").write.parquet(f"{ledger.path}/chosen/epoch=0")  # chosen was written, closed wasn't
+    assert ledger.epochs() == 0 and ledger.chosen() is None
+    assert sample.frozen_bottom_k(rows, "item", "batch", (10, 100), ledger=ledger).count() == 5 and ledger.epochs() == 1

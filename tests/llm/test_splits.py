@@ -62,6 +62,43 @@ def test_difference_balances_and_keeps_all():
     assert len(splits.difference(np.zeros(0), 5)) == 0
 
 
+def test_combined_partitions_balance():
+    """Bins of blocks, differenced again, are as even as one differencing of all; nothing is lost."""
+    rng = np.random.default_rng(3)
+    parts = np.zeros((7, 10))
+    for i in range(7):
+        w = rng.integers(1, 90, 60).astype(float)
+        parts[i] = np.bincount(splits.difference(w, 10), w, 10)
+    to = splits.combine(parts)
+    assert ((to >= 0) == (parts > 0)).all()
+    sums = np.bincount(to[parts > 0], parts[parts > 0], 10)
+    assert sums.sum() == parts.sum() and sums.max() - sums.min() < 6
+    # A component that outweighs a bin is one part among them: allocation makes up for it.
+    heavy = np.r_[parts, [[0.0] * 9 + [parts.sum() / 3]]]
+    to = splits.combine(heavy)
+    sums = np.bincount(to[heavy > 0], heavy[heavy > 0], 10)
+    of = splits.allocate(sums, np.array([0.8, 0.1, 0.1]))
+    assert sums.sum() == pytest.approx(heavy.sum()) and np.bincount(of, sums) / sums.sum() == pytest.approx([0.8, 0.1, 0.1], abs=0.06)
+    assert splits.combine(np.zeros((0, 4))).shape == (0, 4)
+
+
+@pytest.mark.parametrize("block_items, fan_in", [(20_000, 2_000), (50, 2_000), (20, 3)])
+def test_shares_hold_at_every_size_of_block(spark, block_items, fan_in):
+    """One block, many blocks and several levels of blocks: shares hold, a component of a quarter of all rows included."""
+    rng = np.random.default_rng(11)
+    rows = [(f"r{i:04d}", int(w)) for i, w in enumerate(rng.integers(1, 30, 800))]
+    rows.append(("heavy", sum(w for _, w in rows) // 3))
+    df = spark.createDataFrame(rows, "root STRING, weight BIGINT")
+    options = {"block_items": block_items, "fan_in": fan_in}
+    got = {r.root: r.split for r in splits.grouped_splits(df, **options).collect()}
+    assert set(got) == {r for r, _ in rows}
+    total = sum(w for _, w in rows)
+    for name, share in splits.SHARES:
+        assert abs(sum(w for r, w in rows if got[r] == name) / total - share) < 0.012
+    again = {r.root: r.split for r in splits.grouped_splits(df.repartition(5), **options).collect()}
+    assert again == got
+
+
 def data():
     rng = random.Random(5)
     out = []
