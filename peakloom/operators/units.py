@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.functions.quantity import BLANK, ENERGY_IN_EV, VALID, Registry, parse_quantity, unit_of, lex
+from peakloom.functions.quantity import BLANK, ENERGY_IN_EV, VALID, Registry, convert, lex, parse_quantity, unit_of
 from peakloom.session import SMALL_ROWS, small, table
 
 QUANTITY = T.StructType(
@@ -17,6 +18,10 @@ QUANTITY = T.StructType(
 )
 
 
+#: Relative difference up to which a table's scale and the one that follows from the dimensions count as the same.
+AGREEMENT = 1e-6
+
+
 @F.pandas_udf(QUANTITY)
 def quantity(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """parse_quantity over a column; each distinct text of an Arrow batch is parsed once."""
@@ -38,10 +43,12 @@ def name_key(name: Column) -> Column:
 
 
 def unit_table(units: DataFrame, registry: Registry = ENERGY_IN_EV, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """(unit, scale, offset, ref_mz, unit_code) of each row of a table of unit_code, ev_per_unit and ref_mz.
+    """(unit, dims, scale, offset, power, ref_mz, unit_code) of each row of a table of unit_code, ev_per_unit and ref_mz.
 
-    unit is the grammar's normal form of unit_code, so that ``kilojoule per mole`` meets ``kJ/mol``. A
-    code that the grammar reads, but whose dimensions can't become the registry's target, raises. The
+    unit is the grammar's normal form of unit_code, so that ``kilojoule per mole`` meets ``kJ/mol``; dims are its exponents over
+    the base dimensions, and power is the exponent of m/z that they lack for an energy, which the row must supply. The table and
+    the vectors must tell the same: a code that the grammar doesn't read, whose dimensions can't become the registry's target,
+    that needs an m/z and has no reference or the other way round, or whose scale isn't what the vectors give, raises. The
     table must have at most max_rows rows; it is a table of units, and a larger one raises.
     """
     rows = units.select("unit_code", "ev_per_unit", "ref_mz").where("unit_code IS NOT NULL").distinct().limit(max_rows + 1).collect()
@@ -53,9 +60,15 @@ def unit_table(units: DataFrame, registry: Registry = ENERGY_IN_EV, max_rows: in
         unit = q.unit or unit_of([t[:2] for t in lex(code) or []])
         if unit is None or registry.plan(unit) is None:
             raise ValueError(f"unit {code!r} can't be converted to {registry.target.code}")
-        offset = registry.plan(unit)[1]
-        out[unit.code] = (unit.code, float(scale), float(offset), None if ref is None else float(ref), code)
-    schema = "unit STRING, scale DOUBLE, offset DOUBLE, ref_mz DOUBLE, unit_code STRING"
+        _, offset, need = registry.plan(unit)
+        power = need.get("Z", 0)
+        if (power != 0) != (ref is not None):
+            raise ValueError(f"unit {code!r} has an exponent of {power} of m/z and the reference {ref}")
+        own = convert(1.0, unit, registry, Z=ref) - offset
+        if not math.isclose(own, scale, rel_tol=AGREEMENT):
+            raise ValueError(f"unit {code!r} is {scale} {registry.target.code} by the table and {own} by its dimensions")
+        out[unit.code] = (unit.code, list(unit.dims), float(scale), float(offset), power, None if ref is None else float(ref), code)
+    schema = "unit STRING, dims ARRAY<INT>, scale DOUBLE, offset DOUBLE, power INT, ref_mz DOUBLE, unit_code STRING"
     return units.sparkSession.createDataFrame(sorted(out.values()), schema)
 
 
@@ -94,7 +107,8 @@ def convert_energies(
         .drop("__other")
     )
     known = unit_table(units, max_rows=max_rows).select(
-        F.col("unit").alias("__unit"), F.col("scale").alias("__scale"), F.col("offset").alias("__offset"), F.col("ref_mz").alias("__ref"), F.col("unit_code").alias("__code")
+        F.col("unit").alias("__unit"), F.col("scale").alias("__scale"), F.col("offset").alias("__offset"), F.col("ref_mz").alias("__ref"), F.col("unit_code").alias("__code"),
+        F.col("power").alias("__power"),
     )
     number = F.col(bare).cast("double")
     usable = number.isNotNull() & ~F.isnan(number) & (number >= 0) & (number < float("inf"))
@@ -109,7 +123,8 @@ def convert_energies(
         .join(F.broadcast(known), F.col("__named") == F.col("__unit"), "left")
     )
     mz = F.col(precursor).cast("double")
-    factor = F.when(F.col("__ref").isNull(), F.lit(1.0)).when((mz > 0) & (mz < float("inf")), mz / F.col("__ref"))
+    # The m/z to the power that the unit's exponents lack, relative to the reference at which the scale holds.
+    factor = F.when(F.col("__power") == 0, F.lit(1.0)).when((mz > 0) & (mz < float("inf")), F.pow(mz / F.col("__ref"), F.col("__power").cast("double")))
     status = (
         F.when(from_text & (text != VALID), "invalid")
         .when(~from_text & number.isNull(), "missing")

@@ -35,13 +35,29 @@ def spans(df: DataFrame, key: str, group: Column, name: str) -> DataFrame:
     return per.agg(F.lit(name).alias("check_name"), F.count("*").alias("violations"), F.min("k").alias("example"))
 
 
-def unsorted_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+def unsorted_rows(df: DataFrame, order: Sequence[str], name: str, file: Column | None = None) -> DataFrame:
     """Rows that lie before their predecessor in the physical order of their file."""
-    at = df.select(F.struct(*order).alias("o"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"))
+    path = F.input_file_name() if file is None else file
+    at = df.select(F.struct(*order).alias("o"), path.alias("file"), F.monotonically_increasing_id().alias("id"))
     before = F.lag("o").over(Window.partitionBy("file").orderBy("id"))
     return at.withColumn("p", before).where("p > o").agg(F.lit(name).alias("check_name"), F.count("*").alias("violations"), F.min(F.col("o").cast("string")).alias("example"))
 
 
+def layout_checks(df: DataFrame, shards: int, order: Sequence[str] = ("parent_spec", "collision_index"), file: Column | None = None) -> DataFrame:
+    """Whether rows lie where they belong: fold and shard as the folder says, the shard that the parent's hash gives, files in order.
+
+    df is read from fold=../shard=../ folders; file gives a row's path and is the scan's own by default. Columns fold and
+    shard may come from the folders or be stored.
+    """
+    path = F.input_file_name() if file is None else file
+    placed = df.withColumn("__fold", F.regexp_extract(path, "/fold=([^/]+)/", 1)).withColumn("__shard", F.regexp_extract(path, "/shard=([0-9]+)/", 1).try_cast("int"))
+    checks = {
+        "fold_is_folder": F.col("fold") != F.col("__fold"), "shard_is_folder": F.col("shard") != F.col("__shard"),
+        "shard_of_parent": F.col("shard") != scalar.shard_of("parent_spec", shards), "shard_in_range": ~F.col("shard").between(0, shards - 1),
+    }
+    return rows_fail(placed, checks, "parent_spec").unionByName(unsorted_rows(df, order, "rows_in_order", file))
+
+
 def spectra_checks(df: DataFrame) -> DataFrame:
     """Lengths, keys and folds of a spectra table."""
     n = F.size("mzs")

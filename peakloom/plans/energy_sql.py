@@ -60,4 +60,19 @@ WITH r AS (SELECT record_id, line IS NULL OR line = '' AS none, coalesce({_SOUND
            UNION ALL SELECT 'spectra_v2', spectrum_uid, CASE WHEN NOT {valid_formula('formula')} THEN 'formula' WHEN NOT {valid_energy('collision_energy_raw')} THEN 'collision_energy' WHEN NOT {valid_adduct('adduct')} THEN 'adduct' END FROM spectra_v2)
 SELECT DISTINCT rec_table, rec_key, reason FROM x WHERE reason IS NOT NULL"""
 
-SQL = {"p2_energy": P2_ENERGY, "p2_found": P2_FOUND, "p6_found": P6_FOUND}
+_FIELDS = ("spec", "collision_index", "formula", "adduct", "collision_energy_raw", "instrument", "precursor_mz", "remark")
+_TYPES = {"collision_index": "INT", "precursor_mz": "DOUBLE"}
+
+
+def _field(i: int, name: str) -> str:
+    value = f"CASE WHEN reason IS NULL OR reason NOT IN ('quoting', 'column_count') THEN v[{i}] END"
+    # Spark reads no exponent or fraction as an INT, nor signs and blanks as SQL's cast does.
+    return f"try_cast({value} AS {_TYPES[name]})" if name in _TYPES else value
+
+
+_RECORDS = P6_FOUND[: P6_FOUND.index("     x AS (")] + P6_FOUND[P6_FOUND.index("     x AS (") : P6_FOUND.index("           UNION ALL")].replace(
+    "SELECT 'raw_spectra' AS rec_table, record_id::VARCHAR AS rec_key,", "SELECT record_id, v,"
+)
+P6_RECORDS = f"{_RECORDS}) SELECT record_id, {', '.join(f'{_field(i, n)} AS {n}' for i, n in enumerate(_FIELDS, 1))}, reason FROM x"
+
+SQL = {"p2_energy": P2_ENERGY, "p2_found": P2_FOUND, "p6_records": P6_RECORDS, "p6_found": P6_FOUND}

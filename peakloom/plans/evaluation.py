@@ -177,6 +177,20 @@ def verify_supervision(spark: SparkSession, d: str) -> DataFrame:
     return checks.where(F.col("check_name").isin("parallel_lengths", "candidate_lengths", "edge_lengths", "uid_unique", "no_test_fold")).select("check_name", "violations")
 
 
+@query("""
+    WITH r AS (SELECT parent_spec, coalesce(fold, 'none') AS fold, coalesce(collision_index, 0) AS i, (concat('0x', substr(sha256(parent_spec), 1, 16))::UBIGINT % 64)::INT AS own FROM spectra_v2),
+         f AS (SELECT *, CASE WHEN i % 5 = 0 THEN (own + 1) % 64 ELSE own END AS shard, CASE WHEN i % 7 = 0 THEN 'train' ELSE fold END AS folder, CASE WHEN i % 3 = 0 THEN own ELSE shard END AS place FROM r)
+    SELECT 'fold_is_folder' AS check_name, count(*) FILTER (coalesce(fold <> folder, true)) AS violations FROM f UNION ALL SELECT 'shard_is_folder', count(*) FILTER (coalesce(shard <> place, true)) FROM f
+    UNION ALL SELECT 'shard_of_parent', count(*) FILTER (coalesce(shard <> own, true)) FROM f UNION ALL SELECT 'shard_in_range', count(*) FILTER (coalesce(shard NOT BETWEEN 0 AND 63, true)) FROM f""")
+def layout_faults(spark: SparkSession, d: str) -> DataFrame:
+    """The layout checks on rows with planted faults: every fifth collision in the next shard, every seventh in the folder of train."""
+    i, own = F.coalesce("collision_index", F.lit(0)), scalar.shard_of("parent_spec")
+    rows = table(spark, d, "spectra_v2").select("parent_spec", "collision_index", F.coalesce("fold", F.lit("none")).alias("fold"), F.when(i % 5 == 0, (own + 1) % 64).otherwise(own).alias("shard"))
+    at = F.when(i % 3 == 0, own).otherwise(F.col("shard"))
+    file = F.concat(F.lit("/fold="), F.when(i % 7 == 0, "train").otherwise(F.col("fold")), F.lit("/shard="), at.cast("string"), F.lit("/part"))
+    return verify.layout_checks(rows, 64, file=file).where("check_name <> 'rows_in_order'").select("check_name", "violations")
+
+
 @query()
 def verify_all(spark: SparkSession, d: str) -> DataFrame:
     supervision = verify.supervision_checks(table(spark, d, "fragment_supervision_v2")).withColumn("table_name", F.lit("fragment_supervision_v2"))

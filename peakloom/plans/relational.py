@@ -216,17 +216,44 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
     return compare.reconcile(one("spectra_v2"), one("fragment_supervision_v2"), "spectrum_uid", ["mzs"])
 
 
-@query(sql("s", "SELECT count(*) AS shared, count(*) FILTER (candidate_neutral_formula IS NOT DISTINCT FROM candidate_neutral_formula) AS identical, 0.0::DOUBLE AS max_difference FROM s"))
+_DELIVERIES = """WITH a AS (SELECT spectrum_uid, min(mzs) AS m, min(intensities) AS y FROM (SELECT DISTINCT spectrum_uid, mzs, intensities FROM spectra_v2) GROUP BY 1 HAVING count(*) = 1),
+         b AS (SELECT spectrum_uid, min(mzs) AS m, min(intensities) AS y FROM fragment_supervision_v2 GROUP BY 1),
+         v AS (SELECT 'supervised' AS variant, * FROM b UNION ALL SELECT 'first_half', spectrum_uid, m, list_transform(y, lambda x: x / 2) FROM b
+               UNION ALL SELECT 'mirrored', spectrum_uid, list_reverse(m), list_reverse(y) FROM b),
+         j AS (SELECT variant, a.m IS NOT DISTINCT FROM v.m AS same, list_max(list_transform(list_zip(a.y, v.y), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM a JOIN v USING (spectrum_uid))"""
+
+
+def deliveries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Spectra as they were taken up, without those re-ingested with other peaks, and as they were supervised."""
+    taken = table(spark, d, "spectra_v2").select("spectrum_uid", "mzs", "intensities").distinct()
+    once = taken.groupBy("spectrum_uid").agg(F.count("*").alias("n"), F.min("mzs").alias("mzs"), F.min("intensities").alias("intensities")).where("n = 1").drop("n")
+    exact = lambda df: df.withColumn("intensities", F.col("intensities").cast("array<double>"))
+    return exact(once), exact(views.supervision(spark, d, "mzs", "intensities"))
+
+
+@query(_DELIVERIES + " SELECT count(*) AS shared, count(*) FILTER (same) AS identical, round(max(d) FILTER (same), 4) AS max_difference FROM j WHERE variant = 'supervised'")
 def reproducibility(spark: SparkSession, d: str) -> DataFrame:
-    """Two computations of one prediction set: equal identities, no intensity difference."""
-    one = views.supervision(spark, d, *views.CANDIDATES).select("spectrum_uid", F.col("candidate_neutral_formula").alias("predicted_formulas"), F.col("candidate_ion_state").alias("predicted_ion_states"), F.col("candidate_theoretical_mz").alias("predicted_intensities"))
-    two = one.repartition(7, "spectrum_uid")
-    return compare.compare_predictions(one, two)
+    """Two deliveries of the same spectra: how many have equal peaks, and the greatest difference of intensity of those."""
+    once, supervised = deliveries(spark, d)
+    out = compare.compare_predictions(once, supervised, "spectrum_uid", ("mzs",), "intensities")
+    return out.withColumn("max_difference", F.round("max_difference", 4))
+
+
+@query(_DELIVERIES + " SELECT variant, count(*) AS shared, count(*) FILTER (same) AS identical, round(max(d) FILTER (same), 4) AS max_difference FROM j GROUP BY variant")
+def variant_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A delivery against three variants of the other, of which two are damaged on purpose."""
+    once, supervised = deliveries(spark, d)
+    half = supervised.withColumn("intensities", F.transform("intensities", lambda y: y / 2))
+    mirrored = supervised.select("spectrum_uid", F.reverse("mzs").alias("mzs"), F.reverse("intensities").alias("intensities"))
+    options = {"key": "spectrum_uid", "identities": ("mzs",), "values": "intensities"}
+    out = compare.variants(once, {"supervised": supervised, "first_half": half, "mirrored": mirrored}, **options)
+    return out.withColumn("max_difference", F.round("max_difference", 4))
 
 
-@query("SELECT spectrum_uid, count(DISTINCT instrument) AS ranks FROM spectra_v2 GROUP BY 1 HAVING count(DISTINCT instrument) > 1")
+@query("SELECT parent_spec, count(DISTINCT batch_no) AS ranks FROM ingest_log GROUP BY 1 HAVING count(DISTINCT batch_no) > 1")
 def ranks_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return batch.ranks_overlap(table(spark, d, "spectra_v2"), rank="instrument")
+    """Parents that more than one batch delivered: the batches stand in for ranks."""
+    return batch.ranks_overlap(table(spark, d, "ingest_log"), "parent_spec", "batch_no")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -266,13 +293,15 @@ def batch_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql("s", """
-    WITH c AS (SELECT spectrum_uid, len(mzs) AS peaks, coalesce(len(candidate_neutral_formula), 0) AS candidates, length(smiles) AS chars FROM s)
+    WITH c AS (SELECT spectrum_uid, len(mzs) AS peaks, coalesce(len(candidate_neutral_formula), 0) AS candidates, length(smiles) AS chars, len(edge_peak_index) AS edges, len(list_filter(supervision_rank, lambda r: r >= 0)) AS supervised FROM s)
     SELECT 'most_peaks' AS pick, arg_min(spectrum_uid, (-peaks, spectrum_uid)) AS spectrum_uid FROM c UNION ALL SELECT 'most_candidates', arg_min(spectrum_uid, (-candidates, spectrum_uid)) FROM c
-    UNION ALL SELECT 'longest_smiles', arg_min(spectrum_uid, (-coalesce(chars, -1), spectrum_uid)) FROM c"""))
+    UNION ALL SELECT 'longest_smiles', arg_min(spectrum_uid, (-coalesce(chars, -1), spectrum_uid)) FROM c UNION ALL SELECT 'most_edges', arg_min(spectrum_uid, (-coalesce(edges, 0), spectrum_uid)) FROM c
+    UNION ALL SELECT 'most_supervised', arg_min(spectrum_uid, (-coalesce(supervised, 0), spectrum_uid)) FROM c"""))
 def stress_picks(spark: SparkSession, d: str) -> DataFrame:
     """The most extreme spectrum by each criterion, one aggregation."""
-    df = views.supervision(spark, d, "mzs", "smiles", "candidate_neutral_formula")
-    scores = {"most_peaks": F.greatest(F.size("mzs"), F.lit(0)), "most_candidates": F.greatest(F.size("candidate_neutral_formula"), F.lit(0)), "longest_smiles": F.coalesce(F.length("smiles"), F.lit(-1))}
+    df = views.supervision(spark, d, "mzs", "smiles", "candidate_neutral_formula", "edge_peak_index", *views.RANK)
+    scores = {"most_peaks": F.greatest(F.size("mzs"), F.lit(0)), "most_candidates": F.greatest(F.size("candidate_neutral_formula"), F.lit(0)), "longest_smiles": F.coalesce(F.length("smiles"), F.lit(-1)), "most_edges": F.greatest(F.size("edge_peak_index"), F.lit(0))}
+    scores["most_supervised"] = F.greatest(F.size(F.filter("supervision_rank", lambda r: r >= 0)), F.lit(0))
     wide = df.agg(*[F.min_by("spectrum_uid", F.struct((-v).alias("v"), "spectrum_uid")).alias(n) for n, v in scores.items()])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("pick"), F.col(n).alias("spectrum_uid")) for n in scores])).alias("p")).select("p.*")
 

@@ -1,26 +1,41 @@
-"""Sharded Parquet datasets with manifests: written aside, checked, published by one rename."""
+"""Sharded Parquet datasets with manifests: written aside, checked as written, published by one rename.
+
+Nothing here needs a local path: folders are moved and manifests read through the file system that the path names.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.operators import verify
+from peakloom.sources.files import Files
 
 MANIFEST = "manifest.json"
 VERSIONS = ("spectra_v2", "fragment_supervision_v2")
 
 
-def write_sharded(df: DataFrame, path: str, shards: int, order: tuple[str, ...] = ("parent_spec", "collision_index"), by: tuple[str, ...] = ("fold", "shard")) -> None:
-    """zstd Parquet under fold=../shard=../, sorted inside each file; one shuffle, by shard."""
+def write_sharded(df: DataFrame, path: str, shards: int, order: tuple[str, ...] = ("parent_spec", "collision_index"), folds: Sequence[str] = ()) -> None:
+    """zstd Parquet under fold=../shard=../, sorted inside each file; one shuffle, by shard.
+
+    A shard of one of ``folds`` that has no row gets a file without rows, so that every shard is there.
+    """
+    by = ("fold", "shard")
     spread = df.repartition(shards, *[F.col(c) for c in by]).sortWithinPartitions(*by, *order)
     spread.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    files = Files(df.sparkSession)
+    empty = None
+    for fold in folds:
+        have = set(files.names(f"{path}/fold={fold}"))
+        for n in range(shards):
+            if f"shard={n}" not in have:
+                empty = empty if empty is not None else df.drop(*by).limit(0).coalesce(1)
+                empty.write.mode("overwrite").parquet(f"{path}/fold={fold}/shard={n}")
 
 
 def make_manifest(df: DataFrame, version: str, **extra: object) -> dict:
@@ -30,33 +45,42 @@ def make_manifest(df: DataFrame, version: str, **extra: object) -> dict:
     return {"schema_version": version, "created_utc": datetime.now(timezone.utc).isoformat(timespec="seconds"), "counts": counts, **extra}
 
 
-def publish(df: DataFrame, out: str, version: str, shards: int, overwrite: bool = False, checks: DataFrame | None = None, **extra: object) -> dict:
-    """Write beside out, run the gate, write the manifest, then rename; an older dataset is moved away and removed last.
+def publish(
+    df: DataFrame, out: str, version: str, shards: int, overwrite: bool = False, checks: Callable[[DataFrame], DataFrame] | None = None, folds: Sequence[str] = (), **extra: object,
+) -> dict:
+    """Write beside out, run the gate on what was written, write the manifest, then rename; an older dataset is moved away and removed last.
 
-    A failed gate leaves the temporary directory for inspection and out untouched. Local and mounted paths only.
+    checks makes the table of checks from the dataset as it is read back; those of the layout come with it. A failed gate leaves
+    the temporary directory for inspection and out untouched.
     """
-    if os.path.exists(out) and not overwrite:
+    spark, files = df.sparkSession, Files(df.sparkSession)
+    if files.exists(out) and not overwrite:
         raise FileExistsError(out)
     token = uuid.uuid4().hex[:8]
     tmp, trash = f"{out}.tmp.{token}", f"{out}.old.{token}"
-    write_sharded(df, tmp, shards)
-    written = df.sparkSession.read.parquet(tmp)
+    write_sharded(df, tmp, shards, folds=folds)
+    written = spark.read.parquet(tmp)
     if checks is not None:
-        verify.gate(checks)
+        verify.gate(checks(written).unionByName(verify.layout_checks(written, shards)))
+        missing = {f: sorted({f"shard={n}" for n in range(shards)} - set(files.names(f"{tmp}/fold={f}"))) for f in folds}
+        if any(missing.values()):
+            raise ValueError(f"shards without a file: {missing}")
     manifest = make_manifest(written, version, **extra)
-    with open(os.path.join(tmp, MANIFEST), "w") as file:
-        json.dump(manifest, file, indent=2, sort_keys=True)
-    if os.path.exists(out):
-        os.rename(out, trash)
-    os.rename(tmp, out)
-    shutil.rmtree(trash, ignore_errors=True)
+    files.write_text(f"{tmp}/{MANIFEST}", json.dumps(manifest, indent=2, sort_keys=True))
+    if files.exists(out):
+        files.rename(out, trash)
+    files.rename(tmp, out)
+    files.delete(trash)
     return manifest
 
 
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(Files(spark).read_text(f"{path}/{MANIFEST}"))
+
+
 def read_dataset(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, shards: list[int] | None = None, accept: tuple[str, ...] = VERSIONS, fold: str | None = None) -> DataFrame:
     """A published dataset behind its version gate; fold and shards prune partitions, columns prune the scan."""
-    with open(os.path.join(path, MANIFEST)) as file:
-        version = json.load(file)["schema_version"]
+    version = read_manifest(spark, path)["schema_version"]
     if version not in accept:
         raise ValueError(f"schema version {version!r} is not one of {accept}")
     df = spark.read.parquet(path)

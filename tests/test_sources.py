@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -65,7 +66,7 @@ def test_build_publish_and_read(spark, tmp_path):
     good = built.where("error IS NULL").drop("error")
     assert {r.instrument for r in good.collect()} == {'"Orbitrap'} and {r.fold for r in good.collect()} == {"train", "valid"}
     out = str(tmp_path / "out")
-    manifest = sink.publish(good, out, "spectra_v2", 4, checks=verify.spectra_checks(good))
+    manifest = sink.publish(good, out, "spectra_v2", 4, checks=verify.spectra_checks, folds=("train", "valid"))
     assert manifest["counts"]["all"] == {"parents": 2, "spectra": 4, "peaks": 6} and manifest["counts"]["train"]["spectra"] == 2
     with pytest.raises(FileExistsError):
         sink.publish(good, out, "spectra_v2", 4)
@@ -78,7 +79,9 @@ def test_build_publish_and_read(spark, tmp_path):
         sink.read_dataset(spark, out, accept=("other",))
     assert json.load(open(os.path.join(out, sink.MANIFEST)))["schema_version"] == "spectra_v2"
     with pytest.raises(ValueError):
-        sink.publish(good, str(tmp_path / "never"), "spectra_v2", 4, checks=verify.spectra_checks(good.unionByName(good)))
+        sink.publish(good.unionByName(good), str(tmp_path / "never"), "spectra_v2", 4, checks=verify.spectra_checks)
+    with pytest.raises(ValueError, match="shard_of_parent"):
+        sink.publish(good.withColumn("shard", (F.col("shard") + 1) % 4), str(tmp_path / "never"), "spectra_v2", 4, checks=verify.spectra_checks)
     assert not os.path.exists(tmp_path / "never")
 
 
@@ -130,3 +133,21 @@ def test_stream_windows(spark, tmp_path):
     assert query.awaitTermination(120)
     assert {(r.start.hour, r.n, r.total) for r in spark.table("windows").collect()} == still and len(still) == 2
     assert ingest.first_arrivals(rows, ["ts", "by", "v"], "ts").count() == 3
+
+
+def test_layout_faults_are_seen(spark):
+    """Rows in a wrong folder, a wrong shard or out of order are counted, each by its own check."""
+    rows = [("train", scalar_shard(p), p, i, f"/d/fold=train/shard={scalar_shard(p)}/x.parquet") for p in ("a", "b", "c") for i in (0, 1)]
+    df = lambda rs: spark.createDataFrame(rs, "fold STRING, shard INT, parent_spec STRING, collision_index INT, file STRING").coalesce(1)
+    found = lambda rs: {r.check_name: r.violations for r in verify.layout_checks(df(rs), 8, file=F.col("file")).collect() if r.violations}
+    ordered = sorted(rows, key=lambda r: (r[1], r[2], r[3]))
+    assert found(ordered) == {}
+    f, shard, p, i, file = ordered[0]
+    assert found([("valid", shard, p, i, file), *ordered[1:]]) == {"fold_is_folder": 1}
+    assert found([(f, (shard + 1) % 8, p, i, file), *ordered[1:]]) == {"shard_is_folder": 1, "shard_of_parent": 1}
+    assert found([ordered[1], ordered[0], *ordered[2:]]) == {"rows_in_order": 1}
+    assert found([(f, None, p, i, None), *ordered[1:]]) == {"fold_is_folder": 1, "shard_is_folder": 1, "shard_of_parent": 1, "shard_in_range": 1}
+
+
+def scalar_shard(parent):
+    return int.from_bytes(hashlib.sha256(parent.encode()).digest()[:8], "big") % 8

@@ -42,5 +42,9 @@ def test_join_without_broadcast_gives_the_same(spark, tables):
 def test_unit_table(spark, tables):
     got = {r.unit: (r.scale, r.ref_mz) for r in unit_table(tables[1]).collect()}
     assert got["kJ/mol"] == (0.0103642697, None) and got["NCE"] == (1.0, 500.0)
+    assert {r.unit: r.power for r in unit_table(tables[1]).collect()} == {"eV": 0, "V": 0, "keV": 0, "kJ/mol": 0, "NCE": 1, "NCE_frac": 1}
+    for wrong in (("keV", 999.0, None), ("kJ/mol", 0.0104, None), ("NCE", 1.0, 400.0), ("NCE", 1.0, None), ("eV", 1.0, 500.0), ("furlong", 1.0, None)):
+        with pytest.raises(ValueError, match=wrong[0]):
+            unit_table(spark.createDataFrame([wrong], "unit_code STRING, ev_per_unit DOUBLE, ref_mz DOUBLE"))
     with pytest.raises(ValueError):
         unit_table(spark.createDataFrame([("m/s", 1.0, None)], "unit_code STRING, ev_per_unit DOUBLE, ref_mz DOUBLE"))
