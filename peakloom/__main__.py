@@ -27,7 +27,8 @@ from peakloom.plans import views
 from peakloom.session import cut
 from peakloom.sources import ms, sink, tables
 
-SUPERVISION_INPUTS = ["spectrum_uid", "parent_spec", "fold", "shard", "collision_index", "collision_energy", "smiles", "formula", "inchikey", "adduct", "instrument", "precursor_mz", "mzs", "intensities", "mz_decimal_places"]
+SUPERVISION_INPUTS = ["spectrum_uid", "parent_spec", "fold", "shard", "collision_index", "collision_energy", "smiles", "formula",
+    "inchikey", "adduct", "instrument", "precursor_mz", "mzs", "intensities", "mz_decimal_places"]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -58,7 +59,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--predictions", "--data", "--fold", "--out"):
         evaluate.add_argument(name, required=True)
     for name, inputs, sections in (
-        ("identity-errors", ("--predictions",), "errors,valence,vocabulary"), ("decompose", ("--slots", "--assignment"), None), ("audit-contract", ("--slots", "--assignment"), "oracles,counterfactual,bags"),
+        ("identity-errors", ("--predictions",), "errors,valence,vocabulary"), ("decompose", ("--slots", "--assignment"), None),
+        ("audit-contract", ("--slots", "--assignment"), "oracles,counterfactual,bags"),
     ):
         command = commands.add_parser(name)
         for flag in (*inputs, "--data", "--out"):
@@ -80,7 +82,8 @@ def build_spectra(spark: SparkSession, args: argparse.Namespace) -> int:
         print(f"{failed.count()} records failed, the first: {first['parent_spec']}: {first['error']}", file=sys.stderr)
         return 1
     good = built.drop("error")
-    sink.publish(good, args.out, "spectra_v2", args.num_shards, args.overwrite, checks=lambda df: verify.spectra_checks(df).where("check_name <> 'inchikey_in_one_fold'"), folds=tables.FOLDS)
+    sink.publish(good, args.out, "spectra_v2", args.num_shards, args.overwrite,
+        checks=lambda df: verify.spectra_checks(df).where("check_name <> 'inchikey_in_one_fold'"), folds=tables.FOLDS)
     return 0
 
 
@@ -89,7 +92,8 @@ def build_supervision(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.limit_spectra is not None:
         rows = tables.fold_budget(rows, args.limit_spectra)
     built = match.build_supervision(rows, args.ppm, args.peak_cap, args.heavy_cap)
-    sink.publish(built, args.out, "fragment_supervision_v2", args.num_shards, args.overwrite, checks=lambda df: verify.supervision_checks(df, args.ppm), folds=("train", "valid"), ppm=args.ppm)
+    sink.publish(built, args.out, "fragment_supervision_v2", args.num_shards, args.overwrite,
+        checks=lambda df: verify.supervision_checks(df, args.ppm), folds=("train", "valid"), ppm=args.ppm)
     return 0
 
 
@@ -120,7 +124,8 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
     lists = {"predicted_mz": "mz", "predicted_intensities": "weight"}
     peaks = spectra.explode_lists(predictions, "spectrum_uid", "slot", lists)
     scored = metrics.score_predictions(peaks, spectra.peaks(df), df)
-    sink.prediction_table(predictions.drop("fold", "zero_prediction", *[c for c in predictions.columns if c.startswith("cos_at_")]), scored, args.fold).write.parquet(f"{args.out}/scored")
+    sink.prediction_table(predictions.drop("fold", "zero_prediction", *[c for c in predictions.columns if c.startswith("cos_at_")]), scored,
+        args.fold).write.parquet(f"{args.out}/scored")
     metrics.summarise_scores(scored).coalesce(1).write.json(f"{args.out}/summary")
     return 0
 
@@ -130,7 +135,8 @@ def identity_errors(spark: SparkSession, args: argparse.Namespace) -> int:
     sink.refuse_test(args.fold)
     df = sink.read_dataset(spark, args.data, fold=args.fold)
     lists = {"predicted_formulas": "formula", "predicted_ion_states": "ion_state"}
-    predicted = spectra.explode_lists(spark.read.parquet(args.predictions), "spectrum_uid", "slot", lists).withColumnRenamed("spectrum_uid", "uid").where("formula <> ''")
+    predicted = spectra.explode_lists(spark.read.parquet(args.predictions), "spectrum_uid", "slot", lists).withColumnRenamed("spectrum_uid",
+        "uid").where("formula <> ''")
     candidates = spectra.candidates(df).select(F.col("spectrum_uid").alias("uid"), "candidate_index", "formula", "ion_state")
     classes = cut(analysis.classify_identities(predicted, candidates))
     classes.write.parquet(f"{args.out}/identities")
@@ -164,7 +170,8 @@ def decompose(spark: SparkSession, args: argparse.Namespace) -> int:
     df, slots, assignment = slot_tables(spark, args)
     rank = spectra.explode_lists(df, "spectrum_uid", "peak_index", {"supervision_rank": "rank"})
     peaks = metrics.transformed(spectra.peaks(df)).join(rank, ["spectrum_uid", "peak_index"], "left")
-    peaks = peaks.select(F.col("spectrum_uid").alias("uid"), "peak_index", "t", F.coalesce(F.col("rank").between(0, scalar.SLOTS - 1), F.lit(False)).alias("selected"))
+    peaks = peaks.select(F.col("spectrum_uid").alias("uid"), "peak_index", "t", F.coalesce(F.col("rank").between(0, scalar.SLOTS - 1),
+        F.lit(False)).alias("selected"))
     targets = views.targets(df).select("uid", "target", "peak_index")
     placed = assignment.join(targets, ["uid", "target"]).join(slots, ["uid", "slot"]).select("uid", "peak_index", "intensity", "contribution")
     out = cut(scores.spectrum_cosine_loss(placed, peaks).join(scores.cosine_decomposition(peaks, placed), "uid"))
@@ -186,19 +193,24 @@ def audit_contract(spark: SparkSession, args: argparse.Namespace) -> int:
         ceilings.write.parquet(f"{args.out}/oracles")
         ceilings.groupBy("oracle").agg(F.count("*").alias("spectra"), *[F.avg(n).alias(n) for n in names]).coalesce(1).write.json(f"{args.out}/oracle_means")
     if "counterfactual" in sections:
-        true = spectra.candidates(df).select(F.col("spectrum_uid").alias("uid"), "candidate_index", F.col("formula").alias("o_formula"), F.col("ion_state").alias("o_ion"))
+        true = spectra.candidates(df).select(F.col("spectrum_uid").alias("uid"), "candidate_index", F.col("formula").alias("o_formula"),
+            F.col("ion_state").alias("o_ion"))
         first = views.members(df).groupBy("uid", "target").agg(F.min("candidate_index").alias("candidate_index"))
-        matched = assignment.join(views.targets(df).select("uid", "target", "y", "t"), ["uid", "target"]).join(first, ["uid", "target"], "left").join(true, ["uid", "candidate_index"], "left")
+        matched = assignment.join(views.targets(df).select("uid", "target", "y", "t"), ["uid", "target"]).join(first, ["uid", "target"],
+            "left").join(true, ["uid", "candidate_index"], "left")
         made = analysis.counterfactuals(slots, matched.select("uid", "slot", "o_formula", "o_ion", "y", "t"))
-        scored = cut(metrics.grid_cosines(spectra.peaks(df).withColumnRenamed("spectrum_uid", "uid"), made, "uid", analysis.CONDITIONS, scalar.TOP_K, scalar.FOUR_SPACES))
+        scored = cut(metrics.grid_cosines(spectra.peaks(df).withColumnRenamed("spectrum_uid", "uid"), made, "uid", analysis.CONDITIONS,
+            scalar.TOP_K, scalar.FOUR_SPACES))
         scored.write.parquet(f"{args.out}/counterfactual")
-        scored.groupBy(F.col("list").alias("condition")).agg(F.count("*").alias("spectra"), *[F.avg(n).alias(n) for n in names]).coalesce(1).write.json(f"{args.out}/counterfactual_means")
+        scored.groupBy(F.col("list").alias("condition")).agg(F.count("*").alias("spectra"),
+            *[F.avg(n).alias(n) for n in names]).coalesce(1).write.json(f"{args.out}/counterfactual_means")
     if "bags" in sections:
         spectra.bags(df).groupBy("spectrum_uid", "target").agg(F.count("*").alias("identities")).groupBy("identities").agg(F.count("*").alias("bags")).coalesce(1).write.json(f"{args.out}/bags")
     return 0
 
 
-COMMANDS = {"build-spectra": build_spectra, "build-supervision": build_supervision, "verify": verify_dataset, "audit": audit, "evaluate": evaluate, "identity-errors": identity_errors, "decompose": decompose, "audit-contract": audit_contract}
+COMMANDS = {"build-spectra": build_spectra, "build-supervision": build_supervision, "verify": verify_dataset, "audit": audit,
+    "evaluate": evaluate, "identity-errors": identity_errors, "decompose": decompose, "audit-contract": audit_contract}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -11,7 +11,8 @@ SQL_FUNCTIONS = {
     "shard_of": ("parent STRING", "INT", f"CAST(CAST(conv(substr(sha2(parent, 256), 1, 16), 16, 10) AS DECIMAL(20,0)) % {scalar.SHARDS} AS INT)"),
     "spectrum_uid": ("parent STRING, idx INT", "STRING", "format_string('%s:%02d', parent, idx)"),
     "bin_index": ("mz DOUBLE", "INT", f"try_cast(floor(mz * {(scalar.BINS - 1) / scalar.BIN_RANGE!r}D) + 1 AS INT)"),
-    "mass_tolerance": ("mz DOUBLE, dp INT", "DOUBLE", f"CASE WHEN dp >= {scalar.MIN_DECIMALS} THEN greatest(mz * {scalar.PPM * 1e-6!r}D, 0.5D * pow(10D, -dp)) ELSE mz * {scalar.PPM * 1e-6!r}D END"),
+    "mass_tolerance": ("mz DOUBLE, dp INT", "DOUBLE", f"""CASE WHEN dp >= {scalar.MIN_DECIMALS} THEN greatest(mz * {scalar.PPM * 1e-6!r}D,
+        0.5D * pow(10D, -dp)) ELSE mz * {scalar.PPM * 1e-6!r}D END"""),
     "ppm_error": ("mz DOUBLE, theory DOUBLE", "DOUBLE", "(mz - theory) / theory * 1e6D"),
     "safe_ratio": ("a DOUBLE, b DOUBLE", "DOUBLE", "a / nullif(b, 0D)"),
     "softplus": ("x DOUBLE", "DOUBLE", "greatest(x, 0D) + log1p(exp(-abs(x)))"),

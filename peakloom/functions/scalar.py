@@ -105,7 +105,8 @@ def number_or_na(value: Column | str, decimals: int) -> Column:
     return text(_col(value).try_cast("double"))
 
 
-def format_row(smiles: Column | str, formula: Column | str, adduct: Column | str, energy: Column | str, instrument: Column | str, precursor: Column | str) -> Column:
+def format_row(smiles: Column | str, formula: Column | str, adduct: Column | str, energy: Column | str, instrument: Column | str,
+    precursor: Column | str) -> Column:
     """The conditioning text of a spectrum."""
     parts = (
         ("SMILES", text_or_na(smiles)), ("formula", text_or_na(formula)), ("adduct", text_or_na(adduct)), ("collision_energy", number_or_na(energy, 2)),

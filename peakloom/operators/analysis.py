@@ -32,7 +32,8 @@ def spectrum_support(df: DataFrame) -> DataFrame:
     energy = F.col("y") * F.col("y")
     linked = F.col("candidates") > 0
     per = peak_support(df).groupBy("spectrum_uid").agg(
-        F.count("*").alias("peaks"), F.coalesce(F.sqrt(scalar.safe_ratio(F.sum(F.when(linked, energy).otherwise(0.0)), F.sum(energy))), F.lit(0.0)).alias("support_cosine"),
+        F.count("*").alias("peaks"), F.coalesce(F.sqrt(scalar.safe_ratio(F.sum(F.when(linked, energy).otherwise(0.0)), F.sum(energy))),
+            F.lit(0.0)).alias("support_cosine"),
         F.bool_and(linked).alias("fully_supported"),
     )
     sized = df.select("spectrum_uid", "instrument", "adduct", "fold", F.greatest(F.size("candidate_neutral_formula"), F.lit(0)).alias("unique_candidates"))
@@ -48,7 +49,8 @@ def peak_block(support: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     aggs = [
         F.count("*").alias("peaks"), F.count_if(linked).alias("supported_peaks"), F.avg(linked.cast("double")).alias("supported_fraction"),
         scalar.safe_ratio(F.sum(F.when(linked, F.col("y")).otherwise(0.0)), F.sum("y")).alias("intensity_coverage"),
-        F.avg((n == 0).cast("double")).alias("zero_fraction"), F.avg((n == 1).cast("double")).alias("one_fraction"), F.avg((n >= 2).cast("double")).alias("many_fraction"),
+        F.avg((n == 0).cast("double")).alias("zero_fraction"), F.avg((n == 1).cast("double")).alias("one_fraction"),
+            F.avg((n >= 2).cast("double")).alias("many_fraction"),
         F.avg(n).alias("candidates_mean"), F.max(n).alias("candidates_max"),
     ]
     return aggregate(support, by, aggs, percentiles("candidates", (0.5, 0.9, 0.99), "candidates"))
@@ -58,7 +60,8 @@ def spectrum_block(support: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Aggregates over spectrum_support rows, overall or by columns of theirs."""
     u = F.col("unique_candidates")
     aggs = [
-        F.count("*").alias("spectra"), F.avg("support_cosine").alias("cosine_mean"), F.avg(F.col("fully_supported").cast("double")).alias("fully_supported_fraction"),
+        F.count("*").alias("spectra"), F.avg("support_cosine").alias("cosine_mean"),
+            F.avg(F.col("fully_supported").cast("double")).alias("fully_supported_fraction"),
         F.max(u).alias("unique_max"), *[F.avg((u <= t).cast("double")).alias(f"unique_le_{t}") for t in THRESHOLDS],
     ]
     return aggregate(support, by, aggs, [*percentiles("support_cosine", (0.1, 0.5), "cosine"), *percentiles("unique_candidates", (0.5, 0.9, 0.99), "unique")])
@@ -66,7 +69,8 @@ def spectrum_block(support: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def strata_by_spectrum(df: DataFrame, dimensions: Sequence[str] = ("instrument", "adduct")) -> DataFrame:
     """spectrum_block overall and by each dimension: (dimension, label, ..), one aggregation over unpivoted labels."""
-    labels = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("label")), *[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d), F.lit("?")).alias("label")) for d in dimensions])
+    labels = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("label")), *[F.struct(F.lit(d).alias("dimension"),
+        F.coalesce(F.col(d), F.lit("?")).alias("label")) for d in dimensions])
     spread = spectrum_support(df).select("support_cosine", "fully_supported", "unique_candidates", F.explode(labels).alias("s"))
     return spectrum_block(spread.select("support_cosine", "fully_supported", "unique_candidates", "s.*"), ("dimension", "label"))
 
@@ -77,7 +81,8 @@ def slot_diagnostics(df: DataFrame, slots: int = scalar.SLOTS) -> DataFrame:
     p = peak_support(df).join(rank, ["spectrum_uid", "peak_index"], "left")
     kept, y2, n = F.col("rank").between(0, slots - 1), F.col("y") * F.col("y"), F.col("candidates")
     per = p.groupBy("spectrum_uid").agg(
-        F.count("*").alias("peaks"), F.count_if("supervised").alias("supervised"), F.count_if(n == 1).alias("unique_peaks"), F.count_if(n >= 2).alias("ambiguous_peaks"),
+        F.count("*").alias("peaks"), F.count_if("supervised").alias("supervised"), F.count_if(n == 1).alias("unique_peaks"),
+            F.count_if(n >= 2).alias("ambiguous_peaks"),
         F.count_if(n == 0).alias("unsupported_peaks"), F.count_if(F.col("dp") < scalar.MIN_DECIMALS).alias("low_precision"), F.sum("y").alias("l1"),
         F.sum(F.when(kept, F.col("y")).otherwise(0.0)).alias("kept_l1"), F.sum(y2).alias("energy"), F.sum(F.when(kept, y2).otherwise(0.0)).alias("kept_energy"),
     )
@@ -98,7 +103,8 @@ def summarise_slots(diagnostics: DataFrame, slots: int = scalar.SLOTS) -> DataFr
         F.count("*").alias("spectra"), F.sum("peaks").alias("peaks"), F.avg("supervised").alias("supervised_mean"), F.max("supervised").alias("supervised_max"),
         F.avg((F.col("supervised") > slots).cast("double")).alias("over_slots_fraction"), F.avg("l1_ratio").alias("l1_mean"),
         scalar.safe_ratio(F.sum("kept_l1"), F.sum("l1")).alias("l1_pooled"), F.avg("oracle").alias("oracle_mean"),
-        F.sqrt(scalar.safe_ratio(F.sum("kept_energy"), F.sum("energy"))).alias("oracle_pooled"), F.sum("candidates").alias("candidates"), F.sum("edges").alias("edges"),
+        F.sqrt(scalar.safe_ratio(F.sum("kept_energy"), F.sum("energy"))).alias("oracle_pooled"), F.sum("candidates").alias("candidates"),
+            F.sum("edges").alias("edges"),
         F.sum("reused").alias("reused"), scalar.safe_ratio(F.sum("reused"), F.sum("candidates")).alias("reused_fraction"),
         F.sum("unique_peaks").alias("unique_peaks"), F.sum("ambiguous_peaks").alias("ambiguous_peaks"), F.sum("unsupported_peaks").alias("unsupported_peaks"),
         F.sum("low_precision").alias("low_precision"), F.count_if(F.col("energy") == 0).alias("zero_energy"),
@@ -116,8 +122,10 @@ def cost_table(df: DataFrame, slots: int = scalar.SLOTS) -> DataFrame:
     distinct = F.array_distinct("edge_ranks")
     many = F.filter(distinct, lambda r: F.size(F.filter("edge_ranks", lambda x: x == r)) >= 2)
     return out.select(
-        "spectrum_uid", F.size(F.filter("ranks", inside)).alias("targets"), F.greatest(F.size("mzs"), F.lit(0)).alias("peaks"), F.size("edge_ranks").alias("linked"),
-        F.when(elements > 0, elements).otherwise(0).alias("elements"), (F.size("edge_ranks") * F.when(elements > 0, elements).otherwise(0)).alias("element_steps"),
+        "spectrum_uid", F.size(F.filter("ranks", inside)).alias("targets"), F.greatest(F.size("mzs"), F.lit(0)).alias("peaks"),
+        F.size("edge_ranks").alias("linked"),
+        F.when(elements > 0, elements).otherwise(0).alias("elements"), (F.size("edge_ranks") * F.when(elements > 0,
+            elements).otherwise(0)).alias("element_steps"),
         F.size(many).alias("ambiguous_targets"),
     )
 
@@ -147,7 +155,8 @@ def render(slots: DataFrame, uid: str = "uid", threshold: float = scalar.PRESENC
     """Slots above the presence gate, merged by identity, in the order of (formula, ion state), with their m/z."""
     merged = merge_identities(slots.where(F.col("presence") >= threshold), uid)
     merged = merged.join(formula_masses(merged), "formula", "left")
-    return merged.withColumn("mz", F.col("mass") + chem.channel_offset("ion_state")).withColumn("place", F.row_number().over(Window.partitionBy(uid).orderBy("formula", "ion_state")) - 1)
+    return merged.withColumn("mz", F.col("mass") + chem.channel_offset("ion_state")).withColumn("place",
+        F.row_number().over(Window.partitionBy(uid).orderBy("formula", "ion_state")) - 1)
 
 
 def classify_identities(predicted: DataFrame, candidates: DataFrame, uid: str = "uid") -> DataFrame:
@@ -159,7 +168,8 @@ def classify_identities(predicted: DataFrame, candidates: DataFrame, uid: str =
     (uid, candidate_index, formula, ion_state).
     """
     # Parsed before the join: once per prediction and candidate, not per pair.
-    c = candidates.select(uid, "candidate_index", F.col("formula").alias("c_formula"), F.col("ion_state").alias("c_ion"), chem.parse_formula("formula").alias("c_counts"))
+    c = candidates.select(uid, "candidate_index", F.col("formula").alias("c_formula"), F.col("ion_state").alias("c_ion"),
+        chem.parse_formula("formula").alias("c_counts"))
     pairs = predicted.withColumn("p_counts", chem.parse_formula("formula")).join(c, uid, "left")
     exact = F.coalesce((F.col("formula") == F.col("c_formula")) & (F.col("ion_state") == F.col("c_ion")), F.lit(False))
 
@@ -172,7 +182,8 @@ def classify_identities(predicted: DataFrame, candidates: DataFrame, uid: str =
     per = pairs.groupBy(uid, "slot", "formula", "ion_state").agg(F.bool_or(exact).alias("exact"), F.min(near).alias("near"))
     heavy, h = F.col("near.l1") - F.col("near.h"), F.col("near.h")
     category = (
-        F.when(F.col("exact"), "hit").when(F.col("near").isNull(), "no_candidates").when(F.col("near.l1") == 0, "hit").when((heavy == 0) & (h <= 2), "hydrogen_to_2")
+        F.when(F.col("exact"), "hit").when(F.col("near").isNull(), "no_candidates").when(F.col("near.l1") == 0,
+            "hit").when((heavy == 0) & (h <= 2), "hydrogen_to_2")
         .when(heavy == 0, "hydrogen_above_2").when(heavy == 1, "one_heavy").when(heavy == 2, "two_heavy").otherwise("far")
     )
     return per.select(uid, "slot", "formula", "ion_state", category.alias("category"), F.col("near.l1").alias("l1"), "exact")
@@ -198,7 +209,8 @@ def seen_rates(predicted: DataFrame, fragments: DataFrame, losses: DataFrame, th
     each = known.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     f, l = F.coalesce(F.col("f_n") >= F.col("threshold"), F.lit(False)), F.coalesce(F.col("l_n") >= F.col("threshold"), F.lit(False))
     share = lambda c: F.avg(c.cast("double"))
-    return each.groupBy("grp", "threshold").agg(F.count("*").alias("predictions"), share(f).alias("fragment"), share(l).alias("loss"), share(f | l).alias("either"))
+    return each.groupBy("grp", "threshold").agg(F.count("*").alias("predictions"), share(f).alias("fragment"), share(l).alias("loss"),
+        share(f | l).alias("either"))
 
 
 def counterfactuals(slots: DataFrame, oracle: DataFrame, uid: str = "uid", threshold: float = scalar.PRESENCE) -> DataFrame:
@@ -211,7 +223,8 @@ def counterfactuals(slots: DataFrame, oracle: DataFrame, uid: str = "uid", thres
     d = slots.join(oracle, [uid, "slot"], "left").withColumn("active", F.col("presence") >= threshold).withColumn("matched", F.col("y").isNotNull())
     named = slots.select("formula").union(oracle.select("o_formula"))
     d = d.join(formula_masses(named, "formula", "pm"), "formula", "left")
-    d = d.join(formula_masses(named, "formula", "om").withColumnRenamed("formula", "o_formula"), "o_formula", "left").withColumn("pi", chem.channel_offset("ion_state")).withColumn("oi", chem.channel_offset("o_ion"))
+    d = d.join(formula_masses(named, "formula", "om").withColumnRenamed("formula", "o_formula"), "o_formula", "left").withColumn("pi",
+        chem.channel_offset("ion_state")).withColumn("oi", chem.channel_offset("o_ion"))
     p_mz, o_mz = F.col("pm") + F.col("pi"), F.col("om") + F.col("oi")
     same = (F.col("formula") == F.col("o_formula")) & (F.col("ion_state") == F.col("o_ion"))
     # An oracle without a counterpart falls back as the identity sources do.
@@ -219,14 +232,17 @@ def counterfactuals(slots: DataFrame, oracle: DataFrame, uid: str = "uid", thres
     mixed_ion = F.when(F.col("oi").isNull(), p_mz).otherwise(F.col("pm") + F.col("oi"))
     active, matched, c, y, t = F.col("active"), F.col("matched"), F.col("contribution"), F.col("y"), F.col("t")
     places = {
-        "predicted": (p_mz, {"all_predicted": (active, c), "predicted_identity_oracle_weights": (active & matched & same, y), "presence_forced_on_matched": (active | matched, c)}),
-        "oracle": (F.coalesce(o_mz, p_mz), {"oracle_identity_predicted_weights": (active, c), "oracle_identity_oracle_weights": (matched, y), "oracle_identity_sqrt_weights": (matched, t)}),
+        "predicted": (p_mz, {"all_predicted": (active, c), "predicted_identity_oracle_weights": (active & matched & same, y),
+        "presence_forced_on_matched": (active | matched, c)}),
+        "oracle": (F.coalesce(o_mz, p_mz), {"oracle_identity_predicted_weights": (active, c), "oracle_identity_oracle_weights": (matched,
+        y), "oracle_identity_sqrt_weights": (matched, t)}),
         "oracle_formula": (mixed_formula, {"oracle_formula_predicted_ion": (active, c)}),
         "oracle_ion": (mixed_ion, {"predicted_formula_oracle_ion": (active, c)}),
     }
     none = F.lit(None).cast("double")
     made = [
-        F.when(mz.isNotNull(), F.struct(mz.alias("mz"), *[F.when(own[n][0] & (own[n][1] > 0), own[n][1]).alias(n) if n in own else none.alias(n) for n in CONDITIONS])) for mz, own in places.values()
+        F.when(mz.isNotNull(), F.struct(mz.alias("mz"), *[F.when(own[n][0] & (own[n][1] > 0),
+            own[n][1]).alias(n) if n in own else none.alias(n) for n in CONDITIONS])) for mz, own in places.values()
     ]
     return d.select(uid, "slot", F.explode(F.array_compact(F.array(*made))).alias("k")).select(uid, "slot", "k.*")
 
@@ -237,12 +253,14 @@ def element_agreement(pairs: DataFrame, predicted: str = "formula", oracle: str
     axis = chem.by_atomic_number(chem.parse_formula(precursor))
     d = pairs.select(p.alias("p"), o.alias("o"), F.posexplode(axis).alias("position", "e")).where("p IS NOT NULL AND o IS NOT NULL")
     at = lambda m: F.coalesce(F.element_at(F.col(m), F.col("e.symbol")), F.lit(0))
-    return d.groupBy("position").agg(F.count_if(at("p") == at("o")).alias("correct"), F.count("*").alias("total"), F.sum(F.abs(at("p") - at("o"))).cast("bigint").alias("abs_error"))
+    return d.groupBy("position").agg(F.count_if(at("p") == at("o")).alias("correct"), F.count("*").alias("total"),
+        F.sum(F.abs(at("p") - at("o"))).cast("bigint").alias("abs_error"))
 
 
 def stratify(df: DataFrame, dimensions: dict[str, Column], value: str) -> DataFrame:
     """(dimension, label, n, mean, median) of value, all dimensions in one aggregation; null labels don't count."""
-    labels = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("label"))) for n, c in dimensions.items()]))
+    labels = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("label"))) for n,
+        c in dimensions.items()]))
     spread = df.select(F.explode(labels).alias("s"), F.col(value).alias("v")).select("s.*", "v")
     return aggregate(spread, ("dimension", "label"), [F.count("*").alias("n"), F.avg("v").alias("mean")], [("v", 0.5, "median")])
 
@@ -251,7 +269,8 @@ def bag_strata(pairs: DataFrame) -> DataFrame:
     """Bag mass by overlapping strata of cardinality, precursor m/z and target count: means, geometric mean, median."""
     n, mz, t = F.col("cardinality"), F.col("precursor_mz"), F.col("targets")
     strata = {
-        "all": F.lit(True), "unique_bag": n == 1, "ambiguous_bag": n >= 2, "cardinality_1": n == 1, "cardinality_2_4": n.between(2, 4), "cardinality_5_8": n.between(5, 8),
+        "all": F.lit(True), "unique_bag": n == 1, "ambiguous_bag": n >= 2, "cardinality_1": n == 1, "cardinality_2_4": n.between(2, 4),
+        "cardinality_5_8": n.between(5, 8),
         "cardinality_9_plus": n >= 9,
     }
     for low, high in ((0, 200), (200, 300), (300, 400), (400, 600), (600, 1e9)):
@@ -259,7 +278,8 @@ def bag_strata(pairs: DataFrame) -> DataFrame:
     for low, high in ((0, 8), (8, 32), (32, 64), (64, 10**6)):
         strata[f"targets_{low}_{high:g}"] = (t >= low) & (t < high)
     labels = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in strata.items()]))
-    aggs = [F.count("*").alias("pairs"), F.avg("bag_nll").alias("nll_mean"), F.exp(-F.avg("bag_nll")).alias("geometric_mass"), F.avg("bag_mass").alias("arithmetic_mass")]
+    aggs = [F.count("*").alias("pairs"), F.avg("bag_nll").alias("nll_mean"), F.exp(-F.avg("bag_nll")).alias("geometric_mass"),
+        F.avg("bag_mass").alias("arithmetic_mass")]
     return aggregate(pairs.select("bag_nll", "bag_mass", F.explode(labels).alias("stratum")), ("stratum",), aggs, [("bag_mass", 0.5, "median_mass")])
 
 
@@ -270,7 +290,8 @@ def slot_diversity(vectors: DataFrame, uid: str = "uid") -> DataFrame:
     vectors: (uid, slot, v ARRAY<DOUBLE>).
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    parts = vectors.withColumn("n", norm).where("n > 0").select(uid, "slot", F.posexplode(F.transform("v", lambda x: x.cast("double") / F.col("n"))).alias("d", "x"))
+    parts = vectors.withColumn("n", norm).where("n > 0").select(uid, "slot", F.posexplode(F.transform("v",
+        lambda x: x.cast("double") / F.col("n"))).alias("d", "x"))
     per = parts.groupBy(uid, "d").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     whole = per.groupBy(uid).agg(F.sum(F.col("s") * F.col("s")).alias("square"), F.max("n").alias("slots"))
     n = F.col("slots").cast("double")
@@ -285,7 +306,8 @@ def margins(pairs: DataFrame) -> DataFrame:
 
 def covered_intensity(df: DataFrame, hits: DataFrame) -> DataFrame:
     """(covered, total, share): intensity of the peaks linked to predicted identities, each peak once. hits: (spectrum_uid, formula, ion_state)."""
-    linked = long.edges(df).join(long.candidates(df), ["spectrum_uid", "candidate_index"]).join(hits.distinct(), ["spectrum_uid", "formula", "ion_state"], "left_semi")
+    linked = long.edges(df).join(long.candidates(df), ["spectrum_uid", "candidate_index"]).join(hits.distinct(), ["spectrum_uid", "formula",
+        "ion_state"], "left_semi")
     on = linked.select("spectrum_uid", "peak_index").distinct().withColumn("on", F.lit(True))
     p = long.peaks(df).join(on, ["spectrum_uid", "peak_index"], "left")
     covered, total = F.sum(F.when(F.col("on"), F.col("y")).otherwise(0.0)), F.sum("y")

@@ -123,7 +123,8 @@ def fragment_diagnostics(predictions: DataFrame, bags: DataFrame, targets: DataF
     per = targets.join(sizes, [uid, "target"], "left").join(matched, [uid, "target"], "left")
     hit, one, many = F.coalesce(F.col("hit"), F.lit(0)), F.col("size") == 1, F.col("size") >= 2
     by_target = per.groupBy(uid).agg(
-        F.count("*").alias("targets"), F.sum(hit).alias("matched"), F.count_if(one).alias("unique_targets"), F.sum(F.when(one, hit).otherwise(0)).alias("unique_matched"),
+        F.count("*").alias("targets"), F.sum(hit).alias("matched"), F.count_if(one).alias("unique_targets"), F.sum(F.when(one,
+            hit).otherwise(0)).alias("unique_matched"),
         F.count_if(many).alias("ambiguous_targets"), F.sum(F.when(many, hit).otherwise(0)).alias("ambiguous_matched"), F.sum("y").alias("target_intensity"),
         F.sum(hit * F.col("y")).alias("matched_intensity"),
     )
@@ -135,7 +136,8 @@ def summarise_fragments(diagnostics: DataFrame) -> DataFrame:
     """Pooled rates: sums over sums, not means of ratios; null where nothing counts."""
     ratio = lambda a, b: F.sum(a).cast("double") / F.nullif(F.sum(b).cast("double"), F.lit(0.0))
     return diagnostics.agg(
-        F.count("*").alias("spectra"), F.sum("targets").alias("targets"), F.sum("predictions").alias("predictions"), ratio("matched", "targets").alias("bag_hit"),
+        F.count("*").alias("spectra"), F.sum("targets").alias("targets"), F.sum("predictions").alias("predictions"), ratio("matched",
+            "targets").alias("bag_hit"),
         ratio("unique_matched", "unique_targets").alias("unique_hit"), ratio("ambiguous_matched", "ambiguous_targets").alias("ambiguous_hit"),
         ratio("matched_intensity", "target_intensity").alias("intensity_hit"), ratio("matched", "predictions").alias("precision"),
     )

@@ -45,12 +45,14 @@ def plan_batches(
                 keys.append(k)
                 ids.append(name)
                 alone.append(single)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("key").type), pa.array(ids, pa.string()), pa.array(alone, pa.bool_())], names=[key, "batch_id", "singleton"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("key").type), pa.array(ids, pa.string()), pa.array(alone,
+                pa.bool_())], names=[key, "batch_id", "singleton"])
 
     spread = costs.select(F.col(key).alias("key"), "tokens", "candidates", "element_steps").repartitionByRange("element_steps", "tokens", "key")
     numbered = spread.sortWithinPartitions("element_steps", "tokens", "key").withColumn("id", F.monotonically_increasing_id())
     part, row = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = numbered.select("key", "tokens", "candidates", part.alias("part"), F.floor(row / bucket_rows).alias("bucket"), F.xxhash64(F.lit(seed), F.lit(epoch), "key").alias("order"))
+    placed = numbered.select("key", "tokens", "candidates", part.alias("part"), F.floor(row / bucket_rows).alias("bucket"),
+        F.xxhash64(F.lit(seed), F.lit(epoch), "key").alias("order"))
     return placed.sortWithinPartitions("part", "bucket", "order", "key").mapInArrow(pack, schema)
 
 
@@ -82,8 +84,10 @@ def remaining(plan: DataFrame, consumed: int, rank: int, world: int) -> DataFram
 
 def workload(batches: DataFrame, costs: DataFrame, key: str = "spectrum_uid") -> DataFrame:
     """(measure, mean, least, p50, p90, greatest) of the batches' totals."""
-    per = batches.join(costs, key).groupBy("batch_id").agg(F.count("*").cast("double").alias("rows"), *[F.sum(c).cast("double").alias(c) for c in ("tokens", "candidates", "element_steps")])
-    long = per.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in ("rows", "tokens", "candidates", "element_steps")])).alias("m")).select("m.*")
+    per = batches.join(costs, key).groupBy("batch_id").agg(F.count("*").cast("double").alias("rows"),
+        *[F.sum(c).cast("double").alias(c) for c in ("tokens", "candidates", "element_steps")])
+    long = per.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in ("rows", "tokens", "candidates",
+        "element_steps")])).alias("m")).select("m.*")
     return aggregate(long, ("measure",), [F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest")], percentiles("v", (0.5, 0.9), "v"))
 
 

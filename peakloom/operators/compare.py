@@ -12,11 +12,13 @@ def reconcile(source: DataFrame, artifact: DataFrame, key: str, columns: Sequenc
     """(status, n): rows missing on either side, rows whose columns differ, and equal rows. Keys must be unique."""
     a = source.select(key, F.struct(*columns).alias("a"), F.lit(1).alias("in_a"))
     b = artifact.select(key, F.struct(*columns).alias("b"), F.lit(1).alias("in_b"))
-    status = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").when(F.col("a").eqNullSafe(F.col("b")), "equal").otherwise("different")
+    status = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").when(F.col("a").eqNullSafe(F.col("b")),
+        "equal").otherwise("different")
     return a.join(b, key, "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-def compare_predictions(a: DataFrame, b: DataFrame, key: str = "spectrum_uid", identities: Sequence[str] = ("predicted_formulas", "predicted_ion_states"), values: str = "predicted_intensities") -> DataFrame:
+def compare_predictions(a: DataFrame, b: DataFrame, key: str = "spectrum_uid", identities: Sequence[str] = ("predicted_formulas",
+    "predicted_ion_states"), values: str = "predicted_intensities") -> DataFrame:
     """(shared, identical, max_difference): spectra on both sides, how many have equal identities, and the greatest intensity difference of those."""
     x = a.select(key, F.struct(*identities).alias("ia"), F.col(values).alias("va"))
     y = b.select(key, F.struct(*identities).alias("ib"), F.col(values).alias("vb"))

@@ -32,8 +32,10 @@ def formula_axes(formulas: DataFrame, column: str = "formula") -> DataFrame:
     entries = F.array_sort(F.map_entries(F.map_filter("parsed", lambda s, _: s != "H")))
 
     def element(e: Column, at: Column) -> Column:
-        after = F.aggregate(F.slice("entries", at + 2, F.size("entries")), F.lit(1).cast("bigint"), lambda acc, x: F.when(acc > HEAVY_CAP, acc).otherwise(acc * (x["value"] + 1)))
-        return F.struct(e["key"].alias("symbol"), e["value"].alias("n"), chem.element_mass(e["key"]).alias("mass"), bonds(e["key"]).alias("bonds"), after.alias("stride"))
+        after = F.aggregate(F.slice("entries", at + 2, F.size("entries")), F.lit(1).cast("bigint"), lambda acc, x: F.when(acc > HEAVY_CAP,
+            acc).otherwise(acc * (x["value"] + 1)))
+        return F.struct(e["key"].alias("symbol"), e["value"].alias("n"), chem.element_mass(e["key"]).alias("mass"),
+            bonds(e["key"]).alias("bonds"), after.alias("stride"))
 
     sized = parsed.select("formula", chem.heavy_subformulas("parsed").alias("size"), chem.count("parsed", "H").alias("max_h"), entries.alias("entries"))
     axes = sized.withColumn("axis", F.transform("entries", element))
@@ -57,7 +59,8 @@ def heavy_subformulas(formulas: DataFrame, cap: int = HEAVY_CAP, column: str = "
         over = F.raise_error(F.concat(F.lit("too many heavy subformulas: "), "formula"))
         axes = axes.withColumn("size", F.when(F.col("size") > cap, over.cast("bigint")).otherwise(F.col("size")))
     # Few rows that grow a thousandfold.
-    each = axes.where((F.col("size") > 0) & (F.col("size") <= cap)).select("formula", "max_h", "axis", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)).alias("code"))
+    each = axes.where((F.col("size") > 0) & (F.col("size") <= cap)).select("formula", "max_h", "axis",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)).alias("code"))
     start = F.struct(F.lit(0.0).alias("mass"), F.lit(2).alias("top_h"))
 
     def add(acc: Column, e: Column) -> Column:
@@ -106,12 +109,14 @@ def problems(spectra: DataFrame, cap: int = HEAVY_CAP) -> DataFrame:
     bad = named.select("formula", reason.alias("of_formula")).where("of_formula IS NOT NULL")
     counted = spectra.groupBy("formula", "adduct").agg(F.count("*").alias("n"))
     of_adduct = F.when(chem.ion_channels("adduct").isNull(), "unsupported_adduct")
-    joined = counted.join(bad.withColumnRenamed("formula", "f"), F.col("formula").eqNullSafe(F.col("f")), "left").withColumn("reason", F.coalesce("of_formula", of_adduct))
+    joined = counted.join(bad.withColumnRenamed("formula", "f"), F.col("formula").eqNullSafe(F.col("f")), "left").withColumn("reason",
+        F.coalesce("of_formula", of_adduct))
     per = joined.where("reason IS NOT NULL").groupBy("reason", "formula").agg(F.sum("n").alias("n"))
     return per.groupBy("reason").agg(F.sum("n").alias("spectra"), F.count("*").alias("formulas"))
 
 
-def interval_join(probe: DataFrame, build: DataFrame, low: str, high: str, value: str, on: tuple[str, ...] = (), width: float = BUCKET, strategy: str = "merge", broadcast_rows: int = 0) -> DataFrame:
+def interval_join(probe: DataFrame, build: DataFrame, low: str, high: str, value: str, on: tuple[str, ...] = (), width: float = BUCKET,
+    strategy: str = "merge", broadcast_rows: int = 0) -> DataFrame:
     """Pairs with probe.low <= build.value <= probe.high, by an equi join on (on.., bucket of width) and a residual.
 
     A probe row goes to every bucket its interval meets, a build row to one, so that each pair comes out
@@ -133,7 +138,8 @@ def interval_join(probe: DataFrame, build: DataFrame, low: str, high: str, value
 
 
 def match_edges(
-    spectra: DataFrame, ppm: float = scalar.PPM, peak_cap: int = PEAK_CAP, heavy_cap: int = HEAVY_CAP, width: float = RESIDUE, valence: bool = True, excess: str = "raise",
+    spectra: DataFrame, ppm: float = scalar.PPM, peak_cap: int = PEAK_CAP, heavy_cap: int = HEAVY_CAP, width: float = RESIDUE,
+        valence: bool = True, excess: str = "raise",
 ) -> DataFrame:
     """(spectrum_uid, formula, peak_index, mz, channel, h, code, heavy_mass, theo_mz, error_ppm) of all peak-candidate pairs.
 
@@ -154,7 +160,8 @@ def match_edges(
     if valence:
         hits = hits.where("h <= top_h")
     return hits.select(
-        "spectrum_uid", "formula", "peak_index", "mz", "channel", "h", "code", "heavy_mass", "theo_mz", scalar.ppm_error("mz", "theo_mz").cast("float").alias("error_ppm")
+        "spectrum_uid", "formula", "peak_index", "mz", "channel", "h", "code", "heavy_mass", "theo_mz", scalar.ppm_error("mz",
+        "theo_mz").cast("float").alias("error_ppm")
     )
 
 
@@ -174,13 +181,15 @@ def raw_hits(spectra: DataFrame, ppm: float = scalar.PPM, heavy_cap: int = HEAVY
     reach = F.col("tolerance") + F.lit(1e-7)
     first, last = of(F.col("room") - reach), of(F.col("room") + reach)
     probe = (
-        known.select("spectrum_uid", "formula", "channel", "max_h", chem.channel_offset("channel").alias("offset"), F.posexplode(zipped).alias("peak_index", "p"))
+        known.select("spectrum_uid", "formula", "channel", "max_h", chem.channel_offset("channel").alias("offset"),
+            F.posexplode(zipped).alias("peak_index", "p"))
         .select("spectrum_uid", "formula", "channel", "peak_index", "max_h", "offset", F.col("p.mz").alias("mz"), F.col("p.dp").alias("dp"))
         .where("mz IS NOT NULL AND abs(mz) < 1e9")
         .withColumn("tolerance", scalar.mass_tolerance("mz", "dp", ppm) + F.lit(scalar.EPSILON))
         .withColumn("room", F.col("mz") - F.col("offset"))
         .withColumn("bucket", F.explode(F.sequence(first, F.least(last, first + (buckets - 1)))))
-        .select("spectrum_uid", "formula", "channel", "peak_index", "mz", "tolerance", "room", "max_h", "offset", F.pmod("bucket", F.lit(buckets)).alias("bucket"))
+        .select("spectrum_uid", "formula", "channel", "peak_index", "mz", "tolerance", "room", "max_h", "offset", F.pmod("bucket",
+            F.lit(buckets)).alias("bucket"))
     )
     heavy = heavy_subformulas(spectra.select("formula"), heavy_cap, excess=excess)
     heavy = heavy.select("formula", "code", "heavy_mass", "top_h", F.pmod(of(F.col("heavy_mass")), F.lit(buckets)).alias("bucket"))
@@ -243,7 +252,8 @@ def build_supervision(spectra: DataFrame, ppm: float = scalar.PPM, peak_cap: int
         F.coalesce("__e.error_ppm", none("float")).alias("edge_error_ppm"),
     )
     mask = long.linked_mask(F.col("edge_peak_index"), F.col("mz_decimal_places"))
-    return out.withColumn("supervision_mask", mask).withColumn("supervision_rank", long.supervision_rank(F.col("mzs"), F.col("intensities"), F.col("supervision_mask")))
+    return out.withColumn("supervision_mask", mask).withColumn("supervision_rank", long.supervision_rank(F.col("mzs"), F.col("intensities"),
+        F.col("supervision_mask")))
 
 
 def nearest_value(value: Column, values: Column) -> Column:

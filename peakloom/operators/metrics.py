@@ -34,7 +34,8 @@ def sum_bins(peaks: DataFrame, keys: Sequence[str], mz: str = "mz", y: str = "y"
     return binned.groupBy(*keys, "bin").agg(F.sum(y).alias("v"))
 
 
-def bin_prediction(peaks: DataFrame, keys: Sequence[str], mz: str = "mz", y: str = "y", dust: float = scalar.DUST, bins: int = scalar.BINS, span: float = scalar.BIN_RANGE) -> DataFrame:
+def bin_prediction(peaks: DataFrame, keys: Sequence[str], mz: str = "mz", y: str = "y", dust: float = scalar.DUST, bins: int = scalar.BINS,
+    span: float = scalar.BIN_RANGE) -> DataFrame:
     """(keys, bin, v, place): sums scaled to a largest value of 1, without bins below dust; place from 1 by falling v, then bin.
 
     One window gives both the largest value and the place: one sort.
@@ -56,7 +57,8 @@ PLAIN_SPACES = tuple(s for s in scalar.FOUR_SPACES if s[0] in scalar.SPACES)
 
 
 def grid_cosines(
-    observed: DataFrame, predicted: DataFrame, key: str, lists: Sequence[str], ks: Sequence[int] = scalar.TOP_K, spaces: Sequence[tuple[str, float, float]] = PLAIN_SPACES,
+    observed: DataFrame, predicted: DataFrame, key: str, lists: Sequence[str], ks: Sequence[int] = scalar.TOP_K, spaces: Sequence[tuple[str,
+        float, float]] = PLAIN_SPACES,
     dust: float = scalar.DUST, bins: int = scalar.BINS, span: float = scalar.BIN_RANGE,
 ) -> DataFrame:
     """(key, list, bins, cos_at_k_space..) of every spectrum and peak list that has a bin left.
@@ -82,10 +84,13 @@ def grid_cosines(
     o = F.coalesce(F.col("o"), F.lit(0.0))
     norms = {p: f"__n{i}" for i, p in enumerate(sorted({p for _, p, _ in spaces}))}
     grid = grid.withColumn("o", o).select("*", *[F.sqrt(F.sum(F.pow("o", F.lit(2.0 * p))).over(whole)).alias(n) for p, n in norms.items()])
-    entries = [F.when(F.col(column(i)) > 0, F.struct(F.lit(n).alias("list"), F.lit(float(p)).alias("power"), F.col(column(i)).alias("v"))) for i, (n, p) in enumerate(weights)]
-    each = grid.select(key, "bin", "o", *norms.values(), F.explode(F.array_compact(F.array(*entries))).alias("e")).select(key, "bin", "o", *norms.values(), "e.*")
+    entries = [F.when(F.col(column(i)) > 0, F.struct(F.lit(n).alias("list"), F.lit(float(p)).alias("power"),
+        F.col(column(i)).alias("v"))) for i, (n, p) in enumerate(weights)]
+    each = grid.select(key, "bin", "o", *norms.values(), F.explode(F.array_compact(F.array(*entries))).alias("e")).select(key, "bin", "o",
+        *norms.values(), "e.*")
     order = Window.partitionBy(key, "list", "power").orderBy(F.col("v").desc(), "bin")
-    placed = each.withColumn("top", F.first("v").over(order)).withColumn("place", F.row_number().over(order)).withColumn("v", F.col("v") / F.col("top")).where(F.col("v") >= dust)
+    placed = each.withColumn("top", F.first("v").over(order)).withColumn("place", F.row_number().over(order)).withColumn("v",
+        F.col("v") / F.col("top")).where(F.col("v") >= dust)
     sums = [F.count_if(F.col("power") == spaces[0][2]).alias("bins")]
     for name, of_observation, of_weight in spaces:
         for k in ks:
@@ -127,7 +132,8 @@ def summarise_scores(scores: DataFrame, ks: Sequence[int] = scalar.TOP_K, by: Se
             aggs.append(F.avg(c).alias(f"{c}_mean"))
             wanted += percentiles(c, (0.1, 0.5, 0.9), c)
     aggs += [
-        F.avg("predicted_peaks").alias("predicted_peaks_mean"), F.max("predicted_peaks").alias("predicted_peaks_max"), F.avg("predicted_bins").alias("predicted_bins_mean"),
+        F.avg("predicted_peaks").alias("predicted_peaks_mean"), F.max("predicted_peaks").alias("predicted_peaks_max"),
+            F.avg("predicted_bins").alias("predicted_bins_mean"),
         F.count_if("zero_prediction").alias("zero_predictions"), F.sum("out_of_range").alias("out_of_range"), F.sum("collisions").alias("collisions"),
         scalar.safe_ratio(F.sum("collisions"), F.sum("predicted_peaks")).alias("collision_rate"),
     ]
@@ -180,9 +186,12 @@ def oracle_lists(rendered: DataFrame) -> DataFrame:
     """
     has, slot = F.col("rendered").isNotNull(), F.col("rank").between(0, scalar.SLOTS - 1)
     w = F.col("weight")
-    observed = F.struct(F.col("mz").alias("mz"), w.alias(ORACLES[0]), F.when(has, w).alias(ORACLES[1]), F.lit(None).cast("double").alias(ORACLES[2]), F.lit(None).cast("double").alias(ORACLES[3]))
-    moved = F.struct(F.col("rendered").alias("mz"), F.lit(None).cast("double").alias(ORACLES[0]), F.lit(None).cast("double").alias(ORACLES[1]), w.alias(ORACLES[2]), F.when(slot, w).alias(ORACLES[3]))
-    return rendered.select("spectrum_uid", "peak_index", F.explode(F.array_compact(F.array(observed, F.when(has, moved)))).alias("r")).select("spectrum_uid", "peak_index", "r.*")
+    observed = F.struct(F.col("mz").alias("mz"), w.alias(ORACLES[0]), F.when(has, w).alias(ORACLES[1]),
+        F.lit(None).cast("double").alias(ORACLES[2]), F.lit(None).cast("double").alias(ORACLES[3]))
+    moved = F.struct(F.col("rendered").alias("mz"), F.lit(None).cast("double").alias(ORACLES[0]),
+        F.lit(None).cast("double").alias(ORACLES[1]), w.alias(ORACLES[2]), F.when(slot, w).alias(ORACLES[3]))
+    return rendered.select("spectrum_uid", "peak_index", F.explode(F.array_compact(F.array(observed, F.when(has,
+        moved)))).alias("r")).select("spectrum_uid", "peak_index", "r.*")
 
 
 def in_four_spaces(peaks: DataFrame, value: str, side: str) -> DataFrame:
@@ -204,4 +213,5 @@ def support_oracle(df: DataFrame) -> DataFrame:
     linked = long.edges(df).select("spectrum_uid", "peak_index").distinct().withColumn("linked", F.lit(True))
     energy = F.col("y") * F.col("y")
     per = long.peaks(df).join(linked, ["spectrum_uid", "peak_index"], "left").groupBy("spectrum_uid")
-    return per.agg(F.sqrt(F.coalesce(scalar.safe_ratio(F.sum(F.when(F.col("linked"), energy).otherwise(0.0)), F.sum(energy)), F.lit(0.0))).alias("support_cosine"))
+    return per.agg(F.sqrt(F.coalesce(scalar.safe_ratio(F.sum(F.when(F.col("linked"), energy).otherwise(0.0)), F.sum(energy)),
+        F.lit(0.0))).alias("support_cosine"))

@@ -56,7 +56,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], wanted: Sequence[Wanted],
     points = sorted({p for _, p, _ in wanted})
     cuts = [max(0.0, p - margin) for p in points] + [min(1.0, p + margin) for p in points]
     sketch = long.groupBy("__g", "c").agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", F.array(*[F.lit(q) for q in cuts]), F.lit(accuracy)).alias("q")
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v",
+            F.array(*[F.lit(q) for q in cuts]), F.lit(accuracy)).alias("q")
     )
     # A group of few rows is its own bracket; the sketch's error is below one rank there.
     few = F.col("n") <= 4 * accuracy
@@ -64,7 +65,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], wanted: Sequence[Wanted],
     brackets = [
         F.when(
             F.col("c").isin(*[c for c, at in mine if at == i]),
-            F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.when(few, F.col("low")).otherwise(F.col("q")[i]).alias("lo"), F.when(few, F.col("high")).otherwise(F.col("q")[len(points) + i]).alias("hi")),
+            F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.when(few, F.col("low")).otherwise(F.col("q")[i]).alias("lo"), F.when(few,
+                F.col("high")).otherwise(F.col("q")[len(points) + i]).alias("hi")),
         )
         for i, p in enumerate(points)
     ]
@@ -76,7 +78,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], wanted: Sequence[Wanted],
     first = F.floor(at)
     ranked = counted.withColumn("upto", upto)
     pair = ranked.where("w IS NOT NULL").groupBy("__g", "c", "i", "p", "n").agg(
-        F.min(F.when(F.col("upto") > first, F.col("w"))).alias("lower"), F.min(F.when(F.col("upto") > F.least(first + 1, F.col("n") - 1), F.col("w"))).alias("upper")
+        F.min(F.when(F.col("upto") > first, F.col("w"))).alias("lower"), F.min(F.when(F.col("upto") > F.least(first + 1, F.col("n") - 1),
+            F.col("w"))).alias("upper")
     )
     value = F.col("lower") + (F.col("upper") - F.col("lower")) * (at - first)
     picked = [F.max(F.when((F.col("c") == columns.index(c)) & (F.col("i") == points.index(p)), F.col("value"))).alias(name) for c, p, name in wanted]

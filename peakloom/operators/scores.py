@@ -77,7 +77,8 @@ def bag_log_probability(scores: DataFrame, members: DataFrame, uid: str = "uid")
     return made.select(uid, "slot", "b.target", "b.bag_log_prob").where("bag_log_prob IS NOT NULL")
 
 
-def matching_costs(scores: DataFrame, members: DataFrame, slots: DataFrame, targets: DataFrame, uid: str = "uid", weight: float = 0.25, delta: float = 1.0) -> DataFrame:
+def matching_costs(scores: DataFrame, members: DataFrame, slots: DataFrame, targets: DataFrame, uid: str = "uid", weight: float = 0.25,
+    delta: float = 1.0) -> DataFrame:
     """(uid, slot, target, cost): bag NLL plus the weighted Huber distance of contribution and target intensity.
 
     slots: (uid, slot, contribution); targets: (uid, target, t). Intensities ride along with the scores and bags.
@@ -99,11 +100,13 @@ def matched_bags(scores: DataFrame, members: DataFrame, assignment: DataFrame, p
     Only the matched slot is scored against its target's bag. predicted: (uid, slot, candidate_index) of the slot's
     own greatest candidate, if that is one.
     """
-    pairs = assignment.join(bags_of(members, uid), [uid, "target"]).join(scores, [uid, "slot"]).withColumn("v", _picked("log_probs", F.col("bag"))).where(F.size("v") > 0)
+    pairs = assignment.join(bags_of(members, uid), [uid, "target"]).join(scores, [uid, "slot"]).withColumn("v", _picked("log_probs",
+        F.col("bag"))).where(F.size("v") > 0)
     if predicted is not None:
         pairs = pairs.join(predicted.select(uid, "slot", F.col("candidate_index").alias("__own")), [uid, "slot"], "left")
     out = pairs.withColumn("lse", log_sum_exp_of(F.col("v"))).select(
-        uid, "slot", "target", F.size("v").cast("bigint").alias("cardinality"), (-F.col("lse")).alias("bag_nll"), F.exp("lse").alias("bag_mass"), F.array_max("v").alias("best_in_bag"),
+        uid, "slot", "target", F.size("v").cast("bigint").alias("cardinality"), (-F.col("lse")).alias("bag_nll"),
+            F.exp("lse").alias("bag_mass"), F.array_max("v").alias("best_in_bag"),
         *([] if predicted is None else [F.coalesce(F.array_contains("bag", F.col("__own")), F.lit(False)).alias("argmax_in_bag")]),
     )
     return out
@@ -122,7 +125,8 @@ def identity_metrics(pairs: DataFrame) -> DataFrame:
 def balanced_bce(df: DataFrame, logit: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """Mean of the positives' mean and the negatives' mean; a missing side doesn't count."""
     loss = scalar.bce_with_logits(logit, F.when(positive, 1.0).otherwise(0.0))
-    sides = (df.groupBy(*by) if by else df).agg(F.avg(F.when(positive, loss)).alias("pos"), F.avg(F.when(~positive, loss)).alias("neg"), F.count("*").alias("slots"))
+    sides = (df.groupBy(*by) if by else df).agg(F.avg(F.when(positive, loss)).alias("pos"), F.avg(F.when(~positive, loss)).alias("neg"),
+        F.count("*").alias("slots"))
     both = F.coalesce((F.col("pos") + F.col("neg")) / 2.0, F.col("pos"), F.col("neg"), F.lit(0.0))
     return sides.select(*by, "pos", "neg", both.alias("presence_loss"), "slots")
 

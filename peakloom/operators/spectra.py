@@ -70,7 +70,8 @@ def supervision_rank(mzs: Column, intensities: Column, mask: Column) -> Column:
     Two sorts inside the row, so that spectra need no shuffle and long ones stay n log n.
     """
     zipped = F.arrays_zip(mzs.alias("mz"), intensities.alias("y"), mask.alias("on"))
-    numbered = F.transform(zipped, lambda p, i: F.struct(F.coalesce(F.nanvl(-p["y"].cast("double"), F.lit(float("inf"))), F.lit(float("inf"))).alias("low"), p["mz"].alias("mz"), i.alias("i"), F.coalesce(p["on"], F.lit(False)).alias("on")))
+    numbered = F.transform(zipped, lambda p, i: F.struct(F.coalesce(F.nanvl(-p["y"].cast("double"), F.lit(float("inf"))),
+        F.lit(float("inf"))).alias("low"), p["mz"].alias("mz"), i.alias("i"), F.coalesce(p["on"], F.lit(False)).alias("on")))
     chosen = F.array_sort(F.filter(numbered, lambda p: p["on"]))
     ranked = F.transform(chosen, lambda p, r: F.struct(p["i"].alias("i"), r.alias("r")))
     others = F.transform(F.filter(numbered, lambda p: ~p["on"]), lambda p: F.struct(p["i"].alias("i"), F.lit(-1).alias("r")))

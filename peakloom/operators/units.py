@@ -107,7 +107,8 @@ def convert_energies(
         .drop("__other")
     )
     known = unit_table(units, max_rows=max_rows).select(
-        F.col("unit").alias("__unit"), F.col("scale").alias("__scale"), F.col("offset").alias("__offset"), F.col("ref_mz").alias("__ref"), F.col("unit_code").alias("__code"),
+        F.col("unit").alias("__unit"), F.col("scale").alias("__scale"), F.col("offset").alias("__offset"), F.col("ref_mz").alias("__ref"),
+            F.col("unit_code").alias("__code"),
         F.col("power").alias("__power"),
     )
     number = F.col(bare).cast("double")

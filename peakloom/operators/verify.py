@@ -26,12 +26,14 @@ def rows_fail(df: DataFrame, checks: dict[str, Column], example: str = "spectrum
 def duplicates(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Rows beyond the first of each key."""
     counted = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    return counted.agg(F.lit(name).alias("check_name"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"), F.min(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).alias("example"))
+    return counted.agg(F.lit(name).alias("check_name"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"),
+        F.min(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).alias("example"))
 
 
 def spans(df: DataFrame, key: str, group: Column, name: str) -> DataFrame:
     """Keys that occur in more than one group; two extremes tell, so nothing is collected per key."""
-    per = df.select(F.col(key).alias("k"), group.alias("g")).where("k IS NOT NULL").groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi")
+    per = df.select(F.col(key).alias("k"), group.alias("g")).where("k IS NOT NULL").groupBy("k").agg(F.min("g").alias("lo"),
+        F.max("g").alias("hi")).where("lo < hi")
     return per.agg(F.lit(name).alias("check_name"), F.count("*").alias("violations"), F.min("k").alias("example"))
 
 
@@ -40,7 +42,8 @@ def unsorted_rows(df: DataFrame, order: Sequence[str], name: str, file: Column |
     path = F.input_file_name() if file is None else file
     at = df.select(F.struct(*order).alias("o"), path.alias("file"), F.monotonically_increasing_id().alias("id"))
     before = F.lag("o").over(Window.partitionBy("file").orderBy("id"))
-    return at.withColumn("p", before).where("p > o").agg(F.lit(name).alias("check_name"), F.count("*").alias("violations"), F.min(F.col("o").cast("string")).alias("example"))
+    return at.withColumn("p", before).where("p > o").agg(F.lit(name).alias("check_name"), F.count("*").alias("violations"),
+        F.min(F.col("o").cast("string")).alias("example"))
 
 
 def layout_checks(df: DataFrame, shards: int, order: Sequence[str] = ("parent_spec", "collision_index"), file: Column | None = None) -> DataFrame:
@@ -50,7 +53,8 @@ def layout_checks(df: DataFrame, shards: int, order: Sequence[str] = ("parent_sp
     shard may come from the folders or be stored.
     """
     path = F.input_file_name() if file is None else file
-    placed = df.withColumn("__fold", F.regexp_extract(path, "/fold=([^/]+)/", 1)).withColumn("__shard", F.regexp_extract(path, "/shard=([0-9]+)/", 1).try_cast("int"))
+    placed = df.withColumn("__fold", F.regexp_extract(path, "/fold=([^/]+)/", 1)).withColumn("__shard", F.regexp_extract(path,
+        "/shard=([0-9]+)/", 1).try_cast("int"))
     checks = {
         "fold_is_folder": F.col("fold") != F.col("__fold"), "shard_is_folder": F.col("shard") != F.col("__shard"),
         "shard_of_parent": F.col("shard") != scalar.shard_of("parent_spec", shards), "shard_in_range": ~F.col("shard").between(0, shards - 1),
@@ -62,7 +66,8 @@ def spectra_checks(df: DataFrame) -> DataFrame:
     """Lengths, keys and folds of a spectra table."""
     n = F.size("mzs")
     lengths = (F.size("intensities") != n) | (F.size("mz_decimal_places") != n)
-    out = rows_fail(df, {"parallel_lengths": lengths, "fold_domain": ~F.col("fold").isin("train", "valid", "test"), "uid_form": F.col("spectrum_uid") != scalar.spectrum_uid("parent_spec", "collision_index")})
+    out = rows_fail(df, {"parallel_lengths": lengths, "fold_domain": ~F.col("fold").isin("train", "valid", "test"),
+        "uid_form": F.col("spectrum_uid") != scalar.spectrum_uid("parent_spec", "collision_index")})
     out = out.unionByName(duplicates(df, ["spectrum_uid"], "uid_unique"))
     out = out.unionByName(spans(df, "parent_spec", F.col("fold"), "parent_in_one_fold"))
     return out.unionByName(spans(df, "inchikey", F.col("fold"), "inchikey_in_one_fold"))
@@ -88,7 +93,8 @@ def supervision_checks(df: DataFrame, ppm: float = scalar.PPM, slack: float = 1e
         "candidates_distinct": F.size(F.array_distinct(pair)) != F.size(pair),
         "mask_reproducible": ~F.col("supervision_mask").eqNullSafe(mask),
         "rank_reproducible": ~F.col("supervision_rank").eqNullSafe(long.supervision_rank(F.col("mzs"), F.col("intensities"), F.col("supervision_mask"))),
-        "low_precision_supervised": F.exists(F.arrays_zip("mz_decimal_places", "supervision_mask"), lambda p: (p["mz_decimal_places"] < scalar.MIN_DECIMALS) & p["supervision_mask"]),
+        "low_precision_supervised": F.exists(F.arrays_zip("mz_decimal_places", "supervision_mask"),
+        lambda p: (p["mz_decimal_places"] < scalar.MIN_DECIMALS) & p["supervision_mask"]),
         "edges_within_tolerance": F.exists(edge, outside),
         "no_test_fold": F.lower("fold") == "test",
     }
@@ -97,13 +103,15 @@ def supervision_checks(df: DataFrame, ppm: float = scalar.PPM, slack: float = 1e
 
 def manifest_checks(counts: DataFrame, manifest: dict) -> DataFrame:
     """Counts of the table against those a manifest claims: (check_name, violations, example). counts: one row."""
-    rows = [F.struct(F.lit(f"manifest_{k}").alias("check_name"), F.abs(F.col(k) - F.lit(int(v))).cast("bigint").alias("violations"), F.col(k).cast("string").alias("example")) for k, v in manifest.items()]
+    rows = [F.struct(F.lit(f"manifest_{k}").alias("check_name"), F.abs(F.col(k) - F.lit(int(v))).cast("bigint").alias("violations"),
+        F.col(k).cast("string").alias("example")) for k, v in manifest.items()]
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def counters(df: DataFrame, by: Sequence[str] = ("fold",), parent: str = "parent_spec") -> DataFrame:
     """Parents, spectra and peaks by every prefix of ``by`` and overall, in one pass."""
-    return df.rollup(*by).agg(F.count_distinct(parent).alias("parents"), F.count("*").alias("spectra"), F.sum(F.greatest(F.size("mzs"), F.lit(0))).alias("peaks"), F.grouping_id().alias("level"))
+    return df.rollup(*by).agg(F.count_distinct(parent).alias("parents"), F.count("*").alias("spectra"), F.sum(F.greatest(F.size("mzs"),
+        F.lit(0))).alias("peaks"), F.grouping_id().alias("level"))
 
 
 def gate(checks: DataFrame, ignore: Sequence[str] = ()) -> None:

@@ -27,20 +27,30 @@ def valid_adduct(column: str) -> str:
 
 
 P2_ENERGY = f"""
-WITH t AS (SELECT spectrum_uid, collision_index, instrument, precursor_mz, collision_energy AS bare, {_TEXT.format('collision_energy_raw')} AS x, collision_energy_raw IS NULL OR trim({_TEXT.format('collision_energy_raw')}) = '' AS blank,
+WITH t AS (SELECT spectrum_uid, collision_index, instrument, precursor_mz, collision_energy AS bare,
+{_TEXT.format('collision_energy_raw')} AS x, collision_energy_raw IS NULL OR trim({_TEXT.format('collision_energy_raw')}) = '' AS blank,
              {valid_energy('collision_energy_raw')} AS valid FROM spectra_v2),
      u AS (SELECT *, regexp_extract(x, '{_NUMBER}') AS n, regexp_replace(x, '{_NUMBER}', ' ') AS rest FROM t),
-     b AS (SELECT lower(regexp_replace(instrument, '[ \\t_-]+', '', 'g')) AS k, min(bare_unit) AS bare_unit FROM instrument_units GROUP BY 1 HAVING min(bare_unit) = max(bare_unit)),
-     c AS (SELECT u.*, CASE WHEN blank AND (isnan(bare) OR bare < 0 OR isinf(bare)) THEN NULL WHEN blank THEN bare WHEN valid THEN CAST(replace(n, ',', '.') AS DOUBLE) END AS number,
-             CASE WHEN blank THEN NULL WHEN rest LIKE '%frac%' THEN 'NCE_frac' WHEN regexp_matches(rest, 'nce|normali|%') THEN 'NCE' WHEN regexp_matches(rest, 'kj|kilojoule') THEN 'kJ/mol' WHEN rest LIKE '%kcal%' THEN 'kcal/mol'
-               WHEN regexp_matches(rest, 'kev|kiloelectron') THEN 'keV' WHEN regexp_matches(rest, 'ev|electronvolt') THEN 'eV' WHEN regexp_matches(rest, '(^|[^a-z])v(olts?)?([^a-z]|$)') THEN 'V' END AS written FROM u),
-     d AS (SELECT c.*, CASE WHEN number IS NOT NULL THEN coalesce(written, bare_unit) END AS named FROM c LEFT JOIN b ON b.k = lower(regexp_replace(instrument, '[ \\t_-]+', '', 'g'))),
-     e AS (SELECT d.*, unit_code, ev_per_unit, ref_mz, CASE WHEN ref_mz IS NULL THEN 1.0::DOUBLE WHEN precursor_mz > 0 AND NOT isinf(precursor_mz) AND NOT isnan(precursor_mz) THEN precursor_mz / ref_mz END AS factor FROM d LEFT JOIN energy_units ON unit_code = named)
+     b AS (SELECT lower(regexp_replace(instrument, '[ \\t_-]+', '', 'g')) AS k, min(bare_unit) AS bare_unit FROM instrument_units GROUP BY 1
+     HAVING min(bare_unit) = max(bare_unit)),
+     c AS (SELECT u.*, CASE WHEN blank AND (isnan(bare) OR bare < 0 OR isinf(bare)) THEN NULL WHEN blank THEN bare
+     WHEN valid THEN CAST(replace(n, ',', '.') AS DOUBLE) END AS number,
+             CASE WHEN blank THEN NULL WHEN rest LIKE '%frac%' THEN 'NCE_frac' WHEN regexp_matches(rest, 'nce|normali|%') THEN 'NCE'
+             WHEN regexp_matches(rest, 'kj|kilojoule') THEN 'kJ/mol' WHEN rest LIKE '%kcal%' THEN 'kcal/mol'
+               WHEN regexp_matches(rest, 'kev|kiloelectron') THEN 'keV' WHEN regexp_matches(rest, 'ev|electronvolt') THEN 'eV'
+               WHEN regexp_matches(rest, '(^|[^a-z])v(olts?)?([^a-z]|$)') THEN 'V' END AS written FROM u),
+     d AS (SELECT c.*, CASE WHEN number IS NOT NULL THEN coalesce(written, bare_unit) END AS named FROM c LEFT
+     JOIN b ON b.k = lower(regexp_replace(instrument, '[ \\t_-]+', '', 'g'))),
+     e AS (SELECT d.*, unit_code, ev_per_unit, ref_mz, CASE WHEN ref_mz IS NULL THEN 1.0::DOUBLE WHEN precursor_mz > 0
+     AND NOT isinf(precursor_mz) AND NOT isnan(precursor_mz) THEN precursor_mz / ref_mz END AS factor FROM d LEFT
+     JOIN energy_units ON unit_code = named)
 SELECT spectrum_uid, collision_index, unit_code AS energy_unit, number * ev_per_unit * factor AS energy_ev,
-       CASE WHEN NOT blank AND NOT valid THEN 'invalid' WHEN blank AND bare IS NULL THEN 'missing' WHEN number IS NULL THEN 'invalid' WHEN unit_code IS NULL THEN 'unknown_unit' WHEN factor IS NULL THEN 'no_precursor' ELSE 'ok' END AS energy_status
+       CASE WHEN NOT blank AND NOT valid THEN 'invalid' WHEN blank AND bare IS NULL THEN 'missing' WHEN number IS NULL THEN 'invalid'
+       WHEN unit_code IS NULL THEN 'unknown_unit' WHEN factor IS NULL THEN 'no_precursor' ELSE 'ok' END AS energy_status
 FROM e"""
 
-P2_FOUND = f"SELECT DISTINCT spectrum_uid, CAST(round(energy_ev * 1000) AS BIGINT) AS energy_mev FROM ({P2_ENERGY}) WHERE energy_status = 'ok' AND energy_unit <> 'eV'"
+P2_FOUND = f"""SELECT DISTINCT spectrum_uid, CAST(round(energy_ev * 1000) AS BIGINT) AS energy_mev FROM ({P2_ENERGY})
+    WHERE energy_status = 'ok' AND energy_unit <> 'eV'"""
 
 
 def _by_delimiter(make) -> str:
@@ -54,10 +64,14 @@ _PARTS = _by_delimiter(lambda d: f"regexp_extract_all('{d}' || line, '{d}(\"([^\
 
 P6_FOUND = f"""
 WITH r AS (SELECT record_id, line IS NULL OR line = '' AS none, coalesce({_SOUND}, true) AS sound, {_PARTS} AS parts FROM raw_spectra),
-     f AS (SELECT record_id, none, sound, list_transform(parts, lambda p: CASE WHEN left(p, 1) = '"' THEN replace(substr(p, 2, length(p) - 2), '""', '"') ELSE p END) AS v FROM r),
-     x AS (SELECT 'raw_spectra' AS rec_table, record_id::VARCHAR AS rec_key, CASE WHEN NOT none AND NOT sound THEN 'quoting' WHEN none OR len(v) <> 8 OR v IS NULL THEN 'column_count' WHEN NOT {valid_formula('v[3]')} THEN 'formula'
+     f AS (SELECT record_id, none, sound, list_transform(parts, lambda p: CASE WHEN left(p, 1) = '"' THEN replace(substr(p, 2,
+     length(p) - 2), '""', '"') ELSE p END) AS v FROM r),
+     x AS (SELECT 'raw_spectra' AS rec_table, record_id::VARCHAR AS rec_key, CASE WHEN NOT none AND NOT sound THEN 'quoting'
+     WHEN none OR len(v) <> 8 OR v IS NULL THEN 'column_count' WHEN NOT {valid_formula('v[3]')} THEN 'formula'
              WHEN NOT {valid_energy('v[5]')} THEN 'collision_energy' WHEN NOT {valid_adduct('v[4]')} THEN 'adduct' END AS reason FROM f
-           UNION ALL SELECT 'spectra_v2', spectrum_uid, CASE WHEN NOT {valid_formula('formula')} THEN 'formula' WHEN NOT {valid_energy('collision_energy_raw')} THEN 'collision_energy' WHEN NOT {valid_adduct('adduct')} THEN 'adduct' END FROM spectra_v2)
+           UNION ALL SELECT 'spectra_v2', spectrum_uid, CASE WHEN NOT {valid_formula('formula')} THEN 'formula'
+           WHEN NOT {valid_energy('collision_energy_raw')} THEN 'collision_energy' WHEN NOT {valid_adduct('adduct')} THEN 'adduct' END
+           FROM spectra_v2)
 SELECT DISTINCT rec_table, rec_key, reason FROM x WHERE reason IS NOT NULL"""
 
 _FIELDS = ("spec", "collision_index", "formula", "adduct", "collision_energy_raw", "instrument", "precursor_mz", "remark")

@@ -51,7 +51,8 @@ def slots(df: DataFrame, limit: int = scalar.SLOTS) -> DataFrame:
     intensity = ((i * 53 + 17) % 97) / F.lit(97.0)
     formula = F.when(i % 4 == 3, F.concat("s.formula", F.lit("H"))).when(i % 7 == 5, F.concat("s.formula", F.lit("C"))).otherwise(F.col("s.formula"))
     return c.select(
-        F.col("spectrum_uid").alias("uid"), i.alias("slot"), presence.alias("presence"), (presence * 6.0 - 3.0).alias("presence_logit"), intensity.alias("intensity"),
+        F.col("spectrum_uid").alias("uid"), i.alias("slot"), presence.alias("presence"), (presence * 6.0 - 3.0).alias("presence_logit"),
+            intensity.alias("intensity"),
         (presence * intensity).alias("contribution"), formula.alias("formula"), F.col("s.ion_state").alias("ion_state"),
     )
 
@@ -79,7 +80,8 @@ def scores(df: DataFrame) -> DataFrame:
 
 def assignment(df: DataFrame) -> DataFrame:
     """(uid, slot, target): the slot with the target's number, where there is one."""
-    return targets(df).select("uid", "target").join(slots(df).select("uid", "slot", F.col("slot").alias("target")), ["uid", "target"]).select("uid", "slot", "target")
+    return targets(df).select("uid", "target").join(slots(df).select("uid", "slot", F.col("slot").alias("target")), ["uid",
+        "target"]).select("uid", "slot", "target")
 
 
 def lineitem_peaks(spark: SparkSession, d: str) -> DataFrame:
@@ -118,19 +120,25 @@ OWN_MASS = {row.split()[0]: int(row.split()[1]) + float(row.split()[2]) / 1e6 fo
 #: SQL of the views; ``sql`` puts the wanted ones before a query in this order.
 CTE = {
     "s": "SELECT DISTINCT * FROM fragment_supervision_v2",
-    "pk": """SELECT * FROM (SELECT spectrum_uid, precursor_mz, i AS peak_index, mzs[i + 1] AS mz, intensities[i + 1]::DOUBLE AS y, mz_decimal_places[i + 1]::INT AS dp,
+    "pk": """SELECT * FROM (SELECT spectrum_uid, precursor_mz, i AS peak_index, mzs[i + 1] AS mz, intensities[i + 1]::DOUBLE AS y,
+        mz_decimal_places[i + 1]::INT AS dp,
                supervision_rank[i + 1] AS rank, supervision_mask[i + 1] AS supervised
                FROM (SELECT *, unnest(range(len(mzs))) AS i FROM s)) WHERE mz IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)""",
-    "ca": """SELECT spectrum_uid, i AS candidate_index, candidate_neutral_formula[i + 1] AS formula, candidate_ion_state[i + 1] AS ion_state, candidate_theoretical_mz[i + 1] AS theo_mz
-               FROM (SELECT *, unnest(range(greatest(coalesce(len(candidate_neutral_formula), 0), coalesce(len(candidate_ion_state), 0), coalesce(len(candidate_theoretical_mz), 0)))) AS i FROM s)""",
-    "ed": """SELECT spectrum_uid, i AS edge_index, edge_peak_index[i + 1] AS peak_index, edge_candidate_index[i + 1] AS candidate_index, edge_error_ppm[i + 1] AS error_ppm
+    "ca": """SELECT spectrum_uid, i AS candidate_index, candidate_neutral_formula[i + 1] AS formula,
+        candidate_ion_state[i + 1] AS ion_state, candidate_theoretical_mz[i + 1] AS theo_mz
+               FROM (SELECT *, unnest(range(greatest(coalesce(len(candidate_neutral_formula), 0), coalesce(len(candidate_ion_state), 0),
+               coalesce(len(candidate_theoretical_mz), 0)))) AS i FROM s)""",
+    "ed": """SELECT spectrum_uid, i AS edge_index, edge_peak_index[i + 1] AS peak_index, edge_candidate_index[i + 1] AS candidate_index,
+        edge_error_ppm[i + 1] AS error_ppm
                FROM (SELECT *, unnest(range(len(edge_peak_index))) AS i FROM s)""",
-    "le": """SELECT e.*, s.supervision_rank[e.peak_index + 1] AS target FROM ed e JOIN s USING (spectrum_uid) WHERE s.supervision_rank[e.peak_index + 1] BETWEEN 0 AND 63""",
+    "le": """SELECT e.*, s.supervision_rank[e.peak_index + 1] AS target FROM ed e JOIN s USING (spectrum_uid)
+        WHERE s.supervision_rank[e.peak_index + 1] BETWEEN 0 AND 63""",
     "sl": """SELECT spectrum_uid AS uid, candidate_index AS slot, ((candidate_index * 37 + length(formula) * 11) % 100) / 100.0::DOUBLE AS presence,
                ((candidate_index * 53 + 17) % 97) / 97.0::DOUBLE AS intensity, ion_state,
                CASE WHEN candidate_index % 4 = 3 THEN formula || 'H' WHEN candidate_index % 7 = 5 THEN formula || 'C' ELSE formula END AS formula
                FROM ca WHERE formula <> '' AND ion_state IS NOT NULL
-               QUALIFY row_number() OVER (PARTITION BY spectrum_uid ORDER BY (candidate_index * 37 + length(ca.formula) * 11) % 100 DESC, candidate_index) <= 64""",
+               QUALIFY row_number() OVER (PARTITION BY spectrum_uid ORDER BY (candidate_index * 37 + length(ca.formula) * 11) % 100 DESC,
+               candidate_index) <= 64""",
     "tr": """SELECT *, sqrt(greatest(y, 0)) / (sqrt(sum(greatest(y, 0)) OVER (PARTITION BY spectrum_uid)) + 1e-12) AS t FROM pk""",
     "tg": "SELECT spectrum_uid AS uid, rank AS target, peak_index, y, t FROM tr WHERE rank BETWEEN 0 AND 63",
     "me": "SELECT DISTINCT spectrum_uid AS uid, target, candidate_index FROM le",
@@ -146,13 +154,15 @@ CTE = {
     "ok": "SELECT formula FROM ats LEFT JOIN el USING (symbol) GROUP BY formula HAVING count(*) = count(mass) AND max(n) <= 1000000",
     "atoms": "SELECT formula, symbol, n::INT AS n FROM ats JOIN ok USING (formula)",
     "fm": "SELECT formula, sum(n * mass) AS mass FROM atoms JOIN el USING (symbol) GROUP BY formula",
-    "ch": f"""SELECT * FROM (VALUES ('protonated', {OWN_MASS["H"] - 0.000548579909065!r}::DOUBLE), ('deprotonated', {0.000548579909065 - OWN_MASS["H"]!r}::DOUBLE),
+    "ch": f"""SELECT * FROM (VALUES ('protonated', {OWN_MASS["H"] - 0.000548579909065!r}::DOUBLE), ('deprotonated',
+        {0.000548579909065 - OWN_MASS["H"]!r}::DOUBLE),
                ('sodiated', {OWN_MASS["Na"] - 0.000548579909065!r}::DOUBLE), ('potassiated', {OWN_MASS["K"] - 0.000548579909065!r}::DOUBLE),
                ('chloride_retained', {OWN_MASS["Cl"] + 0.000548579909065!r}::DOUBLE)) AS v(ion_state, delta)""",
 }
 
 _NEEDS = {
-    "pk": "s", "ca": "s", "ed": "s", "le": "s ed", "sl": "s ca", "tr": "s pk", "tg": "s pk tr", "me": "s ed le", "sc": "s ca sl ed le me", "asg": "s pk tr tg ca sl",
+    "pk": "s", "ca": "s", "ed": "s", "le": "s ed", "sl": "s ca", "tr": "s pk", "tg": "s pk tr", "me": "s ed le", "sc": "s ca sl ed le me",
+        "asg": "s pk tr tg ca sl",
     "ats": "fo", "ok": "fo ats el", "atoms": "fo ats el ok", "fm": "fo ats el ok atoms",
 }
 

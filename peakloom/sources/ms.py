@@ -67,7 +67,8 @@ def parse_records(records: DataFrame, expected: str | None = None) -> DataFrame:
     first = F.coalesce(F.get(F.col("starts"), F.lit(0)), F.lit(2**31 - 1))
 
     def placed(x: Column, i: Column) -> Column:
-        return F.coalesce(x["fault"], F.when((x["kind"] == "meta") & (i > first), "metadata after the first block").when((x["kind"] == "peak") & (i < first), "peak before the first block"))
+        return F.coalesce(x["fault"], F.when((x["kind"] == "meta") & (i > first),
+            "metadata after the first block").when((x["kind"] == "peak") & (i < first), "peak before the first block"))
 
     faults = F.filter(F.transform("l", placed), lambda f: f.isNotNull())
     energies = F.transform("starts", lambda i: F.get(F.col("l"), i)["energy"])
@@ -82,8 +83,10 @@ def parse_records(records: DataFrame, expected: str | None = None) -> DataFrame:
         body = F.slice("l", i + 2, end - i - 1)
         raw = F.get(F.col("l"), i)["energy"]
         return F.struct(
-            b.alias("block"), raw.alias("collision_energy_raw"), raw.try_cast("double").alias("collision_energy"), F.transform(body, lambda p: p["mz"]).alias("mzs"),
-            F.transform(body, lambda p: p["y"].cast("float")).alias("intensities"), F.transform(body, lambda p: p["dp"].cast("tinyint")).alias("mz_decimal_places"),
+            b.alias("block"), raw.alias("collision_energy_raw"), raw.try_cast("double").alias("collision_energy"), F.transform(body,
+                lambda p: p["mz"]).alias("mzs"),
+            F.transform(body, lambda p: p["y"].cast("float")).alias("intensities"), F.transform(body,
+                lambda p: p["dp"].cast("tinyint")).alias("mz_decimal_places"),
         )
 
     parsed = parsed.withColumn("error", error)
@@ -106,7 +109,9 @@ def build_spectra(splits: DataFrame, labels: DataFrame, records: DataFrame, shar
     out = blocks.join(keep, "spec").withColumn("error", F.coalesce(unlabelled, "error"))
     ok = F.col("error").isNull()
     return out.select(
-        F.when(ok, scalar.spectrum_uid("spec", "block")).alias("spectrum_uid"), F.col("spec").alias("parent_spec"), "fold", scalar.shard_of("spec", shards).alias("shard"),
-        F.col("block").cast("int").alias("collision_index"), "collision_energy", "collision_energy_raw", "smiles", "formula", "inchikey", "adduct", "instrument", "precursor_mz",
+        F.when(ok, scalar.spectrum_uid("spec", "block")).alias("spectrum_uid"), F.col("spec").alias("parent_spec"), "fold",
+            scalar.shard_of("spec", shards).alias("shard"),
+        F.col("block").cast("int").alias("collision_index"), "collision_energy", "collision_energy_raw", "smiles", "formula", "inchikey",
+            "adduct", "instrument", "precursor_mz",
         "mzs", "intensities", "mz_decimal_places", "error",
     )

@@ -46,7 +46,8 @@ def make_manifest(df: DataFrame, version: str, **extra: object) -> dict:
 
 
 def publish(
-    df: DataFrame, out: str, version: str, shards: int, overwrite: bool = False, checks: Callable[[DataFrame], DataFrame] | None = None, folds: Sequence[str] = (), **extra: object,
+    df: DataFrame, out: str, version: str, shards: int, overwrite: bool = False, checks: Callable[[DataFrame], DataFrame] | None = None,
+        folds: Sequence[str] = (), **extra: object,
 ) -> dict:
     """Write beside out, run the gate on what was written, write the manifest, then rename; an older dataset is moved away and removed last.
 
@@ -78,7 +79,8 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(Files(spark).read_text(f"{path}/{MANIFEST}"))
 
 
-def read_dataset(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, shards: list[int] | None = None, accept: tuple[str, ...] = VERSIONS, fold: str | None = None) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, shards: list[int] | None = None, accept: tuple[str,
+    ...] = VERSIONS, fold: str | None = None) -> DataFrame:
     """A published dataset behind its version gate; fold and shards prune partitions, columns prune the scan."""
     version = read_manifest(spark, path)["schema_version"]
     if version not in accept:
@@ -111,7 +113,8 @@ def prediction_table(predictions: DataFrame, scores: DataFrame, fold: str) -> Da
     """Predictions with their scores by spectrum_uid: no score counts as a cosine of 0 and a zero prediction."""
     refuse_test(fold)
     joined = predictions.join(scores, "spectrum_uid", "left").withColumn("fold", F.lit(fold))
-    filled = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c.startswith("cos_at_") else F.coalesce(F.col(c), F.lit(True)).alias(c) if c == "zero_prediction" else F.col(c) for c in joined.columns]
+    filled = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c.startswith("cos_at_") else F.coalesce(F.col(c),
+        F.lit(True)).alias(c) if c == "zero_prediction" else F.col(c) for c in joined.columns]
     return joined.select(*filled)
 
 

@@ -25,13 +25,15 @@ def stream_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def write_blocks(blocks: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append to a sharded dataset with everything that is there now, exactly once per file."""
-    return blocks.writeStream.format("parquet").partitionBy("shard").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return blocks.writeStream.format("parquet").partitionBy("shard").option("path", out).option("checkpointLocation",
+        checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, time: str, by: str, value: str, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """(start, by, n, total) per tumbling window; rows later than the watermark are dropped. Works on tables and streams."""
     marked = events.withWatermark(time, late) if events.isStreaming else events
-    return marked.groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+    return marked.groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"),
+        F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
 def first_arrivals(events: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:

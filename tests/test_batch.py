@@ -8,7 +8,8 @@ from peakloom.operators import batch, compare, verify
 
 @pytest.fixture(scope="module")
 def costs(spark):
-    rows = [(f"u{i:04d}", 10 + (i * 7) % 90, (i * 13) % 50, (i * i) % 997) for i in range(700)] + [("huge", 5000, 1, 5), ("wide", 1, 900, 5), ("none", None, None, 1)]
+    rows = [(f"u{i:04d}", 10 + (i * 7) % 90, (i * 13) % 50, (i * i) % 997) for i in range(700)] + [("huge", 5000, 1, 5), ("wide", 1, 900,
+        5), ("none", None, None, 1)]
     return spark.createDataFrame(rows, "spectrum_uid STRING, tokens INT, candidates INT, element_steps INT")
 
 
@@ -43,7 +44,8 @@ def test_ranks(spark):
 
 
 def test_logs(spark):
-    log = spark.createDataFrame([(1, 0.5, 1.0, 10), (2, 0.7, 2.0, 30), (3, 0.7, float("nan"), 10), (3, 0.1, None, 1)], "epoch INT, score DOUBLE, loss DOUBLE, n INT")
+    log = spark.createDataFrame([(1, 0.5, 1.0, 10), (2, 0.7, 2.0, 30), (3, 0.7, float("nan"), 10), (3, 0.1, None, 1)],
+        "epoch INT, score DOUBLE, loss DOUBLE, n INT")
     assert batch.best_so_far(log, ("score",)).first().epoch == 2
     assert batch.not_finite(log).count() == 2
     assert {r.epoch: r.steps for r in batch.epoch_summary(log).collect()} == {1: 1, 2: 1, 3: 2}
@@ -57,10 +59,12 @@ def test_compare(spark):
     a = spark.createDataFrame([("x", [1.0]), ("y", None), ("z", [2.0])], "k STRING, v ARRAY<DOUBLE>")
     b = spark.createDataFrame([("x", [1.0]), ("y", None), ("w", [2.0]), ("v", [0.0])], "k STRING, v ARRAY<DOUBLE>")
     assert {r.status: r.n for r in compare.reconcile(a, b, "k", ["v"]).collect()} == {"equal": 2, "missing": 1, "extra": 2}
-    p = spark.createDataFrame([("x", ["C"], ["p"], [1.0]), ("y", ["O"], ["p"], [1.0])], "spectrum_uid STRING, predicted_formulas ARRAY<STRING>, predicted_ion_states ARRAY<STRING>, predicted_intensities ARRAY<DOUBLE>")
+    p = spark.createDataFrame([("x", ["C"], ["p"], [1.0]), ("y", ["O"], ["p"], [1.0])],
+        "spectrum_uid STRING, predicted_formulas ARRAY<STRING>, predicted_ion_states ARRAY<STRING>, predicted_intensities ARRAY<DOUBLE>")
     q = spark.createDataFrame([("x", ["C"], ["p"], [1.5]), ("y", ["N"], ["p"], [9.0])], p.schema)
     rows = {r.variant: r for r in compare.variants(p, {"same": p, "other": q}).collect()}
-    assert (rows["same"].identical, rows["same"].max_difference) == (2, 0.0) and (rows["other"].shared, rows["other"].identical, rows["other"].max_difference) == (2, 1, 0.5)
+    assert (rows["same"].identical, rows["same"].max_difference) == (2, 0.0) and (rows["other"].shared, rows["other"].identical,
+        rows["other"].max_difference) == (2, 1, 0.5)
     assert compare.fingerprint(a, ["k", "v"]).first() == compare.fingerprint(a.repartition(5), ["k", "v"]).first()
 
 
@@ -74,4 +78,5 @@ def test_checks(spark):
     with pytest.raises(ValueError, match="parallel_lengths: 2"):
         verify.gate(verify.spectra_checks(spark.createDataFrame(bad, schema)), ignore=("uid_form",))
     counts = spark.createDataFrame([(3, 5)], "spectra BIGINT, peaks BIGINT")
-    assert {r.check_name: r.violations for r in verify.manifest_checks(counts, {"spectra": 3, "peaks": 7}).collect()} == {"manifest_spectra": 0, "manifest_peaks": 2}
+    assert {r.check_name: r.violations for r in verify.manifest_checks(counts, {"spectra": 3,
+        "peaks": 7}).collect()} == {"manifest_spectra": 0, "manifest_peaks": 2}

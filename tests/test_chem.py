@@ -109,7 +109,8 @@ def test_channels(spark):
 def brute_subformulas(counts):
     """(mass, counts) of all subformulas without hydrogen, by mass, ties with the last element fastest."""
     heavy = sorted(s for s in counts if s != "H")
-    rows = [(sum(k * MASSES[s] for s, k in zip(heavy, ks)), i, {s: k for s, k in zip(heavy, ks) if k}) for i, ks in enumerate(itertools.product(*(range(counts[s] + 1) for s in heavy)))]
+    rows = [(sum(k * MASSES[s] for s, k in zip(heavy, ks)), i, {s: k for s, k in zip(heavy, ks) if k}) for i,
+        ks in enumerate(itertools.product(*(range(counts[s] + 1) for s in heavy)))]
     return sorted(rows, key=lambda r: (r[0], r[1]))
 
 

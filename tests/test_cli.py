@@ -23,7 +23,8 @@ def test_from_text_to_scores(spark, tmp_path):
     (tmp_path / "labels.tsv").write_text("\t".join(tables.LABEL_COLUMNS) + "\n" + "".join(f"{s}\t101.06\t[10, 20]\tC\t{FORMULA}\tKEY{s}\t[M+H]+\tOrbitrap\n" for s in "abc"))
     (tmp_path / "split.tsv").write_text("spec\tFold_0\na\ttrain\nb\tvalid\nc\ttest\n")
     at = lambda n: str(tmp_path / n)
-    assert main(["build-spectra", "--labels", at("labels.tsv"), "--split", at("split.tsv"), "--records", at("ms"), "--out", at("spectra"), "--num-shards", "4"], spark) == 0
+    assert main(["build-spectra", "--labels", at("labels.tsv"), "--split", at("split.tsv"), "--records", at("ms"), "--out", at("spectra"),
+        "--num-shards", "4"], spark) == 0
     assert sorted(p.name for p in (tmp_path / "spectra" / "fold=valid").iterdir() if p.is_dir()) == [f"shard={n}" for n in range(4)]
     assert main(["verify", "--kind", "spectra", "--data", at("spectra")], spark) == 0
     assert main(["build-supervision", "--spectra", at("spectra"), "--out", at("supervision"), "--num-shards", "4"], spark) == 0
@@ -52,7 +53,8 @@ def test_from_text_to_scores(spark, tmp_path):
     targets = valid.select("spectrum_uid", F.posexplode("supervision_rank").alias("i", "target"), "mzs", "intensities").where("target >= 0")
     root = F.sqrt(F.get(F.col("intensities"), F.col("i")).cast("double"))
     names = F.array(*[F.lit(chem_text) for chem_text in ("C2H3O", "C3H5", "", "C4H7O", "C5H8O2")])
-    slots = targets.select("spectrum_uid", F.col("target").alias("slot"), F.lit(1.0).alias("presence"), root.alias("intensity"), F.get(names, F.col("i")).alias("formula"), F.lit("protonated").alias("ion_state"))
+    slots = targets.select("spectrum_uid", F.col("target").alias("slot"), F.lit(1.0).alias("presence"), root.alias("intensity"),
+        F.get(names, F.col("i")).alias("formula"), F.lit("protonated").alias("ion_state"))
     slots.write.parquet(at("slots"))
     targets.select("spectrum_uid", F.col("target").alias("slot"), "target").write.parquet(at("assignment"))
     given = ["--slots", at("slots"), "--assignment", at("assignment"), "--data", at("supervision")]
@@ -66,12 +68,14 @@ def test_from_text_to_scores(spark, tmp_path):
     assert means["all_predicted"] == pytest.approx(ceilings["slot_capacity"]) and ceilings["peak_copy"] == pytest.approx(1.0)
     assert {r.identities: r.bags for r in spark.read.json(at("contract") + "/bags").collect()} == {1: 8}
     (tmp_path / "ms" / "a.ms").write_text("oops\n")
-    assert main(["build-spectra", "--labels", at("labels.tsv"), "--split", at("split.tsv"), "--records", at("ms"), "--out", at("bad"), "--num-shards", "4"], spark) == 1
+    assert main(["build-spectra", "--labels", at("labels.tsv"), "--split", at("split.tsv"), "--records", at("ms"), "--out", at("bad"),
+        "--num-shards", "4"], spark) == 1
 
 
 def test_sql_functions(spark):
     register_all(spark, "pl_")
-    r = spark.sql("SELECT pl_shard_of('any') AS s, pl_spectrum_uid('p', 12) AS u, pl_bin_index(250.25D) AS b, pl_mass_tolerance(50D, 3) AS t, pl_safe_ratio(3D, 4D) AS z, pl_huber(0.25D, 1D) AS h").first()
+    r = spark.sql("""SELECT pl_shard_of('any') AS s, pl_spectrum_uid('p', 12) AS u, pl_bin_index(250.25D) AS b, pl_mass_tolerance(50D,
+        3) AS t, pl_safe_ratio(3D, 4D) AS z, pl_huber(0.25D, 1D) AS h""").first()
     shard = int.from_bytes(hashlib.sha256(b"any").digest()[:8], "big") % 64
     assert (r.s, r.u, r.b, r.t, r.z, r.h) == (shard, "p:12", int(250.25 * 14999 / 1500) + 1, pytest.approx(5e-4), 0.75, 0.03125)
 

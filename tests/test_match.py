@@ -32,7 +32,8 @@ def spectrum(rng, counts, channels, n=40):
     """Peaks at ions of subformulas, shifted by up to a few tolerances, and some at random, with their decimals."""
     every = [mass(c) for c in subformulas(counts)]
     dps = [rng.choice([0, 1, 2, 3, 4]) for _ in range(n)]
-    mzs = [round(max(1.0, rng.choice(every) + OFFSET[rng.choice(channels)]), d) + rng.choice([0.0, 0.0, 2e-3]) if rng.random() < 0.8 else rng.uniform(10, 250) for d in dps]
+    mzs = [round(max(1.0, rng.choice(every) + OFFSET[rng.choice(channels)]), d) + rng.choice([0.0, 0.0,
+        2e-3]) if rng.random() < 0.8 else rng.uniform(10, 250) for d in dps]
     return mzs, dps
 
 
@@ -136,7 +137,8 @@ def test_rank_targets_and_mask(spark):
     for i in range(40):
         n = rng.choice([0, 1, 5, 30])
         ys = [rng.choice([None, float("nan"), 1.0, 2.0, 7.0]) for _ in range(n)]
-        cases.append((i, [rng.choice([50.0, 60.0, 70.0]) for _ in range(n)], ys, [rng.random() < 0.7 for _ in range(n)], [rng.randrange(n) for _ in range(n // 2)], [rng.choice([1, 2, 4]) for _ in range(n)]))
+        cases.append((i, [rng.choice([50.0, 60.0, 70.0]) for _ in range(n)], ys, [rng.random() < 0.7 for _ in range(n)],
+            [rng.randrange(n) for _ in range(n // 2)], [rng.choice([1, 2, 4]) for _ in range(n)]))
     df = spark.createDataFrame(cases, "i INT, m ARRAY<DOUBLE>, y ARRAY<FLOAT>, mask ARRAY<BOOLEAN>, e ARRAY<INT>, dp ARRAY<TINYINT>")
     rank = spectra.supervision_rank(F.col("m"), F.col("y"), F.col("mask"))
     rows = df.select("i", rank.alias("r"), spectra.targets(rank, 3).alias("t"), spectra.linked_mask(F.col("e"), F.col("dp")).alias("l")).orderBy("i").collect()

@@ -17,7 +17,8 @@ FORMULAS = ["C2HO", "C3H5O", "C3H6S", "C5H7O2"]
 
 @pytest.fixture(scope="module")
 def oracle_row(spark):
-    row = ("u", "valid", "C6H10O3S", "[M+H]+", "q", MZ, Y, [4] * 5, [True] * 3 + [False] * 2, [0, 1, 2, -1, -1], FORMULAS, ["protonated"] * 4, [0.0] * 4, [0, 1, 2, 3], [0, 1, 2, 3], [0.0] * 4)
+    row = ("u", "valid", "C6H10O3S", "[M+H]+", "q", MZ, Y, [4] * 5, [True] * 3 + [False] * 2, [0, 1, 2, -1, -1], FORMULAS,
+        ["protonated"] * 4, [0.0] * 4, [0, 1, 2, 3], [0, 1, 2, 3], [0.0] * 4)
     empty = ("none", "train", "C1", "[M+H]+", None, [], [], [], [], [], [], [], [], [], [], [])
     return spark.createDataFrame([row, empty], FULL)
 
@@ -46,7 +47,8 @@ def test_scores_against_brute_force(spark):
     observed, predicted = {}, {}
     for u in range(12):
         observed[f"u{u}"] = [(rng.uniform(-1, 120), rng.choice([0.0, rng.uniform(0, 100)])) for _ in range(rng.choice([0, 5, 60]))]
-        predicted[f"u{u}"] = [(rng.choice([rng.uniform(0, 120), 1e9, -5.0, 50.0]), rng.choice([0.0, 1e-9, rng.random()])) for _ in range(rng.choice([0, 3, 40]))]
+        predicted[f"u{u}"] = [(rng.choice([rng.uniform(0, 120), 1e9, -5.0, 50.0]), rng.choice([0.0, 1e-9,
+            rng.random()])) for _ in range(rng.choice([0, 3, 40]))]
     o = spark.createDataFrame([(u, m, y) for u, ps in observed.items() for m, y in ps], "spectrum_uid STRING, mz DOUBLE, y DOUBLE")
     p = spark.createDataFrame([(u, m, w) for u, ps in predicted.items() for m, w in ps], "spectrum_uid STRING, mz DOUBLE, weight DOUBLE")
     spine = spark.createDataFrame([(u,) for u in observed], "spectrum_uid STRING")
@@ -63,7 +65,8 @@ def test_scores_against_brute_force(spark):
 
 
 def test_bins(spark):
-    df = spark.createDataFrame([("u", 100.0, 1.0), ("u", 100.001, 7.0), ("u", 100.002, 3.0), ("u", 1e9, 5.0), ("u", -5.0, 5.0)], "k STRING, mz DOUBLE, y DOUBLE")
+    df = spark.createDataFrame([("u", 100.0, 1.0), ("u", 100.001, 7.0), ("u", 100.002, 3.0), ("u", 1e9, 5.0), ("u", -5.0, 5.0)],
+        "k STRING, mz DOUBLE, y DOUBLE")
     assert [r.v for r in metrics.bin_observation(df, ["k"]).collect()] == [7.0] and [r.v for r in metrics.sum_bins(df, ["k"]).collect()] == [11.0]
     assert metrics.bin_prediction(df.withColumn("y", F.lit(0.0)), ["k"]).count() == 0
     tied = spark.createDataFrame([("u", b, 1.0) for b in (5, 3, 4)], "k STRING, bin INT, v DOUBLE")
@@ -83,7 +86,8 @@ def test_spaces_and_oracles(spark, oracle_row):
     rendered = [sum(int(n or 1) * MASSES[s] for s, n in re.findall("([A-Z])([0-9]*)", f)) + PROTON_MASS for f in FORMULAS]
     roots = [math.sqrt(y) for y in Y]
     lists = {
-        "peak_copy": list(zip(MZ, roots)), "support_mask": list(zip(MZ[:4], roots)), "formula_rendered": list(zip(rendered, roots)), "slot_capacity": list(zip(rendered[:3], roots)),
+        "peak_copy": list(zip(MZ, roots)), "support_mask": list(zip(MZ[:4], roots)), "formula_rendered": list(zip(rendered, roots)),
+        "slot_capacity": list(zip(rendered[:3], roots)),
     }
     got = {r.oracle: r for r in metrics.oracle_ceilings(oracle_row).collect()}
     assert set(got) == set(lists)
@@ -111,4 +115,5 @@ def test_audits(spark, oracle_row):
     assert (z.rows, z.zero_target_rows, z.zero_target_peaks, z.rows_left) == (2, 1, 0, 1)
     c = {r.spectrum_uid: r for r in analysis.cost_table(oracle_row).collect()}
     assert (c["u"].targets, c["u"].linked, c["u"].elements, c["u"].element_steps) == (3, 3, 4, 12) and c["none"].targets == 0
-    assert analysis.covered_intensity(oracle_row, spark.createDataFrame([("u", FORMULAS[0], "protonated")], "spectrum_uid STRING, formula STRING, ion_state STRING")).first().covered == Y[0]
+    assert analysis.covered_intensity(oracle_row, spark.createDataFrame([("u", FORMULAS[0], "protonated")],
+        "spectrum_uid STRING, formula STRING, ion_state STRING")).first().covered == Y[0]

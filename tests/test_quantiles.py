@@ -24,7 +24,8 @@ def test_nothing(spark):
 def test_groups_against_numpy(spark, accuracy):
     """With an accuracy of 20, groups above 80 rows go through brackets; ties, hot values and a null group included."""
     rng = random.Random(4)
-    rows = [(g, rng.choice([rng.gauss(0, 1), 0.5, float("nan")]), rng.choice([1, 1, 2, None])) for g, n in (("big", 3000), ("small", 5), (None, 200)) for _ in range(n)] + [("none", None, None)]
+    rows = [(g, rng.choice([rng.gauss(0, 1), 0.5, float("nan")]), rng.choice([1, 1, 2, None])) for g, n in (("big", 3000), ("small", 5),
+        (None, 200)) for _ in range(n)] + [("none", None, None)]
     df = spark.createDataFrame(rows, "g STRING, x DOUBLE, k INT").repartition(5)
     wanted = [("x", 0.1, "x_p10"), ("x", 0.5, "x_p50"), ("k", 0.9, "k_p90"), ("x", 1.0, "x_p100")]
     got = {r.g: r for r in aggregate(df, ("g",), [F.count("*").alias("n")], wanted, accuracy).collect()}

@@ -2,7 +2,8 @@ import pytest
 
 from peakloom.functions import quantity as q
 
-EV = {"20 eV": 20, "CE=25eV": 25, "HCD 30.0 eV": 30, "7.5 electronvolts": 7.5, "1.2e+01 EV": 12, "0,04 keV": 40, ".5 kiloelectronvolt": 500, "10 V": 10, "CID 9volts": 9}
+EV = {"20 eV": 20, "CE=25eV": 25, "HCD 30.0 eV": 30, "7.5 electronvolts": 7.5, "1.2e+01 EV": 12, "0,04 keV": 40, ".5 kiloelectronvolt": 500,
+    "10 V": 10, "CID 9volts": 9}
 
 
 @pytest.mark.parametrize("text, value", EV.items())
@@ -22,7 +23,8 @@ def test_molar_and_normalised():
 
 
 @pytest.mark.parametrize("text", [
-    "ramp", "eV", "20 eV; 40 eV", "10eV 20eV", "20-40 eV", "35 +/- 5 NCE", "-15", "-30 eV", "l5 eV", "1O eV", "0x14", "20..5", "1.2.3 keV", "2 0 eV", "[20, 40]", "10/20/40",
+    "ramp", "eV", "20 eV; 40 eV", "10eV 20eV", "20-40 eV", "35 +/- 5 NCE", "-15", "-30 eV", "l5 eV", "1O eV", "0x14", "20..5", "1.2.3 keV",
+        "2 0 eV", "[20, 40]", "10/20/40",
     "inf", "NaN eV", "1e999", "15 to 45 V", "n/a", "--", "20 eV V", "NCE 20 eV", "20 parsecs", "1,234.5",
 ])
 def test_not_a_quantity(text):

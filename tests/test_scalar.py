@@ -67,7 +67,8 @@ def test_buckets(spark):
 
 def test_losses(spark):
     xs = [-800.0, -2.0, 0.0, 0.5, 3.0, 800.0]
-    assert values(spark, xs, "DOUBLE", scalar.softplus) == pytest.approx([0.0, math.log1p(math.exp(-2)), math.log(2), math.log1p(math.exp(0.5)), math.log1p(math.exp(3)), 800.0])
+    assert values(spark, xs, "DOUBLE", scalar.softplus) == pytest.approx([0.0, math.log1p(math.exp(-2)), math.log(2),
+        math.log1p(math.exp(0.5)), math.log1p(math.exp(3)), 800.0])
     assert values(spark, xs, "DOUBLE", lambda c: scalar.bce_with_logits(c, F.lit(1.0)))[:2] == pytest.approx([800.0, math.log1p(math.exp(2))])
     assert values(spark, [0.5, -3.0], "DOUBLE", scalar.huber) == pytest.approx([0.125, 2.5])
     assert values(spark, [1.0, 0.0], "DOUBLE", lambda c: scalar.safe_ratio(F.lit(1.0), c)) == [1.0, None]

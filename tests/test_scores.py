@@ -13,7 +13,8 @@ def test_log_sum_exp(spark):
     rows = [("a", -1.0), ("a", -2.0), ("a", -3.0), ("b", -2000.0), ("b", -2000.5), ("c", float("-inf")), ("d", 511.9999), ("d", 512.0001), ("d", -5.0)]
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
     got = {r.k: r.lse for r in scores.log_sum_exp(df, ["k"], "v").collect()}
-    assert got["a"] == pytest.approx(math.log(sum(math.exp(v) for k, v in rows if k == "a"))) and got["b"] == pytest.approx(-2000 + math.log(1 + math.exp(-0.5))) and got["c"] == pytest.approx(-1e9)
+    assert got["a"] == pytest.approx(math.log(sum(math.exp(v) for k,
+        v in rows if k == "a"))) and got["b"] == pytest.approx(-2000 + math.log(1 + math.exp(-0.5))) and got["c"] == pytest.approx(-1e9)
     assert got["d"] == pytest.approx(512 + math.log(2 * math.cosh(1e-4)))
     for size in (1, 2, 5):
         chunks = []
@@ -53,7 +54,8 @@ def test_bags_and_costs_against_brute_force(spark):
     own = spark.createDataFrame([(*k, c) for k, c in best.items()], "uid STRING, slot INT, candidate_index INT")
     found = scores.matched_bags(table, m, spark.createDataFrame(pairs, "uid STRING, slot INT, target INT"), own)
     for r in found.collect():
-        assert r.cardinality == len(bag(r.uid, r.target)) and -r.bag_nll == pytest.approx(want[r.uid, r.slot, r.target]) and r.bag_mass == pytest.approx(math.exp(-r.bag_nll))
+        assert r.cardinality == len(bag(r.uid, r.target)) and -r.bag_nll == pytest.approx(want[r.uid, r.slot,
+            r.target]) and r.bag_mass == pytest.approx(math.exp(-r.bag_nll))
         assert r.argmax_in_bag == (best[r.uid, r.slot] in bag(r.uid, r.target)) and r.best_in_bag == max(scored[r.uid, r.slot][c] for c in bag(r.uid, r.target))
     assert found.count() == 3 and {r.grp: r.pairs for r in scores.identity_metrics(found).collect()}["all"] == 3
 
@@ -83,7 +85,8 @@ def test_prefix_tree(spark):
     df = spark.createDataFrame([("u", [1, 2]), ("u", [1, 3]), ("u", [0, 2])], "uid STRING, counts ARRAY<INT>")
     nodes = {(r.depth, tuple(r.prefix)): (r.children, r.members) for r in scores.prefix_nodes(df).collect()}
     assert nodes == {(0, ()): ([0, 1], 3), (1, (1,)): ([2, 3], 2), (1, (0,)): ([2], 1)}
-    child = spark.createDataFrame([("u", 0, [], 0, math.log(0.25)), ("u", 0, [], 1, math.log(0.25)), ("u", 1, [1], 2, 0.0), ("u", 1, [0], 2, 0.0)], "uid STRING, depth INT, prefix ARRAY<INT>, child INT, log_prob DOUBLE")
+    child = spark.createDataFrame([("u", 0, [], 0, math.log(0.25)), ("u", 0, [], 1, math.log(0.25)), ("u", 1, [1], 2, 0.0), ("u", 1, [0], 2,
+        0.0)], "uid STRING, depth INT, prefix ARRAY<INT>, child INT, log_prob DOUBLE")
     r = scores.prefix_nll(scores.prefix_nodes(df), child).first()
     assert (r.nodes, r.prefix_nll) == (3, pytest.approx(math.log(2) / 3))
 
@@ -109,10 +112,13 @@ def test_matching(spark):
     rng = random.Random(1)
     for _ in range(200):
         links = list({(rng.randrange(5), rng.randrange(5)) for _ in range(rng.randrange(9))})
-        best = max((k for k in range(len(links) + 1) for s in itertools.combinations(links, k) if len({a for a, _ in s}) == k == len({b for _, b in s})), default=0)
+        best = max((k for k in range(len(links) + 1) for s in itertools.combinations(links, k) if len({a for a,
+            _ in s}) == k == len({b for _, b in s})), default=0)
         assert len(assign.max_matching(links)) == best
-    predicted = spark.createDataFrame([("u", 0, "P", "x"), ("u", 1, "Q", "x"), ("v", 0, "Z", "x")], "uid STRING, prediction INT, formula STRING, ion_state STRING")
-    bags = spark.createDataFrame([("u", 0, "P", "x"), ("u", 0, "Q", "x"), ("u", 1, "Q", "x"), ("v", 0, "A", "x")], "uid STRING, target INT, formula STRING, ion_state STRING")
+    predicted = spark.createDataFrame([("u", 0, "P", "x"), ("u", 1, "Q", "x"), ("v", 0, "Z", "x")],
+        "uid STRING, prediction INT, formula STRING, ion_state STRING")
+    bags = spark.createDataFrame([("u", 0, "P", "x"), ("u", 0, "Q", "x"), ("u", 1, "Q", "x"), ("v", 0, "A", "x")],
+        "uid STRING, target INT, formula STRING, ion_state STRING")
     targets = spark.createDataFrame([("u", 0, 2.0), ("u", 1, 3.0), ("v", 0, 5.0), ("v", 1, 0.0)], "uid STRING, target INT, y DOUBLE")
     d = assign.fragment_diagnostics(predicted, bags, targets)
     got = {r.uid: r for r in d.collect()}
@@ -122,18 +128,24 @@ def test_matching(spark):
 
 
 def test_identities(spark):
-    p = spark.createDataFrame([("u", i, f, "a") for i, f in enumerate(["C2H4", "C2H5", "C2H9", "C3H4", "C4H4", "C9H4", "C2H4"])] + [("u", 7, "C2H4", "b"), ("w", 0, "C1", "a")], "uid STRING, slot INT, formula STRING, ion_state STRING")
+    p = spark.createDataFrame([("u", i, f, "a") for i, f in enumerate(["C2H4", "C2H5", "C2H9", "C3H4", "C4H4", "C9H4", "C2H4"])] + [("u", 7,
+        "C2H4", "b"), ("w", 0, "C1", "a")], "uid STRING, slot INT, formula STRING, ion_state STRING")
     c = spark.createDataFrame([("u", 0, "C2H4", "a"), ("u", 1, "C2H6", "a")], "uid STRING, candidate_index INT, formula STRING, ion_state STRING")
     got = {(r.uid, r.slot): r.category for r in analysis.classify_identities(p, c).collect()}
-    assert [got[("u", i)] for i in range(8)] == ["hit", "hydrogen_to_2", "hydrogen_above_2", "one_heavy", "two_heavy", "far", "hit", "hit"] and got[("w", 0)] == "no_candidates"
-    slots = spark.createDataFrame([("u", 0, 0.9, 0.3, "CH4", "protonated"), ("u", 1, 0.8, 0.3, "CH4", "protonated"), ("u", 2, 0.1, 9.0, "C2", "protonated"), ("u", 3, 0.9, 1.0, "", "protonated")], "uid STRING, slot INT, presence DOUBLE, contribution DOUBLE, formula STRING, ion_state STRING")
+    assert [got[("u", i)] for i in range(8)] == ["hit", "hydrogen_to_2", "hydrogen_above_2", "one_heavy", "two_heavy", "far", "hit",
+        "hit"] and got[("w", 0)] == "no_candidates"
+    slots = spark.createDataFrame([("u", 0, 0.9, 0.3, "CH4", "protonated"), ("u", 1, 0.8, 0.3, "CH4", "protonated"), ("u", 2, 0.1, 9.0,
+        "C2", "protonated"), ("u", 3, 0.9, 1.0, "", "protonated")],
+        "uid STRING, slot INT, presence DOUBLE, contribution DOUBLE, formula STRING, ion_state STRING")
     r = analysis.render(slots).collect()
     assert len(r) == 1 and (r[0].weight, r[0].slots, r[0].slot, r[0].place) == (pytest.approx(0.6), 2, 0, 0)
 
 
 def test_counterfactuals(spark):
-    slots = spark.createDataFrame([("u", 0, 0.9, 0.5, "CH4", "protonated"), ("u", 1, 0.1, 0.4, "C2", "protonated"), ("u", 2, 0.9, 0.3, "O", "sodiated")], "uid STRING, slot INT, presence DOUBLE, contribution DOUBLE, formula STRING, ion_state STRING")
-    oracle = spark.createDataFrame([("u", 0, "CH4", "protonated", 100.0, 0.8), ("u", 1, "C2H2", "sodiated", 9.0, 0.2)], "uid STRING, slot INT, o_formula STRING, o_ion STRING, y DOUBLE, t DOUBLE")
+    slots = spark.createDataFrame([("u", 0, 0.9, 0.5, "CH4", "protonated"), ("u", 1, 0.1, 0.4, "C2", "protonated"), ("u", 2, 0.9, 0.3, "O",
+        "sodiated")], "uid STRING, slot INT, presence DOUBLE, contribution DOUBLE, formula STRING, ion_state STRING")
+    oracle = spark.createDataFrame([("u", 0, "CH4", "protonated", 100.0, 0.8), ("u", 1, "C2H2", "sodiated", 9.0, 0.2)],
+        "uid STRING, slot INT, o_formula STRING, o_ion STRING, y DOUBLE, t DOUBLE")
     got = {}
     for r in analysis.counterfactuals(slots, oracle).collect():
         for condition in analysis.CONDITIONS:
@@ -141,7 +153,8 @@ def test_counterfactuals(spark):
                 got.setdefault(condition, {})[r.slot] = (r.mz, r[condition])
     assert set(got["all_predicted"]) == {0, 2} and set(got["presence_forced_on_matched"]) == {0, 1, 2} and set(got["predicted_identity_oracle_weights"]) == {0}
     assert got["predicted_identity_oracle_weights"][0][1] == 100.0 and got["oracle_identity_sqrt_weights"][1][1] == 0.2
-    assert got["oracle_identity_oracle_weights"][1][0] == pytest.approx(26.01565 + 22.98922, abs=1e-4) and got["oracle_formula_predicted_ion"][2] == got["all_predicted"][2]
+    assert got["oracle_identity_oracle_weights"][1][0] == pytest.approx(26.01565 + 22.98922,
+        abs=1e-4) and got["oracle_formula_predicted_ion"][2] == got["all_predicted"][2]
 
 
 def test_seen_and_agreement(spark):
@@ -154,7 +167,8 @@ def test_seen_and_agreement(spark):
 
 
 def test_strata_and_diversity(spark):
-    pairs = spark.createDataFrame([(1, 0.5, 0.6, 150.0, 3), (3, 1.5, 0.2, 700.0, 40)], "cardinality BIGINT, bag_nll DOUBLE, bag_mass DOUBLE, precursor_mz DOUBLE, targets BIGINT")
+    pairs = spark.createDataFrame([(1, 0.5, 0.6, 150.0, 3), (3, 1.5, 0.2, 700.0, 40)],
+        "cardinality BIGINT, bag_nll DOUBLE, bag_mass DOUBLE, precursor_mz DOUBLE, targets BIGINT")
     got = {r.stratum: r for r in analysis.bag_strata(pairs).collect()}
     assert got["all"].geometric_mass == pytest.approx(math.exp(-1.0)) and got["unique_bag"].pairs == got["cardinality_2_4"].pairs == got["precursor_mz_600_1e+09"].pairs == 1
     vectors = [("u", 0, [1.0, 0.0]), ("u", 1, [1.0, 1.0]), ("u", 2, [0.0, 2.0]), ("v", 0, [1.0, 0.0])]

@@ -21,18 +21,21 @@ RECORD = """>compound Example
 >collision 20
 50.125 1.5
 """
-FAULTS = ["100.0", "100.0 1.0 2.0", "abc 1.0", "100.0 xyz", "nan 1.0", "inf 1.0", "100.0 nan", "100.0 -inf", "100.0 -1.0", "-100.0 1.0", "0.0 1.0", "1é 1.0", ">collision", ">collision x", ">collision 1 2", "#late"]
+FAULTS = ["100.0", "100.0 1.0 2.0", "abc 1.0", "100.0 xyz", "nan 1.0", "inf 1.0", "100.0 nan", "100.0 -inf", "100.0 -1.0", "-100.0 1.0",
+    "0.0 1.0", "1é 1.0", ">collision", ">collision x", ">collision 1 2", "#late"]
 
 
 def parse(spark, contents, expected=None):
-    df = spark.createDataFrame([(f"s{i}", c, e) for i, (c, e) in enumerate(zip(contents, expected or [None] * len(contents)))], "spec STRING, content STRING, expected STRING")
+    df = spark.createDataFrame([(f"s{i}", c, e) for i, (c, e) in enumerate(zip(contents, expected or [None] * len(contents)))],
+        "spec STRING, content STRING, expected STRING")
     return sorted(ms.parse_records(df, "expected" if expected else None).collect(), key=lambda r: (r.spec, r.block or 0))
 
 
 @pytest.mark.parametrize("ends", ["\n", "\r\n", "\r"])
 def test_record(spark, ends):
     a, b = parse(spark, [RECORD.replace("\n", ends)])
-    assert (a.block, a.collision_energy_raw, a.collision_energy, a.mzs, a.intensities, a.mz_decimal_places) == (0, "10", 10.0, [100.5, 110.0], [200.25, 0.0], [1, 1])
+    assert (a.block, a.collision_energy_raw, a.collision_energy, a.mzs, a.intensities, a.mz_decimal_places) == (0, "10", 10.0, [100.5,
+        110.0], [200.25, 0.0], [1, 1])
     assert (b.block, b.collision_energy, b.mzs, b.mz_decimal_places, b.error) == (1, 20.0, [50.125], [3], None)
 
 
@@ -90,7 +93,8 @@ def test_splits(spark):
     assert {(r.problem, r.spec) for r in tables.split_problems(df).collect()} == {("repeated", "a"), ("missing", None), ("unknown_fold", "c")}
     with pytest.raises(ValueError):
         tables.load_splits(df)
-    rows = spark.createDataFrame([(f, 0, f"p{i}", 0) for f in ("train", "valid", "test") for i in range(9)], "fold STRING, shard INT, parent_spec STRING, collision_index INT")
+    rows = spark.createDataFrame([(f, 0, f"p{i}", 0) for f in ("train", "valid", "test") for i in range(9)],
+        "fold STRING, shard INT, parent_spec STRING, collision_index INT")
     assert {r.fold: r["count"] for r in tables.fold_budget(rows, 7).groupBy("fold").count().collect()} == {"train": 3, "valid": 4}
 
 
@@ -125,7 +129,8 @@ def test_stream_of_records(spark, tmp_path):
 
 
 def test_stream_windows(spark, tmp_path):
-    rows = spark.sql("SELECT * FROM VALUES (TIMESTAMP '2024-01-01 00:10:00', 'k', 1.0D), (TIMESTAMP '2024-01-01 00:50:00', 'k', 2.0D), (TIMESTAMP '2024-01-01 03:00:00', 'k', 4.0D), (TIMESTAMP '2024-01-01 03:00:00', 'k', 4.0D) AS t(ts, by, v)")
+    rows = spark.sql("""SELECT * FROM VALUES (TIMESTAMP '2024-01-01 00:10:00', 'k', 1.0D), (TIMESTAMP '2024-01-01 00:50:00', 'k', 2.0D),
+        (TIMESTAMP '2024-01-01 03:00:00', 'k', 4.0D), (TIMESTAMP '2024-01-01 03:00:00', 'k', 4.0D) AS t(ts, by, v)""")
     rows.write.parquet(str(tmp_path / "in"))
     still = {(r.start.hour, r.n, r.total) for r in ingest.windowed_counts(spark.read.parquet(str(tmp_path / "in")), "ts", "by", "v").collect()}
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))

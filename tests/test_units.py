@@ -8,7 +8,8 @@ NAN = float("nan")
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    instruments = spark.createDataFrame([("QTOF M7", "eV"), ("Ion Trap A1", "NCE"), ("TOF-TOF K2", "keV"), ("twice", "eV"), ("Twice", "V"), (None, "eV")], "instrument STRING, bare_unit STRING")
+    instruments = spark.createDataFrame([("QTOF M7", "eV"), ("Ion Trap A1", "NCE"), ("TOF-TOF K2", "keV"), ("twice", "eV"), ("Twice", "V"),
+        (None, "eV")], "instrument STRING, bare_unit STRING")
     units = spark.createDataFrame(
         [("eV", 1.0, None), ("V", 1.0, None), ("keV", 1000.0, None), ("kJ/mol", 0.0103642697, None), ("NCE", 1.0, 500.0), ("NCE_frac", 100.0, 500.0)],
         "unit_code STRING, ev_per_unit DOUBLE, ref_mz DOUBLE",
@@ -18,10 +19,14 @@ def tables(spark):
 
 def test_every_case(spark, tables):
     cases = [
-        (1, "20 eV", 99.0, None, None, "ok", 20.0), (2, None, 30.0, " qtof_m7", None, "ok", 30.0), (3, " ", 30.0, "ION-TRAP a1", 250.0, "ok", 15.0), (4, None, 30.0, "Ion Trap A1", None, "no_precursor", None),
-        (5, "0,05", 1.0, "TOF TOF K2", None, "ok", 50.0), (6, "35", 35.0, "elsewhere", 100.0, "unknown_unit", None), (7, "ramp", 35.0, "QTOF M7", 1.0, "invalid", None),
-        (8, None, None, "QTOF M7", 1.0, "missing", None), (9, None, -1.0, "QTOF M7", 1.0, "invalid", None), (10, None, NAN, "QTOF M7", 1.0, "invalid", None), (11, "10 kJ per mol", None, None, None, "ok", 0.103642697),
-        (12, "0.1 NCE fraction", None, None, 500.0, "ok", 10.0), (13, "5 kcal/mol", None, None, None, "unknown_unit", None), (14, "35", None, "twice", None, "unknown_unit", None), (15, "35", None, None, None, "unknown_unit", None),
+        (1, "20 eV", 99.0, None, None, "ok", 20.0), (2, None, 30.0, " qtof_m7", None, "ok", 30.0), (3, " ", 30.0, "ION-TRAP a1", 250.0,
+        "ok", 15.0), (4, None, 30.0, "Ion Trap A1", None, "no_precursor", None),
+        (5, "0,05", 1.0, "TOF TOF K2", None, "ok", 50.0), (6, "35", 35.0, "elsewhere", 100.0, "unknown_unit", None), (7, "ramp", 35.0,
+        "QTOF M7", 1.0, "invalid", None),
+        (8, None, None, "QTOF M7", 1.0, "missing", None), (9, None, -1.0, "QTOF M7", 1.0, "invalid", None), (10, None, NAN, "QTOF M7", 1.0,
+        "invalid", None), (11, "10 kJ per mol", None, None, None, "ok", 0.103642697),
+        (12, "0.1 NCE fraction", None, None, 500.0, "ok", 10.0), (13, "5 kcal/mol", None, None, None, "unknown_unit", None), (14, "35",
+        None, "twice", None, "unknown_unit", None), (15, "35", None, None, None, "unknown_unit", None),
     ]
     rows = [(*c[:5], "clash", "kept") for c in cases] * 2
     out = convert_energies(spark.createDataFrame(rows, SCHEMA), *tables).collect()
