@@ -25,7 +25,8 @@ def star_links(edges: DataFrame, salts: int = SALTS) -> DataFrame:
     salted = edges.select("node", "key", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt")).withColumn("low", F.min("node").over(local))
     inner = salted.where("node > low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     lows = salted.where("node = low").select("key", "low").distinct()
-    outer = lows.withColumn("least", F.min("low").over(Window.partitionBy("key"))).where("low > least").select(F.col("low").alias("u"), F.col("least").alias("v"))
+    outer = lows.withColumn("least", F.min("low").over(Window.partitionBy("key"))).where("low > least").select(F.col("low").alias("u"),
+        F.col("least").alias("v"))
     return inner.unionByName(outer).distinct()
 
 

@@ -100,7 +100,8 @@ def pack(
     pieces = (
         sized.withColumn("full", full)
         .withColumn("rest", rest.cast("int"))
-        .withColumn("piece", F.explode(F.when((F.col("full") > 0) & (F.col("rest") == 0), F.sequence(F.lit(0), F.col("full") - 1)).otherwise(F.sequence(F.lit(0), F.col("full")))))
+        .withColumn("piece", F.explode(F.when((F.col("full") > 0) & (F.col("rest") == 0), F.sequence(F.lit(0),
+            F.col("full") - 1)).otherwise(F.sequence(F.lit(0), F.col("full")))))
         .select(
             F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"),
             F.when(F.col("piece") < F.col("full"), F.lit(capacity)).otherwise(F.col("rest")).alias("n_tokens"),
@@ -147,7 +148,8 @@ def pack(
         if held:
             yield flush(current, part, held)
 
-    dealt = pieces.repartition(min(blocks, shuffle_width(items.sparkSession)), "block").sortWithinPartitions("block", F.col("n_tokens").desc(), "doc_id", "piece")
+    dealt = pieces.repartition(min(blocks, shuffle_width(items.sparkSession)), "block").sortWithinPartitions("block",
+        F.col("n_tokens").desc(), "doc_id", "piece")
     return dealt.mapInArrow(fill, f"container_id STRING, `{key}` {kind}, piece INT, start BIGINT, n_tokens INT" + (", refused_documents INT, refused_attention INT" if refusals else ""))
 
 
@@ -175,14 +177,16 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), F.sum((F.col("piece") > 0).cast("int")).alias("cuts"), own.alias("r")
     )
     whole = per.agg(
-        F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.sum("pieces").alias("pieces"), F.sum("cuts").alias("cuts"),
+        F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"),
+            F.sum("pieces").alias("pieces"), F.sum("cuts").alias("cuts"),
         F.sum("r.refused_documents").alias("refused_documents"), F.sum("r.refused_attention").alias("refused_attention"),
     )
     least = F.greatest(F.ceil(F.col("tokens") / CAPACITY), F.ceil(F.col("pieces") / MAX_DOCUMENTS))
     return whole.withColumn("least", least).withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * CAPACITY), 6))
 
 
-def violations(packed: DataFrame, sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, attention: float = ATTENTION) -> DataFrame:
+def violations(packed: DataFrame, sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS,
+    attention: float = ATTENTION) -> DataFrame:
     """(check_name, violations): what a packing must keep. sizes: (key, n_tokens), a row per item."""
     load = loads(packed)
     many = F.col("pieces") > 1
@@ -191,15 +195,18 @@ def violations(packed: DataFrame, sizes: DataFrame, key: str = "doc_id", capacit
         F.count_if(many & (F.col("cost") > attention * capacity * capacity) & (F.col("tokens") != F.sqrt("cost"))).alias("attention_over"),
     )
     per = packed.groupBy(key).agg(
-        F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.max("piece").alias("last"), F.count_if(F.col("start") != F.col("piece") * capacity).alias("shifted")
+        F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.max("piece").alias("last"),
+            F.count_if(F.col("start") != F.col("piece") * capacity).alias("shifted")
     )
     joined = sizes.select(key, F.coalesce("n_tokens", F.lit(0)).alias("n")).join(per, key, "full")
     wrong = lambda c: F.count_if(F.coalesce(c, F.lit(True)))
     items = joined.agg(
-        wrong(F.col("got") != F.col("n")).alias("tokens_lost"), wrong(F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n") / capacity))).alias("cut_without_need"),
+        wrong(F.col("got") != F.col("n")).alias("tokens_lost"), wrong(F.col("pieces") != F.greatest(F.lit(1),
+            F.ceil(F.col("n") / capacity))).alias("cut_without_need"),
         wrong((F.col("last") != F.col("pieces") - 1) | (F.col("shifted") > 0)).alias("pieces_astray"),
     )
-    rows = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("violations")) for c in df.columns])).alias("r")).select("r.*")
+    rows = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"),
+        F.col(c).alias("violations")) for c in df.columns])).alias("r")).select("r.*")
     return rows(full).unionByName(rows(items))
 
 

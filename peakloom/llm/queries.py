@@ -49,8 +49,10 @@ def _look_alike_sql() -> str:
     quoted = ["".join(side).replace("'", "''") for side in zip(*pairs)]
     text = r"regexp_replace(text, '\r\n|[\r\x{85}\x{2028}\x{2029}]', chr(10), 'g')"
     for pattern, to in (
-        (r"[\x{AD}\x{61C}\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{2060}-\x{2064}\x{FEFF}]", "''"), (r"([^\x{1F000}-\x{1FAFF}\x{FE0F}\x{200D}])\x{200D}+", r"'\1'"),
-        (r"\x{200D}+([^\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{200D}]|$)", r"'\1'"), (r"^\x{200D}+", "''"), (r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", "' '"),
+        (r"[\x{AD}\x{61C}\x{180E}\x{200B}\x{200C}\x{200E}\x{200F}\x{2060}-\x{2064}\x{FEFF}]", "''"),
+        (r"([^\x{1F000}-\x{1FAFF}\x{FE0F}\x{200D}])\x{200D}+", r"'\1'"),
+        (r"\x{200D}+([^\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{200D}]|$)", r"'\1'"), (r"^\x{200D}+", "''"),
+        (r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", "' '"),
     ):
         text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
     return f"nfc_normalize(translate({text}, '{quoted[0]}', '{quoted[1]}'))"
@@ -71,7 +73,8 @@ WITH RECURSIVE held AS (
 ORACLE_SQL = {
     "p9_found": f"""
 WITH k AS (SELECT doc_id, text, {_look_alike_sql()} AS form FROM documents WHERE text IS NOT NULL)
-SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b USING (form) WHERE a.doc_id < b.doc_id AND a.text <> b.text AND regexp_matches(form, '\\S')""",
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b USING (form) WHERE a.doc_id < b.doc_id AND a.text <> b.text
+AND regexp_matches(form, '\\S')""",
     "p1_terms": _P1_TERMS,
     "p1_grams": """
 WITH records AS (SELECT DISTINCT spectrum_uid, candidate_neutral_formula, candidate_ion_state FROM fragment_supervision_v2),
@@ -91,7 +94,8 @@ WITH have AS (SELECT DISTINCT parent_spec, spectrum_uid FROM spectra_v2 WHERE pa
 SELECT parent_spec, spectrum_uid, batch_no FROM have JOIN ranked USING (parent_spec) WHERE r <= (size * 5 + 99) // 100""",
     "p4_found": _P4_GROUPS + " SELECT p AS parent_spec, root AS group_key FROM roots JOIN broken USING (root)",
     "p4_checks": _P4_GROUPS + """
-SELECT 'rows' AS check_name, count(*) AS n FROM spectra_v2 UNION ALL SELECT * FROM (VALUES ('parents_apart', 0), ('keys_apart', 0), ('shares_off', 0)) AS v(check_name, n)
+SELECT 'rows' AS check_name, count(*) AS n FROM spectra_v2 UNION ALL SELECT * FROM (VALUES ('parents_apart', 0), ('keys_apart', 0),
+('shares_off', 0)) AS v(check_name, n)
 UNION ALL SELECT 'rows_of_broken_groups', count(*) FROM folds JOIN roots USING (p) JOIN broken USING (root)""",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_checks": """
@@ -99,7 +103,8 @@ SELECT 'documents' AS check_name, count(*) AS violations FROM documents
 UNION ALL SELECT unnest(['tokens_over', 'documents_over', 'attention_over', 'tokens_lost', 'cut_without_need', 'pieces_astray']), 0""",
     "p9_classes": f"""
 WITH k AS (SELECT text, {_look_alike_sql()} AS form FROM documents WHERE text IS NOT NULL),
-     c AS (SELECT form, count(DISTINCT text) AS texts, count(*) AS members FROM k WHERE regexp_matches(form, '\\S') GROUP BY form HAVING count(DISTINCT text) > 1)
+     c AS (SELECT form, count(DISTINCT text) AS texts, count(*) AS members FROM k WHERE regexp_matches(form, '\\S') GROUP BY form
+     HAVING count(DISTINCT text) > 1)
 SELECT texts, members, count(*) AS classes FROM c GROUP BY ALL""",
     "p5_found": """
 WITH spectra AS (SELECT DISTINCT spectrum_uid, mzs, intensities FROM fragment_supervision_v2),

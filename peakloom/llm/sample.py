@@ -131,7 +131,8 @@ def frozen_bottom_k(
 
 
 def sample_rows(
-    df: DataFrame, arrivals: DataFrame, *, item: str = "parent_spec", row: str = "spectrum_uid", batch: str = "batch_no", rate: tuple[int, int] = RATE, ledger: Ledger | None = None,
+    df: DataFrame, arrivals: DataFrame, *, item: str = "parent_spec", row: str = "spectrum_uid", batch: str = "batch_no", rate: tuple[int,
+        int] = RATE, ledger: Ledger | None = None,
 ) -> DataFrame:
     """(item, row, batch) of all distinct rows of the sampled items of df.
 

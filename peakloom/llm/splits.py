@@ -125,7 +125,8 @@ def grouped_splits(weights: DataFrame, shares: tuple = SHARES, *, bins: int = BI
             w = whole.column("weight").to_numpy().astype(float)
             bin_of = difference(w, bins)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(w), block), pa.int64()), pa.array(bin_of, pa.int32()), whole.column("root"), whole.column("weight")], names=["block", "bin", "root", "weight"]
+                [pa.array(np.full(len(w), block), pa.int64()), pa.array(bin_of, pa.int32()), whole.column("root"), whole.column("weight")],
+                    names=["block", "bin", "root", "weight"]
             )
 
     dealt = weights.select("root", "weight", F.pmod(F.xxhash64("root"), F.lit(blocks)).alias("block"))
@@ -175,7 +176,8 @@ def combine_blocks(sums: DataFrame, bins: int, fan_in: int, partitions: int) ->
             parts[part, own] = weight
             to_bin = combine(parts)[part, own]
             yield pa.RecordBatch.from_arrays(
-                [whole.column("block"), whole.column("bin"), whole.column("weight"), pa.array(np.full(len(own), to_block), pa.int64()), pa.array(to_bin, pa.int32())],
+                [whole.column("block"), whole.column("bin"), whole.column("weight"), pa.array(np.full(len(own), to_block), pa.int64()),
+                    pa.array(to_bin, pa.int32())],
                 names=["block", "bin", "weight", "to_block", "to_bin"],
             )
 
@@ -183,7 +185,8 @@ def combine_blocks(sums: DataFrame, bins: int, fan_in: int, partitions: int) ->
     return grouped.select("block", "bin", "weight", "to_block").mapInArrow(merge, "block BIGINT, bin INT, weight BIGINT, to_block BIGINT, to_bin INT")
 
 
-def related(df: DataFrame, *, parent: str = "parent_spec", key: str = "inchikey", fold: str = "fold", row: str = "spectrum_uid", salts: int = SALTS) -> DataFrame:
+def related(df: DataFrame, *, parent: str = "parent_spec", key: str = "inchikey", fold: str = "fold", row: str = "spectrum_uid",
+    salts: int = SALTS) -> DataFrame:
     """(node, root, low, high, weight) of every parent: its group, its least and greatest recorded fold, its rows.
 
     A row without a parent counts as a parent of its own: one per InChIKey if it holds one, else one per
@@ -209,7 +212,8 @@ def conflicts(groups: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("parent_spec"), F.col("root").alias("group_key"))
 
 
-def split_rows(df: DataFrame, shares: tuple = SHARES, *, parent: str = "parent_spec", key: str = "inchikey", fold: str = "fold", row: str = "spectrum_uid") -> DataFrame:
+def split_rows(df: DataFrame, shares: tuple = SHARES, *, parent: str = "parent_spec", key: str = "inchikey", fold: str = "fold",
+    row: str = "spectrum_uid") -> DataFrame:
     """df with split and broken: every row, repeated ones too, in the split of its group.
 
     broken tells that the group's recorded folds differ. Columns of df with these names are replaced.
@@ -239,7 +243,8 @@ def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.createDataFrame(SHARES, "split STRING, share DOUBLE")
     whole = out.agg(F.count("*").alias("whole"))
     off = targets.join(per, "split", "left").crossJoin(F.broadcast(whole)).where(F.abs(F.coalesce("rows", F.lit(0)) / F.col("whole") - F.col("share")) > 0.02)
-    checks = row(out, "rows", F.count("*")).unionByName(row(apart("parent_spec"), "parents_apart", F.count("*"))).unionByName(row(apart("key"), "keys_apart", F.count("*")))
+    checks = row(out, "rows", F.count("*")).unionByName(row(apart("parent_spec"), "parents_apart",
+        F.count("*"))).unionByName(row(apart("key"), "keys_apart", F.count("*")))
     return checks.unionByName(row(off, "shares_off", F.count("*"))).unionByName(row(out, "rows_of_broken_groups", F.count_if("broken")))
 
 

@@ -149,7 +149,8 @@ def counts_and_total(
         def flush(block: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(block)
             seen = pa.array([whole.num_rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.string())), seen, seen], names=["field_name", "gram", "occurrences", "records"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.string())), seen, seen],
+                names=["field_name", "gram", "occurrences", "records"])
             for f in fields:
                 for grams, occurrences, records in block_counts(whole.column(f), lengths, depth):
                     for at in range(0, len(grams), 20_000):
@@ -192,7 +193,8 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "fragment_supervision_v2").select("spectrum_uid", *P1_FIELDS)
     counted = cut(counts_and_total(df, "spectrum_uid", P1_FIELDS, (1,)))
     own = counted.where("field_name IS NULL").first()
-    return mark_terms(counted.where("field_name IS NOT NULL"), own["records"] if own else 0).select("field_name", F.col("gram")[0].alias("term"), "occurrences", "records", "mark")
+    return mark_terms(counted.where("field_name IS NOT NULL"), own["records"] if own else 0).select("field_name",
+        F.col("gram")[0].alias("term"), "occurrences", "records", "mark")
 
 
 def p1_grams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,8 @@ def test_vector_keeps_what_scalar_breaks():
 def test_violations_are_seen(spark):
     sizes = spark.createDataFrame([(1, 30), (2, 250), (3, 5), (4, None)], "doc_id INT, n_tokens INT")
     packed = spark.createDataFrame(
-        [("a", 1, 0, 0, 30), ("a", 2, 0, 0, 100), ("b", 2, 1, 100, 100), ("b", 3, 0, 0, 2), ("b", 3, 1, 2, 3)], "container_id STRING, doc_id INT, piece INT, start BIGINT, n_tokens INT"
+        [("a", 1, 0, 0, 30), ("a", 2, 0, 0, 100), ("b", 2, 1, 100, 100), ("b", 3, 0, 0, 2), ("b", 3, 1, 2, 3)],
+            "container_id STRING, doc_id INT, piece INT, start BIGINT, n_tokens INT"
     )
     got = {r.check_name: r.violations for r in containers.violations(packed, sizes, "doc_id", 100, 2, 0.9).collect()}
     assert got == {"tokens_over": 2, "documents_over": 1, "attention_over": 2, "tokens_lost": 2, "cut_without_need": 3, "pieces_astray": 2}

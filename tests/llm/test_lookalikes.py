@@ -10,11 +10,13 @@ from peakloom.llm.lookalikes import classes, fingerprints, look_alike_pairs, ske
 ALIKE = [
     ("peak 12", "ｐｅａｋ　１２"), ("naïve", "naïve"), ("base peak", "bаse pеak"), ("sodium", "so​di­um"),
     ("0.5 Å", "0.5 Å"), ("K00-1", "K00-1"), ("µg", "μg"), ("ガス", "ｶﾞｽ"), ("HCOOH", "ΗСООН"), ("a b", "a b"), ("a b", "a b"),
-    ("a\nb", "a\r\nb"), ("file", "ﬁle"), ("👩‍🔬 ok", "👩‍🔬⁠ ok"), ("й", "й"), ("[M+H]+", "［M＋H］＋"), ("﻿x", "x"), ("кг", "κг"), ("dıne", "dine"), ("ταu", "тαu"), ("ꭺb", "ᴀb"), ("ⲞⲚ", "ON"), ("ⲟⲥ", "oc"), ("ꓡꓲꓢꓴ", "LISU"), ("ſilm", "film"), ("γield", "yield"),
+    ("a\nb", "a\r\nb"), ("file", "ﬁle"), ("👩‍🔬 ok", "👩‍🔬⁠ ok"), ("й", "й"), ("[M+H]+", "［M＋H］＋"), ("﻿x", "x"), ("кг", "κг"), ("dıne",
+        "dine"), ("ταu", "тαu"), ("ꭺb", "ᴀb"), ("ⲞⲚ", "ON"), ("ⲟⲥ", "oc"), ("ꓡꓲꓢꓴ", "LISU"), ("ſilm", "film"), ("γield", "yield"),
 ]
 APART = [
     ("Peak", "peak"), ("C2", "C₂"), ("m2", "m²"), ("resume", "résumé"), ("ok.", "ok?"), ("10", "1O"), ("1l", "ll"), ("a b", "ab"), ("a  b", "a b"),
-    ("👩‍🔬", "👩🔬"), ("⚠️", "⚠"), ("ü", "u"), ("½", "1/2"), ("①", "1"), ("и", "й"), ("фон", "phon"), ("α", "a"), ("'", "\""), ("–", "-"), ("ſo", "so"), ("Ι", "l"), ("Ζ", "2"), ("σ", "o"), ("пo", "no"), ("Ꙕ", "O"),
+    ("👩‍🔬", "👩🔬"), ("⚠️", "⚠"), ("ü", "u"), ("½", "1/2"), ("①", "1"), ("и", "й"), ("фон", "phon"), ("α", "a"), ("'", "\""), ("–", "-"),
+        ("ſo", "so"), ("Ι", "l"), ("Ζ", "2"), ("σ", "o"), ("пo", "no"), ("Ꙕ", "O"),
 ]
 
 
@@ -90,7 +92,8 @@ def test_copies_and_repeated_rows(spark):
 
 def test_hot_class_is_dealt_into_blocks(spark, monkeypatch):
     """A stock text in many guises: pairs come block by block and are the same."""
-    rows = [(i, "".join(rng_c if (i >> b) & 1 else "o" for b, rng_c in enumerate("оοօ"))) for i in range(8)] + [(i + 100, "ooo") for i in range(30)] + [(200, "other")]
+    rows = [(i, "".join(rng_c if (i >> b) & 1 else "o" for b, rng_c in enumerate("оοօ"))) for i in range(8)] + [(i + 100,
+        "ooo") for i in range(30)] + [(200, "other")]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     want = {(min(i, j), max(i, j)) for (i, a), (j, b) in itertools.combinations(rows, 2) if a != b and skeleton(a) == skeleton(b)}
     for block in (512, 3, 1):

@@ -104,7 +104,8 @@ def data():
     out = []
     for p in range(600):
         for i in range(rng.randrange(1, 6)):
-            out.append((f"p{p}:{i}", f"p{p:04d}", key(p // 2 if p % 7 else p) if rng.random() < 0.9 else None, rng.choice(["train", "train", "Val", "valid", None, " "])))
+            out.append((f"p{p}:{i}", f"p{p:04d}", key(p // 2 if p % 7 else p) if rng.random() < 0.9 else None, rng.choice(["train", "train",
+                "Val", "valid", None, " "])))
     out += [("hot", "p9999", None, "test")] * 900
     out += [("lost", None, key(3).lower(), "train"), ("alone", None, "unknown", None), (None, None, None, None)]
     return out
