@@ -52,14 +52,15 @@ def min_cost_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 def assign(costs: DataFrame, uid: str = "uid", slots: int = 64) -> DataFrame:
     """(uid, slot, target, cost) of the cheapest one-to-one assignment of every target of each uid.
 
-    costs: (uid, slot, target, cost); a missing cell can't be matched. More targets than slots are an error.
+    costs: (uid, slot, target, cost); a missing cell can't be matched. More than ``slots`` slots or targets of a uid are an error;
+    of more targets than slots the dearest stay unmatched.
     """
     kind = costs.schema[uid].dataType.simpleString()
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own_slots, own_targets = np.unique(rows["slot"]), np.unique(rows["target"])
-        if len(own_targets) > slots:
-            raise ValueError(f"{len(own_targets)} targets of {key[0]} exceed {slots} slots")
+        if max(len(own_slots), len(own_targets)) > slots:
+            raise ValueError(f"{len(own_slots)} slots or {len(own_targets)} targets of {key[0]} exceed {slots}")
         # Rows without a slot take the targets that are left over where slots are fewer.
         grid = np.full((max(len(own_slots), len(own_targets)), len(own_targets)), 1e12)
         grid[np.searchsorted(own_slots, rows["slot"]), np.searchsorted(own_targets, rows["target"])] = rows["cost"]

@@ -12,7 +12,7 @@ from peakloom.operators import spectra as long
 from peakloom.plans import views
 from peakloom.plans.catalog import query
 from peakloom.plans.views import sql
-from peakloom.session import table
+from peakloom.session import cut, table
 
 _SC = "s ca sl ed le me sc"
 _ASG = "s pk tr tg ca sl ed le me sc asg"
@@ -68,6 +68,28 @@ def hungarian(spark: SparkSession, d: str) -> DataFrame:
     return assign.assign(scores.matching_costs(views.scores(df), views.members(df), views.slots(df), views.targets(df)))
 
 
+@query(sql(_ASG, """
+    WITH b AS (SELECT DISTINCT sc.uid, sc.slot, me.target FROM sc JOIN me ON me.uid = sc.uid AND me.candidate_index = sc.candidate_index JOIN tg ON tg.uid = sc.uid AND tg.target = me.target)
+    SELECT 'targets' AS check_name, sum(n)::BIGINT AS n FROM (SELECT least(count(DISTINCT target), count(DISTINCT slot)) AS n FROM b GROUP BY uid) UNION ALL SELECT 'spectra', count(DISTINCT uid) FROM b UNION ALL SELECT unnest(['slots_twice', 'targets_twice', 'dearer_than_greedy']), 0"""))
+def hungarian_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The assignment's invariants: every target once (as far as there are slots), no slot twice, and nowhere dearer than taking the cheapest free pair again and again
+    could be: each target's own cheapest slot, where those slots differ.
+    """
+    df = views.shared(spark, d, *views.SCORES)
+    costs = cut(scores.matching_costs(views.scores(df), views.members(df), views.slots(df), views.targets(df)))
+    pairs = cut(assign.assign(costs))
+    row = lambda df, name: df.agg(F.lit(name).alias("check_name"), F.count("*").alias("n"))
+    best = costs.groupBy("uid", "target").agg(F.min_by("slot", F.struct("cost", "slot")).alias("slot"), F.min("cost").alias("cost"))
+    free = best.groupBy("uid").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.sum("cost").alias("least")).where("n = slots")
+    total = pairs.groupBy("uid").agg(F.sum("cost").alias("total"))
+    return (
+        row(pairs.select("uid", "target").distinct(), "targets").unionByName(row(pairs.select("uid").distinct(), "spectra"))
+        .unionByName(row(pairs.groupBy("uid", "slot").count().where("count > 1"), "slots_twice"))
+        .unionByName(row(pairs.groupBy("uid", "target").count().where("count > 1"), "targets_twice"))
+        .unionByName(row(free.join(total, "uid").where("abs(total - least) > 1e-6"), "dearer_than_greedy"))
+    )
+
+
 def diagnostics(df: DataFrame) -> DataFrame:
     predicted = views.slots(df).where("presence >= 0.5").select("uid", F.col("slot").alias("prediction"), "formula", "ion_state")
     bags = long.bags(df).withColumnRenamed("spectrum_uid", "uid")
