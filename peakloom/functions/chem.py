@@ -41,39 +41,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 _SYMBOL, _COUNT = "([A-Z][a-z]?)[0-9]*", "[A-Z][a-z]?([0-9]*)"
 
 
-def is_formula(text: Column | str) -> Column:
-    """Wholly element symbols with optional counts of at least 1; false for null.
+#: Elements in the order of a look-up that runs through a list: those of organic molecules first.
+_USUAL_FIRST = tuple(dict.fromkeys(("C", "H", "N", "O", "S", "P", "F", "Cl", "Br", "I", "Na", "K", "Si", *ELEMENTS)))
 
-    The pattern knows the shape only: a lower-case letter can only belong to the capital before it, so that a text is
-    cut in one way; the symbols are then looked up.
-    """
+
+def _shape(text: Column) -> Column:
+    """Whether a text looks like a formula: a lower-case letter can only belong to the capital before it, so it is cut in one way."""
+    return text.rlike(r"^([A-Z][a-z]?(0*[1-9][0-9]*)?)+\z")
+
+
+def _real(symbols: Column) -> Column:
+    return F.forall(symbols, lambda s: F.array_contains(_symbols(_USUAL_FIRST), s))
+
+
+def is_formula(text: Column | str) -> Column:
+    """Wholly element symbols with optional counts of at least 1; false for null."""
     text = _col(text)
-    real = F.size(F.array_except(F.regexp_extract_all(text, F.lit(_SYMBOL), F.lit(1)), _symbols(ELEMENTS))) == 0
-    return F.coalesce(text.rlike(r"^([A-Z][a-z]?(0*[1-9][0-9]*)?)+\z") & real, F.lit(False))
+    return F.coalesce(_shape(text) & _real(F.regexp_extract_all(text, F.lit(_SYMBOL), F.lit(1))), F.lit(False))
 
 
-def _summed(text: Column) -> Column:
-    """MAP of BIGINT counts by symbol of a text that is a formula; a count beyond BIGINT is null."""
+def _pairs(text: Column) -> Column:
+    """ARRAY of (symbol s, count n BIGINT) of a text of that shape, in its order; a count beyond BIGINT is null."""
     symbols = F.regexp_extract_all(text, F.lit(_SYMBOL), F.lit(1))
     counts = F.regexp_extract_all(text, F.lit(_COUNT), F.lit(1))
     numbers = F.transform(counts, lambda c: F.when(c == "", F.lit(1).cast("bigint")).otherwise(c.try_cast("bigint")))
+    return F.arrays_zip(symbols.alias("s"), numbers.alias("n"))
 
-    def add_up(pairs: Column) -> Column:
-        names = pairs["s"]
-        distinct = F.array_distinct(names)
 
-        def total(s: Column) -> Column:
-            # A count beyond the readable ones stands for all such: sums can't overflow.
-            return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, p: acc + F.when(p["s"] == s, F.least(p["n"], F.lit(2**32))).otherwise(0))
+def _summed(pairs: Column) -> Column:
+    """pairs with one entry per symbol."""
+    distinct = F.array_distinct(pairs["s"])
 
-        once = F.size(distinct) == F.size(names)
-        return F.when(once, F.map_from_arrays(names, pairs["n"])).otherwise(F.map_from_arrays(distinct, F.transform(distinct, total)))
+    def total(s: Column) -> Column:
+        # A count beyond the readable ones stands for all such: sums can't overflow.
+        add = lambda acc, p: acc + F.when(p["s"] == s, F.least(p["n"], F.lit(2**32))).otherwise(0)
+        return F.struct(s.alias("s"), F.aggregate(pairs, F.lit(0).cast("bigint"), add).alias("n"))
 
-    return let(F.arrays_zip(symbols.alias("s"), numbers.alias("n")), add_up)
+    return F.when(F.size(distinct) == F.size(pairs), pairs).otherwise(F.transform(distinct, total))
 
 
-def _readable(counts: Column) -> Column:
-    return F.forall(F.map_values(counts), lambda n: F.coalesce(n <= READABLE_COUNT, F.lit(False)))
+def _readable(pairs: Column) -> Column:
+    return F.forall(pairs, lambda p: F.coalesce(p["n"] <= READABLE_COUNT, F.lit(False)))
 
 
 def parse_formula(text: Column | str, strict: bool = False) -> Column:
@@ -81,8 +89,8 @@ def parse_formula(text: Column | str, strict: bool = False) -> Column:
     ``READABLE_COUNT`` times: null (``formula_problem`` tells which), or an error if strict.
     """
     text = _col(text)
-    parsed = let(_summed(text), lambda m: F.when(_readable(m), m.cast("map<string,int>")))
-    found = F.when(is_formula(text), parsed)
+    whole = lambda p: F.when(_readable(p), F.map_from_arrays(p["s"], F.transform(p["n"], lambda n: n.cast("int"))))
+    found = F.when(_shape(text), let(_pairs(text), lambda p: F.when(_real(p["s"]), let(_summed(p), whole))))
     if not strict:
         return found
     return F.coalesce(found, F.raise_error(F.concat(F.lit("not a formula: "), F.coalesce(text, F.lit("null")))).cast("map<string,int>"))
@@ -91,7 +99,7 @@ def parse_formula(text: Column | str, strict: bool = False) -> Column:
 def formula_problem(text: Column | str) -> Column:
     """Why parse_formula gives null: ``not_a_formula`` or ``count_out_of_range``; null where it doesn't."""
     text = _col(text)
-    return F.when(~is_formula(text), "not_a_formula").when(~let(_summed(text), _readable), "count_out_of_range")
+    return F.when(~is_formula(text), "not_a_formula").when(~let(_pairs(text), lambda p: let(_summed(p), _readable)), "count_out_of_range")
 
 
 def count(counts: Column | str, symbol: str) -> Column:
@@ -114,12 +122,8 @@ def hill(counts: Column | str) -> Column:
 
 
 def element_mass(symbol: Column | str) -> Column:
-    """Mass of the most common isotope, null for what is no element.
-
-    A look-up in a map runs through its keys, so the elements of organic molecules come first.
-    """
-    usual = ("C", "H", *THREE_BONDS, "O", "S", *ONE_BOND[1:])
-    masses = {s: MASSES[s] for s in dict.fromkeys([*usual, *MASSES])}
+    """Mass of the most common isotope, null for what is no element."""
+    masses = {s: MASSES[s] for s in _USUAL_FIRST}
     return F.element_at(_numbers(masses), _col(symbol))
 
 

@@ -71,7 +71,8 @@ def group_quantiles(df: DataFrame, by: Sequence[str], wanted: Sequence[Wanted],
         for i, p in enumerate(points)
     ]
     each = sketch.select("__g", "c", "n", F.explode(F.array_compact(F.array(*brackets))).alias("b")).select("__g", "c", "n", "b.*")
-    inside = long.join(small(each), ["__g", "c"]).where("v <= hi").withColumn("w", F.when(F.col("v") >= F.col("lo"), F.col("v")))
+    # Few rows, but made from all: written once, then counted and joined.
+    inside = long.join(small(cut(each)), ["__g", "c"]).where("v <= hi").withColumn("w", F.when(F.col("v") >= F.col("lo"), F.col("v")))
     counted = inside.groupBy("__g", "c", "i", "p", "n", "w").agg(F.count("*").alias("m"))
     upto = F.sum("m").over(Window.partitionBy("__g", "c", "i").orderBy(F.col("w").asc_nulls_first()))
     at = F.col("p") * (F.col("n") - 1)

@@ -19,8 +19,9 @@ def formulas(spark: SparkSession, d: str) -> DataFrame:
     """Distinct formulas of spectra and candidates that parse and whose elements all have a mass."""
     own = table(spark, d, "spectra_v2").select("formula")
     fragments = table(spark, d, "fragment_supervision_v2").select(F.explode("candidate_neutral_formula").alias("formula"))
-    counts = spread(own.union(fragments).distinct(), "formula").withColumn("counts", chem.parse_formula("formula"))
-    return counts.where("counts IS NOT NULL").where(~F.exists(F.map_keys("counts"), lambda s: chem.element_mass(s).isNull()))
+    distinct = spread(own.union(fragments).distinct(), "formula")
+    # Through a generator: a filter on the counts would be pushed below the distinct and parse every row.
+    return distinct.select("formula", F.explode(F.array_compact(F.array(chem.parse_formula("formula")))).alias("counts"))
 
 
 @query(sql("atoms", "SELECT formula, symbol, n FROM atoms"))
