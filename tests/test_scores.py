@@ -102,7 +102,8 @@ def test_assignment_against_brute_force(spark):
         want[f"u{u}"] = min(sum(cost[p[t], t] for t in range(targets)) for p in itertools.permutations(range(slots), targets))
     out = assign.assign(spark.createDataFrame(rows, "uid STRING, slot INT, target INT, cost DOUBLE")).groupBy("uid").agg(F.sum("cost").alias("c"), F.count_distinct("slot").alias("s"), F.count("*").alias("n")).collect()
     assert {r.uid: r.c for r in out} == pytest.approx(want) and all(r.s == r.n for r in out)
-    assert assign.min_cost_assignment(np.array([[1.0, 2], [2, 100]])) == [(0, 1), (1, 0)]
+    # The cheapest cell first would force the dearest one.
+    assert assign.min_cost_assignment(np.array([[3.0, 4, 9], [5, 30, 9], [9, 9, 6]])) == [(0, 1), (1, 0), (2, 2)]
     with pytest.raises(ValueError):
         assign.min_cost_assignment(np.zeros((1, 2)))
 

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,20 +10,26 @@ from peakloom.operators import verify
 from peakloom.sources import ms, sink, tables
 from peakloom.streaming import ingest
 
-RECORD = """>compound Example
->formula C2H6O
-#NUM PEAKS 3
-#smiles CCO
+def written(blocks, meta=("remark one", "number 2")):
+    """A record of metadata lines and blocks of (energy, peak lines) as text."""
+    lines = [f"{'>#'[i % 2]}{m}" for i, m in enumerate(meta)] + [""]
+    for energy, peaks in blocks:
+        lines += [f">collision {energy}", *peaks, ""]
+    return "\n".join(lines)
 
->collision 10
-100.5 200.25
-110.0 0.0
 
->collision 20
-50.125 1.5
-"""
-FAULTS = ["100.0", "100.0 1.0 2.0", "abc 1.0", "100.0 xyz", "nan 1.0", "inf 1.0", "100.0 nan", "100.0 -inf", "100.0 -1.0", "-100.0 1.0",
-    "0.0 1.0", "1é 1.0", ">collision", ">collision x", ">collision 1 2", "#late"]
+def drawn(rng, n):
+    """n peaks as (m/z text, intensity text) with a known number of decimals each, in no order."""
+    return [(f"{rng.uniform(20, 900):.{rng.randrange(5)}f}", f"{rng.choice([0.0, rng.uniform(0, 9999)]):.3f}") for _ in range(n)]
+
+
+RECORD = written([(7.5, ["41.25 3", "88.0 0"]), ("12", ["63.125 0.5"])])
+GOOD_LINE = ("77.031", "15.5")
+#: What breaks a peak line or a block line, each made from sound parts.
+FAULTS = [
+    GOOD_LINE[0], " ".join(GOOD_LINE) + " 4", "m/z " + GOOD_LINE[1], GOOD_LINE[0] + " high", *[f"{bad} {GOOD_LINE[1]}" for bad in ("NaN", "-inf", "-" + GOOD_LINE[0], "0", "0.000", "7,5", "٣.٥")],
+    *[f"{GOOD_LINE[0]} {bad}" for bad in ("nan", "Infinity", "-" + GOOD_LINE[1], "1e999", "0x1")], ">collision", ">collision low", ">collision 3 4", ">collision inf", "#remark after the block",
+]
 
 
 def parse(spark, contents, expected=None):
@@ -32,26 +39,31 @@ def parse(spark, contents, expected=None):
 
 
 @pytest.mark.parametrize("ends", ["\n", "\r\n", "\r"])
-def test_record(spark, ends):
-    a, b = parse(spark, [RECORD.replace("\n", ends)])
-    assert (a.block, a.collision_energy_raw, a.collision_energy, a.mzs, a.intensities, a.mz_decimal_places) == (0, "10", 10.0, [100.5,
-        110.0], [200.25, 0.0], [1, 1])
-    assert (b.block, b.collision_energy, b.mzs, b.mz_decimal_places, b.error) == (1, 20.0, [50.125], [3], None)
+def test_drawn_records(spark, ends):
+    rng = random.Random(len(ends))
+    records = [[(f"{rng.uniform(1, 90):.{rng.randrange(3)}f}", drawn(rng, rng.choice([0, 1, 7]))) for _ in range(rng.randint(1, 4))] for _ in range(6)]
+    texts = [written([(e, [f"{m}{rng.choice([' ', '   ', chr(9)])}{y}" for m, y in peaks]) for e, peaks in r]).replace("\n", ends) for r in records]
+    rows = parse(spark, texts)
+    want = [(f"s{i}", b, e, peaks) for i, r in enumerate(records) for b, (e, peaks) in enumerate(r)]
+    assert len(rows) == len(want)
+    for row, (spec, block, energy, peaks) in zip(rows, want):
+        assert (row.spec, row.block, row.error, row.collision_energy_raw, row.collision_energy) == (spec, block, None, energy, float(energy))
+        assert row.mzs == [float(m) for m, _ in peaks] and row.intensities == pytest.approx([float(y) for _, y in peaks])
+        assert row.mz_decimal_places == [len(m.partition(".")[2]) for m, _ in peaks]
 
 
 def test_faults(spark):
-    got = parse(spark, [f">collision 5\n{line}\n" for line in FAULTS] + ["100 1\n>collision 5\n", None])
-    assert len(got) == len(FAULTS) + 2 and all(r.error and r.mzs is None for r in got)
+    texts = [written([(5, [" ".join(GOOD_LINE), line])]) for line in FAULTS] + [" ".join(GOOD_LINE) + "\n" + RECORD, None]
+    got = parse(spark, texts)
+    assert len(got) == len(texts) and all(r.error and r.mzs is None for r in got)
     assert {r.error for r in got if r.spec == f"s{len(FAULTS) + 1}"} == {"missing"}
 
 
-def test_order_empty_blocks_and_energies(spark):
-    rows = parse(spark, [">collision 5\n300 1\n100 1\n100 1\n200 1\n>collision 6\n"])
-    assert [r.mzs for r in rows] == [[300.0, 100.0, 100.0, 200.0], []]
-    assert parse(spark, [">compound x\n", ""]) == []
-    cases = ["[10, 20]", "[10.0, 20]", "[20, 10]", "[10]", "[10, 20, 30]", "[10, 21]"]
-    got = parse(spark, [RECORD] * len(cases), cases)
-    assert {r.spec for r in got if r.error is None} == {"s0", "s1"} and sum(r.error is not None for r in got) == 4
+def test_records_without_blocks_and_energies_of_the_label(spark):
+    assert parse(spark, [written([]), ""]) == []
+    same, other = ["[7.5, 12]", "[7.50, 12.0]"], ["[12, 7.5]", "[7.5]", "[7.5, 12, 12]", "[7.5, 12.5]", "[]"]
+    got = parse(spark, [RECORD] * 7, same + other)
+    assert {r.spec for r in got if r.error is None} == {"s0", "s1"} and sum(r.error is not None for r in got) == len(other)
 
 
 def test_build_publish_and_read(spark, tmp_path):
@@ -59,7 +71,7 @@ def test_build_publish_and_read(spark, tmp_path):
         (tmp_path / "ms").mkdir(exist_ok=True)
         (tmp_path / "ms" / f"{name}.ms").write_text(RECORD if name != "bad" else RECORD + "oops\n")
     header = "\t".join(tables.LABEL_COLUMNS)
-    (tmp_path / "labels.tsv").write_text(header + "\n" + "".join(f"{s}\t47.1\t[10, 20]\tCCO\tC2H6O\tKEY{s}\t[M+H]+\t\"Orbitrap\n" for s in ("a", "b", "bad")))
+    (tmp_path / "labels.tsv").write_text(header + "\n" + "".join(f"{s}\t47.1\t[7.5, 12]\tCCO\tC2H6O\tKEY{s}\t[M+H]+\t\"Orbitrap\n" for s in ("a", "b", "bad")))
     (tmp_path / "split.tsv").write_text("spec\tFold_0\na\ttrain\nb\tval\nbad\ttrain\nlost\ttest\n")
     labels = tables.labels_to_output(tables.read_tsv(spark, str(tmp_path / "labels.tsv"), tables.LABEL_COLUMNS))
     splits = tables.load_splits(tables.read_tsv(spark, str(tmp_path / "split.tsv"), ("spec", "Fold_0")), fold="Fold_0")
