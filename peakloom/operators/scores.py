@@ -142,6 +142,30 @@ def spectrum_cosine_loss(assigned: DataFrame, peaks: DataFrame, uid: str = "uid"
     return joined.groupBy(uid).agg((1.0 - dot / (r * t + F.lit(eps))).alias("loss"))
 
 
+def matched_cosines(peaks: DataFrame, uid: str = "uid", eps: float = 1e-8) -> DataFrame:
+    """(uid, loss, oracle, forced, gated): the loss and what cosine_decomposition gives, of peaks that carry their match already.
+
+    peaks: (uid, t, selected, slot, intensity, contribution), the last three null where no slot is matched. Of n peaks with the
+    same slot each counts n times, as it does if peaks and slots are joined by target. Sums over the peaks alone: no join, and no
+    shuffle if the peaks lie together by uid.
+    """
+    i, c = (F.coalesce(F.col(name), F.lit(0.0)) for name in ("intensity", "contribution"))
+    t = F.col("t")
+    terms = {"it": i * t, "ii": i * i, "ct": c * t, "cc": c * c, "tt": t * t, "chosen": F.when(F.col("selected"), t * t)}
+    by_slot = peaks.groupBy(uid, "slot").agg(F.count("*").alias("n"), *[F.sum(v).alias(name) for name, v in terms.items()])
+    times = F.when(F.col("slot").isNull(), 1).otherwise(F.col("n"))
+    total = by_slot.groupBy(uid).agg(*[F.sum(times * F.col(name)).alias(name) for name in terms])
+
+    def norms(square: str) -> Column:
+        return F.sqrt(square) * F.sqrt("tt")
+
+    def cosine(dot: str, square: str) -> Column:
+        return F.coalesce(scalar.safe_ratio(dot, norms(square)), F.lit(0.0))
+
+    loss, oracle = 1.0 - F.col("ct") / (norms("cc") + F.lit(eps)), F.coalesce(F.sqrt("chosen"), F.lit(0.0))
+    return total.select(uid, loss.alias("loss"), oracle.alias("oracle"), cosine("it", "ii").alias("forced"), cosine("ct", "cc").alias("gated"))
+
+
 def total_loss(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
     """parts with total: the weighted sum of its loss columns; null counts as 0."""
     total = F.lit(0.0)

@@ -24,11 +24,15 @@ def explode_lists(df: DataFrame, key: str, index: str, lists: dict[str, str], ke
     return df.select(key, *keep, generate(zipped).alias(index, "item")).select(key, *keep, index, *[F.col("item")[n].alias(n) for n in lists.values()])
 
 
+#: A position that lacks an m/z or an intensity is no peak.
+IS_PEAK = "mz IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)"
+
+
 def peaks(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(spectrum_uid, keep.., peak_index, mz, y, dp): a position lacking an m/z or an intensity is no peak."""
     lists = {"mzs": "mz", "intensities": "y", "mz_decimal_places": "dp"}
     long = explode_lists(df, "spectrum_uid", "peak_index", lists, keep)
-    return long.where("mz IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)").withColumn("y", F.col("y").cast("double"))
+    return long.where(IS_PEAK).withColumn("y", F.col("y").cast("double"))
 
 
 def candidates(df: DataFrame) -> DataFrame:

@@ -171,12 +171,6 @@ def balanced_bce(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
-def assigned(df: DataFrame) -> DataFrame:
-    t = views.targets(df).select("uid", "target", "peak_index")
-    s = views.slots(df).select("uid", "slot", "intensity", "contribution")
-    return views.assignment(df).join(t, ["uid", "target"]).join(s, ["uid", "slot"]).select("uid", "peak_index", "intensity", "contribution")
-
-
 @query(sql("s pk tr tg ca sl asg", """
     WITH r AS (SELECT asg.uid, tg.peak_index, presence * intensity AS c, intensity AS i FROM asg JOIN tg USING (uid, target)
     JOIN sl ON sl.uid = asg.uid AND sl.slot = asg.slot),
@@ -188,12 +182,7 @@ def assigned(df: DataFrame) -> DataFrame:
       round(coalesce(sum(c * t) / nullif(sqrt(sum(c * c)) * sqrt(sum(t * t)), 0), 0), 6) AS gated FROM j GROUP BY uid"""))
 def spectrum_cosine_loss(spark: SparkSession, d: str) -> DataFrame:
     """The loss of every spectrum and what limits its cosine."""
-    df = views.shared(spark, d, *views.PEAKS, *views.CANDIDATES, *views.RANK)
-    rank = long.explode_lists(df, "spectrum_uid", "peak_index", {"supervision_rank": "rank"})
-    p = metrics.transformed(long.peaks(df)).join(rank, ["spectrum_uid", "peak_index"], "left")
-    p = p.select(F.col("spectrum_uid").alias("uid"), "peak_index", "t", F.coalesce(F.col("rank").between(0, 63), F.lit(False)).alias("selected"))
-    a = assigned(df)
-    out = scores.spectrum_cosine_loss(a, p).join(scores.cosine_decomposition(p, a), "uid")
+    out = scores.matched_cosines(views.matched_peaks(views.supervision(spark, d, *views.PEAKS, *views.CANDIDATES, *views.RANK)))
     return out.select("uid", *[F.round(c, 6).alias(c) for c in ("loss", "oracle", "forced", "gated")])
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.operators import analysis, assign, scores
+from peakloom.plans import catalog
 
 
 def test_log_sum_exp(spark):
@@ -81,6 +82,41 @@ def test_cosine_losses(spark):
     assert scores.spectrum_cosine_loss(a.limit(0), peaks).first().loss == pytest.approx(1.0)
 
 
+def test_cosine_losses_of_odd_rows_without_a_join(spark, tmp_path):
+    """Against the SQL; every exploded side of a join would be shuffled, or broadcast through the driver."""
+    duckdb = pytest.importorskip("duckdb")
+    rng, nan = random.Random(5), float("nan")
+    rows = [
+        ("shared", [50.0, 51.0, 52.0], [1.0, 4.0, 9.0], [1, 1, 0], ["CH4"] * 3, ["a"] * 3),  # two peaks of one rank
+        ("gaps", [50.0, None, 52.0, 53.0, 54.0], [1.0, 2.0, nan, None, 5.0], [3, 0, 1, 2, None], ["CH4", None, "", "C2"], ["a", "a", "a", "a"]),
+        ("long", [50.0, 51.0], [2.0, 3.0], [-1, 0, 1, 2], ["CH4", "C"], ["a", "a", "a"]),
+        ("short", [50.0, 51.0, 52.0], [2.0, -3.0, 0.0], [0], ["CH4", "C"], [None, "a"]),
+        ("no candidates", [50.0], [2.0], [0], None, None), ("no ranks", [50.0], [2.0], None, ["CH4"], ["a"]), ("dark", [50.0], [0.0], [0], ["CH4"], ["a"]),
+        ("no peaks", [], [], [], ["CH4"], ["a"]), ("null lists", None, None, None, None, None), ("all null", [50.0], [None], [0], ["CH4"], ["a"]),
+        (None, [50.0, 51.0], [1.0, 2.0], [0, 1], ["CH4", "C"], ["a", "a"]),
+    ]
+    for k in range(12):  # up to 150 candidates and ranks, of which 64 are slots and targets
+        n, c = rng.choice((1, 40, 150)), rng.choice((1, 63, 64, 65, 150))
+        ranks = rng.sample(range(n), n) if k % 2 else [rng.randrange(-1, 70) for _ in range(n)]
+        rows.append((f"drawn {k}", [50.0 + i for i in range(n)], [rng.uniform(0, 9) for _ in range(n)], ranks,
+            ["C" * rng.randint(1, 9) for _ in range(c)], ["a"] * c))
+    schema = "spectrum_uid STRING, mzs ARRAY<DOUBLE>, intensities ARRAY<FLOAT>, supervision_rank ARRAY<INT>, candidate_neutral_formula ARRAY<STRING>, candidate_ion_state ARRAY<STRING>"
+    df = spark.createDataFrame([*rows, rows[0]], schema)
+    none = {"mz_decimal_places": "ARRAY<TINYINT>", "supervision_mask": "ARRAY<BOOLEAN>", "candidate_theoretical_mz": "ARRAY<DOUBLE>", "precursor_mz": "DOUBLE"}
+    path = f"{tmp_path}/fragment_supervision_v2.parquet"
+    df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()]).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW fragment_supervision_v2 AS SELECT * FROM '{path}/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(catalog.ORACLE_SQL["spectrum_cosine_loss"]).fetchall()}
+    out = catalog.QUERIES["spectrum_cosine_loss"](spark, str(tmp_path))
+    got = {r[0]: tuple(r)[1:] for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows) - 3
+    for uid, values in want.items():
+        assert got[uid] == pytest.approx(values, abs=2e-6), uid
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_prefix_tree(spark):
     df = spark.createDataFrame([("u", [1, 2]), ("u", [1, 3]), ("u", [0, 2])], "uid STRING, counts ARRAY<INT>")
     nodes = {(r.depth, tuple(r.prefix)): (r.children, r.members) for r in scores.prefix_nodes(df).collect()}
